@@ -159,19 +159,23 @@ def leadership_signals(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Radar and KPI snapshot
 # ---------------------------------------------------------------------------
+def _radar(pos: int, signal: str, value: Column, status: Column) -> Column:
+    return F.struct(F.lit(pos).alias("position"), F.lit(signal).alias("signal"),
+                    value.alias("value"), status.alias("status"))
+
+
 def decision_radar(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """Four signals with value and band."""
     k = _kpi_row(deals, work_orders)
     conf = X.confidence("value_coverage_pct", "probability_coverage_pct")
     rows = F.array(
-        F.struct(F.lit(1).alias("position"), F.lit("Pipeline concentration").alias("signal"),
-                 X.safe_float("top_sector_concentration_pct").alias("value"),
-                 X.band_concentration("top_sector_concentration_pct").alias("status")),
-        F.struct(F.lit(2), F.lit("Collection efficiency"), X.safe_float("collection_rate_pct"),
-                 X.band_collection("collection_rate_pct")),
-        F.struct(F.lit(3), F.lit("Billing backlog"), X.safe_float("billing_backlog_ratio_pct"),
-                 X.band_backlog("billing_backlog_ratio_pct")),
-        F.struct(F.lit(4), F.lit("Data confidence"), conf, X.band_confidence(conf)),
+        _radar(1, "Pipeline concentration", X.safe_float("top_sector_concentration_pct"),
+               X.band_concentration("top_sector_concentration_pct")),
+        _radar(2, "Collection efficiency", X.safe_float("collection_rate_pct"),
+               X.band_collection("collection_rate_pct")),
+        _radar(3, "Billing backlog", X.safe_float("billing_backlog_ratio_pct"),
+               X.band_backlog("billing_backlog_ratio_pct")),
+        _radar(4, "Data confidence", conf, X.band_confidence(conf)),
     )
     return k.select(F.inline(rows))
 

@@ -162,14 +162,14 @@ def operational_snapshot(work_orders: DataFrame) -> DataFrame:
     kpis = work_orders.agg(*wo_kpi_aggs(work_orders))
     both = kpis.select(*summary_columns(None),
                        X.money_display("amount_to_be_billed").alias("tbb_display"))
+    row = lambda pos, metric, value: F.struct(
+        F.lit(pos).alias("position"), F.lit(metric).alias("metric"), value.alias("value"))
     rows = F.array(
-        F.struct(F.lit(1).alias("position"), F.lit("Total work orders").alias("metric"),
-                 F.col("total_work_orders").cast("string").alias("value")),
-        F.struct(F.lit(2), F.lit("Active"), F.col("active_work_orders").cast("string")),
-        F.struct(F.lit(3), F.lit("Completed"), F.col("completed_work_orders").cast("string")),
-        F.struct(F.lit(4), F.lit("Active share"), F.concat(X.py_str_float("active_share_pct"), F.lit("%"))),
-        F.struct(F.lit(5), F.lit("Completion share"),
-                 F.concat(X.py_str_float("completion_share_pct"), F.lit("%"))),
-        F.struct(F.lit(6), F.lit("Amount to be billed"), F.col("tbb_display")),
+        row(1, "Total work orders", F.col("total_work_orders").cast("string")),
+        row(2, "Active", F.col("active_work_orders").cast("string")),
+        row(3, "Completed", F.col("completed_work_orders").cast("string")),
+        row(4, "Active share", F.concat(X.py_str_float("active_share_pct"), F.lit("%"))),
+        row(5, "Completion share", F.concat(X.py_str_float("completion_share_pct"), F.lit("%"))),
+        row(6, "Amount to be billed", F.col("tbb_display")),
     )
     return both.select(F.inline(rows))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..operators import clean, cross, leadership, operations, quality, routing, sales
-from ..operators.filters import open_deals, period_filter
+from ..operators.filters import open_deals, period_filter, sector_filter
 from ..sources import board, fixtures
 from . import oracle as O
 
@@ -120,36 +120,132 @@ def _quarter_bounds_sql() -> str:
             f"CAST(date_trunc('quarter', {t}) + INTERVAL 3 MONTH AS DATE) AS quarter_end FROM deals")
 
 
+# ---------------------------------------------------------------------------
+# Spark side of composite queries
+# ---------------------------------------------------------------------------
+def _canonical_wo(spark, sf):
+    from .schema import work_order_columns
+    return work_order_columns(raw_work_orders(spark, sf))
+
+
+def _drop_header_rows(spark, sf):
+    from .schema import deal_columns
+    return clean.drop_header_rows(deal_columns(raw_deals(spark, sf))).select("__item_id", "deal_name")
+
+
+def _period(kind):
+    return lambda spark, sf: period_filter(open_deals(deals(spark, sf)), "tentative_close_date",
+                                           f"this {kind}", AS_OF).select("__item_id", "tentative_close_date")
+
+
+def _board_items(spark, sf):
+    raw = raw_deals(spark, sf)
+    items, cols = board.items_from_table(raw)
+    k = F.col("id").cast("bigint")
+    extra = F.array(
+        F.struct(F.lit("c13").alias("id"), F.concat(F.lit("Stage "), (k % 3).cast("string")).alias("text"),
+                 F.lit(None).cast("string").alias("value")),
+        F.struct(F.lit("c14").alias("id"), F.lit("extra").alias("text"), F.lit(None).cast("string").alias("value")),
+    )
+    items = items.withColumn("column_values", F.concat("column_values", extra))
+    cols = cols.unionByName(spark.createDataFrame([("c13", "Deal Stage", "text")], cols.schema))
+    return board.board_items_to_table(items, cols)
+
+
+def _questions(spark, sf):
+    return routing.questions_from_conversations(fixtures.table(spark, sf, "conversations"))
+
+
+def _route_raw(spark, sf):
+    conv = fixtures.table(spark, sf, "conversations")
+    return routing.route_questions(conv.select("conv_id", "turn", F.col("text").alias("question")))
+
+
+def _snapshot_delta(spark, sf):
+    snaps = leadership.monthly_snapshots(deals(spark, sf), work_orders(spark, sf))
+    return leadership.snapshot_delta(snaps, "snapshot_date", ["sector"])
+
+
 # ---------------------------------------------------------------------------
 # Registry
 # ---------------------------------------------------------------------------
+SUMMARY_VARIANTS = {
+    "pipeline_summary": (None, None),
+    "pipeline_summary_sector": ("Mining", None),
+    "pipeline_summary_quarter": (None, "this quarter"),
+    "pipeline_summary_month": (None, "this month"),
+    "pipeline_summary_year": (None, "ytd"),
+    "pipeline_summary_sector_quarter": ("mining", "current quarter"),
+    "pipeline_summary_no_match": ("Tender", "all periods"),
+}
+
+
 def queries() -> dict[str, QueryFn]:
     q: dict[str, QueryFn] = {}
     for name, (raw, col, fn, _) in SCALAR_CASES.items():
         q[name] = _scalar_on_raw(raw, col, fn)
     q["money_display"] = _wo_money_rows
     q["quarter_bounds"] = _quarter_bounds
+    q["canonical_columns"] = _canonical_wo
     q["clean_deals"] = deals
     q["clean_work_orders"] = work_orders
+    q["drop_header_rows"] = _drop_header_rows
+    q["open_deals"] = _d(lambda d: open_deals(d).select("__item_id", "deal_status"))
+    q["sector_filter"] = _d(lambda d: sector_filter(d, "Mining").select("__item_id", "sector"))
+    for kind in ("quarter", "month", "year"):
+        q[f"period_filter_{kind}"] = _period(kind)
+    for name, (sec, per) in SUMMARY_VARIANTS.items():
+        q[name] = (lambda sec, per: _d(lambda d: sales.pipeline_summary(d, sec, per, AS_OF)))(sec, per)
+    q["sector_concentration"] = _d(sales.sector_concentration)
     q["pipeline_by_sector"] = _d(sales.pipeline_by_sector)
+    q["pipeline_by_stage"] = _d(sales.pipeline_by_stage)
+    q["top_sectors"] = _d(sales.top_sectors)
+    q["top_stages"] = _d(sales.top_stages)
+    q["largest_sector"] = _d(sales.largest_sector)
+    q["work_order_summary"] = _w(operations.work_order_summary)
+    q["work_order_summary_sector"] = _w(lambda w: operations.work_order_summary(w, "mining"))
+    q["status_breakdown"] = _w(operations.status_breakdown)
+    q["financial_summary"] = _w(operations.financial_summary)
+    q["financial_summary_sector"] = _w(lambda w: operations.financial_summary(w, "Dsp"))
+    q["work_orders_by_sector"] = _w(operations.work_orders_by_sector)
+    q["cross_board"] = _dw(cross.cross_board)
+    q["top_backlog_sectors"] = _dw(cross.top_backlog_sectors)
+    q["top_execution_sectors"] = _dw(cross.top_execution_sectors)
+    q["missing_profile_deals"] = _d(lambda d: quality.missing_profile(d, "Deals"))
+    q["missing_profile_wo"] = _w(lambda w: quality.missing_profile(w, "Work Orders"))
+    q["duplicate_rows"] = _w(lambda w: quality.duplicate_rows(w, "Work Orders"))
+    q["duplicate_rows_serial"] = _w(lambda w: quality.duplicate_rows(w, "Work Orders", ["serial_no"]))
+    q["quality_report"] = _dw(quality.quality_report)
+    q["quality_issues"] = _dw(quality.quality_issues)
+    q["coverage"] = _d(quality.coverage)
+    q["known_gaps"] = _d(quality.known_gaps)
+    q["leadership_deals_sets"] = _d(leadership.leadership_deals_sets)
+    q["leadership_wo_sets"] = _w(leadership.leadership_wo_sets)
+    q["leadership_signals"] = _dw(leadership.leadership_signals)
+    q["decision_radar"] = _dw(leadership.decision_radar)
+    q["kpi_snapshot"] = _dw(leadership.kpi_snapshot)
+    q["snapshot_delta"] = _snapshot_delta
+    q["operational_snapshot"] = _w(operations.operational_snapshot)
+    q["scenario_remove_sector"] = _d(sales.scenario_remove_sector)
+    q["scenario_collection"] = _w(operations.scenario_collection)
+    q["route_questions"] = lambda spark, sf: routing.route_questions(_questions(spark, sf))
+    q["route_counts"] = lambda spark, sf: routing.route_counts(routing.route_questions(_questions(spark, sf)))
+    q["route_questions_raw"] = _route_raw
+    q["sector_narrative"] = _d(lambda d: routing.sector_narrative(sales.pipeline_by_sector(d)))
+    q["stage_narrative"] = _d(lambda d: routing.stage_narrative(sales.pipeline_by_stage(d)))
+    q["cross_board_narrative"] = _dw(lambda d, w: routing.cross_board_narrative(cross.cross_board(d, w)))
+    q["board_items_to_table"] = _board_items
+    q["source_coverage"] = _dw(board.source_coverage)
     return q
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import oracle_queries as OQ
+
     s: dict[str, str] = {}
     for name, (raw, col, _, sql_fn) in SCALAR_CASES.items():
         s[name] = _scalar_sql(raw, col, sql_fn)
     s["money_display"] = _wo_money_rows_sql()
     s["quarter_bounds"] = _quarter_bounds_sql()
-    s["clean_deals"] = O.with_ctes(O.RAW_DEALS, O.DEALS) + "SELECT * FROM deals"
-    s["clean_work_orders"] = O.with_ctes(O.RAW_WO, O.WO) + "SELECT * FROM wo"
-    s["pipeline_by_sector"] = O.with_ctes(O.RAW_DEALS, O.DEALS) + _grouped_sql("sector", "sector")
+    s.update(OQ.statements(SUMMARY_VARIANTS))
     return s
-
-
-def _grouped_sql(key: str, label: str) -> str:
-    return f"""SELECT {label}, deals, pipeline, {O.money('pipeline')} AS pipeline_display,
-  {O.pct('pipeline', 'sum(pipeline) OVER ()')} AS pipeline_share_pct
-FROM (SELECT {O.display(key)} AS {label}, count(*) AS deals,
-        CAST(coalesce(sum(coalesce(deal_value, 0)), 0) AS DECIMAL(38,2)) AS pipeline
-      FROM deals WHERE {O.OPEN} GROUP BY 1) g"""

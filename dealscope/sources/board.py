@@ -66,7 +66,9 @@ def board_items_to_table(items: DataFrame, columns: DataFrame) -> DataFrame:
     Unknown column ids keep the id as title, null text becomes '', and when
     two ids share a title the later value in the item wins.
     """
-    titles = {r["column_id"]: r["title"] for r in columns.select("column_id", "title").distinct().collect()}
+    titles: dict[str, str] = {}
+    for r in columns.select("column_id", "title").collect():  # board metadata: one row per column
+        titles[r["column_id"]] = r["title"]
     # Ids present in the data but absent from the metadata (schema-sized set).
     ids = [r[0] for r in items.select(F.explode("column_values.id")).distinct().collect()]
     names: list[str] = []
@@ -94,11 +96,15 @@ def board_items_to_table(items: DataFrame, columns: DataFrame) -> DataFrame:
     for t in names:
         if t in META_COLUMNS:
             continue
-        hits = F.filter("_cv", lambda e, t=t: e["t"] == F.lit(t))
+        hits = F.filter("_cv", _title_is(t))
         cols.append(F.element_at(hits, -1)["x"].alias(t))
     return staged.select(*cols)
 
 
+def _title_is(title: str):
+    return lambda e: e["t"] == F.lit(title)
+
+
 def items_from_table(raw: DataFrame, meta_columns=META_COLUMNS) -> tuple[DataFrame, DataFrame]:
     """Pack a flat board export back into (items, board columns) — the landed shape.
 
