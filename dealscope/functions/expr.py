@@ -36,9 +36,18 @@ def py_strip(c: ColumnOrName) -> Column:
     return F.trim(_c(c), F.lit(PY_WHITESPACE))
 
 
+_OTHER_WS = PY_WHITESPACE.replace(" ", "")
+
+
 def text_norm(c: ColumnOrName) -> Column:
-    """X1 compare form: null -> '', strip, lower, collapse inner whitespace."""
-    collapsed = F.regexp_replace(F.lower(_c(c)), _WS_CLASS + "+", " ")
+    """X1 compare form: null -> '', strip, lower, collapse inner whitespace.
+
+    Every whitespace character is first mapped to a space with ``translate``
+    (a character map, no regex); the run-collapsing regex only runs on the
+    rare values that still contain two spaces in a row.
+    """
+    spaced = F.translate(F.lower(_c(c)), _OTHER_WS, " " * len(_OTHER_WS))
+    collapsed = F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
     return F.coalesce(F.trim(collapsed, F.lit(" ")), F.lit(""))
 
 
@@ -47,6 +56,9 @@ def text_display(c: ColumnOrName, label: str = vocab.UNKNOWN_LABEL) -> Column:
     return F.coalesce(F.nullif(py_strip(c), F.lit("")), F.lit(label))
 
 
+_ASCII_LOWER_SPACE = "abcdefghijklmnopqrstuvwxyz "
+_NUMBER_CHARS = "0123456789.-"
+
 # --------------------------------------------------------------------------
 # Python str.title()
 # --------------------------------------------------------------------------
@@ -57,11 +69,14 @@ def title_case(c: ColumnOrName) -> Column:
     text is cut into letter runs and non-letter runs and each run gets its
     first character upper-cased.  Null stays null.
     """
-    runs = F.regexp_extract_all(F.lower(_c(c)), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
+    low = F.lower(_c(c))
+    runs = F.regexp_extract_all(low, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
     capped = F.transform(
         runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
     )
-    return F.array_join(capped, "")
+    # Fast path: text made only of a-z and spaces is exactly what initcap handles.
+    plain = F.length(F.translate(low, _ASCII_LOWER_SPACE, "")) == 0
+    return F.when(plain, F.initcap(low)).otherwise(F.array_join(capped, ""))
 
 
 # --------------------------------------------------------------------------
@@ -100,8 +115,10 @@ def money_parse(c: ColumnOrName) -> Column:
     Units are ignored on purpose (``Rs. 5,000`` -> 0.50, ``68.82 Cr`` ->
     68.82); result is an exact ``decimal(18,2)``.
     """
-    col = _c(c)
-    kept = F.regexp_replace(py_strip(col.cast("string")), r"[^0-9.\-]", "")
+    text = py_strip(_c(c).cast("string"))
+    # Fast path: text already made only of number characters needs no regex.
+    plain = F.length(F.translate(text, _NUMBER_CHARS, "")) == 0
+    kept = F.when(plain, text).otherwise(F.regexp_replace(text, r"[^0-9.\-]", ""))
     return F.nullif(kept, F.lit("")).try_cast(MONEY_TYPE)
 
 
@@ -122,7 +139,9 @@ def date_parse(c: ColumnOrName, formats: Iterable[str] = vocab.DATE_FORMATS) ->
     """First declared format that parses wins; otherwise null (``date``)."""
     text = py_strip(_c(c).cast("string"))
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    return F.coalesce(*tries).cast("date")
+    # Every declared format starts with a digit: blanks and words skip parsing.
+    first = F.substring(text, 1, 1)
+    return F.when((first >= "0") & (first <= "9"), F.coalesce(*tries).cast("date"))
 
 
 def numeric_coerce(c: ColumnOrName | None) -> Column:
