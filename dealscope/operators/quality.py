@@ -68,23 +68,38 @@ def duplicate_rows(df: DataFrame, dataset: str, subset: list[str] | None = None)
 
 
 def _issues_row(df: DataFrame, dataset: str, subset: list[str] | None = None) -> DataFrame:
-    """One row: dataset, rows, columns, duplicate_rows, issues (ordered array)."""
-    prof = _profile_row(df)
-    dups = scalar(duplicate_rows(df, dataset, subset), F.max("duplicate_rows"))
+    """One row: dataset, rows, columns, duplicate_rows, issues (ordered array).
+
+    One scan: rows are grouped on every column (identical rows collapse
+    map-side), and both the per-column null counts and the duplicate count
+    are summed from those groups.
+    """
+    names = df.columns
+    g = df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.col("_n")
+    aggs = [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("rows")]
+    aggs += [F.coalesce(F.sum(F.when(_missing(df, c), n)), F.lit(0)).cast("bigint").alias(f"m{i}")
+             for i, c in enumerate(names)]
+    if subset:
+        prof = g.agg(*aggs)
+        dups = scalar(duplicate_rows(df, dataset, subset), F.max("duplicate_rows"))
+    else:
+        prof = g.agg(*aggs, F.coalesce(F.sum(n - 1), F.lit(0)).cast("bigint").alias("_dups"))
+        dups = F.col("_dups")
     rows = F.col("rows")
     msgs = []
-    for i, n in enumerate(df.columns):
+    for i, c in enumerate(names):
         m = F.col(f"m{i}")
         pct = X.py_round(m / rows * 100, 1)
         msgs.append(F.when((rows > 0) & (m > 0) & (pct >= 10),
-                           F.concat(F.lit(f"{n}: "), m.cast("string"), F.lit(" missing ("),
+                           F.concat(F.lit(f"{c}: "), m.cast("string"), F.lit(" missing ("),
                                     pct.cast("string"), F.lit("%)"))))
     msgs.append(F.when(dups > 0, F.concat(dups.cast("string"), F.lit(" duplicate rows detected."))))
     issues = F.when(rows == 0, F.array(F.lit(EMPTY_ISSUE))).otherwise(F.array_compact(F.array(*msgs)))
     return prof.select(
         F.lit(dataset).alias("dataset"),
         rows.alias("rows"),
-        F.when(rows == 0, F.lit(0)).otherwise(F.lit(len(df.columns))).alias("columns"),
+        F.when(rows == 0, F.lit(0)).otherwise(F.lit(len(names))).alias("columns"),
         F.when(rows == 0, F.lit(0).cast("bigint")).otherwise(dups).alias("duplicate_rows"),
         issues.alias("issues"),
     )

@@ -427,8 +427,7 @@ l AS (SELECT *, """ + ", ".join(
         "\nSELECT sector, billing_backlog, '- **' || sector || '** — pipeline ' || pipeline_display || ', ' || "
         "CAST(active_work_orders AS VARCHAR) || ' active WOs, billing backlog ' || billing_backlog_display AS line FROM cb")
     from ..sources.fixtures import DEAL_TITLES
-    cols = ['"__item_id"', 'coalesce("__item_name", \'\') AS "__item_name"',
-            'coalesce("__created_at", \'\') AS "__created_at"', 'coalesce("__updated_at", \'\') AS "__updated_at"']
+    cols = ['"__item_id"', '"__item_name"', '"__created_at"', '"__updated_at"']
     for t in DEAL_TITLES:
         if t == "Deal Stage":
             cols.append("'Stage ' || CAST(CAST(\"__item_id\" AS BIGINT) % 3 AS VARCHAR) AS \"Deal Stage\"")

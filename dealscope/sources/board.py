@@ -63,8 +63,9 @@ def board_columns(boards: DataFrame) -> DataFrame:
 def board_items_to_table(items: DataFrame, columns: DataFrame) -> DataFrame:
     """Items -> wide all-text table with the four meta columns first.
 
-    Unknown column ids keep the id as title, null text becomes '', and when
-    two ids share a title the later value in the item wins.
+    Unknown column ids keep the id as title, null text becomes '', a title
+    the item does not carry is null, and when two ids share a title the
+    later value in the item wins.
     """
     titles: dict[str, str] = {}
     for r in columns.select("column_id", "title").collect():  # board metadata: one row per column
@@ -87,9 +88,9 @@ def board_items_to_table(items: DataFrame, columns: DataFrame) -> DataFrame:
     )
     staged = items.select(
         F.col("id").alias("__item_id"),
-        F.coalesce("name", F.lit("")).alias("__item_name"),
-        F.coalesce("created_at", F.lit("")).alias("__created_at"),
-        F.coalesce("updated_at", F.lit("")).alias("__updated_at"),
+        F.col("name").alias("__item_name"),
+        F.col("created_at").alias("__created_at"),
+        F.col("updated_at").alias("__updated_at"),
         named.alias("_cv"),
     )
     cols = [F.col(c) for c in META_COLUMNS]
@@ -97,7 +98,7 @@ def board_items_to_table(items: DataFrame, columns: DataFrame) -> DataFrame:
         if t in META_COLUMNS:
             continue
         hits = F.filter("_cv", _title_is(t))
-        cols.append(F.element_at(hits, -1)["x"].alias(t))
+        cols.append(F.try_element_at(hits, F.lit(-1))["x"].alias(t))
     return staged.select(*cols)
 
 
