@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions import vocab
 from .filters import open_deals
-from .operations import active_flag, completed_flag, financial_summary, money_or_zero, wo_kpi_aggs
-from .sales import deal_value, pipeline_by_sector, pipeline_summary, usable_probability
+from .operations import active_flag, completed_flag, financial_columns, financial_summary, money_or_zero, wo_kpi_aggs
+from .sales import deal_value, pipeline_summary, pipeline_summary_with_leader, usable_probability
 
 
 def combine_rows(*frames: DataFrame) -> DataFrame:
@@ -93,22 +93,18 @@ def leadership_wo_sets(work_orders: DataFrame) -> DataFrame:
 # G1: leadership signals
 # ---------------------------------------------------------------------------
 def _kpi_row(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
-    """One row: A1 totals, A7 totals and the leading sector's share (A3 row 1)."""
-    ps = pipeline_summary(deals).select(
+    """One row: A1 totals with the leading sector's share (A3 row 1) from one
+    pass over deals, and A5/A7 totals from one pass over work orders."""
+    ps = pipeline_summary_with_leader(deals).select(
         "gross_pipeline", "weighted_pipeline", "open_deals", "deals_without_probability",
         "deals_missing_value", "top_sector_concentration_pct", "value_coverage_pct",
-        "probability_coverage_pct")
-    fin = financial_summary(work_orders).select(
+        "probability_coverage_pct", "top_sector", "top_share_pct")
+    fin = work_orders.agg(*wo_kpi_aggs(work_orders)).select(
+        *financial_columns(None), "active_work_orders").select(
         "billed_value", "collected_amount", "amount_to_be_billed", "amount_to_be_billed_display",
         "amount_receivable", "amount_receivable_display", "collection_rate_pct",
-        "billing_backlog_ratio_pct")
-    ops = work_orders.agg(F.count_if(active_flag(work_orders)).alias("active_work_orders"))
-    top = pipeline_by_sector(deals).agg(
-        F.min_by(F.struct(F.col("sector").alias("top_sector"),
-                          F.col("pipeline_share_pct").alias("top_share_pct")),
-                 F.struct((-F.col("pipeline")).alias("v"), F.col("sector"))).alias("t")
-    ).select("t.top_sector", "t.top_share_pct")
-    return combine_rows(ps, fin, ops, top)
+        "billing_backlog_ratio_pct", "active_work_orders")
+    return combine_rows(ps, fin)
 
 
 def _signal(order: int, cond: Column, typ: str, severity: str, message: str, *,

@@ -74,17 +74,29 @@ def pipeline_summary(
     The three filter stages are counted with nested predicates in the same
     pass, so the table is read once.
     """
+    return _summary(deals, sector, period, as_of, leader=False)
+
+
+def pipeline_summary_with_leader(deals: DataFrame) -> DataFrame:
+    """A1 (unfiltered) plus the leading sector and its share of pipeline
+    (row 1 of A3), from the same single pass."""
+    return _summary(deals, None, None, None, leader=True)
+
+
+def _summary(deals, sector, period, as_of, leader: bool) -> DataFrame:
     cols = deals.columns
     od = open_deals(deals)
     has_sector = "sector" in cols
     sector_label = _lit_str(sector or "All sectors")
     period_label = _lit_str(period or "All periods")
 
+    no_leader = [F.lit(None).cast("string").alias("top_sector"),
+                 F.lit(None).cast("double").alias("top_share_pct")] if leader else []
     if sector and not has_sector:
         return od.agg(F.count(F.lit(1)).alias("open_deals_before_filters")).select(
             *_short_result(sector_label, period_label, F.lit(0).cast("bigint"),
-                           None, MSG_NO_SECTOR_COLUMN, F.col("open_deals_before_filters"))
-        )
+                           None, MSG_NO_SECTOR_COLUMN, F.col("open_deals_before_filters")),
+            *no_leader)
 
     s = sector_predicate(od, sector)
     kind = period_kind(period)
@@ -102,7 +114,7 @@ def pipeline_summary(
     if v is None:
         agg = od.agg(F.count_if(f).alias("n"), F.count(F.lit(1)).alias("n_open"))
         return agg.select(*_short_result(sector_label, period_label, F.col("n"), warning,
-                                         MSG_NO_VALUE_COLUMN, F.col("n_open")))
+                                         MSG_NO_VALUE_COLUMN, F.col("n_open")), *no_leader)
 
     prob = usable_probability(od)
     vnn = v.isNotNull()
@@ -137,6 +149,8 @@ def pipeline_summary(
         _sum0(F.col("gross"), X.SUM_MONEY_TYPE).alias("gross"),
         _sum0(F.col("weighted"), X.WEIGHTED_TYPE).alias("weighted"),
         F.max(F.coalesce(F.col("gross"), F.lit(0))).alias("top_group"),
+        F.min_by(F.col("_group"), F.struct((-F.coalesce(F.col("gross"), F.lit(0))).alias("v"),
+                                           F.col("_group").alias("g"))).alias("top_group_label"),
     )
     n = F.col("n")
     gross = F.col("gross")
@@ -168,6 +182,9 @@ def pipeline_summary(
         X.safe_pct(F.col("n_prob"), n).alias("probability_coverage_pct"),
         _lit_str(warning).alias("period_warning"),
         message.cast("string").alias("message"),
+        *([F.col("top_group_label").alias("top_sector"),
+           (X.safe_pct(F.col("top_group"), gross) if has_sector else F.lit(None).cast("double"))
+           .alias("top_share_pct")] if leader else []),
     )
 
 
