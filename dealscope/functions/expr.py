@@ -65,18 +65,21 @@ _NUMBER_CHARS = "0123456789.-"
 def title_case(c: ColumnOrName) -> Column:
     """X5 Python ``str.title``: upper-case a letter after any non-letter.
 
-    ``initcap`` only splits on spaces (``o'neil`` -> ``O'neil``); here the
-    text is cut into letter runs and non-letter runs and each run gets its
-    first character upper-cased.  Null stays null.
+    ``initcap`` only starts a word after a space (``o'neil`` -> ``O'neil``).
+    So every non-letter gets a marker plus a space appended, ``initcap``
+    capitalizes the letter that follows, and the markers are removed.  No
+    lambda functions are involved, so the projection stays inside
+    whole-stage codegen.  Null stays null.
     """
     low = F.lower(_c(c))
-    runs = F.regexp_extract_all(low, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    capped = F.transform(
-        runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
-    )
+    marked = F.regexp_replace(low, r"([^\p{L}])", "$1" + _TITLE_MARK)
+    general = F.regexp_replace(F.initcap(marked), _TITLE_MARK, "")
     # Fast path: text made only of a-z and spaces is exactly what initcap handles.
     plain = F.length(F.translate(low, _ASCII_LOWER_SPACE, "")) == 0
-    return F.when(plain, F.initcap(low)).otherwise(F.array_join(capped, ""))
+    return F.when(plain, F.initcap(low)).otherwise(general)
+
+
+_TITLE_MARK = "\u0002 "
 
 
 # --------------------------------------------------------------------------

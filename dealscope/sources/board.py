@@ -65,45 +65,33 @@ def board_items_to_table(items: DataFrame, columns: DataFrame) -> DataFrame:
 
     Unknown column ids keep the id as title, null text becomes '', a title
     the item does not carry is null, and when two ids share a title the
-    later value in the item wins.
+    value later in the item wins.  Each title is read from the parallel
+    ``column_values.id`` / ``column_values.text`` arrays with
+    ``array_position`` + ``element_at`` (no lambdas, so the projection is
+    code-generated and needs no shuffle).
     """
     titles: dict[str, str] = {}
     for r in columns.select("column_id", "title").collect():  # board metadata: one row per column
         titles[r["column_id"]] = r["title"]
     # Ids present in the data but absent from the metadata (schema-sized set).
     ids = [r[0] for r in items.select(F.explode("column_values.id")).distinct().collect()]
-    names: list[str] = []
-    for cid in list(titles) + sorted(i for i in ids if i not in titles):
-        t = titles.get(cid, cid)
-        if t not in names:
-            names.append(t)
-    id_to_title = F.create_map(*[x for cid, t in titles.items() for x in (F.lit(cid), F.lit(t))]) \
-        if titles else None
-    named = F.transform(
-        "column_values",
-        lambda cv: F.struct(
-            (F.coalesce(id_to_title[cv["id"]], cv["id"]) if id_to_title is not None else cv["id"]).alias("t"),
-            F.coalesce(cv["text"], F.lit("")).alias("x"),
-        ),
-    )
-    staged = items.select(
-        F.col("id").alias("__item_id"),
-        F.col("name").alias("__item_name"),
-        F.col("created_at").alias("__created_at"),
-        F.col("updated_at").alias("__updated_at"),
-        named.alias("_cv"),
-    )
-    cols = [F.col(c) for c in META_COLUMNS]
-    for t in names:
-        if t in META_COLUMNS:
+    by_title: dict[str, list[str]] = {}
+    for cid in list(titles) + sorted(i for i in ids if i is not None and i not in titles):
+        by_title.setdefault(titles.get(cid, cid), []).append(cid)
+    id_arr, text_arr = F.col("column_values.id"), F.col("column_values.text")
+    cols = [F.col("id").alias("__item_id"), F.col("name").alias("__item_name"),
+            F.col("created_at").alias("__created_at"), F.col("updated_at").alias("__updated_at")]
+    for title, cids in by_title.items():
+        if title in META_COLUMNS:
             continue
-        hits = F.filter("_cv", _title_is(t))
-        cols.append(F.try_element_at(hits, F.lit(-1))["x"].alias(t))
-    return staged.select(*cols)
-
-
-def _title_is(title: str):
-    return lambda e: e["t"] == F.lit(title)
+        cands = []
+        for cid in cids:
+            pos = F.coalesce(F.array_position(id_arr, F.lit(cid)), F.lit(0)).cast("int")
+            text = F.when(pos > 0, F.coalesce(F.element_at(text_arr, pos), F.lit("")))
+            cands.append(F.struct(pos.alias("p"), text.alias("x")))
+        best = cands[0] if len(cands) == 1 else F.greatest(*cands)
+        cols.append(best["x"].alias(title))
+    return items.select(*cols)
 
 
 def items_from_table(raw: DataFrame, meta_columns=META_COLUMNS) -> tuple[DataFrame, DataFrame]:
