@@ -1,9 +1,10 @@
 """Leadership bundle (A9), signals (G1), decision radar (G2), KPI snapshot
 (G5) and snapshot change detection (G6).
 
-A9 reads each table once: open deals go through one GROUPING SETS
-aggregation ((sector), (stage), ()), work orders through one
-((sector), (status), ()).  One-row results are combined by union + global
+A9 reads each table once: open deals are first aggregated by
+(sector, stage) and work orders by (sector, status), with partial
+aggregation map-side; the GROUPING SETS ((x), (y), ()) roll-up then runs
+over those few combination rows instead of expanding every input row.  One-row results are combined by union + global
 aggregate (no join), and signals are a filtered ``inline`` of a struct
 array on that single row.
 """
@@ -44,15 +45,21 @@ def leadership_deals_sets(deals: DataFrame) -> DataFrame:
     stage = X.text_display("deal_stage") if "deal_stage" in od.columns else F.lit(vocab.UNKNOWN_LABEL)
     base = od.select(sector.alias("sector"), stage.alias("stage"), v.alias("v"),
                      ok.alias("ok"), pr.alias("pr"))
-    g = base.groupingSets([["sector"], ["stage"], []], "sector", "stage").agg(
-        F.grouping_id().alias("gid"),
+    pairs = base.groupBy("sector", "stage").agg(
         F.count(F.lit(1)).alias("deals"),
-        F.coalesce(F.sum(F.coalesce(F.col("v"), F.lit(0))), F.lit(0)).cast(X.SUM_MONEY_TYPE).alias("pipeline"),
+        F.sum(F.coalesce(F.col("v"), F.lit(0))).alias("pipeline"),
         F.count_if(F.col("v").isNotNull()).alias("deals_with_value"),
         F.count_if(F.col("ok")).alias("deals_with_probability"),
-        F.coalesce(F.sum(F.when(F.col("ok") & F.col("v").isNotNull(),
-                                F.col("v") * F.col("pr").cast(X.PROB_TYPE))), F.lit(0))
-        .cast(X.WEIGHTED_TYPE).alias("weighted_pipeline"),
+        F.sum(F.when(F.col("ok") & F.col("v").isNotNull(), F.col("v") * F.col("pr").cast(X.PROB_TYPE)))
+        .alias("weighted_pipeline"),
+    )
+    g = pairs.groupingSets([["sector"], ["stage"], []], "sector", "stage").agg(
+        F.grouping_id().alias("gid"),
+        F.sum("deals").cast("bigint").alias("deals"),
+        F.coalesce(F.sum("pipeline"), F.lit(0)).cast(X.SUM_MONEY_TYPE).alias("pipeline"),
+        F.sum("deals_with_value").cast("bigint").alias("deals_with_value"),
+        F.sum("deals_with_probability").cast("bigint").alias("deals_with_probability"),
+        F.coalesce(F.sum("weighted_pipeline"), F.lit(0)).cast(X.WEIGHTED_TYPE).alias("weighted_pipeline"),
     )
     level = F.when(F.col("gid") == 1, "sector").when(F.col("gid") == 2, "stage").otherwise("total")
     return g.select(level.alias("grouping"), F.coalesce("sector", "stage").alias("label"),
@@ -73,15 +80,19 @@ def leadership_wo_sets(work_orders: DataFrame) -> DataFrame:
                      money_or_zero(df, "amount_to_be_billed_incl").alias("tbb"),
                      money_or_zero(df, "amount_receivable").alias("receivable"))
     s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(X.SUM_MONEY_TYPE)
-    g = base.groupingSets([["sector"], ["status"], []], "sector", "status").agg(
-        F.grouping_id().alias("gid"),
+    pairs = base.groupBy("sector", "status").agg(
         F.count(F.lit(1)).alias("work_orders"),
         F.count_if("active").alias("active_work_orders"),
         F.count_if("completed").alias("completed_work_orders"),
-        s("billed").alias("billed_value"),
-        s("collected").alias("collected_amount"),
-        s("tbb").alias("amount_to_be_billed"),
-        s("receivable").alias("amount_receivable"),
+        F.sum("billed").alias("billed_value"),
+        F.sum("collected").alias("collected_amount"),
+        F.sum("tbb").alias("amount_to_be_billed"),
+        F.sum("receivable").alias("amount_receivable"),
+    )
+    g = pairs.groupingSets([["sector"], ["status"], []], "sector", "status").agg(
+        F.grouping_id().alias("gid"),
+        *[F.sum(c).cast("bigint").alias(c) for c in ("work_orders", "active_work_orders", "completed_work_orders")],
+        *[s(c).alias(c) for c in ("billed_value", "collected_amount", "amount_to_be_billed", "amount_receivable")],
     )
     level = F.when(F.col("gid") == 1, "sector").when(F.col("gid") == 2, "status").otherwise("total")
     return g.select(level.alias("grouping"), F.coalesce("sector", "status").alias("label"),

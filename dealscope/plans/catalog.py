@@ -152,6 +152,15 @@ def _board_items(spark, sf):
     return board.board_items_to_table(items, cols)
 
 
+def _board_pages(spark, sf):
+    items, _ = board.items_from_table(raw_deals(spark, sf))
+    pages = board.items_to_pages(items.withColumn("_k", F.col("id").cast("bigint")), "_k")
+    out = board.pages_to_items(pages)
+    return out.select("id", "name", "created_at", "updated_at",
+                      F.col("column_values")[0]["text"].alias("first_text"),
+                      F.size("column_values").alias("n_values"))
+
+
 def _questions(spark, sf):
     return routing.questions_from_conversations(fixtures.table(spark, sf, "conversations"))
 
@@ -235,6 +244,7 @@ def queries() -> dict[str, QueryFn]:
     q["stage_narrative"] = _d(lambda d: routing.stage_narrative(sales.pipeline_by_stage(d)))
     q["cross_board_narrative"] = _dw(lambda d, w: routing.cross_board_narrative(cross.cross_board(d, w)))
     q["board_items_to_table"] = _board_items
+    q["board_pages_union"] = _board_pages
     q["source_coverage"] = _dw(board.source_coverage)
     return q
 

@@ -435,6 +435,9 @@ l AS (SELECT *, """ + ", ".join(
             cols.append(f"coalesce({ident(t)}, '') AS {ident(t)}")
     cols.append("'extra' AS c14")
     s["board_items_to_table"] = O.with_ctes(O.RAW_DEALS) + "SELECT " + ", ".join(cols) + " FROM raw_deals"
+    s["board_pages_union"] = (O.with_ctes(O.RAW_DEALS) + 'SELECT "__item_id" AS id, "__item_name" AS name, '
+                              '"__created_at" AS created_at, "__updated_at" AS updated_at, '
+                              '"Deal Name" AS first_text, 12 AS n_values FROM raw_deals')
     s["source_coverage"] = BOTH + ("SELECT 'Deals' AS dataset, count(*) AS records, 'board export' AS source FROM deals "
                                    "UNION ALL SELECT 'Work Orders', count(*), 'board export' FROM wo")
     return s

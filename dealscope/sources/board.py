@@ -45,10 +45,29 @@ META_COLUMNS = ("__item_id", "__item_name", "__created_at", "__updated_at")
 
 def read_board_pages(spark: SparkSession, path: str) -> DataFrame:
     """Every landed page file under ``path`` -> one row per item (not de-duplicated)."""
-    pages = spark.read.schema(PAGE).json(path)
+    return pages_to_items(spark.read.schema(PAGE).json(path))
+
+
+def pages_to_items(pages: DataFrame) -> DataFrame:
+    """Concatenate the items of all pages (a narrow explode, no shuffle)."""
     return pages.select(F.explode("items").alias("item")).select("item.*")
 
 
+PAGE_SIZE = 500
+
+
+def items_to_pages(items: DataFrame, page_key: str, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Pack items into API-shaped pages of at most ``page_size`` items.
+
+    ``page_key`` must be a unique integer key per item; pages are key
+    ranges of width ``page_size``, so no page can exceed the API limit.
+    """
+    page = F.floor(F.col(page_key) / page_size)
+    item = F.struct(*[F.col(c) for c in ("id", "name", "created_at", "updated_at", "column_values")])
+    g = items.groupBy(page.alias("page_no")).agg(F.collect_list(item).alias("items"))
+    return g.select(F.col("page_no").cast("string").alias("cursor"), "items")
+
+
 def read_board_columns(spark: SparkSession, path: str) -> DataFrame:
     """S3: board metadata JSON -> (column_id, title, type)."""
     boards = spark.read.schema(BOARD).json(path)
