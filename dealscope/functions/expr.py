@@ -118,8 +118,9 @@ def money_parse(c: ColumnOrName) -> Column:
     Units are ignored on purpose (``Rs. 5,000`` -> 0.50, ``68.82 Cr`` ->
     68.82); result is an exact ``decimal(18,2)``.
     """
-    text = py_strip(_c(c).cast("string"))
-    # Fast path: text already made only of number characters needs no regex.
+    text = _c(c).cast("string")
+    # The regex drops whitespace too, so no separate strip is needed; text
+    # made only of number characters skips the regex altogether.
     plain = F.length(F.translate(text, _NUMBER_CHARS, "")) == 0
     kept = F.when(plain, text).otherwise(F.regexp_replace(text, r"[^0-9.\-]", ""))
     return F.nullif(kept, F.lit("")).try_cast(MONEY_TYPE)
@@ -138,13 +139,21 @@ def probability_parse(c: ColumnOrName) -> Column:
     return _case_map(text, vocab.PROBABILITY_WORDS, numeric).cast("double")
 
 
-def date_parse(c: ColumnOrName, formats: Iterable[str] = vocab.DATE_FORMATS) -> Column:
+def date_parse(c: ColumnOrName, formats: tuple[str, ...] = vocab.DATE_FORMATS) -> Column:
     """First declared format that parses wins; otherwise null (``date``)."""
-    text = py_strip(_c(c).cast("string"))
+    raw = _c(c).cast("string")
+    text = py_strip(raw)
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
     # Every declared format starts with a digit: blanks and words skip parsing.
     first = F.substring(text, 1, 1)
-    return F.when((first >= "0") & (first <= "9"), F.coalesce(*tries).cast("date"))
+    general = F.when((first >= "0") & (first <= "9"), F.coalesce(*tries).cast("date"))
+    if not formats or formats[0] != "yyyy-MM-dd":
+        return general
+    # Fast path: text shaped exactly dddd-dd-dd can only match yyyy-MM-dd, and
+    # the date cast gives the same result (null for impossible dates) cheaply.
+    iso = ((F.length(raw) == 10) & (F.translate(raw, "0123456789", "") == "--")
+           & (F.substring(raw, 5, 1) == "-") & (F.substring(raw, 8, 1) == "-"))
+    return F.when(iso, raw.try_cast("date")).otherwise(general)
 
 
 def numeric_coerce(c: ColumnOrName | None) -> Column:

@@ -101,3 +101,16 @@ def test_bands_and_confidence(spark):
         ("WATCH", "WATCH", "WATCH", "WATCH", 85.5),
         ("GOOD", "GOOD", "GOOD", "HIGH", round((90.55 + 90.6) / 2, 1)),
     ]
+
+
+def test_date_parse_iso_fast_path_rejects_impossible_dates(spark):
+    vals = ["2001-02-30", "2001-13-01", "2000-02-29", "20010-5-15", "2001-5-15x"]
+    assert _one_col(spark, vals, X.date_parse) == [None, None, dt.date(2000, 2, 29), None, None]
+
+
+def test_safe_casts_and_display_pick(spark):
+    df = spark.createDataFrame([("12.9", None, 2560000.0), ("x", "₹1 L", None), (None, None, None)],
+                               "v string, disp string, num double")
+    got = [tuple(r) for r in df.select(X.safe_float("v"), X.safe_int("v"),
+                                       X.display_or_money("disp", "num")).collect()]
+    assert got == [(12.9, 12, "₹25.60 L"), (0.0, 0, "₹1 L"), (0.0, 0, "₹0")]
