@@ -79,7 +79,8 @@ def board_columns(boards: DataFrame) -> DataFrame:
         F.col("c.id").alias("column_id"), F.col("c.title").alias("title"), F.col("c.type").alias("type"))
 
 
-def board_items_to_table(items: DataFrame, columns: DataFrame) -> DataFrame:
+def board_items_to_table(items: DataFrame, columns: DataFrame,
+                         unknown_ids: list[str] | None = None) -> DataFrame:
     """Items -> wide all-text table with the four meta columns first.
 
     Unknown column ids keep the id as title, null text becomes '', a title
@@ -88,12 +89,20 @@ def board_items_to_table(items: DataFrame, columns: DataFrame) -> DataFrame:
     ``column_values.id`` / ``column_values.text`` arrays with
     ``array_position`` + ``element_at`` (no lambdas, so the projection is
     code-generated and needs no shuffle).
+
+    Ids missing from the metadata become columns named by the id.  They are
+    discovered with one distinct over ``column_values.id`` (a schema-sized
+    result) unless the caller passes ``unknown_ids`` (e.g. ``[]`` when the
+    catalogue is known to be complete), which keeps the call fully lazy.
     """
     titles: dict[str, str] = {}
     for r in columns.select("column_id", "title").collect():  # board metadata: one row per column
         titles[r["column_id"]] = r["title"]
     # Ids present in the data but absent from the metadata (schema-sized set).
-    ids = [r[0] for r in items.select(F.explode("column_values.id")).distinct().collect()]
+    if unknown_ids is None:
+        ids = [r[0] for r in items.select(F.explode("column_values.id")).distinct().collect()]
+    else:
+        ids = list(unknown_ids)
     by_title: dict[str, list[str]] = {}
     for cid in list(titles) + sorted(i for i in ids if i is not None and i not in titles):
         by_title.setdefault(titles.get(cid, cid), []).append(cid)

@@ -205,3 +205,11 @@ def test_narratives(deals, wos):
     assert lines[0] == "- **Mining** — ₹3,000 across 2 deals (85.71% of pipeline)"
     cb = routing.cross_board_narrative(cross.cross_board(deals, wos)).collect()
     assert any("active WOs, billing backlog" in r["line"] for r in cb)
+
+
+def test_leadership_update_reuse_checkpoints(deals, wos):
+    plain = leadership.leadership_update(deals, wos)
+    reused = leadership.leadership_update(deals, wos, reuse=True)
+    assert set(plain) == set(reused)
+    for k in ("pipeline", "cross_board", "leadership_signals"):
+        assert sorted(map(tuple, plain[k].collect())) == sorted(map(tuple, reused[k].collect()))
