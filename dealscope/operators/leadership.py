@@ -111,13 +111,39 @@ def _kpi_row(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
         "deals_missing_value", "top_sector_concentration_pct", "value_coverage_pct",
         "probability_coverage_pct", "top_sector", "top_share_pct")
     fin = work_orders.agg(*wo_kpi_aggs(work_orders)).select(
-        *financial_columns(None), "active_work_orders").select(
+        *financial_columns(None), "active_work_orders", "total_work_orders").select(
         "billed_value", "collected_amount", "amount_to_be_billed", "amount_to_be_billed_display",
         "amount_receivable", "amount_receivable_display", "collection_rate_pct",
-        "billing_backlog_ratio_pct", "active_work_orders")
+        "billing_backlog_ratio_pct", "active_work_orders", "total_work_orders")
     return combine_rows(ps, fin)
 
 
+_kpi_row_full = _kpi_row
+
+
+MSG_CONC_HIGH = "A single sector accounts for more than half of the current gross pipeline."
+MSG_CONC_MEDIUM = "Pipeline is materially concentrated in the leading sector."
+MSG_RECEIVABLES = "Outstanding receivables require collection attention."
+MSG_BACKLOG = "There is a material amount still to be billed."
+MSG_FORECAST = ("Some open deals lack usable closure probability, limiting weighted-pipeline "
+                "confidence.")
+MSG_COMMERCIAL = "Some open deals have missing deal values."
+
+
+def signal_conditions() -> list[tuple[Column, str]]:
+    """(condition, message) of each G1 signal, in the fixed order, over the KPI row."""
+    share = F.coalesce(F.col("top_share_pct"), F.lit(0.0))
+    has_top = F.col("top_sector").isNotNull()
+    return [
+        (has_top & (share >= 50), MSG_CONC_HIGH),
+        (has_top & (share < 50) & (share >= 30), MSG_CONC_MEDIUM),
+        (F.col("amount_receivable") > 0, MSG_RECEIVABLES),
+        (F.col("amount_to_be_billed") > 0, MSG_BACKLOG),
+        (F.col("deals_without_probability") > 0, MSG_FORECAST),
+        (F.col("deals_missing_value") > 0, MSG_COMMERCIAL),
+    ]
+
+
 def _signal(order: int, cond: Column, typ: str, severity: str, message: str, *,
             sector: Column | None = None, share: Column | None = None,
             amount: Column | None = None, amount_display: Column | None = None,
@@ -140,25 +166,19 @@ def leadership_signals(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """G1: concentration, receivables, backlog and data-quality signals in fixed order."""
     k = _kpi_row(deals, work_orders)
     share = F.coalesce(F.col("top_share_pct"), F.lit(0.0))
-    has_top = F.col("top_sector").isNotNull()
+    (c_high, _), (c_med, _), (c_rec, _), (c_tbb, _), (c_fc, _), (c_com, _) = signal_conditions()
     sigs = F.array(
-        _signal(1, has_top & (share >= 50), "pipeline_concentration", "high",
-                "A single sector accounts for more than half of the current gross pipeline.",
+        _signal(1, c_high, "pipeline_concentration", "high", MSG_CONC_HIGH,
                 sector=F.col("top_sector"), share=share),
-        _signal(1, has_top & (share < 50) & (share >= 30), "pipeline_concentration", "medium",
-                "Pipeline is materially concentrated in the leading sector.",
+        _signal(1, c_med, "pipeline_concentration", "medium", MSG_CONC_MEDIUM,
                 sector=F.col("top_sector"), share=share),
-        _signal(2, F.col("amount_receivable") > 0, "receivables", "medium",
-                "Outstanding receivables require collection attention.",
+        _signal(2, c_rec, "receivables", "medium", MSG_RECEIVABLES,
                 amount=F.col("amount_receivable"), amount_display=F.col("amount_receivable_display")),
-        _signal(3, F.col("amount_to_be_billed") > 0, "billing_backlog", "medium",
-                "There is a material amount still to be billed.",
+        _signal(3, c_tbb, "billing_backlog", "medium", MSG_BACKLOG,
                 amount=F.col("amount_to_be_billed"), amount_display=F.col("amount_to_be_billed_display")),
-        _signal(4, F.col("deals_without_probability") > 0, "forecast_quality", "medium",
-                "Some open deals lack usable closure probability, limiting weighted-pipeline "
-                "confidence.", deals=F.col("deals_without_probability")),
-        _signal(5, F.col("deals_missing_value") > 0, "commercial_data_quality", "medium",
-                "Some open deals have missing deal values.", deals=F.col("deals_missing_value")),
+        _signal(4, c_fc, "forecast_quality", "medium", MSG_FORECAST, deals=F.col("deals_without_probability")),
+        _signal(5, c_com, "commercial_data_quality", "medium", MSG_COMMERCIAL,
+                deals=F.col("deals_missing_value")),
     )
     return k.select(F.inline(F.array_compact(sigs)))
 

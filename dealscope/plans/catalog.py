@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import clean, cross, leadership, operations, quality, routing, sales
+from ..operators import clean, cross, leadership, narrative, operations, quality, routing, sales
 from ..operators.filters import open_deals, period_filter, sector_filter
 from ..sources import board, fixtures
 from . import oracle as O
@@ -243,6 +243,13 @@ def queries() -> dict[str, QueryFn]:
     q["sector_narrative"] = _d(lambda d: routing.sector_narrative(sales.pipeline_by_sector(d)))
     q["stage_narrative"] = _d(lambda d: routing.stage_narrative(sales.pipeline_by_stage(d)))
     q["cross_board_narrative"] = _dw(lambda d, w: routing.cross_board_narrative(cross.cross_board(d, w)))
+    q["pipeline_summary_text"] = _d(lambda d: narrative.pipeline_summary_text(sales.pipeline_summary(d)))
+    q["pipeline_summary_text_no_match"] = _d(lambda d: narrative.pipeline_summary_text(
+        sales.pipeline_summary(d, "Tender", None, AS_OF)))
+    q["work_order_text"] = _w(lambda w: narrative.work_order_text(operations.work_order_summary(w)))
+    q["financial_text"] = _w(lambda w: narrative.financial_text(operations.financial_summary(w)))
+    q["leadership_text"] = _dw(narrative.leadership_text)
+    q["data_quality_text"] = _dw(narrative.data_quality_text)
     q["board_items_to_table"] = _board_items
     q["board_pages_union"] = _board_pages
     q["source_coverage"] = _dw(board.source_coverage)

@@ -184,13 +184,13 @@ def _kpi_ctes() -> str:
     ps, _ = summary_cte()
     return f"""{ps},
 {wo_kpis()},
-fin AS (SELECT {financial_select(None)}, active_work_orders FROM k),
+fin AS (SELECT {financial_select(None)}, active_work_orders, total_work_orders FROM k),
 {grouped_cte('sector', 'sector', 'a3')},
 top AS (SELECT sector AS top_sector, pipeline_share_pct AS top_share_pct FROM a3
         ORDER BY pipeline DESC, sector ASC LIMIT 1),
 kr AS (SELECT ps.*, fin.billed_value, fin.collected_amount, fin.amount_to_be_billed,
          fin.amount_to_be_billed_display, fin.amount_receivable, fin.amount_receivable_display,
-         fin.collection_rate_pct, fin.billing_backlog_ratio_pct, fin.active_work_orders,
+         fin.collection_rate_pct, fin.billing_backlog_ratio_pct, fin.active_work_orders, fin.total_work_orders,
          top.top_sector, top.top_share_pct
        FROM ps, fin LEFT JOIN top ON TRUE)"""
 
@@ -435,6 +435,7 @@ l AS (SELECT *, """ + ", ".join(
             cols.append(f"coalesce({ident(t)}, '') AS {ident(t)}")
     cols.append("'extra' AS c14")
     s["board_items_to_table"] = O.with_ctes(O.RAW_DEALS) + "SELECT " + ", ".join(cols) + " FROM raw_deals"
+    s.update(narrative_statements())
     s["board_pages_union"] = (O.with_ctes(O.RAW_DEALS) + 'SELECT "__item_id" AS id, "__item_name" AS name, '
                               '"__created_at" AS created_at, "__updated_at" AS updated_at, '
                               '"Deal Name" AS first_text, 12 AS n_values FROM raw_deals')
@@ -450,3 +451,79 @@ _KPIS = (
     ("active_work_orders", "Active WOs", False),
     ("receivable", "Receivables", True),
 )
+
+
+def _signal_conds() -> list[tuple[str, str]]:
+    from ..operators import leadership as L
+    share = "coalesce(top_share_pct, 0.0)"
+    return [
+        (f"top_sector IS NOT NULL AND {share} >= 50", L.MSG_CONC_HIGH),
+        (f"top_sector IS NOT NULL AND {share} < 50 AND {share} >= 30", L.MSG_CONC_MEDIUM),
+        ("amount_receivable > 0", L.MSG_RECEIVABLES),
+        ("amount_to_be_billed > 0", L.MSG_BACKLOG),
+        ("deals_without_probability > 0", L.MSG_FORECAST),
+        ("deals_missing_value > 0", L.MSG_COMMERCIAL),
+    ]
+
+
+def narrative_statements() -> dict[str, str]:
+    s: dict[str, str] = {}
+
+    def ps_text(sector=None, period=None):
+        cte, _ = summary_cte(sector, period)
+        caveats = ("concat_ws(chr(10), CASE WHEN deals_without_probability > 0 THEN '- ' || "
+                   "CAST(deals_without_probability AS VARCHAR) || ' deals lack a usable closure probability.' END, "
+                   "CASE WHEN deals_missing_value > 0 THEN '- ' || CAST(deals_missing_value AS VARCHAR) || "
+                   "' deals are missing deal value.' END)")
+        body = ("'### Executive view' || chr(10) || chr(10) || 'The current open pipeline is **' || "
+                "gross_pipeline_display || ' gross** and **' || weighted_pipeline_display || ' weighted** across **' || "
+                "CAST(open_deals AS VARCHAR) || ' open deals**.' || chr(10) || chr(10) || '### What stands out' || "
+                "chr(10) || chr(10) || '- The largest sector represents **' || " + str_float("top_sector_concentration_pct") +
+                " || '%** of gross pipeline.' || CASE WHEN " + caveats + " <> '' THEN chr(10) || chr(10) || "
+                "'### Data caveat' || chr(10) || chr(10) || " + caveats + " ELSE '' END")
+        with_msg = ("'### Executive view' || chr(10) || chr(10) || message || chr(10) || chr(10) || "
+                    "'### Data caveat' || chr(10) || chr(10) || 'The result is based on the exact sector "
+                    "classification in the source board.'")
+        return (DEALS_ONLY.rstrip() + ",\n" + cte +
+                f"\nSELECT CASE WHEN message IS NOT NULL AND message <> '' THEN {with_msg} ELSE {body} END AS text FROM ps")
+
+    s["pipeline_summary_text"] = ps_text()
+    s["pipeline_summary_text_no_match"] = ps_text("Tender", None)
+    nl2 = "chr(10) || chr(10)"
+    s["work_order_text"] = WO_ONLY.rstrip() + ",\n" + wo_kpis() + (
+        f"\nSELECT '### Operational view' || {nl2} || 'There are **' || CAST(total_work_orders AS VARCHAR) || "
+        "' work orders**, with **' || CAST(active_work_orders AS VARCHAR) || ' active** and **' || "
+        f"CAST(completed_work_orders AS VARCHAR) || ' completed**.' || {nl2} || '### Leadership attention' || "
+        f"{nl2} || 'Focus on active execution, billing backlog, and collection dependencies.' AS text FROM k")
+    s["financial_text"] = WO_ONLY.rstrip() + ",\n" + wo_kpis() + f",\nfin AS (SELECT {financial_select(None)} FROM k)" + (
+        f"\nSELECT '### Financial view' || {nl2} || '- Billed: **' || billed_value_display || '**' || chr(10) || "
+        "'- Collected: **' || collected_amount_display || '**' || chr(10) || '- Yet to be billed: **' || "
+        "amount_to_be_billed_display || '**' || chr(10) || '- Receivables: **' || amount_receivable_display || "
+        "'**' || chr(10) || '- Collection rate: **' || " + str_float("collection_rate_pct") + f" || '%**' || {nl2} || "
+        f"'### Leadership attention' || {nl2} || 'Receivables and the amount still to be billed are the "
+        "immediate working-capital areas to review.' AS text FROM fin")
+    conds = _signal_conds()
+    running, lines = [], []
+    for i, (cond, msg) in enumerate(conds):
+        running.append(f"CAST(({cond}) AS INTEGER)")
+        r = " + ".join(running)
+        lines.append(f"CASE WHEN {cond} THEN CAST({r} AS VARCHAR) || {q('. ' + msg)} || chr(10) END")
+    signals = "concat_ws('', " + ", ".join(lines) + ")"
+    head = (f"'### Leadership update' || {nl2} || '**Pipeline:** ' || {money('gross_pipeline')} || ' gross / ' || "
+            f"{money('weighted_pipeline')} || ' weighted across ' || CAST(open_deals AS VARCHAR) || ' open deals.' || "
+            f"{nl2} || '**Operations:** ' || CAST(active_work_orders AS VARCHAR) || ' active work orders out of ' || "
+            f"CAST(total_work_orders AS VARCHAR) || '.' || {nl2} || '**Cash & billing:** ' || "
+            "amount_receivable_display || ' receivable and ' || amount_to_be_billed_display || ' yet to be billed.'")
+    s["leadership_text"] = BOTH.rstrip() + ",\n" + _kpi_ctes() + (
+        f"\nSELECT {head} || CASE WHEN {signals} <> '' THEN {nl2} || '### Leadership attention' || {nl2} || "
+        f"{signals} ELSE '' END AS text FROM kr")
+    block = ("'**' || " + O.title("replace(lower(dataset), ' ', '_')") + " || '** — ' || CAST(rows AS VARCHAR) || "
+             "' rows' || chr(10) || CASE WHEN len(issues[1:5]) > 0 THEN '- ' || array_to_string(issues[1:5], "
+             "chr(10) || '- ') || chr(10) ELSE '' END")
+    rep = (BOTH.rstrip() + ",\n" +
+           report_cte("deals", O.DEAL_COLUMNS, "Deals", "rd", ("probability_numeric",)) + ",\n" +
+           report_cte("wo", O.WO_COLUMNS, "Work Orders", "rw") + ",\nrep AS (SELECT * FROM rd UNION ALL SELECT * FROM rw)\n")
+    s["data_quality_text"] = rep + (
+        f"SELECT '### Data quality overview' || {nl2} || string_agg(block, '' ORDER BY o) AS text FROM "
+        f"(SELECT CASE WHEN dataset = 'Deals' THEN 1 ELSE 2 END AS o, {block} AS block FROM rep) b")
+    return s
