@@ -33,7 +33,7 @@ def _c(c: ColumnOrName) -> Column:
 # --------------------------------------------------------------------------
 def py_strip(c: ColumnOrName) -> Column:
     """Python ``str.strip()``: remove leading/trailing whitespace (null stays null)."""
-    return F.trim(_c(c), F.lit(PY_WHITESPACE))
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 _OTHER_WS = PY_WHITESPACE.replace(" ", "")
@@ -48,7 +48,7 @@ def text_norm(c: ColumnOrName) -> Column:
     """
     spaced = F.translate(F.lower(_c(c)), _OTHER_WS, " " * len(_OTHER_WS))
     collapsed = F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
-    return F.coalesce(F.trim(collapsed, F.lit(" ")), F.lit(""))
+    return F.coalesce(F.btrim(collapsed, F.lit(" ")), F.lit(""))
 
 
 def text_display(c: ColumnOrName, label: str = vocab.UNKNOWN_LABEL) -> Column:
