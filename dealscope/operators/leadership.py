@@ -103,7 +103,7 @@ def leadership_wo_sets(work_orders: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # G1: leadership signals
 # ---------------------------------------------------------------------------
-def _kpi_row(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
+def kpi_row(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """One row: A1 totals with the leading sector's share (A3 row 1) from one
     pass over deals, and A5/A7 totals from one pass over work orders."""
     ps = pipeline_summary_with_leader(deals).select(
@@ -118,8 +118,6 @@ def _kpi_row(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     return combine_rows(ps, fin)
 
 
-_kpi_row_full = _kpi_row
-
 
 MSG_CONC_HIGH = "A single sector accounts for more than half of the current gross pipeline."
 MSG_CONC_MEDIUM = "Pipeline is materially concentrated in the leading sector."
@@ -164,7 +162,7 @@ def _signal(order: int, cond: Column, typ: str, severity: str, message: str, *,
 
 def leadership_signals(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """G1: concentration, receivables, backlog and data-quality signals in fixed order."""
-    k = _kpi_row(deals, work_orders)
+    k = kpi_row(deals, work_orders)
     share = F.coalesce(F.col("top_share_pct"), F.lit(0.0))
     (c_high, _), (c_med, _), (c_rec, _), (c_tbb, _), (c_fc, _), (c_com, _) = signal_conditions()
     sigs = F.array(
@@ -193,7 +191,7 @@ def _radar(pos: int, signal: str, value: Column, status: Column) -> Column:
 
 def decision_radar(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """Four signals with value and band."""
-    k = _kpi_row(deals, work_orders)
+    k = kpi_row(deals, work_orders)
     conf = X.confidence("value_coverage_pct", "probability_coverage_pct")
     rows = F.array(
         _radar(1, "Pipeline concentration", X.safe_float("top_sector_concentration_pct"),
@@ -209,7 +207,7 @@ def decision_radar(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
 
 def kpi_snapshot(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """The five KPIs kept for change detection."""
-    return _kpi_row(deals, work_orders).select(
+    return kpi_row(deals, work_orders).select(
         "gross_pipeline", "weighted_pipeline", "open_deals", "active_work_orders",
         F.col("amount_receivable").alias("receivable"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from . import leadership, operations, quality, sales
+from . import leadership, quality
 
 
 def _s(c: Column) -> Column:
@@ -68,7 +68,7 @@ def financial_text(fin: DataFrame) -> DataFrame:
 
 def leadership_text(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """Leadership update: headline KPIs plus the numbered signal messages."""
-    k = leadership._kpi_row_full(deals, work_orders)
+    k = leadership.kpi_row(deals, work_orders)
     conds_msgs = leadership.signal_conditions()
     lines, running = [], F.lit(0)
     for cond, message in conds_msgs:
@@ -102,6 +102,3 @@ def data_quality_text(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
                             F.array_join(F.array_sort(F.collect_list(F.struct("o", "block")))["block"], ""))
                    .alias("text"))
 
-
-__all__ = ["pipeline_summary_text", "work_order_text", "financial_text", "leadership_text",
-           "data_quality_text", "sales", "operations"]

@@ -7,7 +7,7 @@ import datetime as _dt
 from ..functions import vocab
 from ..operators.filters import period_kind
 from ..operators.routing import QUESTION_TEMPLATES
-from ..operators.sales import (MSG_NO_SECTOR_COLUMN, WARN_MONTH, WARN_QUARTER, WARN_YEAR)
+from ..operators.sales import WARN_MONTH, WARN_QUARTER, WARN_YEAR
 from . import oracle as O
 from .oracle import AS_OF, display, ident, money, money_signed, norm, pct, py_round, q, str_float
 

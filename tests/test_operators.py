@@ -3,7 +3,6 @@
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from dealscope.operators import clean, cross, leadership, operations, quality, routing, sales
 

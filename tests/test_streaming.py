@@ -2,7 +2,6 @@
 
 import json
 
-from dealscope.sources import board
 from dealscope.streaming import refresh
 
 
