@@ -304,3 +304,79 @@ DATE_FORMATS = (
     "yyyy/MM/dd",
     "MM/dd/yyyy",
 )
+
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — result labels, warnings and messages
+# ---------------------------------------------------------------------------
+METRIC_PIPELINE = "Pipeline Summary"
+METRIC_WORK_ORDERS = "Work Order Summary"
+METRIC_FINANCIAL = "Operational Financial Summary"
+ALL_SECTORS = "All sectors"
+ALL_PERIODS = "All periods"
+
+WARN_QUARTER = ("Quarter filtering uses Tentative Close Date because the actual Close "
+                "Date field is highly incomplete.")
+WARN_QUARTER_MISSING = ("Tentative Close Date is unavailable, so quarter filtering could "
+                        "not be applied.")
+WARN_MONTH = "Month filtering uses Tentative Close Date."
+WARN_YEAR = "Year filtering uses Tentative Close Date."
+MSG_NO_SECTOR_COLUMN = "Sector information is unavailable in the Deals board."
+MSG_NO_VALUE_COLUMN = "Deal value is unavailable in the Deals board."
+MSG_NO_SECTOR_MATCH = "No open deals are currently classified under the exact sector '{sector}'."
+
+MSG_CONC_HIGH = "A single sector accounts for more than half of the current gross pipeline."
+MSG_CONC_MEDIUM = "Pipeline is materially concentrated in the leading sector."
+MSG_RECEIVABLES = "Outstanding receivables require collection attention."
+MSG_BACKLOG = "There is a material amount still to be billed."
+MSG_FORECAST = ("Some open deals lack usable closure probability, limiting weighted-pipeline "
+                "confidence.")
+MSG_COMMERCIAL = "Some open deals have missing deal values."
+
+RADAR_SIGNALS = ("Pipeline concentration", "Collection efficiency", "Billing backlog", "Data confidence")
+OPERATIONAL_METRICS = ("Total work orders", "Active", "Completed", "Active share", "Completion share",
+                       "Amount to be billed")
+SNAPSHOT_KPIS = (
+    ("gross_pipeline", "Pipeline", True),
+    ("weighted_pipeline", "Weighted pipeline", True),
+    ("open_deals", "Open deals", False),
+    ("active_work_orders", "Active WOs", False),
+    ("receivable", "Receivables", True),
+)
+GAP_ROWS = (
+    ("Missing deal values", "deals_missing_value", "Open deals without a usable financial value."),
+    ("Missing probabilities", "deals_without_probability",
+     "Open deals without a usable closure probability."),
+    ("Unclassified deals", "unknown_sector_deals", "Deals without a recognised sector classification."),
+)
+# Vendor-neutral wording (the source names its SaaS product here).
+EMPTY_ISSUE = "No records returned from the source board."
+DUPLICATE_ISSUE = " duplicate rows detected."
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — question templates (example questions of the dashboard and
+# its documentation, plus router edge cases), in their natural order
+# ---------------------------------------------------------------------------
+QUESTION_TEMPLATES = (
+    "How is our pipeline looking?",
+    "How is the Mining pipeline this quarter?",
+    "Which sectors have the strongest pipeline?",
+    "What stages contain the most pipeline value?",
+    "How many active work orders do we have?",
+    "Which sectors have the largest execution workload?",
+    "How much money is currently receivable?",
+    "How much is still to be billed?",
+    "How efficient are our collections?",
+    "Compare sales pipeline with execution.",
+    "Which sectors have both pipeline and operational pressure?",
+    "Which sectors need leadership attention?",
+    "Prepare a leadership update.",
+    "What data quality issues should I know about?",
+    "How is our pipeline looking overall?",
+    "Where is our biggest business risk?",
+    "How is our pipeline looking for Mining this quarter?",
+    "renewable energy collections",
+    "determining the pipeline",
+    "determining the funnel",
+    "",
+)

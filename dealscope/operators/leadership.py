@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import vocab
+from ..functions.vocab import (
+    MSG_BACKLOG, MSG_COMMERCIAL, MSG_CONC_HIGH, MSG_CONC_MEDIUM, MSG_FORECAST, MSG_RECEIVABLES,
+    SNAPSHOT_KPIS,
+)
 from .filters import open_deals
 from .operations import active_flag, completed_flag, financial_columns, financial_summary, money_or_zero, wo_kpi_aggs
 from .sales import deal_value, pipeline_summary, pipeline_summary_with_leader, usable_probability
@@ -119,14 +123,6 @@ def kpi_row(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
 
 
 
-MSG_CONC_HIGH = "A single sector accounts for more than half of the current gross pipeline."
-MSG_CONC_MEDIUM = "Pipeline is materially concentrated in the leading sector."
-MSG_RECEIVABLES = "Outstanding receivables require collection attention."
-MSG_BACKLOG = "There is a material amount still to be billed."
-MSG_FORECAST = ("Some open deals lack usable closure probability, limiting weighted-pipeline "
-                "confidence.")
-MSG_COMMERCIAL = "Some open deals have missing deal values."
-
 
 def signal_conditions() -> list[tuple[Column, str]]:
     """(condition, message) of each G1 signal, in the fixed order, over the KPI row."""
@@ -194,13 +190,13 @@ def decision_radar(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     k = kpi_row(deals, work_orders)
     conf = X.confidence("value_coverage_pct", "probability_coverage_pct")
     rows = F.array(
-        _radar(1, "Pipeline concentration", X.safe_float("top_sector_concentration_pct"),
+        _radar(1, vocab.RADAR_SIGNALS[0], X.safe_float("top_sector_concentration_pct"),
                X.band_concentration("top_sector_concentration_pct")),
-        _radar(2, "Collection efficiency", X.safe_float("collection_rate_pct"),
+        _radar(2, vocab.RADAR_SIGNALS[1], X.safe_float("collection_rate_pct"),
                X.band_collection("collection_rate_pct")),
-        _radar(3, "Billing backlog", X.safe_float("billing_backlog_ratio_pct"),
+        _radar(3, vocab.RADAR_SIGNALS[2], X.safe_float("billing_backlog_ratio_pct"),
                X.band_backlog("billing_backlog_ratio_pct")),
-        _radar(4, "Data confidence", conf, X.band_confidence(conf)),
+        _radar(4, vocab.RADAR_SIGNALS[3], conf, X.band_confidence(conf)),
     )
     return k.select(F.inline(rows))
 
@@ -215,15 +211,6 @@ def kpi_snapshot(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Change detection over a snapshots table
 # ---------------------------------------------------------------------------
-SNAPSHOT_KPIS = (
-    ("gross_pipeline", "Pipeline", True),
-    ("weighted_pipeline", "Weighted pipeline", True),
-    ("open_deals", "Open deals", False),
-    ("active_work_orders", "Active WOs", False),
-    ("receivable", "Receivables", True),
-)
-
-
 def _change_display(delta: Column, is_money: bool) -> Column:
     mag = F.abs(delta.cast("double"))
     body = X.money_display_signed(mag) if is_money else F.format_number(mag, 0)

@@ -54,8 +54,8 @@ def wo_kpi_aggs(df: DataFrame) -> list[Column]:
 
 def summary_columns(sector: str | None) -> list[Column]:
     return [
-        F.lit("Work Order Summary").alias("metric"),
-        F.lit(sector or "All sectors").alias("sector"),
+        F.lit(vocab.METRIC_WORK_ORDERS).alias("metric"),
+        F.lit(sector or vocab.ALL_SECTORS).alias("sector"),
         F.col("total_work_orders"),
         F.col("active_work_orders"),
         F.col("completed_work_orders"),
@@ -67,8 +67,8 @@ def summary_columns(sector: str | None) -> list[Column]:
 def financial_columns(sector: str | None) -> list[Column]:
     billed, tbb = F.col("billed_value"), F.col("amount_to_be_billed")
     return [
-        F.lit("Operational Financial Summary").alias("metric"),
-        F.lit(sector or "All sectors").alias("sector"),
+        F.lit(vocab.METRIC_FINANCIAL).alias("metric"),
+        F.lit(sector or vocab.ALL_SECTORS).alias("sector"),
         billed,
         X.money_display(billed).alias("billed_value_display"),
         F.col("collected_amount"),
@@ -165,11 +165,11 @@ def operational_snapshot(work_orders: DataFrame) -> DataFrame:
     row = lambda pos, metric, value: F.struct(
         F.lit(pos).alias("position"), F.lit(metric).alias("metric"), value.alias("value"))
     rows = F.array(
-        row(1, "Total work orders", F.col("total_work_orders").cast("string")),
-        row(2, "Active", F.col("active_work_orders").cast("string")),
-        row(3, "Completed", F.col("completed_work_orders").cast("string")),
-        row(4, "Active share", F.concat(X.py_str_float("active_share_pct"), F.lit("%"))),
-        row(5, "Completion share", F.concat(X.py_str_float("completion_share_pct"), F.lit("%"))),
-        row(6, "Amount to be billed", F.col("tbb_display")),
+        row(1, vocab.OPERATIONAL_METRICS[0], F.col("total_work_orders").cast("string")),
+        row(2, vocab.OPERATIONAL_METRICS[1], F.col("active_work_orders").cast("string")),
+        row(3, vocab.OPERATIONAL_METRICS[2], F.col("completed_work_orders").cast("string")),
+        row(4, vocab.OPERATIONAL_METRICS[3], F.concat(X.py_str_float("active_share_pct"), F.lit("%"))),
+        row(5, vocab.OPERATIONAL_METRICS[4], F.concat(X.py_str_float("completion_share_pct"), F.lit("%"))),
+        row(6, vocab.OPERATIONAL_METRICS[5], F.col("tbb_display")),
     )
     return both.select(F.inline(rows))

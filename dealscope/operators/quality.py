@@ -14,17 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions import expr as X
+from ..functions.vocab import DUPLICATE_ISSUE, EMPTY_ISSUE, GAP_ROWS
 from ..plans.scalars import scalar
 from .sales import pipeline_summary
 
-EMPTY_ISSUE = "No records returned from the source board."
-GAP_ROWS = (
-    ("Missing deal values", "deals_missing_value", "Open deals without a usable financial value."),
-    ("Missing probabilities", "deals_without_probability",
-     "Open deals without a usable closure probability."),
-    ("Unclassified deals", "unknown_sector_deals", "Deals without a recognised sector classification."),
-)
-
 
 def _missing(df: DataFrame, name: str) -> Column:
     c = F.col(f"`{name}`")
@@ -94,7 +87,7 @@ def _issues_row(df: DataFrame, dataset: str, subset: list[str] | None = None) ->
         msgs.append(F.when((rows > 0) & (m > 0) & (pct >= 10),
                            F.concat(F.lit(f"{c}: "), m.cast("string"), F.lit(" missing ("),
                                     pct.cast("string"), F.lit("%)"))))
-    msgs.append(F.when(dups > 0, F.concat(dups.cast("string"), F.lit(" duplicate rows detected."))))
+    msgs.append(F.when(dups > 0, F.concat(dups.cast("string"), F.lit(DUPLICATE_ISSUE))))
     issues = F.when(rows == 0, F.array(F.lit(EMPTY_ISSUE))).otherwise(F.array_compact(F.array(*msgs)))
     return prof.select(
         F.lit(dataset).alias("dataset"),

@@ -15,31 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions import vocab
 
-# FIXED VALUES — question templates (example questions of the dashboard and
-# its documentation, plus router edge cases), in their natural order.
-QUESTION_TEMPLATES = (
-    "How is our pipeline looking?",
-    "How is the Mining pipeline this quarter?",
-    "Which sectors have the strongest pipeline?",
-    "What stages contain the most pipeline value?",
-    "How many active work orders do we have?",
-    "Which sectors have the largest execution workload?",
-    "How much money is currently receivable?",
-    "How much is still to be billed?",
-    "How efficient are our collections?",
-    "Compare sales pipeline with execution.",
-    "Which sectors have both pipeline and operational pressure?",
-    "Which sectors need leadership attention?",
-    "Prepare a leadership update.",
-    "What data quality issues should I know about?",
-    "How is our pipeline looking overall?",
-    "Where is our biggest business risk?",
-    "How is our pipeline looking for Mining this quarter?",
-    "renewable energy collections",
-    "determining the pipeline",
-    "determining the funnel",
-    "",
-)
+QUESTION_TEMPLATES = vocab.QUESTION_TEMPLATES
 
 
 def questions_from_conversations(conversations: DataFrame) -> DataFrame:

@@ -18,17 +18,13 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import vocab
+from ..functions.vocab import (
+    MSG_NO_SECTOR_COLUMN, MSG_NO_SECTOR_MATCH, MSG_NO_VALUE_COLUMN, WARN_MONTH, WARN_QUARTER,
+    WARN_QUARTER_MISSING, WARN_YEAR,
+)
 from ..plans.scalars import leader, scalar
 from .filters import TRUE, open_deals, period_kind, period_predicate, sector_predicate
 
-WARN_QUARTER = ("Quarter filtering uses Tentative Close Date because the actual Close "
-                "Date field is highly incomplete.")
-WARN_QUARTER_MISSING = ("Tentative Close Date is unavailable, so quarter filtering could "
-                        "not be applied.")
-WARN_MONTH = "Month filtering uses Tentative Close Date."
-WARN_YEAR = "Year filtering uses Tentative Close Date."
-MSG_NO_SECTOR_COLUMN = "Sector information is unavailable in the Deals board."
-MSG_NO_VALUE_COLUMN = "Deal value is unavailable in the Deals board."
 
 SUMMARY_COLUMNS = [
     "metric", "sector", "period", "open_deals", "gross_pipeline", "gross_pipeline_display",
@@ -87,8 +83,8 @@ def _summary(deals, sector, period, as_of, leader: bool) -> DataFrame:
     cols = deals.columns
     od = open_deals(deals)
     has_sector = "sector" in cols
-    sector_label = _lit_str(sector or "All sectors")
-    period_label = _lit_str(period or "All periods")
+    sector_label = _lit_str(sector or vocab.ALL_SECTORS)
+    period_label = _lit_str(period or vocab.ALL_PERIODS)
 
     no_leader = [F.lit(None).cast("string").alias("top_sector"),
                  F.lit(None).cast("double").alias("top_share_pct")] if leader else []
@@ -156,11 +152,10 @@ def _summary(deals, sector, period, as_of, leader: bool) -> DataFrame:
     gross = F.col("gross")
     conc = (F.when((gross > 0) & F.lit(has_sector), X.safe_pct(F.col("top_group"), gross))
             .otherwise(F.lit(0.0)))
-    message = (F.when(n == 0, F.lit(f"No open deals are currently classified under the exact "
-                                     f"sector '{sector}'."))
+    message = (F.when(n == 0, F.lit(MSG_NO_SECTOR_MATCH.format(sector=sector)))
                if sector else F.lit(None))
     return tot.select(
-        F.lit("Pipeline Summary").alias("metric"),
+        F.lit(vocab.METRIC_PIPELINE).alias("metric"),
         sector_label.alias("sector"),
         period_label.alias("period"),
         n.alias("open_deals"),
@@ -192,7 +187,7 @@ def _short_result(sector_label, period_label, n, warning, message, n_open):
     """Fixed-schema form of the reference's shortened results (ledger L9/L10)."""
     zero_l = F.lit(0).cast("bigint")
     return [
-        F.lit("Pipeline Summary").alias("metric"),
+        F.lit(vocab.METRIC_PIPELINE).alias("metric"),
         sector_label.alias("sector"),
         period_label.alias("period"),
         n.cast("bigint").alias("open_deals"),
