@@ -110,9 +110,14 @@ def raw_deals(orders: DataFrame, customer: DataFrame) -> DataFrame:
 
 def raw_work_orders(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) -> DataFrame:
     """Work-order board export: one all-text row per line item (FIXTURES §2.2)."""
+    # Hash-partition line items on the order key before the join.  At scale
+    # the sort-merge join needs exactly this distribution, so it costs no
+    # extra shuffle; with few, large input files it also spreads the
+    # per-row derivation and cleaning over all cores.  The order key cannot
+    # be hot (a handful of lines per order).
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                          "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
-                         "l_linestatus", "l_shipdate")
+                         "l_linestatus", "l_shipdate").repartition("l_orderkey")
     o = orders.select("o_orderkey", "o_custkey", "o_orderdate")
     c = customer.select("c_custkey", "c_mktsegment")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner").join(c, F.col("o_custkey") == c.c_custkey, "inner")
