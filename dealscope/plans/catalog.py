@@ -186,6 +186,7 @@ SUMMARY_VARIANTS = {
     "pipeline_summary_year": (None, "ytd"),
     "pipeline_summary_sector_quarter": ("mining", "current quarter"),
     "pipeline_summary_no_match": ("Tender", "all periods"),
+    "pipeline_summary_energy": ("Energy", None),  # Energy is not Renewables: exact match only
 }
 
 
