@@ -2,20 +2,22 @@
 Q4 coverage, Q5 known gaps.
 
 Q1 is one global aggregation (a ``count_if(isnull)`` per column, partial
-aggregation per task) unpivoted afterwards; Q2 groups on every column, so
-identical rows collapse map-side before the shuffle even when one row is
-repeated across a third of the table.
+aggregation per task) unpivoted afterwards.  Q2 is exact without shuffling
+rows: phase 1 shuffles a 128-bit fingerprint and missing bitmap per row
+(partially aggregated, so a row repeated across a third of the table
+collapses map-side), and only rows whose fingerprint repeats are compared
+in full.  Q3 takes its null counts from the same phase-1 summary, so the
+report scans each table once (twice when some fingerprint repeats).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
 
 from ..functions import expr as X
 from ..functions.vocab import DUPLICATE_ISSUE, EMPTY_ISSUE, GAP_ROWS
-from ..plans.scalars import scalar
 from .sales import pipeline_summary
 
 
@@ -50,35 +52,163 @@ def missing_profile(df: DataFrame, dataset: str) -> DataFrame:
     )
 
 
+# Verification broadcasts the candidate fingerprints (two longs plus the
+# null masks per group) to every task; beyond this many groups it shuffles
+# the candidate rows instead.
+FP_BROADCAST_LIMIT = 1 << 20
+_FP_SALT = "dealscope-row-fingerprint"
+_MASK_BITS = 62
+
+
+def _nested_float(dt) -> bool:
+    if isinstance(dt, ArrayType):
+        return isinstance(dt.elementType, (DoubleType, FloatType)) or _nested_float(dt.elementType)
+    if isinstance(dt, StructType):
+        return any(isinstance(f.dataType, (DoubleType, FloatType)) or _nested_float(f.dataType)
+                   for f in dt.fields)
+    return False
+
+
+def _masks(df: DataFrame, names: list[str]) -> list[Column]:
+    """Missing-value bitmaps (62 columns per long): bit j of ``_mk`` is column 62k+j."""
+    out = []
+    for k in range(0, max(len(names), 1), _MASK_BITS):
+        bits = [F.when(_missing(df, c), F.lit(1 << j)).otherwise(F.lit(0)).cast("bigint")
+                for j, c in enumerate(names[k:k + _MASK_BITS])]
+        m = bits[0] if bits else F.lit(0).cast("bigint")
+        for b in bits[1:]:
+            m = m + b
+        out.append(m.alias(f"_m{k // _MASK_BITS}"))
+    return out
+
+
+def _fingerprint(vals: list[Column]) -> tuple[Column, Column]:
+    """Two independently seeded 64-bit hash chains over the values."""
+    return F.xxhash64(*vals), F.xxhash64(F.lit(_FP_SALT), *vals)
+
+
+def _mask_bit(i: int) -> Column:
+    return (F.col(f"_m{i // _MASK_BITS}").bitwiseAND(F.lit(1 << (i % _MASK_BITS))) != 0)
+
+
+def _fingerprint_summary(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """Phase 1 of exact duplicate detection, one scan, ~24 bytes shuffled per row.
+
+    Rows are grouped on a 128-bit fingerprint (two independently seeded
+    ``xxhash64`` chains over the key columns) plus the key columns' missing
+    bitmaps.  Spark's hash skips nulls, so the bitmaps keep ``(a, null)``
+    and ``(null, a)`` apart; like grouping, it hashes -0.0 as 0.0 and every
+    NaN alike, so rows that group together share a fingerprint.  A group of
+    one is a row with no copy.  Such groups collapse into one row per
+    bitmap (their row count), and only groups of two or more keep their
+    fingerprint: the candidates.  The result is checkpointed in the shared
+    checkpoint folder; its size is the number of distinct bitmaps plus
+    the number of candidate groups.
+    """
+    vals = [F.col(f"`{c}`") for c in keys]
+    masks = _masks(df, keys)
+    mnames = [f"_m{i}" for i in range(len(masks))]
+    h1, h2 = _fingerprint(vals)
+    g = (df.select(h1.alias("_h1"), h2.alias("_h2"), *masks)
+         .groupBy("_h1", "_h2", *mnames).agg(F.count(F.lit(1)).alias("_n")))
+    cand = F.col("_n") > 1
+    summary = g.groupBy(F.when(cand, F.col("_h1")).alias("_h1"), F.when(cand, F.col("_h2")).alias("_h2"),
+                        *mnames).agg(F.sum("_n").alias("_n"))
+    from ..session import materialize
+    return materialize(summary), mnames
+
+
+def _exact_duplicates(df: DataFrame, keys: list[str], summary: DataFrame | None,
+                      mnames: list[str]) -> DataFrame | None:
+    """Phase 2: exact row equality, only for rows whose fingerprint repeats.
+
+    Returns one row ``_dups`` (sum over identical-row groups of n - 1), or
+    None when no fingerprint repeats.  The candidate set is counted first:
+    up to ``FP_BROADCAST_LIMIT`` groups it is broadcast and filters the rows
+    map-side, so only candidate rows reach the exact ``groupBy``; above it,
+    every row is grouped exactly (copies collapse map-side).
+    """
+    cols = [F.col(f"`{c}`") for c in keys]
+    if summary is None:
+        rows = df
+    else:
+        cands = summary.filter(F.col("_h1").isNotNull()).select("_h1", "_h2", *mnames)
+        n = cands.count()
+        if n == 0:
+            return None
+        if n <= FP_BROADCAST_LIMIT:
+            h1, h2 = _fingerprint(cols)
+            tagged = df.select(*cols, h1.alias("_h1"), h2.alias("_h2"), *_masks(df, keys))
+            rows = tagged.join(F.broadcast(cands), ["_h1", "_h2", *mnames], "left_semi")
+        else:
+            rows = df
+    g = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("_dups"))
+
+
+def _fingerprintable(df: DataFrame, keys: list[str]) -> bool:
+    # Top-level floats hash the way grouping compares them; floats nested in
+    # arrays or structs are left to the plain all-column grouping.
+    return not any(_nested_float(df.schema[c].dataType) for c in keys)
+
+
+def _dup_count(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """(rows/bitmaps summary or raw rows, exact duplicate frame or None, mask names)."""
+    if _fingerprintable(df, keys):
+        summary, mnames = _fingerprint_summary(df, keys)
+        return summary, _exact_duplicates(df, keys, summary, mnames), mnames
+    g = df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    return g, g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("_dups")), []
+
+
+def _combine(totals: DataFrame, dups: DataFrame | None) -> DataFrame:
+    """One row: ``rows`` and the other totals, plus ``_dups`` (0 when absent).
+
+    Both inputs are one-row aggregates; they are merged with a union and a
+    global aggregate, so no join is needed.
+    """
+    t = totals.withColumn("_dups", F.lit(0).cast("bigint"))
+    if dups is not None:
+        fill = [F.lit(None).cast(t.schema[c].dataType).alias(c) for c in totals.columns]
+        t = t.unionByName(dups.select(*fill, "_dups"))
+    return t.agg(*[F.max(c).alias(c) for c in totals.columns], F.sum("_dups").alias("_dups"))
+
+
 def duplicate_rows(df: DataFrame, dataset: str, subset: list[str] | None = None) -> DataFrame:
-    """Q2: rows minus distinct rows over all (or ``subset``) columns; nulls equal."""
-    keys = [F.col(f"`{c}`") for c in (subset or df.columns)]
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return g.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("rows"),
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"),
-    ).select(F.lit(dataset).alias("dataset"), "rows", "duplicate_rows")
+    """Q2: rows minus distinct rows over all (or ``subset``) columns; nulls equal.
+
+    Exact.  Phase 1 shuffles a 128-bit fingerprint per row instead of the
+    row; only rows whose fingerprint repeats are compared in full.
+    """
+    keys = list(subset or df.columns)
+    base, dups, _ = _dup_count(df, keys)
+    totals = base.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"))
+    out = _combine(totals, dups)
+    return out.select(F.lit(dataset).alias("dataset"), F.col("rows"),
+                      F.coalesce(F.col("_dups"), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
 def _issues_row(df: DataFrame, dataset: str, subset: list[str] | None = None) -> DataFrame:
     """One row: dataset, rows, columns, duplicate_rows, issues (ordered array).
 
-    One scan: rows are grouped on every column (identical rows collapse
-    map-side), and both the per-column null counts and the duplicate count
-    are summed from those groups.
+    With duplicates over all columns, one scan serves both halves: the
+    fingerprint summary carries the missing bitmaps, so per-column null
+    counts are sums over it.  With a ``subset``, nulls are counted by a
+    map-side global aggregate and duplicates separately.
     """
     names = df.columns
-    g = df.groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.count(F.lit(1)).alias("_n"))
     n = F.col("_n")
-    aggs = [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("rows")]
-    aggs += [F.coalesce(F.sum(F.when(_missing(df, c), n)), F.lit(0)).cast("bigint").alias(f"m{i}")
-             for i, c in enumerate(names)]
-    if subset:
-        prof = g.agg(*aggs)
-        dups = scalar(duplicate_rows(df, dataset, subset), F.max("duplicate_rows"))
+    if subset is None and _fingerprintable(df, names):
+        summary, mnames = _fingerprint_summary(df, names)
+        dups = _exact_duplicates(df, names, summary, mnames)
+        aggs = [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("rows")]
+        aggs += [F.coalesce(F.sum(F.when(_mask_bit(i), n)), F.lit(0)).cast("bigint").alias(f"m{i}")
+                 for i in range(len(names))]
+        prof = _combine(summary.agg(*aggs), dups)
     else:
-        prof = g.agg(*aggs, F.coalesce(F.sum(n - 1), F.lit(0)).cast("bigint").alias("_dups"))
-        dups = F.col("_dups")
+        _, dups, _ = _dup_count(df, list(subset or names))
+        prof = _combine(_profile_row(df), dups)
+    dups = F.coalesce(F.col("_dups"), F.lit(0)).cast("bigint")
     rows = F.col("rows")
     msgs = []
     for i, c in enumerate(names):

@@ -59,3 +59,49 @@ def test_checkpoint_dir_keeps_existing_directory(spark, tmp_path):
         sc.setCheckpointDir(str(tmp_path / "shared"))
     existing = sc.getCheckpointDir()
     assert checkpoint_dir(spark) == existing
+
+
+def _brute_dups(pdf):
+    return int(pdf.astype(object).where(pdf.notna(), "<null>").duplicated().sum())
+
+
+def test_duplicates_null_positions_and_signed_zero(spark):
+    df = spark.createDataFrame(
+        [("a", None, 0.0), (None, "a", 0.0), ("a", None, -0.0), (None, None, float("nan")),
+         (None, None, float("nan")), ("b", "b", None), ("b", "b", None)],
+        "x string, y string, z double")
+    got = quality.duplicate_rows(df, "x").first()
+    # (a,null,0.0) = (a,null,-0.0) as grouping compares them; NaN rows equal; (a,null) != (null,a)
+    assert (got["rows"], got["duplicate_rows"]) == (7, 3)
+
+
+def test_duplicates_exact_under_total_fingerprint_collision(spark, monkeypatch):
+    # Every row gets the same fingerprint: phase 2 must still count exactly.
+    monkeypatch.setattr(quality, "_fingerprint", lambda vals: (F.lit(7).cast("bigint"), F.lit(7).cast("bigint")))
+    df = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.lit("v").alias("v"))
+    got = quality.duplicate_rows(df, "x").first()
+    assert (got["rows"], got["duplicate_rows"]) == (3000, 2000)
+
+
+def test_duplicates_above_broadcast_limit_group_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FP_BROADCAST_LIMIT", 10)
+    df = spark.range(5000).select((F.col("id") % 700).alias("k"),
+                                  F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit("v")).alias("v"))
+    got = quality.duplicate_rows(df, "x").first()
+    assert (got["rows"], got["duplicate_rows"]) == (5000, 5000 - 700)  # 700 even: k fixes v
+    assert got["duplicate_rows"] == _brute_dups(df.toPandas())
+
+
+def test_quality_report_counts_match_brute_force(spark):
+    df = spark.range(4000).select(
+        (F.col("id") % 1500).alias("k"),
+        F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise((F.col("id") % 1500).cast("string")).alias("s"),
+        F.when(F.col("id") % 9 == 0, F.lit(float("nan"))).otherwise(F.lit(1.5)).alias("d"))
+    rep = quality.quality_report(df, df.limit(0)).collect()
+    pdf = df.toPandas()
+    by = {r["dataset"]: r for r in rep}
+    assert by["Deals"]["rows"] == 4000
+    assert by["Deals"]["duplicate_rows"] == _brute_dups(pdf)
+    assert any(i.startswith("s: 1000 missing (25.0%)") for i in by["Deals"]["issues"])
+    assert any(i.startswith("d: 445 missing (11.1%)") for i in by["Deals"]["issues"])
+    assert by["Work Orders"]["rows"] == 0
