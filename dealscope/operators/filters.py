@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import vocab
+from ..sources.cleaned import SECTOR_KEY
 
 def TRUE() -> Column:
     return F.lit(True)
@@ -31,6 +32,8 @@ def sector_predicate(df: DataFrame, sector: str | None) -> Column:
     if not sector or "sector" not in df.columns:
         return TRUE()
     requested = " ".join(str(sector).strip().lower().split())
+    if SECTOR_KEY in df.columns:  # a table from write_cleaned: a partition filter
+        return F.col(SECTOR_KEY) == F.lit(requested)
     return X.text_norm("sector") == F.lit(requested)
 
 
