@@ -30,9 +30,12 @@ def drop_header_rows(df: DataFrame, column: str = "deal_name", header: str = "de
     return df.filter(~name.eqNullSafe(F.lit(header)))
 
 
-def clean_deals(raw: DataFrame) -> DataFrame:
-    """Canonical names -> header filter -> typed sector/status/value/prob/dates."""
-    df = schema.deal_columns(raw)
+def clean_deals(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical names -> header filter -> typed sector/status/value/prob/dates.
+
+    ``keep``: key columns carried through unchanged (not header-matched).
+    """
+    df = schema.deal_columns(raw, keep)
     if "deal_name" not in df.columns and "__item_name" in df.columns:
         df = df.withColumn("deal_name", F.col("__item_name"))
     df = drop_header_rows(df)
@@ -52,9 +55,9 @@ def clean_deals(raw: DataFrame) -> DataFrame:
     return _project(df, t, extra)
 
 
-def clean_work_orders(raw: DataFrame) -> DataFrame:
+def clean_work_orders(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Canonical names -> typed sector/status/8 money/6 date columns."""
-    df = schema.work_order_columns(raw)
+    df = schema.work_order_columns(raw, keep)
     if "deal_name" not in df.columns and "__item_name" in df.columns:
         df = df.withColumn("deal_name", F.col("__item_name"))
     t: dict[str, Column] = {}

@@ -236,38 +236,55 @@ def snapshot_delta(snapshots: DataFrame, order_by: str = "snapshot_date",
     return snapshots.select(*out)
 
 
-def monthly_snapshots(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
-    """Monthly KPI series per sector derived from the boards.
-
-    Deal KPIs by month of ``created_date`` (open deals), work-order KPIs by
-    month of ``po_date``; both are aggregated before a full outer join on
-    (sector, month).
-    """
+def _kpis_by(deals: DataFrame, deal_keys: list[Column], work_orders: DataFrame,
+             wo_keys: list[Column], names: list[str]) -> DataFrame:
+    """The five G5 KPIs per group: one aggregation per board (partial
+    aggregation, so a hot group is as cheap as any), then a full outer join
+    of the two aggregates on the group columns."""
     od = open_deals(deals)
     v = deal_value(od)
+    if v is None:
+        v = F.lit(None).cast(X.MONEY_TYPE)
     prob = usable_probability(od)
     ok, pr = (prob[1], prob[0]) if prob else (F.lit(False), F.lit(None).cast("double"))
-    d = od.groupBy(X.text_display("sector").alias("sector"),
-                   F.trunc("created_date", "month").alias("snapshot_date")).agg(
+    d = od.groupBy(*[k.alias(n) for k, n in zip(deal_keys, names)]).agg(
         F.coalesce(F.sum(v), F.lit(0)).cast(X.SUM_MONEY_TYPE).alias("gross_pipeline"),
         F.coalesce(F.sum(F.when(ok & v.isNotNull(), v * pr.cast(X.PROB_TYPE))), F.lit(0))
         .cast(X.WEIGHTED_TYPE).alias("weighted_pipeline"),
         F.count(F.lit(1)).alias("open_deals"))
     wo = work_orders
-    w = wo.groupBy(X.text_display("sector").alias("sector"),
-                   F.trunc("po_date", "month").alias("snapshot_date")).agg(
+    w = wo.groupBy(*[k.alias(n) for k, n in zip(wo_keys, names)]).agg(
         F.count_if(active_flag(wo)).alias("active_work_orders"),
         F.coalesce(F.sum(money_or_zero(wo, "amount_receivable")), F.lit(0))
         .cast(X.SUM_MONEY_TYPE).alias("receivable"))
-    j = d.join(w, ["sector", "snapshot_date"], "full_outer")
+    j = d.join(w, names, "full_outer")
     return j.select(
-        "sector", "snapshot_date",
+        *names,
         F.coalesce("gross_pipeline", F.lit(0).cast(X.SUM_MONEY_TYPE)).alias("gross_pipeline"),
         F.coalesce("weighted_pipeline", F.lit(0).cast(X.WEIGHTED_TYPE)).alias("weighted_pipeline"),
         F.coalesce("open_deals", F.lit(0).cast("bigint")).alias("open_deals"),
         F.coalesce("active_work_orders", F.lit(0).cast("bigint")).alias("active_work_orders"),
         F.coalesce("receivable", F.lit(0).cast(X.SUM_MONEY_TYPE)).alias("receivable"),
-    ).filter(F.col("snapshot_date").isNotNull())
+    )
+
+
+def monthly_snapshots(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
+    """Monthly KPI series per sector derived from the boards.
+
+    Deal KPIs by month of ``created_date`` (open deals), work-order KPIs by
+    month of ``po_date``; both are aggregated before a full outer join on
+    (sector, month).
+    """
+    j = _kpis_by(deals, [X.text_display("sector"), F.trunc("created_date", "month")],
+                 work_orders, [X.text_display("sector"), F.trunc("po_date", "month")],
+                 ["sector", "snapshot_date"])
+    return j.filter(F.col("snapshot_date").isNotNull())
+
+
+def snapshots_by(deals: DataFrame, work_orders: DataFrame, keys: list[str]) -> DataFrame:
+    """G5 for many snapshots at once: the five KPIs per value of ``keys``
+    (e.g. one row per export), equal to ``kpi_snapshot`` of each group."""
+    return _kpis_by(deals, [F.col(k) for k in keys], work_orders, [F.col(k) for k in keys], keys)
 
 
 def leadership_update(deals: DataFrame, work_orders: DataFrame, reuse: bool = False) -> dict[str, DataFrame]:

@@ -52,14 +52,19 @@ def canonical_rename_map(columns: list[str], mapping: dict[str, list[str]]) -> d
     return out
 
 
-def canonical_columns(df: DataFrame, mapping: dict[str, list[str]]) -> DataFrame:
-    """Rename matched headers to canonical names, keeping column order."""
-    return df.withColumnsRenamed(canonical_rename_map(df.columns, mapping))
+def canonical_columns(df: DataFrame, mapping: dict[str, list[str]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rename matched headers to canonical names, keeping column order.
+
+    Columns in ``keep`` (keys carried through, such as an export id) take no
+    part in the matching and keep their names.
+    """
+    headers = [c for c in df.columns if c not in keep]
+    return df.withColumnsRenamed(canonical_rename_map(headers, mapping))
 
 
-def deal_columns(df: DataFrame) -> DataFrame:
-    return canonical_columns(df, vocab.DEAL_MAPPING)
+def deal_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return canonical_columns(df, vocab.DEAL_MAPPING, keep)
 
 
-def work_order_columns(df: DataFrame) -> DataFrame:
-    return canonical_columns(df, vocab.WORK_ORDER_MAPPING)
+def work_order_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return canonical_columns(df, vocab.WORK_ORDER_MAPPING, keep)

@@ -80,7 +80,7 @@ def board_columns(boards: DataFrame) -> DataFrame:
 
 
 def board_items_to_table(items: DataFrame, columns: DataFrame,
-                         unknown_ids: list[str] | None = None) -> DataFrame:
+                         unknown_ids: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Items -> wide all-text table with the four meta columns first.
 
     Unknown column ids keep the id as title, null text becomes '', a title
@@ -94,6 +94,7 @@ def board_items_to_table(items: DataFrame, columns: DataFrame,
     discovered with one distinct over ``column_values.id`` (a schema-sized
     result) unless the caller passes ``unknown_ids`` (e.g. ``[]`` when the
     catalogue is known to be complete), which keeps the call fully lazy.
+    Columns of ``items`` named in ``keep`` are carried through at the end.
     """
     titles: dict[str, str] = {}
     for r in columns.select("column_id", "title").collect():  # board metadata: one row per column
@@ -119,7 +120,7 @@ def board_items_to_table(items: DataFrame, columns: DataFrame,
             cands.append(F.struct(pos.alias("p"), text.alias("x")))
         best = cands[0] if len(cands) == 1 else F.greatest(*cands)
         cols.append(best["x"].alias(title))
-    return items.select(*cols)
+    return items.select(*cols, *[F.col(k) for k in keep])
 
 
 def items_from_table(raw: DataFrame, meta_columns=META_COLUMNS) -> tuple[DataFrame, DataFrame]:

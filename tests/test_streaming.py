@@ -44,3 +44,21 @@ def test_refresh_stream(spark, tmp_path):
     assert ch["e2"]["gross_pipeline_change_display"] == "+₹220"
     assert ch["e2"]["active_work_orders_change"] == 0
     assert ch["e2"]["receivable_change_display"] == "−₹5"
+
+
+def test_snapshots_by_equals_kpi_snapshot_per_group(spark):
+    from pyspark.sql import functions as F
+
+    from dealscope.operators import leadership
+    from dealscope.plans import catalog
+    from tests.conftest import SF_SMOKE
+
+    deals, wos = catalog.deals(spark, SF_SMOKE), catalog.work_orders(spark, SF_SMOKE)
+    # Two groups per board, keyed by the parity of the client / customer code.
+    g_d = deals.withColumn("g", (F.col("client_code").cast("bigint") % 2).cast("string"))
+    g_w = wos.withColumn("g", (F.col("customer_code").cast("bigint") % 2).cast("string"))
+    got = {r["g"]: r.asDict() for r in leadership.snapshots_by(g_d, g_w, ["g"]).collect()}
+    assert set(got) == {"0", "1"}
+    for g in ("0", "1"):
+        exp = leadership.kpi_snapshot(g_d.filter(F.col("g") == g), g_w.filter(F.col("g") == g)).first().asDict()
+        assert {k: got[g][k] for k in exp} == exp
