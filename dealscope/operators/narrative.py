@@ -21,6 +21,11 @@ def _s(c: Column) -> Column:
 
 def pipeline_summary_text(summary: DataFrame) -> DataFrame:
     """Executive view of A1: totals, leading-sector share and data caveats."""
+    return summary.select(pipeline_summary_text_col().alias("text"))
+
+
+def pipeline_summary_text_col() -> Column:
+    """The A1 answer text over a row of A1 columns."""
     msg = F.col("message")
     caveats = F.concat_ws(
         "\n",
@@ -41,29 +46,37 @@ def pipeline_summary_text(summary: DataFrame) -> DataFrame:
     with_msg = F.concat(F.lit("### Executive view\n\n"), msg,
                         F.lit("\n\n### Data caveat\n\nThe result is based on the exact sector "
                               "classification in the source board."))
-    return summary.select(F.when(msg.isNotNull() & (msg != ""), with_msg).otherwise(body).alias("text"))
+    return F.when(msg.isNotNull() & (msg != ""), with_msg).otherwise(body)
 
 
 def work_order_text(summary: DataFrame) -> DataFrame:
     """Operational view of A5."""
-    return summary.select(F.concat(
+    return summary.select(work_order_text_col().alias("text"))
+
+
+def work_order_text_col() -> Column:
+    return F.concat(
         F.lit("### Operational view\n\nThere are **"), _s(F.col("total_work_orders")),
         F.lit(" work orders**, with **"), _s(F.col("active_work_orders")), F.lit(" active** and **"),
         _s(F.col("completed_work_orders")),
         F.lit(" completed**.\n\n### Leadership attention\n\nFocus on active execution, billing "
-              "backlog, and collection dependencies.")).alias("text"))
+              "backlog, and collection dependencies."))
 
 
 def financial_text(fin: DataFrame) -> DataFrame:
     """Financial view of A7."""
-    return fin.select(F.concat(
+    return fin.select(financial_text_col().alias("text"))
+
+
+def financial_text_col() -> Column:
+    return F.concat(
         F.lit("### Financial view\n\n- Billed: **"), F.col("billed_value_display"),
         F.lit("**\n- Collected: **"), F.col("collected_amount_display"),
         F.lit("**\n- Yet to be billed: **"), F.col("amount_to_be_billed_display"),
         F.lit("**\n- Receivables: **"), F.col("amount_receivable_display"),
         F.lit("**\n- Collection rate: **"), X.py_str_float("collection_rate_pct"),
         F.lit("%**\n\n### Leadership attention\n\nReceivables and the amount still to be billed are "
-              "the immediate working-capital areas to review.")).alias("text"))
+              "the immediate working-capital areas to review."))
 
 
 def leadership_text(deals: DataFrame, work_orders: DataFrame) -> DataFrame:

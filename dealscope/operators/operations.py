@@ -52,10 +52,14 @@ def wo_kpi_aggs(df: DataFrame) -> list[Column]:
     ]
 
 
-def summary_columns(sector: str | None) -> list[Column]:
+def _sector_label(sector) -> Column:
+    return sector if isinstance(sector, Column) else F.lit(sector or vocab.ALL_SECTORS)
+
+
+def summary_columns(sector: str | Column | None) -> list[Column]:
     return [
         F.lit(vocab.METRIC_WORK_ORDERS).alias("metric"),
-        F.lit(sector or vocab.ALL_SECTORS).alias("sector"),
+        _sector_label(sector).alias("sector"),
         F.col("total_work_orders"),
         F.col("active_work_orders"),
         F.col("completed_work_orders"),
@@ -64,11 +68,11 @@ def summary_columns(sector: str | None) -> list[Column]:
     ]
 
 
-def financial_columns(sector: str | None) -> list[Column]:
+def financial_columns(sector: str | Column | None) -> list[Column]:
     billed, tbb = F.col("billed_value"), F.col("amount_to_be_billed")
     return [
         F.lit(vocab.METRIC_FINANCIAL).alias("metric"),
-        F.lit(sector or vocab.ALL_SECTORS).alias("sector"),
+        _sector_label(sector).alias("sector"),
         billed,
         X.money_display(billed).alias("billed_value_display"),
         F.col("collected_amount"),

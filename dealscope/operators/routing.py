@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
@@ -97,10 +97,13 @@ def stage_narrative(by_stage: DataFrame) -> DataFrame:
     return by_stage.select("stage", "pipeline", line.alias("line"))
 
 
-def cross_board_narrative(cross_rows: DataFrame) -> DataFrame:
-    """One markdown line per cross-board row."""
-    line = F.concat(
+def cross_board_line() -> Column:
+    return F.concat(
         F.lit("- **"), F.col("sector"), F.lit("** — pipeline "), F.col("pipeline_display"),
         F.lit(", "), F.col("active_work_orders").cast("string"), F.lit(" active WOs, billing backlog "),
         F.col("billing_backlog_display"))
-    return cross_rows.select("sector", "billing_backlog", line.alias("line"))
+
+
+def cross_board_narrative(cross_rows: DataFrame) -> DataFrame:
+    """One markdown line per cross-board row."""
+    return cross_rows.select("sector", "billing_backlog", cross_board_line().alias("line"))

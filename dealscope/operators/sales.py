@@ -148,12 +148,18 @@ def _summary(deals, sector, period, as_of, leader: bool) -> DataFrame:
         F.min_by(F.col("_group"), F.struct((-F.coalesce(F.col("gross"), F.lit(0))).alias("v"),
                                            F.col("_group").alias("g"))).alias("top_group_label"),
     )
+    message = (F.when(F.col("n") == 0, F.lit(MSG_NO_SECTOR_MATCH.format(sector=sector)))
+               if sector else F.lit(None))
+    return summary_select(tot, sector_label, period_label, _lit_str(warning), message, has_sector, leader)
+
+
+def summary_select(tot: DataFrame, sector_label: Column, period_label: Column, warning: Column,
+                   message: Column, has_sector: bool, leader: bool = False) -> DataFrame:
+    """A1's output columns over the totals row(s) (``n``, ``gross``, ... ``top_group``)."""
     n = F.col("n")
     gross = F.col("gross")
     conc = (F.when((gross > 0) & F.lit(has_sector), X.safe_pct(F.col("top_group"), gross))
             .otherwise(F.lit(0.0)))
-    message = (F.when(n == 0, F.lit(MSG_NO_SECTOR_MATCH.format(sector=sector)))
-               if sector else F.lit(None))
     return tot.select(
         F.lit(vocab.METRIC_PIPELINE).alias("metric"),
         sector_label.alias("sector"),
@@ -175,11 +181,12 @@ def _summary(deals, sector, period, as_of, leader: bool) -> DataFrame:
         F.col("n_weighted").alias("deals_used_for_weighted_pipeline"),
         X.safe_pct(F.col("n_value"), n).alias("value_coverage_pct"),
         X.safe_pct(F.col("n_prob"), n).alias("probability_coverage_pct"),
-        _lit_str(warning).alias("period_warning"),
+        warning.cast("string").alias("period_warning"),
         message.cast("string").alias("message"),
         *([F.col("top_group_label").alias("top_sector"),
            (X.safe_pct(F.col("top_group"), gross) if has_sector else F.lit(None).cast("double"))
            .alias("top_share_pct")] if leader else []),
+        *[F.col(c) for c in tot.columns if c.startswith("grid_")],
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import clean, cross, leadership, narrative, operations, quality, routing, sales
+from ..operators import answers, clean, cross, leadership, narrative, operations, quality, routing, sales
 from ..operators.filters import open_deals, period_filter, sector_filter
 from ..sources import board, fixtures
 from . import oracle as O
@@ -251,6 +251,8 @@ def queries() -> dict[str, QueryFn]:
     q["financial_text"] = _w(lambda w: narrative.financial_text(operations.financial_summary(w)))
     q["leadership_text"] = _dw(narrative.leadership_text)
     q["data_quality_text"] = _dw(narrative.data_quality_text)
+    q["answer_questions"] = lambda spark, sf: answers.answer_questions(
+        routing.route_questions(_questions(spark, sf)), deals(spark, sf), work_orders(spark, sf), AS_OF)
     q["board_items_to_table"] = _board_items
     q["board_pages_union"] = _board_pages
     q["source_coverage"] = _dw(board.source_coverage)

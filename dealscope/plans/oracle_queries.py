@@ -436,6 +436,7 @@ l AS (SELECT *, """ + ", ".join(
     cols.append("'extra' AS c14")
     s["board_items_to_table"] = O.with_ctes(O.RAW_DEALS) + "SELECT " + ", ".join(cols) + " FROM raw_deals"
     s.update(narrative_statements())
+    s["answer_questions"] = answer_questions_sql(s)
     s["board_pages_union"] = (O.with_ctes(O.RAW_DEALS) + 'SELECT "__item_id" AS id, "__item_name" AS name, '
                               '"__created_at" AS created_at, "__updated_at" AS updated_at, '
                               '"Deal Name" AS first_text, 12 AS n_values FROM raw_deals')
@@ -466,42 +467,58 @@ def _signal_conds() -> list[tuple[str, str]]:
     ]
 
 
+def ps_text(sector=None, period=None):
+    """Full statement: the A1 answer text for one (sector, period)."""
+    cte, _ = summary_cte(sector, period)
+    caveats = ("concat_ws(chr(10), CASE WHEN deals_without_probability > 0 THEN '- ' || "
+               "CAST(deals_without_probability AS VARCHAR) || ' deals lack a usable closure probability.' END, "
+               "CASE WHEN deals_missing_value > 0 THEN '- ' || CAST(deals_missing_value AS VARCHAR) || "
+               "' deals are missing deal value.' END)")
+    body = ("'### Executive view' || chr(10) || chr(10) || 'The current open pipeline is **' || "
+            "gross_pipeline_display || ' gross** and **' || weighted_pipeline_display || ' weighted** across **' || "
+            "CAST(open_deals AS VARCHAR) || ' open deals**.' || chr(10) || chr(10) || '### What stands out' || "
+            "chr(10) || chr(10) || '- The largest sector represents **' || " + str_float("top_sector_concentration_pct") +
+            " || '%** of gross pipeline.' || CASE WHEN " + caveats + " <> '' THEN chr(10) || chr(10) || "
+            "'### Data caveat' || chr(10) || chr(10) || " + caveats + " ELSE '' END")
+    with_msg = ("'### Executive view' || chr(10) || chr(10) || message || chr(10) || chr(10) || "
+                "'### Data caveat' || chr(10) || chr(10) || 'The result is based on the exact sector "
+                "classification in the source board.'")
+    return (DEALS_ONLY.rstrip() + ",\n" + cte +
+            f"\nSELECT CASE WHEN message IS NOT NULL AND message <> '' THEN {with_msg} ELSE {body} END AS text FROM ps")
+
+
+NL2 = "chr(10) || chr(10)"
+WO_TEXT = (f"'### Operational view' || {NL2} || 'There are **' || CAST(total_work_orders AS VARCHAR) || "
+           "' work orders**, with **' || CAST(active_work_orders AS VARCHAR) || ' active** and **' || "
+           f"CAST(completed_work_orders AS VARCHAR) || ' completed**.' || {NL2} || '### Leadership attention' || "
+           f"{NL2} || 'Focus on active execution, billing backlog, and collection dependencies.'")
+
+
+def wo_text(sector=None):
+    """Full statement: the A5 answer text for one sector (or all)."""
+    return WO_ONLY.rstrip() + ",\n" + wo_kpis(_sector_where(sector)) + f"\nSELECT {WO_TEXT} AS text FROM k"
+
+
+def fin_text(sector=None):
+    """Full statement: the A7 answer text for one sector (or all)."""
+    return WO_ONLY.rstrip() + ",\n" + wo_kpis(_sector_where(sector)) + f",\nfin AS (SELECT {financial_select(sector)} FROM k)" + (
+        f"\nSELECT '### Financial view' || {NL2} || '- Billed: **' || billed_value_display || '**' || chr(10) || "
+        "'- Collected: **' || collected_amount_display || '**' || chr(10) || '- Yet to be billed: **' || "
+        "amount_to_be_billed_display || '**' || chr(10) || '- Receivables: **' || amount_receivable_display || "
+        "'**' || chr(10) || '- Collection rate: **' || " + str_float("collection_rate_pct") + f" || '%**' || {NL2} || "
+        f"'### Leadership attention' || {NL2} || 'Receivables and the amount still to be billed are the "
+        "immediate working-capital areas to review.' AS text FROM fin")
+
+
 def narrative_statements() -> dict[str, str]:
     s: dict[str, str] = {}
 
-    def ps_text(sector=None, period=None):
-        cte, _ = summary_cte(sector, period)
-        caveats = ("concat_ws(chr(10), CASE WHEN deals_without_probability > 0 THEN '- ' || "
-                   "CAST(deals_without_probability AS VARCHAR) || ' deals lack a usable closure probability.' END, "
-                   "CASE WHEN deals_missing_value > 0 THEN '- ' || CAST(deals_missing_value AS VARCHAR) || "
-                   "' deals are missing deal value.' END)")
-        body = ("'### Executive view' || chr(10) || chr(10) || 'The current open pipeline is **' || "
-                "gross_pipeline_display || ' gross** and **' || weighted_pipeline_display || ' weighted** across **' || "
-                "CAST(open_deals AS VARCHAR) || ' open deals**.' || chr(10) || chr(10) || '### What stands out' || "
-                "chr(10) || chr(10) || '- The largest sector represents **' || " + str_float("top_sector_concentration_pct") +
-                " || '%** of gross pipeline.' || CASE WHEN " + caveats + " <> '' THEN chr(10) || chr(10) || "
-                "'### Data caveat' || chr(10) || chr(10) || " + caveats + " ELSE '' END")
-        with_msg = ("'### Executive view' || chr(10) || chr(10) || message || chr(10) || chr(10) || "
-                    "'### Data caveat' || chr(10) || chr(10) || 'The result is based on the exact sector "
-                    "classification in the source board.'")
-        return (DEALS_ONLY.rstrip() + ",\n" + cte +
-                f"\nSELECT CASE WHEN message IS NOT NULL AND message <> '' THEN {with_msg} ELSE {body} END AS text FROM ps")
-
     s["pipeline_summary_text"] = ps_text()
     s["pipeline_summary_text_no_match"] = ps_text("Tender", None)
     nl2 = "chr(10) || chr(10)"
-    s["work_order_text"] = WO_ONLY.rstrip() + ",\n" + wo_kpis() + (
-        f"\nSELECT '### Operational view' || {nl2} || 'There are **' || CAST(total_work_orders AS VARCHAR) || "
-        "' work orders**, with **' || CAST(active_work_orders AS VARCHAR) || ' active** and **' || "
-        f"CAST(completed_work_orders AS VARCHAR) || ' completed**.' || {nl2} || '### Leadership attention' || "
-        f"{nl2} || 'Focus on active execution, billing backlog, and collection dependencies.' AS text FROM k")
-    s["financial_text"] = WO_ONLY.rstrip() + ",\n" + wo_kpis() + f",\nfin AS (SELECT {financial_select(None)} FROM k)" + (
-        f"\nSELECT '### Financial view' || {nl2} || '- Billed: **' || billed_value_display || '**' || chr(10) || "
-        "'- Collected: **' || collected_amount_display || '**' || chr(10) || '- Yet to be billed: **' || "
-        "amount_to_be_billed_display || '**' || chr(10) || '- Receivables: **' || amount_receivable_display || "
-        "'**' || chr(10) || '- Collection rate: **' || " + str_float("collection_rate_pct") + f" || '%**' || {nl2} || "
-        f"'### Leadership attention' || {nl2} || 'Receivables and the amount still to be billed are the "
-        "immediate working-capital areas to review.' AS text FROM fin")
+    nl2 = NL2
+    s["work_order_text"] = wo_text()
+    s["financial_text"] = fin_text()
     conds = _signal_conds()
     running, lines = [], []
     for i, (cond, msg) in enumerate(conds):
@@ -527,3 +544,43 @@ def narrative_statements() -> dict[str, str]:
         f"SELECT '### Data quality overview' || {nl2} || string_agg(block, '' ORDER BY o) AS text FROM "
         f"(SELECT CASE WHEN dataset = 'Deals' THEN 1 ELSE 2 END AS o, {block} AS block FROM rep) b")
     return s
+
+
+def answer_questions_sql(narr: dict[str, str]) -> str:
+    """Every routed template question joined to its tool's answer text."""
+    from ..operators.answers import GRID_PERIODS, GRID_SECTORS, PERIOD_TOOLS, SECTOR_TOOLS
+
+    def lit(v):
+        return "CAST(NULL AS VARCHAR)" if v is None else q(v)
+
+    cells = []
+    for sec in GRID_SECTORS:
+        for per in GRID_PERIODS:
+            cells.append(f"SELECT 'pipeline_summary' AS tool, {lit(sec)} AS gs, {lit(per)} AS gp, text AS answer "
+                         f"FROM ({ps_text(sec, per)}) t")
+    for sec in GRID_SECTORS:
+        cells.append(f"SELECT 'work_order_summary', {lit(sec)}, NULL, text FROM ({wo_text(sec)}) t")
+        cells.append(f"SELECT 'financial_summary', {lit(sec)}, NULL, text FROM ({fin_text(sec)}) t")
+    top_sector = (f"SELECT * FROM ({narr['sector_narrative']}) x ORDER BY pipeline DESC, sector ASC LIMIT 5")
+    top_stage = (f"SELECT * FROM ({narr['stage_narrative']}) x ORDER BY pipeline DESC, stage ASC LIMIT 8")
+    top_backlog = (BOTH.rstrip() + ",\n" + CROSS + (
+        "\nSELECT sector, billing_backlog, pipeline, '- **' || sector || '** — pipeline ' || pipeline_display || "
+        "', ' || CAST(active_work_orders AS VARCHAR) || ' active WOs, billing backlog ' || billing_backlog_display "
+        "AS line FROM cb ORDER BY billing_backlog DESC, pipeline DESC, sector ASC LIMIT 5"))
+    cells += [
+        "SELECT 'pipeline_by_sector', NULL, NULL, coalesce(string_agg(line, chr(10) ORDER BY pipeline DESC, "
+        f"sector ASC), '') FROM ({top_sector}) t",
+        "SELECT 'pipeline_by_stage', NULL, NULL, coalesce(string_agg(line, chr(10) ORDER BY pipeline DESC, "
+        f"stage ASC), '') FROM ({top_stage}) t",
+        "SELECT 'cross_board', NULL, NULL, coalesce(string_agg(line, chr(10) ORDER BY billing_backlog DESC, "
+        f"pipeline DESC, sector ASC), '') FROM ({top_backlog}) t",
+        f"SELECT 'leadership_update', NULL, NULL, text FROM ({narr['leadership_text']}) t",
+        f"SELECT 'data_quality', NULL, NULL, text FROM ({narr['data_quality_text']}) t",
+    ]
+    sector_tools = ", ".join(q(t) for t in SECTOR_TOOLS)
+    period_tools = ", ".join(q(t) for t in PERIOD_TOOLS)
+    return (f"WITH {QUESTIONS},\nr AS (SELECT question_id, question, {route_select('question')} FROM questions),\n"
+            "answers AS (\n" + "\nUNION ALL\n".join(cells) + ")\n"
+            "SELECT r.question_id, r.question, r.tool, r.sector, r.period, a.answer FROM r LEFT JOIN answers a "
+            f"ON r.tool = a.tool AND (CASE WHEN r.tool IN ({sector_tools}) THEN r.sector END) IS NOT DISTINCT FROM a.gs "
+            f"AND (CASE WHEN r.tool IN ({period_tools}) THEN r.period END) IS NOT DISTINCT FROM a.gp")
