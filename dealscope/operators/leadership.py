@@ -291,14 +291,14 @@ def leadership_update(deals: DataFrame, work_orders: DataFrame, reuse: bool = Fa
     """The whole briefing as named DataFrames.
 
     All results are lazy.  With ``reuse=True`` the two cleaned tables are
-    first checkpointed into the cluster's shared checkpoint folder (one
-    eager job each), so the eleven results read the typed tables instead of
-    re-deriving them, and a lost executor re-reads the checkpoint rather
-    than recomputing the cleaning.
+    first written as parquet into the cluster's shared checkpoint folder
+    (one eager job each), so the eleven results scan only their columns of
+    the typed tables instead of re-deriving them, and a lost executor
+    re-reads those files rather than recomputing the cleaning.
     """
     if reuse:
-        from ..session import materialize
-        deals, work_orders = materialize(deals), materialize(work_orders)
+        from ..session import materialize_table
+        deals, work_orders = materialize_table(deals), materialize_table(work_orders)
     from .cross import cross_board, top_backlog_sectors, top_execution_sectors
     from .operations import status_breakdown, work_order_summary
     from .quality import quality_report

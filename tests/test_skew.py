@@ -105,3 +105,15 @@ def test_quality_report_counts_match_brute_force(spark):
     assert any(i.startswith("s: 1000 missing (25.0%)") for i in by["Deals"]["issues"])
     assert any(i.startswith("d: 445 missing (11.1%)") for i in by["Deals"]["issues"])
     assert by["Work Orders"]["rows"] == 0
+
+
+def test_hot_sector_answer_grid_exact(spark):
+    from dealscope.operators import answers
+
+    deals = clean.clean_deals(_skewed_raw_deals(spark))
+    grid = {(r["grid_sector"], r["grid_period"]): r.asDict()
+            for r in answers.pipeline_summary_grid(deals).collect()}
+    for s in (None, "Mining", "Tender"):
+        exp = sales.pipeline_summary(deals, s, None).first().asDict()
+        assert {k: grid[(s, None)][k] for k in exp} == exp
+    assert grid[("Mining", None)]["open_deals"] == 8000  # the hot third, less its Won rows
