@@ -55,3 +55,13 @@ def test_answer_questions(spark, boards):
     assert out[1]["answer"] == exp1
     assert out[2]["answer"] == narrative.leadership_text(deals, wo).first()["text"]
     assert out[5]["answer"] == narrative.data_quality_text(deals, wo).first()["text"]
+
+
+def test_answer_questions_without_reuse_is_identical(spark, boards):
+    deals, wo = boards
+    qs = routing.route_questions(catalog._questions(spark, SF_SMOKE))
+    a = answers.answer_questions(qs, deals, wo, AS_OF)
+    b = answers.answer_questions(qs, deals, wo, AS_OF, reuse=False)
+    ra = sorted(tuple(r) for r in a.collect())
+    assert ra == sorted(tuple(r) for r in b.collect())
+    assert len(ra) == qs.count() and all(r[-1] for r in ra)  # every question answered
