@@ -253,6 +253,8 @@ def queries() -> dict[str, QueryFn]:
     q["data_quality_text"] = _dw(narrative.data_quality_text)
     q["answer_questions"] = lambda spark, sf: answers.answer_questions(
         routing.route_questions(_questions(spark, sf)), deals(spark, sf), work_orders(spark, sf), AS_OF)
+    q["answer_questions_raw"] = lambda spark, sf: answers.answer_questions(
+        _route_raw(spark, sf), deals(spark, sf), work_orders(spark, sf), AS_OF)
     q["board_items_to_table"] = _board_items
     q["board_pages_union"] = _board_pages
     q["source_coverage"] = _dw(board.source_coverage)

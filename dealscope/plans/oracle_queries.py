@@ -437,6 +437,7 @@ l AS (SELECT *, """ + ", ".join(
     s["board_items_to_table"] = O.with_ctes(O.RAW_DEALS) + "SELECT " + ", ".join(cols) + " FROM raw_deals"
     s.update(narrative_statements())
     s["answer_questions"] = answer_questions_sql(s)
+    s["answer_questions_raw"] = answer_questions_sql(s, raw=True)
     s["board_pages_union"] = (O.with_ctes(O.RAW_DEALS) + 'SELECT "__item_id" AS id, "__item_name" AS name, '
                               '"__created_at" AS created_at, "__updated_at" AS updated_at, '
                               '"Deal Name" AS first_text, 12 AS n_values FROM raw_deals')
@@ -546,8 +547,8 @@ def narrative_statements() -> dict[str, str]:
     return s
 
 
-def answer_questions_sql(narr: dict[str, str]) -> str:
-    """Every routed template question joined to its tool's answer text."""
+def answer_questions_sql(narr: dict[str, str], raw: bool = False) -> str:
+    """Every routed question joined to its tool's answer text (``raw``: whole conversation turns)."""
     from ..operators.answers import GRID_PERIODS, GRID_SECTORS, PERIOD_TOOLS, SECTOR_TOOLS
 
     def lit(v):
@@ -579,8 +580,11 @@ def answer_questions_sql(narr: dict[str, str]) -> str:
     ]
     sector_tools = ", ".join(q(t) for t in SECTOR_TOOLS)
     period_tools = ", ".join(q(t) for t in PERIOD_TOOLS)
-    return (f"WITH {QUESTIONS},\nr AS (SELECT question_id, question, {route_select('question')} FROM questions),\n"
+    routed = (f"r AS (SELECT conv_id, turn, text AS question, {route_select('text')} FROM conversations)" if raw
+              else f"{QUESTIONS},\nr AS (SELECT question_id, question, {route_select('question')} FROM questions)")
+    ids = "r.conv_id, r.turn" if raw else "r.question_id"
+    return (f"WITH {routed},\n"
             "answers AS (\n" + "\nUNION ALL\n".join(cells) + ")\n"
-            "SELECT r.question_id, r.question, r.tool, r.sector, r.period, a.answer FROM r LEFT JOIN answers a "
+            f"SELECT {ids}, r.question, r.tool, r.sector, r.period, a.answer FROM r LEFT JOIN answers a "
             f"ON r.tool = a.tool AND (CASE WHEN r.tool IN ({sector_tools}) THEN r.sector END) IS NOT DISTINCT FROM a.gs "
             f"AND (CASE WHEN r.tool IN ({period_tools}) THEN r.period END) IS NOT DISTINCT FROM a.gp")
