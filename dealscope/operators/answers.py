@@ -215,8 +215,10 @@ def answer_questions(routed: DataFrame, deals: DataFrame, work_orders: DataFrame
     Pass ``reuse=False`` for boards that are already stored tables.
     """
     if reuse:
-        from ..session import materialize_table
-        deals, work_orders = materialize_table(deals), materialize_table(work_orders)
+        from ..session import checkpoint_dir, materialize_table, run_concurrently
+        checkpoint_dir(deals.sparkSession)
+        deals, work_orders = run_concurrently(lambda: materialize_table(deals),
+                                              lambda: materialize_table(work_orders))
     answers = tool_answers(deals, work_orders, as_of)
     tool = F.col("tool")
     q = routed.select(

@@ -229,8 +229,15 @@ def _issues_row(df: DataFrame, dataset: str, subset: list[str] | None = None) ->
 
 
 def quality_report(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
-    """Q3: one row per dataset with its issue list (column order, then duplicates)."""
-    return _issues_row(deals, "Deals").unionByName(_issues_row(work_orders, "Work Orders"))
+    """Q3: one row per dataset with its issue list (column order, then duplicates).
+
+    The two boards' fingerprint passes are independent eager jobs; they
+    are submitted from two driver threads so they run side by side.
+    """
+    from ..session import checkpoint_dir, run_concurrently
+    checkpoint_dir(deals.sparkSession)
+    d, w = run_concurrently(lambda: _issues_row(deals, "Deals"), lambda: _issues_row(work_orders, "Work Orders"))
+    return d.unionByName(w)
 
 
 def quality_issues(deals: DataFrame, work_orders: DataFrame) -> DataFrame:

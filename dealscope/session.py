@@ -82,5 +82,16 @@ def materialize_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def run_concurrently(*thunks):
+    """Run independent eager steps (each submits its own Spark jobs) from
+    separate driver threads, so their jobs share the cluster instead of
+    queueing behind each other; results in argument order."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=len(thunks)) as pool:
+        futures = [pool.submit(t) for t in thunks]
+        return [f.result() for f in futures]
+
+
 def env_cores(default: str = "8") -> str:
     return os.environ.get("BENCH_CPUS", default)
