@@ -28,8 +28,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     that many splits, as any large table has, is left as it is, so this
     adds no shuffle at scale.
     """
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+    try:
+        n = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()  # plans the scan (file listing); runs no job
+    except Exception:  # no RDD view (e.g. a Connect session): leave the input as it is
+        return df
+    return df.repartition(n, key) if splits < n else df
 
 
 def _d(ts: Column) -> Column:
