@@ -9,9 +9,9 @@ a cell of a small fixed grid.  The parameterised tools fill their whole
 grid from one aggregation per board: rows are first reduced to a few
 hundred groups (sector x period flags, partially aggregated map-side), and
 only those groups are expanded over the grid cells they belong to.  The
-answers (about 65 rows) are joined to the questions on (tool, sector,
-period); the questions are never shuffled by sector, so a hot sector or a
-hot tool costs nothing extra.
+answers (at most 65 rows, a bound by construction) are broadcast and
+joined to the questions on (tool, sector, period); the questions are never
+shuffled, so a hot sector or a hot tool costs nothing extra.
 """
 
 from __future__ import annotations
@@ -204,9 +204,9 @@ def answer_questions(routed: DataFrame, deals: DataFrame, work_orders: DataFrame
     Adds ``answer``: the text of the question's tool run with the question's
     sector (tools that take one) and period (the pipeline summary only);
     other routed values are ignored, as the reference's dispatch ignores
-    them (L21).  The answers table is ~65 rows; the join is an ordinary
-    equi-join (null-safe on sector / period), so Spark's size check decides
-    whether to broadcast it.
+    them (L21).  The answers table has at most 65 rows by construction, so
+    it is broadcast to the questions (equi-join, null-safe on sector /
+    period): the questions are never shuffled.
 
     The eight tools read each cleaned board several times.  With ``reuse``
     (the default) both boards are first written once as parquet into the
@@ -226,7 +226,11 @@ def answer_questions(routed: DataFrame, deals: DataFrame, work_orders: DataFrame
         F.when(tool.isin(*SECTOR_TOOLS), F.col("sector")).alias("_sk"),
         F.when(tool.isin(*PERIOD_TOOLS), F.col("period")).alias("_pk"),
     )
-    a = answers.select(F.col("tool").alias("_tool"), F.col("grid_sector").alias("_as"),
-                       F.col("grid_period").alias("_ap"), "answer")
+    # Proven size bound: one row per grid cell, 40 + 10 + 10 + 5 = 65 rows
+    # whatever the data size, each one answer text.  Broadcasting it keeps
+    # the questions where they are: a tool or sector that a third of all
+    # questions route to is never gathered into one shuffle partition.
+    a = F.broadcast(answers.select(F.col("tool").alias("_tool"), F.col("grid_sector").alias("_as"),
+                                   F.col("grid_period").alias("_ap"), "answer"))
     cond = (q["tool"] == a["_tool"]) & q["_sk"].eqNullSafe(a["_as"]) & q["_pk"].eqNullSafe(a["_ap"])
     return q.join(a, cond, "left").drop("_sk", "_pk", "_tool", "_as", "_ap")

@@ -65,3 +65,16 @@ def test_answer_questions_without_reuse_is_identical(spark, boards):
     ra = sorted(tuple(r) for r in a.collect())
     assert ra == sorted(tuple(r) for r in b.collect())
     assert len(ra) == qs.count() and all(r[-1] for r in ra)  # every question answered
+
+
+def test_answer_join_keeps_questions_in_place(spark, boards):
+    deals, wo = boards
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        qs = routing.route_questions(catalog._questions(spark, SF_SMOKE))
+        plan = answers.answer_questions(qs, deals, wo, AS_OF, reuse=False)._jdf.queryExecution() \
+            .executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    outer = [ln for ln in plan.split("\n") if "LeftOuter" in ln]
+    assert outer and all("BroadcastHashJoin" in ln and "BuildRight" in ln for ln in outer), outer
