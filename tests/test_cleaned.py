@@ -41,3 +41,13 @@ def test_blank_and_null_sectors_survive(spark):
     assert sorted(rows(sales.pipeline_by_sector(stored))) == sorted(rows(sales.pipeline_by_sector(deals)))
     ps = lambda d: rows(sales.pipeline_summary(d, "Mining").drop(SECTOR_KEY))
     assert ps(stored) == ps(deals)
+
+
+def test_materialize_table_keeps_odd_headers_and_values(spark):
+    from dealscope.session import materialize_table
+
+    df = spark.createDataFrame([("a", None, -0.0), ("", "x", float("nan"))],
+                               "`Amount (Incl. GST), Rs` string, `col;x` string, d double")
+    back = materialize_table(df)
+    assert back.columns == df.columns
+    assert sorted(map(str, rows(back))) == sorted(map(str, rows(df)))
