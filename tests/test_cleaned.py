@@ -51,3 +51,12 @@ def test_materialize_table_keeps_odd_headers_and_values(spark):
     back = materialize_table(df)
     assert back.columns == df.columns
     assert sorted(map(str, rows(back))) == sorted(map(str, rows(df)))
+
+
+def test_numeric_looking_sector_stays_text(spark):
+    df = spark.createDataFrame([("2024", 1), (" 2024 ", 2), ("007", 3), (None, 4)], "sector string, v int")
+    stored = _roundtrip(spark, df)
+    assert dict(stored.dtypes)[SECTOR_KEY] == "string"
+    got = sorted(r["v"] for r in sector_filter(stored, "007").collect())
+    assert got == [3]
+    assert sorted(r["v"] for r in sector_filter(stored, "2024").collect()) == [1, 2]
