@@ -62,3 +62,33 @@ def test_snapshots_by_equals_kpi_snapshot_per_group(spark):
     for g in ("0", "1"):
         exp = leadership.kpi_snapshot(g_d.filter(F.col("g") == g), g_w.filter(F.col("g") == g)).first().asDict()
         assert {k: got[g][k] for k in exp} == exp
+
+
+def test_refresh_stream_exports_in_separate_batches(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    dcols = spark.createDataFrame([("d1", "Deal Status", "status"), ("d2", "Masked Deal value", "text"),
+                                   ("d3", "Closure Probability", "text"), ("d4", "Sector/service", "text")],
+                                  "column_id string, title string, type string")
+    wcols = spark.createDataFrame([("w1", "Execution Status", "status"), ("w2", "Amount Receivable (Masked)", "text")],
+                                  "column_id string, title string, type string")
+    snap_path, ckpt = str(tmp_path / "snapshots"), str(tmp_path / "ckpt")
+
+    def run():
+        q = refresh.start_refresh(spark, str(landing), dcols, wcols, snap_path, ckpt, available_now=True)
+        q.awaitTermination(120)
+
+    (landing / "a.json").write_text(json.dumps(
+        _page("e1", "2024-01-01T00:00:00", "deals", [_deal(1, "Open", "100")])) + "\n")
+    run()
+    # The second export arrives later: its batch must not overwrite the first export's partition.
+    (landing / "b.json").write_text(json.dumps(
+        _page("e2", "2024-01-02T00:00:00", "deals", [_deal(1, "Open", "150"), _deal(2, "Open", "5")])) + "\n")
+    (landing / "c.json").write_text(json.dumps(
+        _page("e2", "2024-01-02T00:00:00", "work_orders", [_wo(1, "Ongoing", "7")])) + "\n")
+    run()
+    ch = {r["export_id"]: r.asDict() for r in refresh.snapshot_changes(spark, snap_path).collect()}
+    assert set(ch) == {"e1", "e2"}
+    assert ch["e1"]["active_work_orders"] == 0 and str(ch["e1"]["receivable"]) == "0.00"
+    assert ch["e2"]["open_deals_change"] == 1 and ch["e2"]["gross_pipeline_change_display"] == "+₹55"
+    assert ch["e2"]["active_work_orders_change"] == 1
