@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
-from dealscope.llm import op1_packing, op7_exact_dedup, op8_url_filter, op9_mixing
+from dealscope.llm import (
+    op1_packing,
+    op2_ngram_jaccard,
+    op3_license_scan,
+    op4_pii,
+    op6_quality_rules,
+    op7_exact_dedup,
+    op8_url_filter,
+    op9_mixing,
+    op10_quality_classifier,
+)
 
 
 def queries() -> dict:
     return {
         "op1_packing": op1_packing.op1_packing,
+        "op2_ngram_jaccard": op2_ngram_jaccard.op2_ngram_jaccard,
+        "op3_license_scan": op3_license_scan.op3_license_scan,
+        "op4_pii": op4_pii.op4_pii,
+        "op6_quality_rules": op6_quality_rules.op6_quality_rules,
         "op7_exact_dedup": op7_exact_dedup.op7_exact_dedup,
         "op8_url_filter": op8_url_filter.op8_url_filter,
         "op9_mixing": op9_mixing.op9_mixing,
+        "op10_quality_classifier": op10_quality_classifier.op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard": op2_ngram_jaccard.ORACLE,
+        "op3_license_scan": op3_license_scan.ORACLE,
         "op7_exact_dedup": op7_exact_dedup.ORACLE,
         "op8_url_filter": op8_url_filter.ORACLE,
         "op9_mixing": op9_mixing.ORACLE,
