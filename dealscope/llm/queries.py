@@ -7,6 +7,7 @@ from dealscope.llm import (
     op2_ngram_jaccard,
     op3_license_scan,
     op4_pii,
+    op5_suffix_dedup,
     op6_quality_rules,
     op7_exact_dedup,
     op8_url_filter,
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op2_ngram_jaccard": op2_ngram_jaccard.op2_ngram_jaccard,
         "op3_license_scan": op3_license_scan.op3_license_scan,
         "op4_pii": op4_pii.op4_pii,
+        "op5_suffix_dedup": op5_suffix_dedup.op5_suffix_dedup,
         "op6_quality_rules": op6_quality_rules.op6_quality_rules,
         "op7_exact_dedup": op7_exact_dedup.op7_exact_dedup,
         "op8_url_filter": op8_url_filter.op8_url_filter,
@@ -33,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_ngram_jaccard": op2_ngram_jaccard.ORACLE,
         "op3_license_scan": op3_license_scan.ORACLE,
+        "op5_suffix_dedup": op5_suffix_dedup.ORACLE,
         "op7_exact_dedup": op7_exact_dedup.ORACLE,
         "op8_url_filter": op8_url_filter.ORACLE,
         "op9_mixing": op9_mixing.ORACLE,
