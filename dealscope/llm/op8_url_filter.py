@@ -5,7 +5,8 @@ Pages that no rule judges get a verdict from the reputation of their host:
 labelled page outcomes (1 good, 0 bad) are counted per host, registered
 domain (last two labels) and suffix (last label), and beta-binomial priors
 are shrunk downwards: the suffix's prior is centred on the overall rate, the
-domain's on the suffix's posterior mean, the host's on the domain's.  Each
+domain's on the suffix's posterior mean, the host's on the domain's, each
+time without the lower group's own pages, so that no page counts twice.  Each
 level's prior strength is a method-of-moments estimate from the spread of
 its groups' rates.  A host is blocked only when the upper bound of its
 posterior (mean plus ``z`` standard deviations) stays below ``threshold``:
@@ -97,15 +98,21 @@ def host_reputation(pages: DataFrame, *, host="_host", outcome="_outcome", z=Z)
     domains = hosts.groupBy("_domain", "_suffix").agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"))
     suffixes = domains.groupBy("_suffix").agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"))
 
-    def shrunk(groups: DataFrame, parent: Column | None, name: str) -> DataFrame:
-        with_prior = groups.withColumn("_prior", _prior(groups))
-        m = F.col("_prior.m")
-        return with_prior.withColumn(name, (F.col("_k") + m * (F.col("_prior.p") if parent is None else parent)) / (F.col("_n") + m))
-
-    s = shrunk(suffixes, None, "_smean").select("_suffix", "_smean")
-    d = shrunk(domains.join(s, "_suffix"), F.col("_smean"), "_dmean").select("_domain", "_dmean")
-    h = shrunk(hosts.join(d, "_domain"), F.col("_dmean"), "_mean")
-    n, mean = F.col("_n") + F.col("_prior.m"), F.col("_mean")
+    def level(groups: DataFrame, mark: str) -> DataFrame:
+        return groups.withColumn("_prior" + mark, _prior(groups))
+
+    def without(k, n, own_k, own_n, prior, centre):
+        """Posterior mean of a group without one member's own counts."""
+        m = F.col(prior + ".m")
+        return (F.col(k) - F.col(own_k) + m * centre) / (F.col(n) - F.col(own_n) + m)
+
+    s = level(suffixes, "s").withColumnsRenamed({"_n": "_sn", "_k": "_sk"})
+    d = level(domains, "d").join(s, "_suffix").withColumn("_above", without("_sk", "_sn", "_k", "_n", "_priors", F.col("_priors.p")))
+    d = d.select("_domain", F.col("_n").alias("_dn"), F.col("_k").alias("_dk"), "_priord", "_above")
+    h = level(hosts, "h").join(d, "_domain").withColumn("_centre", without("_dk", "_dn", "_k", "_n", "_priord", F.col("_above")))
+    m = F.col("_priorh.m")
+    h = h.withColumn("_mean", (F.col("_k") + m * F.col("_centre")) / (F.col("_n") + m))
+    n, mean = F.col("_n") + F.col("_priorh.m"), F.col("_mean")
     return h.select(F.col("_h").alias("_host"), mean.alias("_mean"),
                     (mean + F.lit(z) * F.sqrt(mean * (1 - mean) / (n + 1))).alias("_upper"))
 
@@ -166,9 +173,9 @@ g AS (
            THEN (kk - n * (k / n) * (k / n) - (g - 1) * (k / n) * (1 - k / n)) / ((n - nn / n) * (k / n) * (1 - k / n)) ELSE 0 END,
            1.0 / 1001), 0.5) AS rho FROM g
 ), m AS (SELECT lvl, CASE WHEN n > 0 THEN (1 - rho) / rho ELSE 1 END AS m, CASE WHEN n > 0 THEN p ELSE 1 END AS p FROM r),
-sm AS (SELECT suffix, (s.k + m.m * m.p) / (s.n + m.m) AS mean FROM s, m WHERE lvl = 's'),
-dm AS (SELECT domain, (d.k + m.m * sm.mean) / (d.n + m.m) AS mean FROM d JOIN sm USING (suffix), m WHERE lvl = 'd'),
-hm AS (SELECT host, (h.k + m.m * dm.mean) / (h.n + m.m) AS mean, h.n + m.m AS n FROM h JOIN dm USING (domain), m WHERE lvl = 'h'),
+sm AS (SELECT d.domain, d.n, d.k, (s.k - d.k + m.m * m.p) / (s.n - d.n + m.m) AS mean FROM d JOIN s USING (suffix), m WHERE lvl = 's'),
+dm AS (SELECT h.host, h.n, h.k, (sm.k - h.k + m.m * sm.mean) / (sm.n - h.n + m.m) AS mean FROM h JOIN sm USING (domain), m WHERE lvl = 'd'),
+hm AS (SELECT host, (k + m.m * mean) / (n + m.m) AS mean, n + m.m AS n FROM dm, m WHERE lvl = 'h'),
 b AS (SELECT host, mean + 1.6448536269514722 * sqrt(mean * (1 - mean) / (n + 1)) < 0.5 AS bad FROM hm)
 SELECT page_id, v.host, path, rule, CASE WHEN good = 1 THEN 'allow' WHEN good = 0 THEN 'block' WHEN bad THEN 'block' ELSE 'allow' END AS verdict
 FROM v JOIN b USING (host)
