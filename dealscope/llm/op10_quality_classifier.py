@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from dealscope.llm import text as T
+from dealscope.llm.rows import held, released
 
 WORDS, SHAPES, DIM, NONZERO = 4096, 1024, 32, 4
 MAX_TRAIN = 12_000
@@ -215,9 +216,10 @@ def score(docs: DataFrame, model, *, text_col="text") -> DataFrame:
     return docs.withColumn("_score", predict(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def keep_good(spark, docs: DataFrame, labels: DataFrame, *, threshold=THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold=THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold; columns as they are."""
-    return score(docs, fit(docs, labels)).filter(F.col("_score") >= threshold).drop("_score")
+    rows = held(docs, _words=F.col("text"))
+    return released(score(rows, fit(docs, labels), text_col="_words").filter(F.col("_score") >= threshold))
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
-_GROUP = re.compile(r"\(?(?<![0-9])[0-9](?:[\x20().-]{0,2}[0-9])*")
+_GROUP = re.compile(r"\(?(?<![A-Za-z0-9.])[0-9](?:[\x20().-]{0,2}[0-9])*(?![A-Za-z0-9])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[0-9][A-Za-z0-9._%+-]*")
 _DIGITS = re.compile(r"[^0-9]+")
 
@@ -108,8 +108,8 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
                 out.append((s, e, 0))
 
     if taken:
+        add(_GROUP, 7)
         add(_TOKEN, 4)
-        add(_GROUP, 5)
     return sorted(out)
 
 

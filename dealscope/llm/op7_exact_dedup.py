@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealscope.llm.rows import held, released
 from dealscope.session import materialize_table
 
 HOT = 512
@@ -125,7 +126,7 @@ _SCHEMA = "_len bigint, _sha binary, _id bigint, _owner bigint, _first boolean,
 def _tries(rows: DataFrame, salt: Column | None) -> DataFrame:
     by = ["_len", "_sha"] + ([salt] if salt is not None else [])
     return (
-        rows.repartition(*by).sortWithinPartitions("_len", "_sha", *([salt] if salt is not None else []), F.col("_id").asc_nulls_last())
+        rows.repartition(*by).sortWithinPartitions("_len", "_sha", F.col("_id").asc_nulls_last())
         .select("_len", "_sha", "_id", "_salts", "_text")
         .mapInArrow(_owners(salt is not None), _SCHEMA)
     )
@@ -158,15 +159,16 @@ def exact_groups(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFr
 
 def drop_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` without the rows whose text an earlier row holds; all columns kept."""
-    columns = docs.columns
-    marks = materialize_table(exact_groups(docs, id_col=id_col, text_col=text_col).filter("_n > 1").groupBy("_id", "_len", "_sha").agg(
-        F.max(F.col("_kept").cast("int")).alias("_k"), F.count(F.lit(1)).alias("_c")))
+    marks = exact_groups(docs, id_col=id_col, text_col=text_col).filter("_n > 1").groupBy("_id", "_len", "_sha").agg(
+        F.max(F.col("_kept").cast("int")).alias("_k"), F.count(F.lit(1)).alias("_c"))
+    marks = materialize_table(marks.filter("_k = 0 or _c > 1"))
     norm = normalised(F.col(text_col)).cast("binary")
-    keyed = docs.withColumn("_dlen", F.octet_length(norm).cast("bigint")).withColumn("_dsha", F.unhex(F.sha2(norm, 256)))
-    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("_id")) & (F.col("_dlen") == F.col("_len")) & (F.col("_dsha") == F.col("_sha"))
-    out = keyed.join(marks.filter("_k = 0 or _c > 1"), same, "left_anti")
-    tied = keyed.join(marks.filter("_k = 1 and _c > 1"), same, "left_semi").dropDuplicates([id_col, "_dlen", "_dsha"])
-    return out.unionByName(tied).select(*columns)
+    rows = held(docs, _did=F.col(id_col).cast("bigint"), _dlen=F.octet_length(norm).cast("bigint"), _dsha=F.unhex(F.sha2(norm, 256)))
+    same = F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dlen") == F.col("_len")) & (F.col("_dsha") == F.col("_sha"))
+    out = rows.join(marks, same, "left_anti")
+    # a kept id that stands in several rows with this text: one of them
+    tied = rows.join(marks.filter("_k = 1"), same, "left_semi").dropDuplicates(["_did", "_dlen", "_dsha"])
+    return released(out.unionByName(tied))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

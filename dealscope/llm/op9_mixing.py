@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealscope.llm.rows import held, released
 from dealscope.session import materialize_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,11 +101,11 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     )
 
 
-def expand(docs: DataFrame, **options) -> DataFrame:
+def expand(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
     """The mixed corpus: each document as many times as it is taken."""
-    columns = docs.columns
-    out = mix(docs, **options).filter(F.col("_copies") > 0)
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*columns)
+    rows = held(docs, _id=F.col(id_col), _text=F.col(text_col), _from=F.col(source_col))
+    out = mix(rows, id_col="_id", text_col="_text", source_col="_from", **options).filter(F.col("_copies") > 0)
+    return released(out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))))
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
