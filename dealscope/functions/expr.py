@@ -106,24 +106,28 @@ def status_norm(c: ColumnOrName) -> Column:
 # --------------------------------------------------------------------------
 # parsers
 # --------------------------------------------------------------------------
-MONEY_TYPE = "decimal(18,2)"
-SUM_MONEY_TYPE = "decimal(38,2)"
+# 29 digits before and 9 after the point: amounts keep their digits.
+MONEY_TYPE = "decimal(38,9)"
+SUM_MONEY_TYPE = "decimal(38,9)"
 WEIGHTED_TYPE = "decimal(38,6)"
-PROB_TYPE = "decimal(6,4)"
+PROB_TYPE = "decimal(17,16)"
+_NUMERIC = "^(double|float|tinyint|smallint|int|bigint|decimal)"
 
 
 def money_parse(c: ColumnOrName) -> Column:
     """Keep digits, '.', '-' and parse; unusable text -> null.
 
     Units are ignored on purpose (``Rs. 5,000`` -> 0.50, ``68.82 Cr`` ->
-    68.82); result is an exact ``decimal(18,2)``.
+    68.82); result is an exact ``decimal(38,9)``.  Numbers pass through:
+    ``typeof`` is a constant of the plan, so only one branch is left in it.
     """
     text = _c(c).cast("string")
+    number = text.try_cast(MONEY_TYPE)
     # The regex drops whitespace too, so no separate strip is needed; text
     # made only of number characters skips the regex altogether.
     plain = F.length(F.translate(text, _NUMBER_CHARS, "")) == 0
     kept = F.when(plain, text).otherwise(F.regexp_replace(text, r"[^0-9.\-]", ""))
-    return F.nullif(kept, F.lit("")).try_cast(MONEY_TYPE)
+    return F.when(F.typeof(_c(c)).rlike(_NUMERIC), number).otherwise(F.nullif(kept, F.lit("")).try_cast(MONEY_TYPE))
 
 
 _NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -143,10 +147,15 @@ def date_parse(c: ColumnOrName, formats: tuple[str, ...] = vocab.DATE_FORMATS) -
     """First declared format that parses wins; otherwise null (``date``)."""
     raw = _c(c).cast("string")
     text = py_strip(raw)
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in formats]
-    # Every declared format starts with a digit: blanks and words skip parsing.
+    # Texts that start with a digit try the formats that do; others the rest.
     first = F.substring(text, 1, 1)
-    general = F.when((first >= "0") & (first <= "9"), F.coalesce(*tries).cast("date"))
+    digits = [F.try_to_timestamp(text, F.lit(f)) for f in formats if not f.startswith(("M" * 3, "E"))]
+    words = [F.try_to_timestamp(text, F.lit(f)) for f in formats if f.startswith(("M" * 3, "E"))]
+    none = F.lit(None).cast("timestamp")
+    general = F.when((first >= "0") & (first <= "9"), F.coalesce(*digits, none).cast("date"))
+    if words:
+        month = F.lower(F.substring(text, 1, 3)).isin(*(m.lower() for m in vocab.MONTHS))
+        general = F.when(month, F.coalesce(*words).cast("date")).otherwise(general)
     if not formats or formats[0] != "yyyy-MM-dd":
         return general
     # Fast path: text shaped exactly dddd-dd-dd can only match yyyy-MM-dd, and

@@ -296,6 +296,8 @@ WORK_ORDER_DATE_COLUMNS = (
     "collection_date",
 )
 
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
 # Date text formats accepted by date_parse, tried in order (Spark patterns).
 DATE_FORMATS = (
     "yyyy-MM-dd",
@@ -303,6 +305,14 @@ DATE_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy/MM/dd",
     "MM/dd/yyyy",
+    "yyyy-MM-dd HH:mm",
+    "yyyy-MM-dd HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    "MMM d, yyyy",
+    "d-MMM-yyyy",
+    "d MMM yyyy",
+    "yyyyMMdd",
 )
 
 
@@ -353,6 +363,30 @@ GAP_ROWS = (
 EMPTY_ISSUE = "No records returned from the source board."
 DUPLICATE_ISSUE = " duplicate rows detected."
 
+# ---------------------------------------------------------------------------
+# FIXED VALUES — answer texts: (heading, text without rows, closing)
+# ---------------------------------------------------------------------------
+ANSWER_ROWS = {"pipeline_by_sector": 8, "pipeline_by_stage": 8, "cross_board": 5}
+ANSWER_FRAMES = {
+    "pipeline_by_sector": (
+        "### Pipeline by sector\n\n",
+        "No sector-level pipeline data is currently available.",
+        "\n\n### Leadership attention\n\nReview concentration in the largest pipeline segments and their "
+        "conversion confidence.",
+    ),
+    "pipeline_by_stage": (
+        "### Pipeline funnel\n\n",
+        "No pipeline-stage data is currently available.",
+        "",
+    ),
+    "cross_board": (
+        "### Cross-board executive view\n\n",
+        "No cross-board data is currently available.",
+        "\n\n### Leadership attention\n\nPrioritize sectors where active execution and billing backlog occur "
+        "together.",
+    ),
+}
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES — question templates (example questions of the dashboard and
 # its documentation, plus router edge cases), in their natural order

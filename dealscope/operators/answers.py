@@ -152,11 +152,34 @@ def work_order_grid(work_orders: DataFrame) -> DataFrame:
     return tot.select("*", F.element_at(labels, F.col("i") + 1).alias("grid_sector")).drop("i")
 
 
-def _lines_answer(frame: DataFrame, order: list[Column], line: str) -> DataFrame:
-    """Fold a small ranked result (a top-k report) into one text, in rank order."""
+def _lines_answer(frame: DataFrame, order: list[Column], tool: str) -> DataFrame:
+    """A small ranked result (a top-k report) as one text: heading, lines in
+    rank order and closing, or the text for no rows."""
+    head, none, closing = vocab.ANSWER_FRAMES[tool]
     ranked = frame.select(F.struct(*[o.alias(f"k{j}") for j, o in enumerate(order)],
-                                   F.col(line).alias("line")).alias("r"))
-    return ranked.agg(F.array_join(F.array_sort(F.collect_list("r"))["line"], "\n").alias("text"))
+                                   F.col("line")).alias("r"))
+    lines = ranked.agg(F.array_sort(F.collect_list("r"))["line"].alias("lines"))
+    body = F.concat(F.array_join("lines", "\n"), F.lit(closing))
+    return lines.select(F.concat(F.lit(head), F.when(F.size("lines") > 0, body).otherwise(F.lit(none))).alias("text"))
+
+
+def sector_answer(deals: DataFrame) -> DataFrame:
+    """The full text of the by-sector answer (one row)."""
+    top = sales.top_sectors(deals, vocab.ANSWER_ROWS["pipeline_by_sector"])
+    return _lines_answer(routing.sector_narrative(top), [-F.col("pipeline"), F.col("sector")], "pipeline_by_sector")
+
+
+def stage_answer(deals: DataFrame) -> DataFrame:
+    """The full text of the by-stage answer (one row)."""
+    top = sales.top_stages(deals, vocab.ANSWER_ROWS["pipeline_by_stage"])
+    return _lines_answer(routing.stage_narrative(top), [-F.col("pipeline"), F.col("stage")], "pipeline_by_stage")
+
+
+def cross_board_answer(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
+    """The full text of the cross-board answer (one row)."""
+    top = cross.top_backlog_sectors(deals, work_orders, vocab.ANSWER_ROWS["cross_board"]).select(
+        "sector", "billing_backlog", "pipeline", routing.cross_board_line().alias("line"))
+    return _lines_answer(top, [-F.col("billing_backlog"), -F.col("pipeline"), F.col("sector")], "cross_board")
 
 
 def tool_answers(deals: DataFrame, work_orders: DataFrame, as_of=None) -> DataFrame:
@@ -173,21 +196,14 @@ def tool_answers(deals: DataFrame, work_orders: DataFrame, as_of=None) -> DataFr
     label = F.coalesce(F.col("grid_sector"), F.lit(vocab.ALL_SECTORS))
     wo_sum = wo.select("grid_sector", *summary_columns(label))
     wo_fin = wo.select("grid_sector", *financial_columns(label))
-    top_s = routing.sector_narrative(sales.top_sectors(deals))
-    top_g = routing.stage_narrative(sales.top_stages(deals))
-    by_sector = _lines_answer(top_s, [-F.col("pipeline"), F.col("sector")], "line")
-    by_stage = _lines_answer(top_g, [-F.col("pipeline"), F.col("stage")], "line")
-    cb = cross.top_backlog_sectors(deals, work_orders).select(
-        "sector", "billing_backlog", "pipeline", routing.cross_board_line().alias("line"))
-    by_backlog = _lines_answer(cb, [-F.col("billing_backlog"), -F.col("pipeline"), F.col("sector")], "line")
     parts = [
         cell(ps, "pipeline_summary", narrative.pipeline_summary_text_col(), F.col("grid_sector"),
              F.col("grid_period")),
         cell(wo_sum, "work_order_summary", narrative.work_order_text_col(), F.col("grid_sector")),
         cell(wo_fin, "financial_summary", narrative.financial_text_col(), F.col("grid_sector")),
-        cell(by_sector, "pipeline_by_sector", F.col("text")),
-        cell(by_stage, "pipeline_by_stage", F.col("text")),
-        cell(by_backlog, "cross_board", F.col("text")),
+        cell(sector_answer(deals), "pipeline_by_sector", F.col("text")),
+        cell(stage_answer(deals), "pipeline_by_stage", F.col("text")),
+        cell(cross_board_answer(deals, work_orders), "cross_board", F.col("text")),
         cell(narrative.leadership_text(deals, work_orders), "leadership_update", F.col("text")),
         cell(narrative.data_quality_text(deals, work_orders), "data_quality", F.col("text")),
     ]

@@ -30,10 +30,12 @@ def drop_header_rows(df: DataFrame, column: str = "deal_name", header: str = "de
     return df.filter(~name.eqNullSafe(F.lit(header)))
 
 
-def clean_deals(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def clean_deals(raw: DataFrame, keep: tuple[str, ...] = (),
+                formats: tuple[str, ...] = vocab.DATE_FORMATS) -> DataFrame:
     """Canonical names -> header filter -> typed sector/status/value/prob/dates.
 
     ``keep``: key columns carried through unchanged (not header-matched).
+    ``formats``: the date formats to try, in order.
     """
     df = schema.deal_columns(raw, keep)
     if "deal_name" not in df.columns and "__item_name" in df.columns:
@@ -48,14 +50,15 @@ def clean_deals(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         t["deal_value"] = X.money_parse("deal_value")
     for c in vocab.DEAL_DATE_COLUMNS:
         if c in df.columns:
-            t[c] = X.date_parse(c)
+            t[c] = X.date_parse(c, formats)
     extra = {}
     if "closure_probability" in df.columns:
         extra["probability_numeric"] = X.probability_parse("closure_probability")
     return _project(df, t, extra)
 
 
-def clean_work_orders(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def clean_work_orders(raw: DataFrame, keep: tuple[str, ...] = (),
+                      formats: tuple[str, ...] = vocab.DATE_FORMATS) -> DataFrame:
     """Canonical names -> typed sector/status/8 money/6 date columns."""
     df = schema.work_order_columns(raw, keep)
     if "deal_name" not in df.columns and "__item_name" in df.columns:
@@ -70,5 +73,5 @@ def clean_work_orders(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             t[c] = X.money_parse(c)
     for c in vocab.WORK_ORDER_DATE_COLUMNS:
         if c in df.columns:
-            t[c] = X.date_parse(c)
+            t[c] = X.date_parse(c, formats)
     return _project(df, t, {})

@@ -14,36 +14,41 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructType
 
 from ..functions import expr as X
 from ..functions.vocab import DUPLICATE_ISSUE, EMPTY_ISSUE, GAP_ROWS
 from .sales import pipeline_summary
 
 
-def _missing(df: DataFrame, name: str) -> Column:
+def _missing(df: DataFrame, name: str, blank: bool = False) -> Column:
     c = F.col(f"`{name}`")
     dtype = df.schema[name].dataType
     if isinstance(dtype, (DoubleType, FloatType)):
         return c.isNull() | F.isnan(c)
+    if blank and isinstance(dtype, StringType):
+        return c.isNull() | (X.py_strip(c) == "")
     return c.isNull()
 
 
-def _profile_row(df: DataFrame) -> DataFrame:
+def _profile_row(df: DataFrame, blank: bool = False) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
-    aggs += [F.count_if(_missing(df, n)).alias(f"m{i}") for i, n in enumerate(df.columns)]
+    aggs += [F.count_if(_missing(df, n, blank)).alias(f"m{i}") for i, n in enumerate(df.columns)]
     return df.agg(*aggs)
 
 
-def missing_profile(df: DataFrame, dataset: str) -> DataFrame:
-    """Q1: per column (in order) null count, pct (1 dp), and whether it is reported (>= 10)."""
+def missing_profile(df: DataFrame, dataset: str, blank_is_missing: bool = False) -> DataFrame:
+    """Q1: per column (in order) null count, pct (1 dp), and whether it is reported (>= 10).
+
+    With ``blank_is_missing`` blank texts count as missing, too (L1).
+    """
     rows = F.col("rows")
     entries = F.array(*[
         F.struct(F.lit(i + 1).alias("position"), F.lit(n).alias("column_name"),
                  F.col(f"m{i}").alias("missing"))
         for i, n in enumerate(df.columns)
     ])
-    long = _profile_row(df).select(rows, F.inline(entries))
+    long = _profile_row(df, blank_is_missing).select(rows, F.inline(entries))
     pct = F.when(rows == 0, F.lit(0.0)).otherwise(X.py_round(F.col("missing") / rows * 100, 1))
     return long.select(
         F.lit(dataset).alias("dataset"), "position", "column_name", "missing",
@@ -52,10 +57,6 @@ def missing_profile(df: DataFrame, dataset: str) -> DataFrame:
     )
 
 
-# Verification broadcasts the candidate fingerprints (two longs plus the
-# null masks per group) to every task; beyond this many groups it shuffles
-# the candidate rows instead.
-FP_BROADCAST_LIMIT = 1 << 20
 _FP_SALT = "dealscope-row-fingerprint"
 _MASK_BITS = 62
 
@@ -118,30 +119,19 @@ def _fingerprint_summary(df: DataFrame, keys: list[str]) -> tuple[DataFrame, lis
     return materialize(summary), mnames
 
 
-def _exact_duplicates(df: DataFrame, keys: list[str], summary: DataFrame | None,
-                      mnames: list[str]) -> DataFrame | None:
+def _exact_duplicates(df: DataFrame, keys: list[str], summary: DataFrame, mnames: list[str]) -> DataFrame:
     """Phase 2: exact row equality, only for rows whose fingerprint repeats.
 
-    Returns one row ``_dups`` (sum over identical-row groups of n - 1), or
-    None when no fingerprint repeats.  The candidate set is counted first:
-    up to ``FP_BROADCAST_LIMIT`` groups it is broadcast and filters the rows
-    map-side, so only candidate rows reach the exact ``groupBy``; above it,
-    every row is grouped exactly (copies collapse map-side).
+    Returns one row ``_dups`` (sum over identical-row groups of n - 1).  A
+    semi-join with the repeated fingerprints leaves only candidate rows for
+    the exact ``groupBy``; AQE picks its strategy from the measured size of
+    that small side, and copies collapse map-side.
     """
     cols = [F.col(f"`{c}`") for c in keys]
-    if summary is None:
-        rows = df
-    else:
-        cands = summary.filter(F.col("_h1").isNotNull()).select("_h1", "_h2", *mnames)
-        n = cands.count()
-        if n == 0:
-            return None
-        if n <= FP_BROADCAST_LIMIT:
-            h1, h2 = _fingerprint(cols)
-            tagged = df.select(*cols, h1.alias("_h1"), h2.alias("_h2"), *_masks(df, keys))
-            rows = tagged.join(F.broadcast(cands), ["_h1", "_h2", *mnames], "left_semi")
-        else:
-            rows = df
+    cands = summary.filter(F.col("_h1").isNotNull()).select("_h1", "_h2", *mnames)
+    h1, h2 = _fingerprint(cols)
+    tagged = df.select(*cols, h1.alias("_h1"), h2.alias("_h2"), *_masks(df, keys))
+    rows = tagged.join(cands, ["_h1", "_h2", *mnames], "left_semi")
     g = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("_dups"))
 
@@ -152,8 +142,8 @@ def _fingerprintable(df: DataFrame, keys: list[str]) -> bool:
     return not any(_nested_float(df.schema[c].dataType) for c in keys)
 
 
-def _dup_count(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None, list[str]]:
-    """(rows/bitmaps summary or raw rows, exact duplicate frame or None, mask names)."""
+def _dup_count(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows/bitmaps summary or raw rows, exact duplicate frame, mask names)."""
     if _fingerprintable(df, keys):
         summary, mnames = _fingerprint_summary(df, keys)
         return summary, _exact_duplicates(df, keys, summary, mnames), mnames
@@ -161,16 +151,15 @@ def _dup_count(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | N
     return g, g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("_dups")), []
 
 
-def _combine(totals: DataFrame, dups: DataFrame | None) -> DataFrame:
-    """One row: ``rows`` and the other totals, plus ``_dups`` (0 when absent).
+def _combine(totals: DataFrame, dups: DataFrame) -> DataFrame:
+    """One row: ``rows`` and the other totals, plus ``_dups``.
 
     Both inputs are one-row aggregates; they are merged with a union and a
     global aggregate, so no join is needed.
     """
     t = totals.withColumn("_dups", F.lit(0).cast("bigint"))
-    if dups is not None:
-        fill = [F.lit(None).cast(t.schema[c].dataType).alias(c) for c in totals.columns]
-        t = t.unionByName(dups.select(*fill, "_dups"))
+    fill = [F.lit(None).cast(t.schema[c].dataType).alias(c) for c in totals.columns]
+    t = t.unionByName(dups.select(*fill, "_dups"))
     return t.agg(*[F.max(c).alias(c) for c in totals.columns], F.sum("_dups").alias("_dups"))
 
 

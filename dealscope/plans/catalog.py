@@ -7,6 +7,7 @@ tables.  ``AS_OF`` pins "today" for the period filters.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..functions import expr as X
 from ..operators import answers, clean, cross, leadership, narrative, operations, quality, routing, sales
 from ..operators.filters import open_deals, period_filter, sector_filter
 from ..sources import board, fixtures
+from ..session import checkpoint_dir
 from . import oracle as O
 
 AS_OF = O.AS_OF.isoformat()
@@ -152,13 +154,46 @@ def _board_items(spark, sf):
     return board.board_items_to_table(items, cols)
 
 
+def _landed(df: DataFrame) -> str:
+    """``df`` written as JSON lines into the shared folder; the path."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/landed/{uuid.uuid4().hex}"
+    df.write.option("ignoreNullFields", "false").json(path)
+    return path
+
+
 def _board_pages(spark, sf):
     items, _ = board.items_from_table(raw_deals(spark, sf))
-    pages = board.items_to_pages(items.withColumn("_k", F.col("id").cast("bigint")), "_k")
-    out = board.pages_to_items(pages)
-    return out.select("id", "name", "created_at", "updated_at",
-                      F.col("column_values")[0]["text"].alias("first_text"),
-                      F.size("column_values").alias("n_values"))
+    path = _landed(board.items_to_pages(items.withColumn("_k", F.col("id").cast("bigint")), "_k"))
+    out = board.read_board_pages(spark, path)
+    texts = F.concat_ws("\x1f", F.transform("column_values", lambda v: F.coalesce(v["text"], F.lit("<null>"))))
+    return out.select("id", "name", "created_at", "updated_at", texts.alias("texts"), F.size("column_values").alias("n_values"))
+
+
+def _board_catalogue(spark, sf):
+    _, cols = board.items_from_table(raw_deals(spark, sf))
+    column = F.struct(F.col("column_id").alias("id"), "title", "type")
+    boards = cols.agg(F.collect_list(column).alias("columns")).select(
+        F.lit("1").alias("id"), F.lit("Deals").alias("name"), F.lit("active").alias("state"), "columns")
+    return board.read_board_columns(spark, _landed(boards))
+
+
+def _name_fallback(spark, sf):
+    """P5: without a name column the item name stands in."""
+    return clean.clean_deals(raw_deals(spark, sf).drop("Deal Name")).select("__item_id", "deal_name")
+
+
+def _safe_casts(spark, sf):
+    t = fixtures.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    text = (F.when(F.col("l_linenumber") == 1, F.col("l_returnflag")).when(F.col("l_linenumber") == 2, F.lit(None))
+            .otherwise(F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(".75"))))
+    return t.select("l_orderkey", "l_linenumber", X.safe_float(text).alias("as_float"), X.safe_int(text).alias("as_int"))
+
+
+def _display_pick(spark, sf):
+    t = fixtures.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    shown = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority"))
+    value = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice") * F.pow(F.lit(10.0), F.col("o_orderkey") % 4))
+    return t.select("o_orderkey", X.display_or_money(shown, value).alias("shown"))
 
 
 def _questions(spark, sf):
@@ -257,7 +292,15 @@ def queries() -> dict[str, QueryFn]:
         _route_raw(spark, sf), deals(spark, sf), work_orders(spark, sf), AS_OF)
     q["board_items_to_table"] = _board_items
     q["board_pages_union"] = _board_pages
+    q["board_column_catalogue"] = _board_catalogue
     q["source_coverage"] = _dw(board.source_coverage)
+    q["name_fallback"] = _name_fallback
+    q["safe_casts"] = _safe_casts
+    q["display_pick"] = _display_pick
+    q["missing_profile_deals_blank"] = _d(lambda d: quality.missing_profile(d, "Deals", blank_is_missing=True))
+    q["sector_answer"] = _d(answers.sector_answer)
+    q["stage_answer"] = _d(answers.stage_answer)
+    q["cross_board_answer"] = _dw(answers.cross_board_answer)
     return q
 
 
@@ -269,5 +312,13 @@ def oracle_sql() -> dict[str, str]:
         s[name] = _scalar_sql(raw, col, sql_fn)
     s["money_display"] = _wo_money_rows_sql()
     s["quarter_bounds"] = _quarter_bounds_sql()
+    s["safe_casts"] = """
+SELECT l_orderkey, l_linenumber, coalesce(try_cast(x AS DOUBLE), 0.0) AS as_float,
+       CAST(trunc(coalesce(try_cast(x AS DOUBLE), 0.0)) AS BIGINT) AS as_int
+FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_returnflag WHEN l_linenumber = 2 THEN NULL
+        ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.75' END AS x FROM lineitem) t"""
+    s["display_pick"] = f"""
+SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, {O.money_signed("v")}) AS shown
+FROM (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice * pow(10.0, o_orderkey % 4) END AS v FROM orders) t"""
     s.update(OQ.statements(SUMMARY_VARIANTS))
     return s

@@ -63,7 +63,7 @@ def status_norm(x: str) -> str:
 
 
 def money_parse(x: str) -> str:
-    return f"TRY_CAST(nullif(regexp_replace({strip(x)}, '[^0-9.\\-]', '', 'g'), '') AS DECIMAL(18,2))"
+    return f"TRY_CAST(nullif(regexp_replace({strip(x)}, '[^0-9.\\-]', '', 'g'), '') AS DECIMAL(38,9))"
 
 
 NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"

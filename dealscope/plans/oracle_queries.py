@@ -45,7 +45,7 @@ def summary_cte(sector=None, period=None, name="ps") -> tuple[str, str]:
     sum(CASE WHEN f_ THEN deal_value END) AS gross,
     count(*) FILTER (WHERE f_ AND pr BETWEEN 0 AND 1) AS n_prob,
     count(*) FILTER (WHERE f_ AND pr BETWEEN 0 AND 1 AND vnn) AS n_weighted,
-    sum(CASE WHEN f_ AND pr BETWEEN 0 AND 1 AND vnn THEN deal_value * CAST(pr AS DECIMAL(6,4)) END) AS weighted,
+    sum(CASE WHEN f_ AND pr BETWEEN 0 AND 1 AND vnn THEN CAST(deal_value AS DECIMAL(20,2)) * CAST(pr AS DECIMAL(17,16)) END) AS weighted,
     count(*) FILTER (WHERE f_ AND {norm('sector')} = '') AS n_unknown
   FROM {name}_f GROUP BY 1),
 {name}_t AS (
@@ -53,7 +53,7 @@ def summary_cte(sector=None, period=None, name="ps") -> tuple[str, str]:
     CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(n_value), 0) AS BIGINT) AS n_value,
     CAST(coalesce(sum(n_prob), 0) AS BIGINT) AS n_prob, CAST(coalesce(sum(n_weighted), 0) AS BIGINT) AS n_weighted,
     CAST(coalesce(sum(n_unknown), 0) AS BIGINT) AS n_unknown,
-    CAST(coalesce(sum(gross), 0) AS DECIMAL(38,2)) AS gross,
+    CAST(coalesce(sum(gross), 0) AS DECIMAL(38,9)) AS gross,
     CAST(coalesce(sum(weighted), 0) AS DECIMAL(38,6)) AS weighted,
     max(coalesce(gross, 0)) AS top_group
   FROM {name}_g),
@@ -78,14 +78,14 @@ def grouped_cte(key: str, label: str, name: str) -> str:
   SELECT {label}, deals, pipeline, {money('pipeline')} AS pipeline_display,
     {pct('pipeline', 'sum(pipeline) OVER ()')} AS pipeline_share_pct
   FROM (SELECT {display(key)} AS {label}, count(*) AS deals,
-          CAST(coalesce(sum(coalesce(deal_value, 0)), 0) AS DECIMAL(38,2)) AS pipeline
+          CAST(coalesce(sum(coalesce(deal_value, 0)), 0) AS DECIMAL(38,9)) AS pipeline
         FROM deals WHERE {O.OPEN} GROUP BY 1) g)"""
 
 
 WO_BY_SECTOR = f"""a8 AS (
   SELECT {display('sector')} AS sector, count(*) FILTER (WHERE {O.ACTIVE}) AS active_work_orders,
     count(*) AS total_work_orders,
-    CAST(coalesce(sum(coalesce(amount_to_be_billed_incl, 0)), 0) AS DECIMAL(38,2)) AS billing_backlog
+    CAST(coalesce(sum(coalesce(amount_to_be_billed_incl, 0)), 0) AS DECIMAL(38,9)) AS billing_backlog
   FROM wo GROUP BY 1)"""
 
 CROSS = f"""{grouped_cte('sector', 'sector', 'a3')},
@@ -93,18 +93,18 @@ CROSS = f"""{grouped_cte('sector', 'sector', 'a3')},
 cb AS (
   SELECT {display('coalesce(a3.sector, a8.sector)')} AS sector,
     CAST(coalesce(a3.deals, 0) AS BIGINT) AS deals,
-    CAST(coalesce(a3.pipeline, 0) AS DECIMAL(38,2)) AS pipeline,
+    CAST(coalesce(a3.pipeline, 0) AS DECIMAL(38,9)) AS pipeline,
     {money('coalesce(a3.pipeline, 0)')} AS pipeline_display,
     coalesce(a3.pipeline_share_pct, 0.0) AS pipeline_share_pct,
     CAST(coalesce(a8.active_work_orders, 0) AS BIGINT) AS active_work_orders,
     CAST(coalesce(a8.total_work_orders, 0) AS BIGINT) AS total_work_orders,
-    CAST(coalesce(a8.billing_backlog, 0) AS DECIMAL(38,2)) AS billing_backlog,
+    CAST(coalesce(a8.billing_backlog, 0) AS DECIMAL(38,9)) AS billing_backlog,
     {money('coalesce(a8.billing_backlog, 0)')} AS billing_backlog_display
   FROM a3 FULL OUTER JOIN a8 ON a3.sector = a8.sector)"""
 
 
 def wo_kpis(where: str = "TRUE", name: str = "k") -> str:
-    m = lambda c: f"CAST(coalesce(sum(coalesce({c}, 0)), 0) AS DECIMAL(38,2))"
+    m = lambda c: f"CAST(coalesce(sum(coalesce({c}, 0)), 0) AS DECIMAL(38,9))"
     return f"""{name} AS (
   SELECT count(*) AS total_work_orders, count(*) FILTER (WHERE {O.ACTIVE}) AS active_work_orders,
     count(*) FILTER (WHERE {O.COMPLETED}) AS completed_work_orders,
@@ -136,9 +136,13 @@ def _sector_where(sector):
     return f"{norm('sector')} = {q(' '.join(sector.strip().lower().split()))}" if sector else "TRUE"
 
 
-def missing_profile_sql(table: str, columns: list[str], dataset: str, double_cols=()) -> str:
+def missing_profile_sql(table: str, columns: list[str], dataset: str, double_cols=(), blank: bool = False) -> str:
+    typed = ("deal_value", "close_date", "tentative_close_date", "created_date", *double_cols)
+
     def miss(c):
         e = f"{ident(c)} IS NULL"
+        if blank and c not in typed:
+            return f"({e} OR {O.strip(ident(c))} = '')"
         return f"({e} OR isnan({ident(c)}))" if c in double_cols else e
     aggs = ", ".join(f"count(*) FILTER (WHERE {miss(c)}) AS m{i}" for i, c in enumerate(columns))
     parts = []
@@ -199,7 +203,7 @@ def _signal_sql(order, cond, typ, sev, msg, sector="NULL", share="NULL", amount=
                 amount_display="NULL", deals="NULL"):
     return (f"SELECT {order} AS signal_order, {q(typ)} AS type, {q(sev)} AS severity, "
             f"CAST({sector} AS VARCHAR) AS sector, CAST({share} AS DOUBLE) AS share_pct, "
-            f"CAST({amount} AS DECIMAL(38,2)) AS amount, CAST({amount_display} AS VARCHAR) AS amount_display, "
+            f"CAST({amount} AS DECIMAL(38,9)) AS amount, CAST({amount_display} AS VARCHAR) AS amount_display, "
             f"CAST({deals} AS BIGINT) AS deals, {q(msg)} AS message FROM kr WHERE {cond}")
 
 
@@ -259,8 +263,8 @@ def statements(summary_variants: dict) -> dict[str, str]:
         s[name] = DEALS_ONLY.rstrip() + ",\n" + cte + "\nSELECT * FROM ps"
     s["sector_concentration"] = DEALS_ONLY.rstrip() + ",\n" + grouped_cte("sector", "sector", "g") + """
 SELECT (SELECT sector FROM g ORDER BY pipeline DESC, sector ASC LIMIT 1) AS top_sector,
-  max(pipeline) AS top_sector_pipeline, CAST(coalesce(sum(pipeline), 0) AS DECIMAL(38,2)) AS gross_pipeline,
-  CASE WHEN coalesce(sum(pipeline), 0) > 0 THEN """ + pct("max(pipeline)", "CAST(coalesce(sum(pipeline), 0) AS DECIMAL(38,2))") + """ ELSE 0.0 END AS concentration_pct
+  max(pipeline) AS top_sector_pipeline, CAST(coalesce(sum(pipeline), 0) AS DECIMAL(38,9)) AS gross_pipeline,
+  CASE WHEN coalesce(sum(pipeline), 0) > 0 THEN """ + pct("max(pipeline)", "CAST(coalesce(sum(pipeline), 0) AS DECIMAL(38,9))") + """ ELSE 0.0 END AS concentration_pct
 FROM g"""
     for key, label, name, lim in (("sector", "sector", "pipeline_by_sector", None),
                                   ("deal_stage", "stage", "pipeline_by_stage", None),
@@ -305,16 +309,16 @@ FROM g"""
         for i, (label, col, desc) in enumerate(GAP_ROWS))
     s["leadership_deals_sets"] = DEALS_ONLY + f"""SELECT CASE GROUPING(sector_d, stage_d) WHEN 1 THEN 'sector' WHEN 2 THEN 'stage' ELSE 'total' END AS grouping,
   coalesce(sector_d, stage_d) AS label, count(*) AS deals,
-  CAST(coalesce(sum(coalesce(deal_value, 0)), 0) AS DECIMAL(38,2)) AS pipeline,
+  CAST(coalesce(sum(coalesce(deal_value, 0)), 0) AS DECIMAL(38,9)) AS pipeline,
   count(*) FILTER (WHERE deal_value IS NOT NULL) AS deals_with_value,
   count(*) FILTER (WHERE ok) AS deals_with_probability,
-  CAST(coalesce(sum(CASE WHEN ok AND deal_value IS NOT NULL THEN deal_value * CAST(pr AS DECIMAL(6,4)) END), 0) AS DECIMAL(38,6)) AS weighted_pipeline
+  CAST(coalesce(sum(CASE WHEN ok AND deal_value IS NOT NULL THEN CAST(deal_value AS DECIMAL(20,2)) * CAST(pr AS DECIMAL(17,16)) END), 0) AS DECIMAL(38,6)) AS weighted_pipeline
 FROM (SELECT *, {display('sector')} AS sector_d, {display('deal_stage')} AS stage_d,
         coalesce(pr BETWEEN 0 AND 1, FALSE) AS ok
       FROM (SELECT *, CASE WHEN probability_numeric <= 1 THEN probability_numeric ELSE probability_numeric / 100 END AS pr
             FROM deals WHERE {O.OPEN}) x) y
 GROUP BY GROUPING SETS ((sector_d), (stage_d), ())"""
-    m = lambda c: f"CAST(coalesce(sum(coalesce({c}, 0)), 0) AS DECIMAL(38,2))"
+    m = lambda c: f"CAST(coalesce(sum(coalesce({c}, 0)), 0) AS DECIMAL(38,9))"
     s["leadership_wo_sets"] = WO_ONLY + f"""SELECT CASE GROUPING(sector_d, status_d) WHEN 1 THEN 'sector' WHEN 2 THEN 'status' ELSE 'total' END AS grouping,
   coalesce(sector_d, status_d) AS label, count(*) AS work_orders,
   count(*) FILTER (WHERE {O.ACTIVE}) AS active_work_orders, count(*) FILTER (WHERE {O.COMPLETED}) AS completed_work_orders,
@@ -364,10 +368,10 @@ GROUP BY GROUPING SETS ((sector_d), (status_d), ())"""
         "SELECT 6, 'Amount to be billed', tbb_display FROM ops",
     ])
     s["scenario_remove_sector"] = DEALS_ONLY.rstrip() + ",\n" + grouped_cte("sector", "sector", "g") + f""",
-t AS (SELECT CAST(coalesce(sum(pipeline), 0) AS DECIMAL(38,2)) AS total,
+t AS (SELECT CAST(coalesce(sum(pipeline), 0) AS DECIMAL(38,9)) AS total,
         (SELECT sector FROM g ORDER BY pipeline DESC, sector ASC LIMIT 1) AS leader FROM g)
 SELECT sector, total AS current_pipeline, pipeline AS pipeline_removed,
-  CAST(total - pipeline AS DECIMAL(38,2)) AS scenario_pipeline,
+  CAST(total - pipeline AS DECIMAL(38,9)) AS scenario_pipeline,
   CASE WHEN total <> 0 THEN CAST(total - pipeline AS DOUBLE) / CAST(total AS DOUBLE) * 100 ELSE 0.0 END AS scenario_share_pct,
   sector = leader AS is_largest,
   {money_signed('total')} AS current_pipeline_display,
@@ -385,22 +389,22 @@ SELECT CAST(t AS INTEGER) AS target_collection_pct,
 FROM fin, range(50, 101) r(t)"""
     s["snapshot_delta"] = BOTH.rstrip() + f""",
 d AS (SELECT {display('sector')} AS sector, CAST(date_trunc('month', created_date) AS DATE) AS snapshot_date,
-        CAST(coalesce(sum(deal_value), 0) AS DECIMAL(38,2)) AS gross_pipeline,
-        CAST(coalesce(sum(CASE WHEN pr BETWEEN 0 AND 1 AND deal_value IS NOT NULL THEN deal_value * CAST(pr AS DECIMAL(6,4)) END), 0) AS DECIMAL(38,6)) AS weighted_pipeline,
+        CAST(coalesce(sum(deal_value), 0) AS DECIMAL(38,9)) AS gross_pipeline,
+        CAST(coalesce(sum(CASE WHEN pr BETWEEN 0 AND 1 AND deal_value IS NOT NULL THEN CAST(deal_value AS DECIMAL(20,2)) * CAST(pr AS DECIMAL(17,16)) END), 0) AS DECIMAL(38,6)) AS weighted_pipeline,
         count(*) AS open_deals
       FROM (SELECT *, CASE WHEN probability_numeric <= 1 THEN probability_numeric ELSE probability_numeric / 100 END AS pr
             FROM deals WHERE {O.OPEN}) x GROUP BY 1, 2),
 w AS (SELECT {display('sector')} AS sector, CAST(date_trunc('month', po_date) AS DATE) AS snapshot_date,
         count(*) FILTER (WHERE {O.ACTIVE}) AS active_work_orders,
-        CAST(coalesce(sum(coalesce(amount_receivable, 0)), 0) AS DECIMAL(38,2)) AS receivable
+        CAST(coalesce(sum(coalesce(amount_receivable, 0)), 0) AS DECIMAL(38,9)) AS receivable
       FROM wo GROUP BY 1, 2),
 snaps AS (
   SELECT coalesce(d.sector, w.sector) AS sector, coalesce(d.snapshot_date, w.snapshot_date) AS snapshot_date,
-    coalesce(d.gross_pipeline, CAST(0 AS DECIMAL(38,2))) AS gross_pipeline,
+    coalesce(d.gross_pipeline, CAST(0 AS DECIMAL(38,9))) AS gross_pipeline,
     coalesce(d.weighted_pipeline, CAST(0 AS DECIMAL(38,6))) AS weighted_pipeline,
     CAST(coalesce(d.open_deals, 0) AS BIGINT) AS open_deals,
     CAST(coalesce(w.active_work_orders, 0) AS BIGINT) AS active_work_orders,
-    coalesce(w.receivable, CAST(0 AS DECIMAL(38,2))) AS receivable
+    coalesce(w.receivable, CAST(0 AS DECIMAL(38,9))) AS receivable
   FROM d FULL OUTER JOIN w ON d.sector = w.sector AND d.snapshot_date = w.snapshot_date),
 s AS (SELECT * FROM snaps WHERE snapshot_date IS NOT NULL),
 l AS (SELECT *, """ + ", ".join(
@@ -436,11 +440,18 @@ l AS (SELECT *, """ + ", ".join(
     cols.append("'extra' AS c14")
     s["board_items_to_table"] = O.with_ctes(O.RAW_DEALS) + "SELECT " + ", ".join(cols) + " FROM raw_deals"
     s.update(narrative_statements())
+    s.update(list_answers(s))
+    s["name_fallback"] = O.with_ctes(O.RAW_DEALS) + """SELECT "__item_id", "__item_name" AS deal_name FROM raw_deals"""
+    s["missing_profile_deals_blank"] = DEALS_ONLY.rstrip() + missing_profile_sql(
+        "deals", O.DEAL_COLUMNS, "Deals", ("probability_numeric",), blank=True)
     s["answer_questions"] = answer_questions_sql(s)
     s["answer_questions_raw"] = answer_questions_sql(s, raw=True)
     s["board_pages_union"] = (O.with_ctes(O.RAW_DEALS) + 'SELECT "__item_id" AS id, "__item_name" AS name, '
                               '"__created_at" AS created_at, "__updated_at" AS updated_at, '
-                              '"Deal Name" AS first_text, 12 AS n_values FROM raw_deals')
+                              + " || chr(31) || ".join(f"coalesce({ident(t)}, '<null>')" for t in DEAL_TITLES)
+                              + " AS texts, 12 AS n_values FROM raw_deals")
+    s["board_column_catalogue"] = "SELECT * FROM (VALUES " + ", ".join(
+        f"('c{i + 1:02d}', {q(t)}, 'text')" for i, t in enumerate(DEAL_TITLES)) + ") v(column_id, title, type)"
     s["source_coverage"] = BOTH + ("SELECT 'Deals' AS dataset, count(*) AS records, 'board export' AS source FROM deals "
                                    "UNION ALL SELECT 'Work Orders', count(*), 'board export' FROM wo")
     return s
@@ -547,6 +558,34 @@ def narrative_statements() -> dict[str, str]:
     return s
 
 
+def list_answers(narr: dict[str, str]) -> dict[str, str]:
+    """The full texts of the three list answers, written out on their own."""
+    def frame(source, k, order, head, none, closing):
+        lines = f"SELECT line, row_number() OVER (ORDER BY {order}) AS rn FROM ({source}) x"
+        body = f"string_agg(line, chr(10) ORDER BY rn) || {closing}"
+        return (f"SELECT {q(head)} || {NL2} || CASE WHEN count(*) = 0 THEN {q(none)} ELSE {body} END AS text "
+                f"FROM ({lines}) y WHERE rn <= {k}")
+
+    attention = f"{NL2} || '### Leadership attention' || {NL2} || "
+    backlog = (BOTH.rstrip() + ",\n" + CROSS + (
+        "\nSELECT sector, billing_backlog, pipeline, '- **' || sector || '** — pipeline ' || pipeline_display || "
+        "', ' || CAST(active_work_orders AS VARCHAR) || ' active WOs, billing backlog ' || billing_backlog_display "
+        "AS line FROM cb"))
+    return {
+        "sector_answer": frame(
+            narr["sector_narrative"], 8, "pipeline DESC, sector ASC", "### Pipeline by sector",
+            "No sector-level pipeline data is currently available.",
+            attention + q("Review concentration in the largest pipeline segments and their conversion confidence.")),
+        "stage_answer": frame(
+            narr["stage_narrative"], 8, "pipeline DESC, stage ASC", "### Pipeline funnel",
+            "No pipeline-stage data is currently available.", "''"),
+        "cross_board_answer": frame(
+            backlog, 5, "billing_backlog DESC, pipeline DESC, sector ASC", "### Cross-board executive view",
+            "No cross-board data is currently available.",
+            attention + q("Prioritize sectors where active execution and billing backlog occur together.")),
+    }
+
+
 def answer_questions_sql(narr: dict[str, str], raw: bool = False) -> str:
     """Every routed question joined to its tool's answer text (``raw``: whole conversation turns)."""
     from ..operators.answers import GRID_PERIODS, GRID_SECTORS, PERIOD_TOOLS, SECTOR_TOOLS
@@ -562,19 +601,9 @@ def answer_questions_sql(narr: dict[str, str], raw: bool = False) -> str:
     for sec in GRID_SECTORS:
         cells.append(f"SELECT 'work_order_summary', {lit(sec)}, NULL, text FROM ({wo_text(sec)}) t")
         cells.append(f"SELECT 'financial_summary', {lit(sec)}, NULL, text FROM ({fin_text(sec)}) t")
-    top_sector = (f"SELECT * FROM ({narr['sector_narrative']}) x ORDER BY pipeline DESC, sector ASC LIMIT 5")
-    top_stage = (f"SELECT * FROM ({narr['stage_narrative']}) x ORDER BY pipeline DESC, stage ASC LIMIT 8")
-    top_backlog = (BOTH.rstrip() + ",\n" + CROSS + (
-        "\nSELECT sector, billing_backlog, pipeline, '- **' || sector || '** — pipeline ' || pipeline_display || "
-        "', ' || CAST(active_work_orders AS VARCHAR) || ' active WOs, billing backlog ' || billing_backlog_display "
-        "AS line FROM cb ORDER BY billing_backlog DESC, pipeline DESC, sector ASC LIMIT 5"))
     cells += [
-        "SELECT 'pipeline_by_sector', NULL, NULL, coalesce(string_agg(line, chr(10) ORDER BY pipeline DESC, "
-        f"sector ASC), '') FROM ({top_sector}) t",
-        "SELECT 'pipeline_by_stage', NULL, NULL, coalesce(string_agg(line, chr(10) ORDER BY pipeline DESC, "
-        f"stage ASC), '') FROM ({top_stage}) t",
-        "SELECT 'cross_board', NULL, NULL, coalesce(string_agg(line, chr(10) ORDER BY billing_backlog DESC, "
-        f"pipeline DESC, sector ASC), '') FROM ({top_backlog}) t",
+        *(f"SELECT '{tool}', NULL, NULL, text FROM ({narr[name]}) t" for tool, name in (
+            ("pipeline_by_sector", "sector_answer"), ("pipeline_by_stage", "stage_answer"), ("cross_board", "cross_board_answer"))),
         f"SELECT 'leadership_update', NULL, NULL, text FROM ({narr['leadership_text']}) t",
         f"SELECT 'data_quality', NULL, NULL, text FROM ({narr['data_quality_text']}) t",
     ]

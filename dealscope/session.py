@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +52,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    d = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dealscope-ckpt-")
+    d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="dealscope-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
@@ -91,7 +94,3 @@ def run_concurrently(*thunks):
     with ThreadPoolExecutor(max_workers=len(thunks)) as pool:
         futures = [pool.submit(t) for t in thunks]
         return [f.result() for f in futures]
-
-
-def env_cores(default: str = "8") -> str:
-    return os.environ.get("BENCH_CPUS", default)

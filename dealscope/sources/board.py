@@ -107,7 +107,8 @@ def board_items_to_table(items: DataFrame, columns: DataFrame,
     by_title: dict[str, list[str]] = {}
     for cid in list(titles) + sorted(i for i in ids if i is not None and i not in titles):
         by_title.setdefault(titles.get(cid, cid), []).append(cid)
-    id_arr, text_arr = F.col("column_values.id"), F.col("column_values.text")
+    # from the end, so that of values with one id in an item the last is found first
+    id_arr, text_arr = F.reverse(F.col("column_values.id")), F.reverse(F.col("column_values.text"))
     cols = [F.col("id").alias("__item_id"), F.col("name").alias("__item_name"),
             F.col("created_at").alias("__created_at"), F.col("updated_at").alias("__updated_at")]
     for title, cids in by_title.items():
@@ -117,7 +118,8 @@ def board_items_to_table(items: DataFrame, columns: DataFrame,
         for cid in cids:
             pos = F.coalesce(F.array_position(id_arr, F.lit(cid)), F.lit(0)).cast("int")
             text = F.when(pos > 0, F.coalesce(F.element_at(text_arr, pos), F.lit("")))
-            cands.append(F.struct(pos.alias("p"), text.alias("x")))
+            later = F.when(pos > 0, F.size(id_arr) - pos).otherwise(-1)
+            cands.append(F.struct(later.alias("p"), text.alias("x")))
         best = cands[0] if len(cands) == 1 else F.greatest(*cands)
         cols.append(best["x"].alias(title))
     return items.select(*cols, *[F.col(k) for k in keep])

@@ -18,24 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input read by fewer tasks than there are cores.
-
-    A parquet file with one row group is read by one task, and the per-row
-    derivation and cleaning that follow would all run in that task.  Such
-    an input is hash-partitioned on ``key`` (a unique key, so no partition
-    can be hot) over the default parallelism.  An input that already has
-    that many splits, as any large table has, is left as it is, so this
-    adds no shuffle at scale.
-    """
-    try:
-        n = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()  # plans the scan (file listing); runs no job
-    except Exception:  # no RDD view (e.g. a Connect session): leave the input as it is
-        return df
-    return df.repartition(n, key) if splits < n else df
-
-
 def _d(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
@@ -76,8 +58,7 @@ def _segment_case(seg: Column, mapping: dict, default: str | None) -> Column:
 
 def raw_deals(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """Deals board export: one all-text row per order (FIXTURES §2.1)."""
-    o = spread(orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                             "o_orderdate", "o_orderpriority"), "o_orderkey")
+    o = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     c = customer.select("c_custkey", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
     k = F.col("o_orderkey")

@@ -7,10 +7,11 @@ files (JSON, the landed page shape plus ``export_id``, ``exported_at`` and
 ``foreachBatch`` turns every export in the micro-batch into one KPI
 snapshot row (G5) with one grouped job (the KPIs are aggregated per
 ``export_id``; no loop over exports on the driver) and writes the rows to a
-snapshot table partitioned by ``export_id`` with dynamic partition
-overwrite, so a replayed batch after a failure rewrites the same
-partitions instead of duplicating them.  Change detection (G6) is a
-``lag`` over the snapshot table.
+snapshot table partitioned by ``export_id`` and ``batch_id`` with dynamic
+partition overwrite.  The five KPIs add up, so the pages of one export may
+arrive in several micro-batches: each leaves its part, a replayed batch
+rewrites only its own, and ``snapshots`` sums the parts of an export.
+Change detection (G6) is a ``lag`` over these sums.
 """
 
 from __future__ import annotations
@@ -59,11 +60,6 @@ def export_snapshots(pages: DataFrame, deal_columns: DataFrame, wo_columns: Data
         "export_id")
 
 
-def export_snapshot(pages: DataFrame, deal_columns: DataFrame, wo_columns: DataFrame) -> DataFrame:
-    """KPI snapshot of one export's pages (both boards)."""
-    return export_snapshots(pages, deal_columns, wo_columns).drop("exported_at", "export_id")
-
-
 def start_refresh(
     spark: SparkSession,
     landing_dir: str,
@@ -79,10 +75,12 @@ def start_refresh(
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read by both boards' branches and the export list
-        snap = export_snapshots(batch, deal_columns, wo_columns)
-        (snap.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("export_id").parquet(snapshot_path))
-        batch.unpersist()
+        try:
+            part = export_snapshots(batch, deal_columns, wo_columns).withColumn("batch_id", F.lit(batch_id))
+            (part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("export_id", "batch_id").parquet(snapshot_path))
+        finally:
+            batch.unpersist()
 
     reader = spark.readStream.schema(EXPORT_PAGE).json(landing_dir)
     writer = reader.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_path)
@@ -90,7 +88,15 @@ def start_refresh(
     return writer.start()
 
 
+def snapshots(spark: SparkSession, snapshot_path: str) -> DataFrame:
+    """One KPI row per export: the sum of the parts its micro-batches left."""
+    parts = spark.read.parquet(snapshot_path)
+    kpis = [c for c in parts.columns if c not in ("exported_at", "export_id", "batch_id")]
+    types = dict(parts.dtypes)
+    return parts.groupBy("export_id").agg(
+        F.max("exported_at").alias("exported_at"), *(F.sum(c).cast(types[c]).alias(c) for c in kpis))
+
+
 def snapshot_changes(spark: SparkSession, snapshot_path: str) -> DataFrame:
     """G6 over the snapshot table: change since the previous export."""
-    snaps = spark.read.parquet(snapshot_path)
-    return leadership.snapshot_delta(snaps, order_by="exported_at")
+    return leadership.snapshot_delta(snapshots(spark, snapshot_path), order_by="exported_at")

@@ -78,3 +78,18 @@ def test_answer_join_keeps_questions_in_place(spark, boards):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     outer = [ln for ln in plan.split("\n") if "LeftOuter" in ln]
     assert outer and all("BroadcastHashJoin" in ln and "BuildRight" in ln for ln in outer), outer
+
+
+def test_by_sector_answer_lists_eight_rows_with_heading_and_closing(spark):
+    from dealscope.operators import clean
+
+    raw = spark.createDataFrame([(f"d{i}", "Open", f"Sector {i}", str(100 * (i + 1))) for i in range(9)],
+                                ["Deal Name", "Deal Status", "Sector/service", "Masked Deal value"])
+    text = answers.sector_answer(clean.clean_deals(raw)).first()["text"]
+    assert text.startswith("### Pipeline by sector\n\n- **Sector 8** — ₹900 across 1 deals (20.0% of pipeline)\n")
+    assert text.count("\n- **") == 8 and "Sector 0" not in text
+    assert text.endswith("conversion confidence.")
+    empty = clean.clean_deals(raw.limit(0))
+    assert answers.sector_answer(empty).first()["text"] == (
+        "### Pipeline by sector\n\nNo sector-level pipeline data is currently available.")
+    assert answers.stage_answer(empty).first()["text"].endswith("No pipeline-stage data is currently available.")

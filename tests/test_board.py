@@ -49,3 +49,13 @@ def test_source_coverage(spark):
     w = spark.range(5)
     got = {r["dataset"]: r["records"] for r in board.source_coverage(d, w).collect()}
     assert got == {"Deals": 3, "Work Orders": 5}
+
+
+def test_last_value_of_a_repeated_id_wins(spark):
+    from dealscope.sources import board
+
+    items = spark.createDataFrame(
+        [("1", "n", None, None, [("c1", "first", None), ("c2", "other", None), ("c1", "last", None)])], board.ITEM)
+    cols = spark.createDataFrame([("c1", "A", "text"), ("c2", "B", "text")], "column_id string, title string, type string")
+    row = board.board_items_to_table(items, cols).first()
+    assert (row["A"], row["B"]) == ("last", "other")

@@ -114,3 +114,44 @@ def test_safe_casts_and_display_pick(spark):
     got = [tuple(r) for r in df.select(X.safe_float("v"), X.safe_int("v"),
                                        X.display_or_money("disp", "num")).collect()]
     assert got == [(12.9, 12, "₹25.60 L"), (0.0, 0, "₹1 L"), (0.0, 0, "₹0")]
+
+
+def test_money_keeps_every_digit(spark):
+    from decimal import Decimal
+
+    texts = ["12345678901234567890", "1.239", "0.004", "₹ 1,234.5", "Rs. 5,000", "abc", "", None, "-7"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(X.money_parse("t")).collect()]
+    want = ["12345678901234567890", "1.239", "0.004", "1234.5", "0.5", None, None, None, "-7"]
+    assert got == [None if w is None else Decimal(w) for w in want]
+
+
+def test_money_numbers_pass_through(spark):
+    df = spark.createDataFrame([(10_000_000.0, 7, 688_152_293.0), (25_000_000.5, None, float("nan"))], "d double, i int, e double")
+    d, i, e = zip(*[tuple(r) for r in df.select(X.money_parse("d"), X.money_parse("i"), X.money_parse("e")).collect()])
+    assert [float(x) for x in d] == [10_000_000.0, 25_000_000.5] and i == (7, None) and e[0] == 688_152_293 and e[1] is None
+
+
+def test_probability_is_not_cut(spark):
+    from dealscope.operators import clean, sales
+
+    raw = spark.createDataFrame([("a", "Open", "33.3333%", 1_000_000_000.0)], ["Deal Name", "Deal Status", "Closure Probability", "Masked Deal value"])
+    row = sales.pipeline_summary(clean.clean_deals(raw)).first()
+    assert row["gross_pipeline"] == 1_000_000_000 and row["weighted_pipeline"] == 333_333_000
+
+
+def test_more_date_shapes(spark):
+    texts = ["Jan 5, 2024", "5-Jan-2024", "5 Jan 2024", "2024-01-05T10:00:00Z", "2024-01-05T10:00:00.500+00:00", "2024-01-05 10:00:00.123",
+             "2024-01-05 10:00", "20240105", "2024-01-05", "01/05/2024", "2024/01/05"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {str(r[0]) for r in df.select(X.date_parse("t")).collect()} == {"2024-01-05"}
+    bad = spark.createDataFrame([("TBD",), ("",), (None,), ("Mars 5, 2024",), ("2024-13-45",)], "t string")
+    assert {r[0] for r in bad.select(X.date_parse("t")).collect()} == {None}
+
+
+def test_cleaners_take_formats(spark):
+    from dealscope.operators import clean
+
+    raw = spark.createDataFrame([("a", "05.01.2024")], ["Deal Name", "Created Date"])
+    assert clean.clean_deals(raw).first()["created_date"] is None
+    assert str(clean.clean_deals(raw, formats=("dd.MM.yyyy",)).first()["created_date"]) == "2024-01-05"

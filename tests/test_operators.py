@@ -43,7 +43,7 @@ def wos(spark):
 def test_clean_deals_drops_header_keeps_null_name(deals):
     names = sorted((r[0] or "<null>") for r in deals.select("deal_name").collect())
     assert names == ["<null>", "A", "B", "C", "D", "E"]
-    assert deals.schema["deal_value"].dataType.simpleString() == "decimal(18,2)"
+    assert deals.schema["deal_value"].dataType.simpleString() == "decimal(38,9)"
     assert "probability_numeric" in deals.columns
 
 

@@ -83,8 +83,7 @@ def test_duplicates_exact_under_total_fingerprint_collision(spark, monkeypatch):
     assert (got["rows"], got["duplicate_rows"]) == (3000, 2000)
 
 
-def test_duplicates_above_broadcast_limit_group_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(quality, "FP_BROADCAST_LIMIT", 10)
+def test_many_duplicate_groups(spark):
     df = spark.range(5000).select((F.col("id") % 700).alias("k"),
                                   F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit("v")).alias("v"))
     got = quality.duplicate_rows(df, "x").first()
