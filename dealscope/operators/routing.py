@@ -31,7 +31,9 @@ def questions_from_conversations(conversations: DataFrame) -> DataFrame:
 
 def route_questions(questions: DataFrame, text_column: str = "question") -> DataFrame:
     """Add ``tool``, ``sector``, ``period`` (first matching term list wins)."""
-    q = X.text_norm(text_column)
+    # normalized once; a projection of its own keeps it from being repeated at every term
+    normal = questions.select("*", X.text_norm(text_column).alias("_normal"))
+    q = F.col("_normal")
     tool = None
     keeps_sector = None
     for name, terms, keep in vocab.ROUTES:
@@ -42,8 +44,8 @@ def route_questions(questions: DataFrame, text_column: str = "question") -> Data
     tool = tool.otherwise(F.lit(vocab.DEFAULT_TOOL))
     keeps_sector = keeps_sector.otherwise(F.lit(True))
     is_default = tool == F.lit(vocab.DEFAULT_TOOL)
-    return questions.select(
-        "*",
+    return normal.select(
+        *(F.col(f"`{c}`") for c in questions.columns),
         tool.alias("tool"),
         F.when(keeps_sector, X.extract_sector(q)).alias("sector"),
         F.when(is_default, X.extract_period(q)).alias("period"),

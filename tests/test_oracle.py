@@ -14,19 +14,19 @@ def con():
 
 
 def _names():
-    from __spark_entry__ import oracle_sql
+    from dealscope.plans.catalog import oracle_sql
     return sorted(oracle_sql())
 
 
 @pytest.mark.parametrize("name", _names())
 def test_query_matches_oracle(spark, con, name):
-    from __spark_entry__ import oracle_sql, queries
+    from dealscope.plans.catalog import oracle_sql, queries
     from tools.oracle_check import check
     assert check(spark, con, SF_SMOKE, name, queries()[name], oracle_sql()[name])
 
 
 def test_every_query_has_oracle():
-    from __spark_entry__ import oracle_sql, queries
+    from dealscope.plans.catalog import oracle_sql, queries
     assert set(queries()) == set(oracle_sql())
 
 

@@ -8,13 +8,13 @@ from tests.conftest import SF_SMOKE
 
 
 def _names():
-    from __spark_entry__ import queries
+    from dealscope.plans.catalog import queries
     return sorted(queries())
 
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    from __spark_entry__ import queries
+    from dealscope.plans.catalog import queries
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         out = {}
