@@ -1,10 +1,12 @@
-"""Carrying whole rows through an operator without name clashes."""
+"""Carrying whole rows through an operator without name clashes, and tables between its steps."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealscope.session import materialize_table
+
 
 def held(docs: DataFrame, **columns: Column) -> DataFrame:
     """``_row`` (a struct of all columns of ``docs``) beside the named columns."""
@@ -15,3 +17,18 @@ def held(docs: DataFrame, **columns: Column) -> DataFrame:
 def released(rows: DataFrame) -> DataFrame:
     """The rows that ``held`` took, with their own columns only."""
     return rows.select("_row.*")
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder; the shuffle files of
+    its execution are removed once it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP)
+    conf.set(_CLEANUP, "true")
+    try:
+        return materialize_table(df)
+    finally:
+        conf.set(_CLEANUP, before)
