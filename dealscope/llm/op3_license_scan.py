@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealscope.session import materialize_table
+from dealscope.llm.rows import written
 
 #: Phrase -> label of the base scan.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -139,7 +139,7 @@ def _matches(table: DataFrame, templates, containment: float) -> DataFrame:
 def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", templates=TEMPLATES, phrases=PHRASES, containment=CONTAINMENT) -> DataFrame:
     """One row per document: ``_id, _n, _places`` (base starts), ``_base_labels, _labels, _score``."""
     vocabulary = sorted({w for _, t in templates for w in _template_words(t)})
-    table = materialize_table(_tokenised(docs, id_col, text_col, vocabulary, phrases))
+    table = written(_tokenised(docs, id_col, text_col, vocabulary, phrases))
     found = _matches(table, templates, containment).groupBy("_row").agg(
         F.collect_set("_label").alias("_added"), F.max("_part").alias("_part"))
     hits = F.filter("_base", lambda b: F.size(b["at"]) > 0)

@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.llm.rows import held, released
-from dealscope.session import materialize_table
+from dealscope.llm.rows import held, released, written
 
 HOT = 512
 SUBTREE_BYTES = 32 << 20
@@ -136,14 +135,14 @@ def exact_groups(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFr
     """One row per row of ``docs``: ``_id, _len, _sha, _keep, _n, _kept``."""
     text = docs.select(F.col(id_col).cast("bigint").alias("_id"), normalised(F.col(text_col)).cast("binary").alias("_text"))
     keyed = text.select("_id", F.octet_length("_text").cast("bigint").alias("_len"), F.unhex(F.sha2("_text", 256)).alias("_sha"), "_text")
-    narrow = materialize_table(keyed.drop("_text"))
+    narrow = written(keyed.drop("_text"))
     counts = narrow.groupBy("_len", "_sha").agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_min"))
-    counts = materialize_table(counts)
+    counts = written(counts)
     once = counts.filter("_rows = 1").select(F.col("_min").alias("_id"), "_len", "_sha", F.col("_min").alias("_keep"),
                                              F.lit(1).cast("bigint").alias("_n"), F.lit(True).alias("_kept"))
     many = counts.filter("_rows > 1").select("_len", "_sha", F.ceil(F.col("_rows") / HOT).cast("int").alias("_salts"))
     rows = keyed.join(many, ["_len", "_sha"])
-    level1 = materialize_table(_tries(rows, F.pmod(F.hash("_id"), F.col("_salts"))))
+    level1 = written(_tries(rows, F.pmod(F.hash("_id"), F.col("_salts"))))
     # salted keys: one terminal a salt and text, merged by a second trie pass
     tops = level1.filter("_salts > 1 and _first").withColumn("_id", F.col("_owner"))
     level2 = _tries(tops, None).select(F.col("_id").alias("_owner"), "_len", "_sha", F.col("_owner").alias("_top"), F.col("_first").alias("_top_first"))
@@ -161,7 +160,7 @@ def drop_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFra
     """``docs`` without the rows whose text an earlier row holds; all columns kept."""
     marks = exact_groups(docs, id_col=id_col, text_col=text_col).filter("_n > 1").groupBy("_id", "_len", "_sha").agg(
         F.max(F.col("_kept").cast("int")).alias("_k"), F.count(F.lit(1)).alias("_c"))
-    marks = materialize_table(marks.filter("_k = 0 or _c > 1"))
+    marks = written(marks.filter("_k = 0 or _c > 1"))
     norm = normalised(F.col(text_col)).cast("binary")
     rows = held(docs, _did=F.col(id_col).cast("bigint"), _dlen=F.octet_length(norm).cast("bigint"), _dsha=F.unhex(F.sha2(norm, 256)))
     same = F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dlen") == F.col("_len")) & (F.col("_dsha") == F.col("_sha"))

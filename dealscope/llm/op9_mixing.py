@@ -21,8 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealscope.llm.rows import held, released
-from dealscope.session import materialize_table
+from dealscope.llm.rows import held, released, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -40,7 +39,7 @@ def _ranked(sources: DataFrame) -> DataFrame:
     table: ranges are ranked alone, then shifted by the counts before them
     (one row a range on the driver)."""
     order = [F.col("_source").asc_nulls_last()]
-    parts = materialize_table(
+    parts = written(
         sources.repartitionByRange(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
@@ -57,7 +56,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MA
     """``sizes(_source, _size)`` -> one row per source: ``_source, _source_size, _target``."""
     sources = sizes.groupBy("_source").agg(F.sum("_size").alias("_source_size"))
     w = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
-    table = materialize_table(_ranked(sources).withColumn("_w", w))
+    table = written(_ranked(sources).withColumn("_w", w))
     total = table.agg(F.sum("_source_size")).first()[0] or 0
     cap = F.col("_source_size") * max_epochs
     level, at_cap = 0.0, -1
@@ -90,7 +89,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source
     measured small, else a sort-merge join whose hot sources AQE splits).
     """
     sized = docs.withColumn("_size", word_count(F.col(text_col)))
-    sizes = materialize_table(sized.groupBy(F.col(source_col).alias("_source")).agg(F.sum("_size").alias("_size")))
+    sizes = written(sized.groupBy(F.col(source_col).alias("_source")).agg(F.sum("_size").alias("_size")))
     targets = source_targets(sizes, weights, share, max_epochs)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     return (
