@@ -145,3 +145,41 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judge(docs).select("doc_id", *(F.col(f"_quality.{c}").alias(c) for c in names))
+
+
+def _oracle() -> str:
+    quoted = lambda xs: ", ".join("'" + x + "'" for x in xs)
+    notices = " OR ".join(f"contains(low, '{p}')" for p in NOTICES)
+    return rf"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
+v AS (SELECT doc_id, i, list_slice(ws, i, i + 4) AS win FROM g),
+r AS (SELECT doc_id, win FROM v GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM v JOIN r USING (doc_id, win)) GROUP BY doc_id),
+p AS (SELECT doc_id, string_split(x, chr(10)) AS ls FROM w),
+l0 AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS no FROM p),
+l1 AS (
+  SELECT doc_id, line, no, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l0
+), l2 AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY no) > 1 AS again, lower(body) AS low FROM l1 WHERE n > 0
+), l3 AS (
+  SELECT *, (n >= 3 AND (5 * len(regexp_extract_all(body, '[#*$%&|<>]')) > 2 * n OR 10 * len(regexp_extract_all(body, '!{{2,}}|[?]{{3,}}')) > 3 * n))
+    OR 4 * len(regexp_extract_all(body, ' [|»›>·•/] ')) > n
+    OR (n >= 40 AND NOT regexp_matches(body, '[.!?…。！？]["''”»)\]]*(\s|$)') AND len(regexp_extract_all(body, ',')) * 40 < n)
+    OR (n <= 25 AND (trim(low, ' .:>»|') IN ({quoted(MENUS)}) OR {notices})) AS fails FROM l2
+), k AS (SELECT doc_id, sum(again::INT) AS dup, coalesce(sum(n) FILTER (NOT again AND NOT fails), 0) AS kept FROM l3 GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(x, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(k.kept, 0) AS kept_words
+  FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+       NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND n_words - kept_words <= {MAX_LOSS} * n_words AS kept
+FROM m
+"""
+
+
+ORACLE = _oracle()

@@ -36,6 +36,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard": op2_ngram_jaccard.ORACLE,
         "op3_license_scan": op3_license_scan.ORACLE,
         "op5_suffix_dedup": op5_suffix_dedup.ORACLE,
+        "op6_quality_rules": op6_quality_rules.ORACLE,
         "op7_exact_dedup": op7_exact_dedup.ORACLE,
         "op8_url_filter": op8_url_filter.ORACLE,
         "op9_mixing": op9_mixing.ORACLE,
