@@ -228,9 +228,10 @@ def snapshot_delta(snapshots: DataFrame, order_by: str = "snapshot_date",
     parts = partition_by or []
     w = Window.partitionBy(*parts).orderBy(order_by)
     out = [F.col(c) for c in snapshots.columns]
+    types = dict(snapshots.dtypes)
     for kpi, label, is_money in SNAPSHOT_KPIS:
         prev = F.lag(kpi).over(w)
-        delta = F.col(kpi) - prev
+        delta = (F.col(kpi) - prev).cast(types[kpi])
         out.append(delta.alias(f"{kpi}_change"))
         out.append(F.when(prev.isNotNull(), _change_display(delta, is_money)).alias(f"{kpi}_change_display"))
     return snapshots.select(*out)
