@@ -3,7 +3,10 @@ r"""License scans: exact set-similarity join of text blocks with templates.
 Base: places where a license phrase's words stand one after another.  The
 join adds labels: a block (a line of the text, as a set of words) matches a
 template (a standard license sentence, as a set of words) when it contains
-at least ``CONTAINMENT`` of the template's words.
+at least ``CONTAINMENT`` of the template's words.  With ``wrapped``, as in the
+query, any t / ``CONTAINMENT`` consecutive words (t words in the template's
+sentence, rounded up) are a block as well, whatever line ends stand between
+them, so a sentence wrapped over lines is found like one on one line.
 
 The join is exact and filters before it verifies.  Words are ordered by
 their frequency over all blocks, rarest first.  For a template of t words an
@@ -11,7 +14,9 @@ overlap of o = ceil(CONTAINMENT * t) is needed, so a matching block must
 hold one of the template's t - o + 1 rarest words (prefix filter) among its
 own first |B| - o + 1 words, have at least o template words (length filter),
 and the places of the shared word in both orders must leave room for o
-(positional filter).  Pairs that pass are verified on the full sets.
+(positional filter).  Pairs that pass are verified on the full sets.  Blocks
+across lines are formed only in texts that hold enough of some template's
+words at all; there the template's words slide by with their places.
 
 Only DataFrame and SQL functions.  One pass over the texts writes a narrow
 table (counts, base places, and each block's words that occur in any
@@ -58,16 +63,25 @@ CONTAINMENT = 0.85
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _template_words(text: str) -> list[str]:
+def _sentence(text: str) -> list[str]:
     import re
 
-    return sorted(set(re.findall(r"[0-9a-z]+", text.lower())))
+    return re.findall(r"[0-9a-z]+", text.lower())
+
+
+def _template_words(text: str) -> list[str]:
+    return sorted(set(_sentence(text)))
 
 
 def _needed(words: int, containment: float) -> int:
     return max(1, math.ceil(containment * words - 1e-9))
 
 
+def _reach(text: str, containment: float) -> int:
+    """Length in words of a block across lines."""
+    return math.ceil(len(_sentence(text)) / containment - 1e-9)
+
+
 def lowered(text: Column) -> Column:
     """Lower case; the Kelvin sign, whose lower case is ASCII k, stays a foreign letter."""
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("å")))
@@ -87,28 +101,58 @@ def _places(words: Column, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(at, here)).otherwise(F.array().cast("array<int>"))
 
 
-def _tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: list[str], phrases: dict[str, str]) -> DataFrame:
-    """One pass over the texts: ``_row, _id, _n, _base`` (label, places) and
-    ``_blocks`` (template words of every line that has any)."""
+def _tokenised(docs: DataFrame, id_col: str, text_col: str, templates, phrases: dict[str, str], containment: float, wrapped: bool) -> DataFrame:
+    """One pass over the texts: ``_row, _id, _n, _base`` (label, places),
+    ``_blocks`` (template words of every line that has any) and ``_near``
+    (places of template words, where a block across lines may match)."""
+    vocabulary = sorted({w for _, t in templates for w in _template_words(t)})
     low = docs.select(F.col(id_col).alias("_id"), lowered(F.col(text_col)).alias("_text"))
-    vocab = F.array(*map(F.lit, vocabulary))
+    vocab = F.array(*map(F.lit, vocabulary)).cast("array<string>")
     lines = F.transform(F.split("_text", "\n"), lambda line: F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
     # the struct is computed once per line: its word count and its template words
-    marks = F.transform(lines, lambda w: F.struct(F.size(w).alias("n"), F.array_intersect(vocab, w).alias("t")))
-    words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
+    marks = F.transform("_lines", lambda w: F.struct(F.size(w).alias("n"), F.array_intersect(vocab, w).alias("t")))
     last = {p.split()[-1] for p in phrases}
     maybe = F.lit(False)
     for w in sorted(last):
         maybe = maybe | F.contains("_text", F.lit(w))
-    base = F.transform(F.array(words), lambda w: F.array(*(F.struct(F.lit(label).alias("label"), _places(w, p).alias("at")) for p, label in phrases.items())))[0]
+    base = F.transform(F.array(F.flatten("_lines")), lambda w: F.array(*(F.struct(F.lit(label).alias("label"), _places(w, p).alias("at")) for p, label in phrases.items())))[0]
+    near = F.lit(False)
+    for _, text in templates if wrapped else ():
+        own = _template_words(text)
+        near = near | (F.size(F.array_intersect("_held", F.array(*map(F.lit, own)))) >= _needed(len(own), containment))
+    placed = F.filter(F.transform(F.flatten("_lines"), lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: x["w"].isin(vocabulary))
     return low.select(
-        F.monotonically_increasing_id().alias("_row"), "_id", marks.alias("_marks"),
-        F.when(maybe, base).otherwise(F.array().cast("array<struct<label:string,at:array<int>>>")).alias("_base"),
+        F.monotonically_increasing_id().alias("_row"), "_id", maybe.alias("_maybe"), lines.alias("_lines"),
     ).select(
-        "_row", "_id", "_base",
+        "_row", "_id", "_lines", marks.alias("_marks"),
+        F.when(F.col("_maybe"), base).otherwise(F.array().cast("array<struct<label:string,at:array<int>>>")).alias("_base"),
+    ).select(
+        "_row", "_id", "_lines", "_base",
         F.aggregate("_marks", F.lit(0).cast("long"), lambda a, m: a + m["n"]).alias("_n"),
         F.filter(F.transform("_marks", lambda m: m["t"]), lambda t: F.size(t) > 0).alias("_blocks"),
-    )
+    ).select(
+        "_row", "_id", "_lines", "_base", "_n", "_blocks", F.array_distinct(F.flatten("_blocks")).alias("_held"),
+    ).select("_row", "_id", "_base", "_n", "_blocks", F.when((F.size("_blocks") > 1) & near, placed).alias("_near"))
+
+
+def _across(table: DataFrame, templates, containment: float) -> DataFrame:
+    """(row, label, containment) of the templates that consecutive words match, line ends ignored."""
+
+    def best(text: str) -> Column:
+        own, reach = _template_words(text), _reach(text, containment)
+        need = _needed(len(own), containment)
+
+        def most(hits):
+            block = lambda x, k: F.filter(F.slice(hits, k + 1, F.lit(reach)), lambda y: y["p"] < x["p"] + reach)
+            held = F.transform(hits, lambda x, k: F.size(F.array_distinct(F.transform(block(x, k), lambda y: y["w"]))))
+            return F.when(F.size(hits) >= need, F.array_max(held)).otherwise(0)
+
+        found = F.transform(F.array(F.filter("_near", lambda x: x["w"].isin(own))), most)
+        return F.transform(found, lambda n: F.when(n >= need, n / len(own)))[0]
+
+    parts = F.array(*(F.struct(F.lit(label).alias("label"), best(text).alias("part")) for label, text in templates))
+    return table.filter(F.col("_near").isNotNull()).select("_row", F.explode(parts).alias("_m")).select(
+        "_row", F.col("_m.label").alias("_label"), F.col("_m.part").alias("_part")).filter("_part is not null")
 
 
 def _matches(table: DataFrame, templates, containment: float) -> DataFrame:
@@ -136,15 +180,18 @@ def _matches(table: DataFrame, templates, containment: float) -> DataFrame:
     return pairs.filter(overlap >= F.col("_need")).select("_row", "_label", (overlap / F.col("_size")).alias("_part"))
 
 
-def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", templates=TEMPLATES, phrases=PHRASES, containment=CONTAINMENT) -> DataFrame:
-    """One row per document: ``_id, _n, _places`` (base starts), ``_base_labels, _labels, _score``."""
-    vocabulary = sorted({w for _, t in templates for w in _template_words(t)})
-    table = written(_tokenised(docs, id_col, text_col, vocabulary, phrases))
-    found = _matches(table, templates, containment).groupBy("_row").agg(
+def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", templates=TEMPLATES, phrases=PHRASES, containment=CONTAINMENT, wrapped=False) -> DataFrame:
+    """One row per document: ``_id, _n, _places`` (base starts), ``_base_labels, _labels, _score``.
+    ``wrapped``: blocks are consecutive words across lines as well as lines."""
+    table = written(_tokenised(docs, id_col, text_col, templates, phrases, containment, wrapped))
+    matches = _matches(table, templates, containment)
+    if wrapped:
+        matches = matches.unionByName(_across(table, templates, containment))
+    found = matches.groupBy("_row").agg(
         F.collect_set("_label").alias("_added"), F.max("_part").alias("_part"))
     hits = F.filter("_base", lambda b: F.size(b["at"]) > 0)
     none = F.array().cast("array<string>")
-    return table.drop("_blocks").join(found, "_row", "left").select(
+    return table.drop("_blocks", "_near").join(found, "_row", "left").select(
         "_id", "_n",
         F.flatten(F.transform(hits, lambda b: b["at"])).alias("_places"),
         F.array_sort(F.array_distinct(F.transform(hits, lambda b: b["label"]))).alias("_base_labels"),
@@ -155,7 +202,7 @@ def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", templates=TEMPLAT
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan(docs).select(
+    return scan(docs, wrapped=True).select(
         F.col("_id").alias("doc_id"), F.col("_n").alias("n_words"), F.size("_places").cast("long").alias("n_base"),
         F.array_min("_places").cast("long").alias("first_word"), F.array_max("_places").cast("long").alias("last_word"),
         F.array_join("_base_labels", ",").alias("base_labels"), F.array_join("_labels", ",").alias("labels"), F.col("_score").alias("score"),

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 
 from dealscope.llm import op3_license_scan as op
 
@@ -62,3 +63,45 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = op.op3_license_scan(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def unbroken(text):
+    """Labels and score of the lines and of every run of consecutive words, line breaks ignored."""
+    *_, base, labels, score = brute(text)
+    labels, w = set(filter(None, labels.split(","))), words(text)
+    for label, t in op.TEMPLATES:
+        need, reach = set(op._template_words(t)), math.ceil(len(words(t)) / op.CONTAINMENT - 1e-9)
+        for i in range(len(w)):
+            part = len(set(w[i:i + reach]) & need)
+            if part >= math.ceil(op.CONTAINMENT * len(need) - 1e-9):
+                labels.add(label)
+                score = max(score, part / len(need))
+    return sorted(labels), score
+
+
+def wrapped_texts():
+    out, wrap = [], lambda t: textwrap.wrap(t, 72)
+    for _, t in op.TEMPLATES:
+        prose = "Some plain prose stands here and there. "
+        out += ["\n".join(wrap(t)), t.replace(" ", "\n"), "\r\n".join("# " + x for x in wrap(t)), "\n *\n".join(" * " + x for x in wrap(prose + t + " " + prose))]
+    return out
+
+
+def test_wrapped_templates(spark):
+    rows = list(enumerate(wrapped_texts() + texts()))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r._id: r for r in op.scan(df, wrapped=True).collect()}
+    for i, t in rows:
+        assert (got[i]._labels, got[i]._score) == unbroken(t), t
+    for k, (label, _) in enumerate(op.TEMPLATES):
+        for i in range(4 * k, 4 * k + 4):
+            assert label in got[i]._labels and got[i]._score == 1.0, rows[i]
+
+
+def test_query_reads_wrapped_lines(spark, tmp_path):
+    rows = list(enumerate(wrapped_texts()))
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.labels, r.score) for r in op.op3_license_scan(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        labels, score = unbroken(t)
+        assert got[i] == (",".join(labels), score), t
