@@ -2,8 +2,9 @@ r"""PII: base patterns, then a skip-chain conditional random field.
 
 The base patterns find emails, IP addresses, card and phone numbers.  In a
 document that holds any, further candidate tokens (number groups, tokens
-with a digit) become nodes of a CRF with labels none, email, ip, card,
-phone: neighbours in reading order share a chain potential, and repeated or
+with a digit, tokens of two or more characters that share their text or
+local part with a base match) become nodes of a CRF with labels none, email,
+ip, card, phone: neighbours in reading order share a chain potential, and repeated or
 similar tokens (equal digits, equal last seven digits, equal local part,
 equal text), however distant, share a skip potential.  Base matches are
 observed.  Damped loopy belief propagation spreads their labels; a candidate
@@ -50,7 +51,11 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _GROUP = re.compile(r"\(?(?<![A-Za-z0-9.])[0-9](?:[\x20().-]{0,2}[0-9])*(?![A-Za-z0-9])")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[0-9][A-Za-z0-9._%+-]*")
+# an @ part, unless that runs on to another @
+_AT = r"(?:@[A-Za-z0-9-]++(?![A-Za-z0-9._%+-]*@))?"
+_TOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[0-9][A-Za-z0-9._%+-]*" + _AT)
+_NAME = re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++(?!\w)" + _AT)
+_TRIM = ".-+"
 _DIGITS = re.compile(r"[^0-9]+")
 
 
@@ -97,22 +102,31 @@ def nodes(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, i
     taken = sorted((s, e) for _, s, e in base)
     out = [(s, e, k + 1) for k, s, e in base]
 
-    def add(pattern, least):
+    def add(spans, least):
         used = sorted((s, e) for s, e, _ in out)
         i = 0
-        for m in pattern.finditer(text):
-            s, e = m.span()
+        for s, e in spans:
             while i < len(used) and used[i][1] <= s:
                 i += 1
             if e - s >= least and not (i < len(used) and used[i][0] < e):
                 out.append((s, e, 0))
 
     if taken:
-        add(_GROUP, 7)
-        add(_TOKEN, 4)
+        add((m.span() for m in _GROUP.finditer(text)), 7)
+        add((m.span() for m in _TOKEN.finditer(text)), 4)
+        add(_named(text, {key for s, e in taken for key in keys(text, s, e) if key[0] == "text"}), 2)
     return sorted(out)
 
 
+def _named(text: str, known: set[tuple]) -> Iterator[tuple[int, int]]:
+    """Spans of the tokens that share a text key with a base match."""
+    for m in _NAME.finditer(text):
+        token = m.group()
+        s, e = m.end() - len(token.lstrip(_TRIM)), m.start() + len(token.rstrip(_TRIM))
+        if s < e and any(key in known for key in keys(text, s, e)):
+            yield s, e
+
+
 FEATURES = 20
 
 
@@ -132,13 +146,13 @@ def features(text: str, start: int, end: int) -> np.ndarray:
 
 def keys(text: str, start: int, end: int) -> list[tuple]:
     """What makes two tokens repeated or similar."""
-    token = text[start:end].lower().strip(".-+")
+    token = text[start:end].lower().strip(_TRIM)
     digits = _DIGITS.sub("", token)
     out = [("text", token)]
     if len(digits) >= 7:
         out += [("digits", digits), ("tail", digits[-7:])]
     if "@" in token:
-        out.append(("text", token.split("@")[0].strip(".-+")))
+        out.append(("text", token.split("@")[0].strip(_TRIM)))
     return out
 
 

@@ -81,6 +81,29 @@ def test_repeats_follow_their_entity():
     assert spans(text) == f"email:0:24,email:{text.rindex('jane')}:{text.rindex('jane') + 7}"
 
 
+def test_letter_only_addresses():
+    prose = "Plain prose stands here. " * 40
+    for again in ("john.smith", "John.Smith", "john.smith@corp"):
+        text = f"Mail john.smith@corp.com now. {prose}Ask {again}, not john or smith."
+        a, b = text.index("john"), text.index(f"{again},")
+        assert spans(text) == f"email:{a}:{a + 19},email:{b}:{b + len(again)}", again
+    text = "bob@corp.com wrote.\nSigned: bob."
+    assert spans(text) == f"email:0:12,email:{len(text) - 4}:{len(text) - 1}"
+    text = "jane.42@mail.example.com wrote; ask jane.42@mail."
+    assert spans(text) == f"email:0:24,email:{text.rindex('jane')}:{len(text) - 1}"
+    assert spans("john.smith and john.smith@corp wrote.") == ""
+    assert spans("a@b.co wrote a letter, éjohn john.") == "email:0:6"
+    assert spans("x1y2@b@c.d.e has x1y2") == "email:5:12"
+
+
+def test_letter_only_addresses_with_fitted_weights(spark):
+    names = ["ann.lee", "john.smith", "mary.jones", "bob.brown"]
+    docs = spark.createDataFrame([(i, f"Mail {n}@corp.com at 10.20.30.{i}. Plain prose, version 2.0. {n}@corp.com signed as {n}.") for i, n in enumerate(names * 30)], "doc_id bigint, text string")
+    for r in op.find(docs, op.fit(docs)).collect():
+        n = names[r.doc_id % 4]
+        assert f"email:{r.text.rindex(n)}:{len(r.text) - 1}" in r._pii.spans.split(",")
+
+
 def test_base_spans_always_stay():
     m = model()
     for text in samples()[:800]:
