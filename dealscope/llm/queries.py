@@ -13,6 +13,7 @@ from dealscope.llm import (
     op8_url_filter,
     op9_mixing,
     op10_quality_classifier,
+    op11_ranked_search,
 )
 
 
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op8_url_filter": op8_url_filter.op8_url_filter,
         "op9_mixing": op9_mixing.op9_mixing,
         "op10_quality_classifier": op10_quality_classifier.op10_quality_classifier,
+        "op11_ranked_search": op11_ranked_search.op11_ranked_search,
     }
 
 
@@ -40,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": op7_exact_dedup.ORACLE,
         "op8_url_filter": op8_url_filter.ORACLE,
         "op9_mixing": op9_mixing.ORACLE,
+        "op11_ranked_search": op11_ranked_search.ORACLE,
     }
