@@ -14,6 +14,7 @@ from dealscope.llm import (
     op9_mixing,
     op10_quality_classifier,
     op11_ranked_search,
+    op12_token_alignment,
 )
 
 
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op9_mixing": op9_mixing.op9_mixing,
         "op10_quality_classifier": op10_quality_classifier.op10_quality_classifier,
         "op11_ranked_search": op11_ranked_search.op11_ranked_search,
+        "op12_token_alignment": op12_token_alignment.op12_token_alignment,
     }
 
 
