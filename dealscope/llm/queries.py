@@ -15,6 +15,7 @@ from dealscope.llm import (
     op10_quality_classifier,
     op11_ranked_search,
     op12_token_alignment,
+    op13_html_text,
 )
 
 
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op10_quality_classifier": op10_quality_classifier.op10_quality_classifier,
         "op11_ranked_search": op11_ranked_search.op11_ranked_search,
         "op12_token_alignment": op12_token_alignment.op12_token_alignment,
+        "op13_html_text": op13_html_text.op13_html_text,
     }
 
 
