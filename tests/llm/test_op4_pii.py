@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 
 import numpy as np
 
@@ -35,6 +36,18 @@ def test_base_spans():
         assert op.base_spans(text) == literal(text), text
 
 
+def test_digit_runs_of_any_length():
+    runs = ["0" * 5001 + ".1.2.3", "1.2.3." + "0" * 9000 + "255", "9" * 5001 + ".1.2.3", "1." * 9 + "7" * 6000, "+" + "1" * 7000, "0" * 5000]
+    wanted = sys.get_int_max_str_digits()
+    sys.set_int_max_str_digits(0)
+    try:
+        for text in runs:
+            assert op.base_spans(text) == literal(text)
+    finally:
+        sys.set_int_max_str_digits(wanted)
+    assert op.base_spans(runs[0]) == [(1, 0, 5007)]
+
+
 def pairwise(marginal_of, unary, edges, tables, n):
     total = np.zeros((len(unary), n))
     for labels in itertools.product(range(n), repeat=len(unary)):
