@@ -2,13 +2,24 @@
 
 Tokens (words) are aggregated per source, every source gets a target by
 weight, capped at ``max_epochs`` times its size with the excess reshared, and
-``target / size`` is its repetition rate.  A document is then taken
-``floor(rate)`` times, plus once more when a hash of its id falls below the
-rate's fraction (a seeded Bernoulli draw that reruns repeat).
-
-Everything runs as DataFrame operations.  Documents are counted once into a
-narrow table; the per-source table is what the shares are computed on.  Only
-two sums per resharing round come to the driver.
+``target / size`` is its repetition rate.  A document is taken
+``floor(rate)`` times, plus once more by a seeded draw: when a hash of its id
+falls below its source's threshold.
+
+The threshold is near the rate's fraction, the draw's probability, but read
+off the source's own cumulated sizes: the documents below it, in order of
+their hash, hold as many words as the target still lacks, and no more.  What
+the first document beyond it leaves open is filled in ``ROUNDS`` - 1 further
+draws of the same kind among the documents not taken that still fit.  So a
+source's taken words stay below its target by less than a small document,
+and reruns agree.
+
+Everything runs as DataFrame operations on a narrow table (source, hash,
+size), written once.  A threshold is found in two steps: sums per source and
+``BINS`` ranges of the hash, then the documents of the one range in which the
+need is met.  No source is gathered: a task gets at most ``BINS`` sums of it,
+then a ``BINS``-th of its documents.  Only two sums per resharing round and a
+count per range of sources come to the driver.
 
 Defined results: null or empty text has size 0 and is taken 0 words; a null
 source is a source of its own, after all others; a source of size 0 has
@@ -28,6 +39,9 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 SEED = "mix-1"
+BITS, BIN_BITS = 52, 16
+BINS = 1 << BIN_BITS
+ROUNDS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -76,27 +90,78 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, max_epochs=MA
 
 
 def draw(key: Column, seed: str = SEED) -> Column:
-    """Uniform in [0, 1): the first 52 bits of an md5 over seed and key."""
+    """Uniform below 2^52: the first ``BITS`` bits of an md5 over seed and key."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long")
+
+
+def _below(rows: DataFrame, needs: DataFrame, n: int) -> DataFrame:
+    """``needs`` with ``_t{n}``, the hash below which the ``rows(_source, _u,
+    _size)`` hold at most ``_need`` words, and ``_need`` less these words."""
+    own = F.col("r._source").eqNullSafe(F.col("s._source"))
+    by = Window.partitionBy("_source")
+    so_far = F.sum("_size").over(by.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+
+    def first_beyond(sums: DataFrame, before: Column) -> DataFrame:
+        """Per source: the first ``_at`` whose running sum passes the need, the sum before it, the sum of all."""
+        running = sums.withColumn("_sum", so_far + before)
+        past = F.col("_sum") > F.col("_need")
+        return running.groupBy("_source").agg(
+            F.min(F.when(past, F.col("_at"))).alias("_first"), F.max(F.when(~past, F.col("_sum"))).alias("_got"), F.max(F.col("_need")).alias("_n"))
+
+    sums = rows.groupBy("_source", F.shiftright("_u", BITS - BIN_BITS).alias("_at")).agg(F.sum("_size").alias("_size"))
+    sums = sums.alias("r").join(needs.select("_source", "_need").alias("s"), own).select("r.*", "s._need")
+    coarse = first_beyond(sums, F.lit(0)).select("_source", F.col("_first").alias("_bin"), F.coalesce("_got", F.lit(0)).alias("_before"), F.col("_n").alias("_need"))
+    at_edge = own & (F.shiftright("r._u", BITS - BIN_BITS) == F.col("s._bin"))
+    edge = rows.alias("r").join(coarse.filter("_bin is not null").alias("s"), at_edge).select("r.*", "s._need", "s._before")
+    edge = edge.groupBy("_source", F.col("_u").alias("_at"), "_need", "_before").agg(F.sum("_size").alias("_size"))
+    fine = first_beyond(edge, F.col("_before")).select(F.col("_source").alias("_of"), F.col("_first").alias("_t"), "_got")
+    found = coarse.join(fine, F.col("_source").eqNullSafe(F.col("_of")), "left").select(
+        F.col("_source").alias("_of"), F.coalesce("_t", F.lit(1 << BITS)).alias(f"_t{n}"), F.coalesce("_got", "_before").alias("_got"))
+    out = needs.join(found, F.col("_source").eqNullSafe(F.col("_of")), "left")
+    left = F.col("_need") - F.coalesce("_got", F.lit(0))
+    return written(out.withColumns({f"_t{n}": F.coalesce(f"_t{n}", F.lit(0)), f"_need{n}": F.col("_need"), "_need": left}).drop("_of", "_got"))
+
+
+def _drawn(rounds: int) -> Column:
+    """Whether one of the rounds' draws takes a row with its ``_u`` and ``_size``."""
+    taken = F.lit(False)
+    for n in range(rounds):
+        taken = taken | (F.col("_u") < F.col(f"_t{n}")) & (F.col("_size") <= F.col(f"_need{n}"))
+    return taken
+
+
+def thresholds(rows: DataFrame, targets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``targets`` with what the rounds' draws need: thresholds ``_t{n}`` and
+    the words open before each, ``_need{n}`` (the first round takes any size)."""
+    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
+    whole = F.floor(rate)
+    found = targets.withColumn("_whole", whole).withColumn("_need", F.col("_target") - F.col("_whole") * F.col("_source_size"))
+    for n in range(rounds):
+        if n:
+            known = found.select(F.col("_source").alias("_of"), F.col("_need").alias("_open"), *(f"_{x}{i}" for i in range(n) for x in ("t", "need")))
+            left = rows.join(known, F.col("_source").eqNullSafe(F.col("_of"))).filter(~_drawn(n) & (F.col("_size") <= F.col("_open")))
+            found = _below(left.select("_source", "_u", "_size"), found, n)
+        else:
+            found = _below(rows, found, 0).withColumn("_need0", F.lit(float("inf")))
+    return found.drop("_need")
 
 
 def mix(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS,
-        share=SHARE, max_epochs=MAX_EPOCHS, seed=SEED) -> DataFrame:
+        share=SHARE, max_epochs=MAX_EPOCHS, seed=SEED, rounds=ROUNDS) -> DataFrame:
     """``docs`` with ``_size, _source_size, _target, _copies`` for every row.
 
     The table of sources is joined by Spark's own size check (broadcast when
     measured small, else a sort-merge join whose hot sources AQE splits).
     """
-    sized = docs.withColumn("_size", word_count(F.col(text_col)))
-    sizes = written(sized.groupBy(F.col(source_col).alias("_source")).agg(F.sum("_size").alias("_size")))
-    targets = source_targets(sizes, weights, share, max_epochs)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
+    sized = docs.withColumns({"_size": word_count(F.col(text_col)), "_u": draw(F.col(id_col), seed)})
+    rows = written(sized.select(F.col(source_col).alias("_source"), "_u", "_size"))
+    sizes = rows.groupBy("_source").agg(F.sum("_size").alias("_size"))
+    found = thresholds(rows.filter("_size > 0"), written(source_targets(written(sizes), weights, share, max_epochs)), rounds)
     return (
-        sized.join(targets, F.col(source_col).eqNullSafe(F.col("_source")), "inner")
-        .withColumn("_rate", rate)
-        .withColumn("_copies", (F.floor("_rate") + (draw(F.col(id_col), seed) < F.col("_rate") - F.floor("_rate")).cast("long")))
-        .drop("_source", "_rate")
+        sized.join(found, F.col(source_col).eqNullSafe(F.col("_source")), "inner")
+        .withColumn("_copies", F.col("_whole") + _drawn(rounds).cast("long"))
+        .drop("_source", "_whole", "_u", *(f"_{x}{n}" for n in range(rounds) for x in ("t", "need")))
     )
 
 
@@ -135,11 +200,34 @@ WITH RECURSIVE d AS (
 t AS (
   SELECT source, source_size,
          CASE WHEN level * w >= 2 * source_size THEN (2 * source_size)::DOUBLE ELSE level * w END AS target FROM s, l
-), r AS (
-  SELECT doc_id, size, source_size, target,
-         CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate,
-         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+), r0 AS (
+  SELECT doc_id, size, d.source, source_size, target, floor(CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END)::BIGINT AS whole,
+         ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS u, false AS extra
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
-SELECT doc_id, size, source_size, target, (floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT) * size AS taken FROM r
+), c0 AS (
+  SELECT *, target - whole * source_size - coalesce(sum(size) FILTER (extra) OVER (PARTITION BY source), 0) AS need FROM r0
+), m0 AS (
+  SELECT *, NOT extra AND true AS fits FROM c0
+), s0 AS (
+  SELECT *, coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source ORDER BY u RANGE UNBOUNDED PRECEDING), 0) AS so_far FROM m0
+), e0 AS (
+  SELECT *, coalesce(min(u) FILTER (fits AND size > 0 AND so_far > need) OVER (PARTITION BY source), 4503599627370496) AS edge FROM s0
+), r1 AS (SELECT doc_id, size, source, source_size, target, whole, u, extra OR (fits AND u < edge) AS extra FROM e0), c1 AS (
+  SELECT *, target - whole * source_size - coalesce(sum(size) FILTER (extra) OVER (PARTITION BY source), 0) AS need FROM r1
+), m1 AS (
+  SELECT *, NOT extra AND size <= need AS fits FROM c1
+), s1 AS (
+  SELECT *, coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source ORDER BY u RANGE UNBOUNDED PRECEDING), 0) AS so_far FROM m1
+), e1 AS (
+  SELECT *, coalesce(min(u) FILTER (fits AND size > 0 AND so_far > need) OVER (PARTITION BY source), 4503599627370496) AS edge FROM s1
+), r2 AS (SELECT doc_id, size, source, source_size, target, whole, u, extra OR (fits AND u < edge) AS extra FROM e1), c2 AS (
+  SELECT *, target - whole * source_size - coalesce(sum(size) FILTER (extra) OVER (PARTITION BY source), 0) AS need FROM r2
+), m2 AS (
+  SELECT *, NOT extra AND size <= need AS fits FROM c2
+), s2 AS (
+  SELECT *, coalesce(sum(size) FILTER (fits) OVER (PARTITION BY source ORDER BY u RANGE UNBOUNDED PRECEDING), 0) AS so_far FROM m2
+), e2 AS (
+  SELECT *, coalesce(min(u) FILTER (fits AND size > 0 AND so_far > need) OVER (PARTITION BY source), 4503599627370496) AS edge FROM s2
+), r3 AS (SELECT doc_id, size, source, source_size, target, whole, u, extra OR (fits AND u < edge) AS extra FROM e2)
+SELECT doc_id, size, source_size, target, (whole + extra::BIGINT) * size AS taken FROM r3
 """

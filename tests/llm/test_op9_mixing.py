@@ -4,6 +4,8 @@ import hashlib
 import math
 import re
 
+import pytest
+
 from dealscope.llm import op9_mixing as op
 
 ROWS = [(1, "a b c", "s1"), (2, None, "s1"), (3, "", "s2"), (4, "x " * 100, "s2"), (5, "one", None), (6, "two words", None),
@@ -28,11 +30,25 @@ def brute(rows):
             target[s] = 2.0 * total[s]
             left -= target[s]
             open_.remove(s)
-    out = []
-    for i, t, s in rows:
-        rate = target[s] / total[s] if total[s] else 0
-        u = int(hashlib.md5(f"{op.SEED}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
-        out.append((i, size(t), total[s], round(target[s], 6), (math.floor(rate) + (u < rate - math.floor(rate))) * size(t)))
+    whole = {s: math.floor(target[s] / total[s]) if total[s] else 0 for s in total}
+    u = lambda i: int(hashlib.md5(f"{op.SEED}:{'' if i is None else i}".encode()).hexdigest()[:13], 16)
+    extra = set()
+    for s in total:
+        need = target[s] - whole[s] * total[s]
+        for n in range(op.ROUNDS):
+            groups = {}
+            for k, (i, t, x) in enumerate(rows):
+                if x == s and size(t) and k not in extra and (n == 0 or size(t) <= need):
+                    groups.setdefault(u(i), []).append(k)
+            got = 0
+            for h in sorted(groups):
+                words = sum(size(rows[k][1]) for k in groups[h])
+                if got + words > need:
+                    break
+                got += words
+                extra |= set(groups[h])
+            need -= got
+    out = [(i, size(t), total[s], round(target[s], 6), (whole[s] + (k in extra)) * size(t)) for k, (i, t, s) in enumerate(rows)]
     return sorted(out, key=str), target
 
 
@@ -59,11 +75,23 @@ def test_expand_repeats_rows(spark):
     assert got == {k: v for k, v in copies.items() if v}
 
 
-def test_taken_is_near_target_and_bounded(spark):
-    got = op.op9_mixing(spark, "/root/testdata/sf0.01").collect()
-    assert all(r.taken <= 2 * r.size for r in got)
-    taken, target = sum(r.taken for r in got), sum({r.source_size: r.target for r in got}.values())
-    assert abs(taken / target - 1) < 0.1
+@pytest.mark.parametrize("sf, near", [("0.01", 0.03), ("0.1", 0.002)])
+def test_taken_is_near_each_source_target(spark, sf, near):
+    got = op.mix(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")).selectExpr("source", "_size", "_target", "_copies * _size as taken").collect()
+    assert all(r.taken <= 2 * r._size for r in got)
+    for source in {r.source for r in got}:
+        own = [r for r in got if r.source == source]
+        taken, target = sum(r.taken for r in own), own[0]._target
+        assert (1 - near) * target <= taken <= target
+
+
+def test_hash_ranges_of_any_width_give_one_threshold(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i * 7919 % 60), f"s{i % 3}") for i in range(400)]
+    want, _ = brute(rows)
+    for bits in (1, 20):
+        monkeypatch.setattr(op, "BIN_BITS", bits)
+        got = op.mix(frame(spark, rows)).selectExpr("doc_id", "_size", "_source_size", "round(_target, 6)", "_copies * _size").collect()
+        assert sorted(map(tuple, got), key=str) == want
 
 
 def test_empty_table(spark):
