@@ -12,11 +12,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..operators import answers, clean, cross, leadership, narrative, operations, quality, routing, sales
 from ..operators.filters import open_deals, period_filter, sector_filter
 from ..sources import board, fixtures
+from ..sources.pages import page_chain
 from ..session import checkpoint_dir
 from . import oracle as O
 
@@ -140,18 +142,25 @@ def _period(kind):
                                            f"this {kind}", AS_OF).select("__item_id", "tentative_close_date")
 
 
-def _board_items(spark, sf):
-    raw = raw_deals(spark, sf)
-    items, cols = board.items_from_table(raw)
+def _deal_items(spark, sf) -> DataFrame:
+    """Deals as items, each with a second stage (``c13``) and an id that the metadata lacks (``c14``)."""
+    items, _ = board.items_from_table(raw_deals(spark, sf))
     k = F.col("id").cast("bigint")
     extra = F.array(
         F.struct(F.lit("c13").alias("id"), F.concat(F.lit("Stage "), (k % 3).cast("string")).alias("text"),
                  F.lit(None).cast("string").alias("value")),
         F.struct(F.lit("c14").alias("id"), F.lit("extra").alias("text"), F.lit(None).cast("string").alias("value")),
     )
-    items = items.withColumn("column_values", F.concat("column_values", extra))
-    cols = cols.unionByName(spark.createDataFrame([("c13", "Deal Stage", "text")], cols.schema))
-    return board.board_items_to_table(items, cols)
+    return items.withColumn("column_values", F.concat("column_values", extra))
+
+
+def _deal_titles() -> list[tuple[str, str]]:
+    return [(f"c{i + 1:02d}", t) for i, t in enumerate(fixtures.DEAL_TITLES)] + [("c13", "Deal Stage")]
+
+
+def _board_items(spark, sf):
+    wide = board.board_items_to_table(_deal_items(spark, sf), _deal_titles())
+    return wide.select("*", F.col("__other")["c14"].alias("c14")).drop("__other")
 
 
 def _landed(df: DataFrame) -> str:
@@ -163,18 +172,39 @@ def _landed(df: DataFrame) -> str:
 
 def _board_pages(spark, sf):
     items, _ = board.items_from_table(raw_deals(spark, sf))
-    path = _landed(board.items_to_pages(items.withColumn("_k", F.col("id").cast("bigint")), "_k"))
+    path = _landed(board.items_to_pages(items.withColumn("_k", F.col("id").cast("bigint")), "_k").drop("page_no"))
     out = board.read_board_pages(spark, path)
     texts = F.concat_ws("\x1f", F.transform("column_values", lambda v: F.coalesce(v["text"], F.lit("<null>"))))
     return out.select("id", "name", "created_at", "updated_at", texts.alias("texts"), F.size("column_values").alias("n_values"))
 
 
 def _board_catalogue(spark, sf):
-    _, cols = board.items_from_table(raw_deals(spark, sf))
-    column = F.struct(F.col("column_id").alias("id"), "title", "type")
-    boards = cols.agg(F.collect_list(column).alias("columns")).select(
-        F.lit("1").alias("id"), F.lit("Deals").alias("name"), F.lit("active").alias("state"), "columns")
-    return board.read_board_columns(spark, _landed(boards))
+    """S3 over landed pages of the whole deals table."""
+    items = _deal_items(spark, sf).withColumn("_k", F.col("id").cast("bigint"))
+    path = _landed(board.items_to_pages(items, "_k").drop("page_no"))
+    columns = spark.createDataFrame([(i, t, "text") for i, t in _deal_titles()], "column_id string, title string, type string")
+    return board.discover_columns(board.read_board_pages(spark, path), columns)
+
+
+def _linked_pages(spark, sf):
+    """Landed pages of five boards whose cursors have faults: board 1 loses the
+    cursor of page 3, the last page of board 2 leads back to page 1, board 3
+    has page 2 twice, pages 4 and 5 of board 4 lead to one page."""
+    items, _ = board.items_from_table(raw_deals(spark, sf))
+    k = F.col("id").cast("bigint")
+    pages = board.items_to_pages(items.select("*", k.alias("_k"), (k % 5).cast("string").alias("board")), "_k", by=("board",))
+    last = fixtures.table(spark, sf, "orders").agg(F.floor(F.max("o_orderkey") / board.PAGE_SIZE)).scalar()
+    no, of = F.col("page_no"), F.col("board")
+    cursor = (F.when((of == "1") & (no == 3), "lost").when((no == last) & (of == "2"), "1").when(no == last, F.lit(None))
+              .when((of == "4") & (no == 5), "5").otherwise(F.col("cursor")))
+    pages = pages.withColumn("cursor", cursor)
+    copies = F.when((of == "3") & (no == 2), 2).otherwise(1)
+    return pages.select("*", F.explode(F.sequence(F.lit(1), copies)).alias("_")).drop("_", "page_no")
+
+
+def _page_chain(spark, sf):
+    schema = T.StructType([T.StructField("board", T.StringType()), *board.PAGE.fields])
+    return page_chain(spark.read.schema(schema).json(_landed(_linked_pages(spark, sf))))
 
 
 def _name_fallback(spark, sf):
@@ -274,7 +304,8 @@ def queries() -> dict[str, QueryFn]:
     q["scenario_remove_sector"] = _d(sales.scenario_remove_sector)
     q["scenario_collection"] = _w(operations.scenario_collection)
     q["route_questions"] = lambda spark, sf: routing.route_questions(_questions(spark, sf))
-    q["route_counts"] = lambda spark, sf: routing.route_counts(routing.route_questions(_questions(spark, sf)))
+    q["route_counts"] = lambda spark, sf: routing.route_counts(_route_raw(spark, sf))
+    q["route_counts_templates"] = lambda spark, sf: routing.route_counts(routing.route_questions(_questions(spark, sf)))
     q["route_questions_raw"] = _route_raw
     q["sector_narrative"] = _d(lambda d: routing.sector_narrative(sales.pipeline_by_sector(d)))
     q["stage_narrative"] = _d(lambda d: routing.stage_narrative(sales.pipeline_by_stage(d)))
@@ -293,6 +324,7 @@ def queries() -> dict[str, QueryFn]:
     q["board_items_to_table"] = _board_items
     q["board_pages_union"] = _board_pages
     q["board_column_catalogue"] = _board_catalogue
+    q["page_chain"] = _page_chain
     q["source_coverage"] = _dw(board.source_coverage)
     q["name_fallback"] = _name_fallback
     q["safe_casts"] = _safe_casts

@@ -417,7 +417,9 @@ l AS (SELECT *, """ + ", ".join(
         + f" END AS {k}_change_display"
         for k, _, is_money in _KPIS) + " FROM l"
     s["route_questions"] = f"WITH {QUESTIONS}\nSELECT question_id, question, {route_select('question')} FROM questions"
-    s["route_counts"] = (f"WITH {QUESTIONS}, r AS (SELECT {route_select('question')} FROM questions)\n"
+    s["route_counts"] = (f"WITH r AS (SELECT {route_select('text')} FROM conversations)\n"
+                         "SELECT tool, sector, period, count(*) AS questions FROM r GROUP BY ALL")
+    s["route_counts_templates"] = (f"WITH {QUESTIONS}, r AS (SELECT {route_select('question')} FROM questions)\n"
                          "SELECT tool, sector, period, count(*) AS questions FROM r GROUP BY ALL")
     s["route_questions_raw"] = (f"SELECT conv_id, turn, text AS question, {route_select('text')} FROM conversations")
     s["sector_narrative"] = DEALS_ONLY.rstrip() + ",\n" + grouped_cte("sector", "sector", "g") + (
@@ -450,8 +452,8 @@ l AS (SELECT *, """ + ", ".join(
                               '"__created_at" AS created_at, "__updated_at" AS updated_at, '
                               + " || chr(31) || ".join(f"coalesce({ident(t)}, '<null>')" for t in DEAL_TITLES)
                               + " AS texts, 12 AS n_values FROM raw_deals")
-    s["board_column_catalogue"] = "SELECT * FROM (VALUES " + ", ".join(
-        f"('c{i + 1:02d}', {q(t)}, 'text')" for i, t in enumerate(DEAL_TITLES)) + ") v(column_id, title, type)"
+    s["board_column_catalogue"] = catalogue_sql(DEAL_TITLES)
+    s["page_chain"] = PAGE_CHAIN
     s["source_coverage"] = BOTH + ("SELECT 'Deals' AS dataset, count(*) AS records, 'board export' AS source FROM deals "
                                    "UNION ALL SELECT 'Work Orders', count(*), 'board export' FROM wo")
     return s
@@ -617,3 +619,45 @@ def answer_questions_sql(narr: dict[str, str], raw: bool = False) -> str:
             f"SELECT {ids}, r.question, r.tool, r.sector, r.period, a.answer FROM r LEFT JOIN answers a "
             f"ON r.tool = a.tool AND (CASE WHEN r.tool IN ({sector_tools}) THEN r.sector END) IS NOT DISTINCT FROM a.gs "
             f"AND (CASE WHEN r.tool IN ({period_tools}) THEN r.period END) IS NOT DISTINCT FROM a.gp")
+
+
+def catalogue_sql(titles) -> str:
+    """S3: one aggregation a column, put together."""
+    columns = [(f"c{i + 1:02d}", t, "'text'", ident(t)) for i, t in enumerate(titles)]
+    columns += [("c13", "Deal Stage", "'text'", "'Stage ' || CAST(CAST(\"__item_id\" AS BIGINT) % 3 AS VARCHAR)"), ("c14", "c14", "CAST(NULL AS VARCHAR)", "'extra'")]
+    number, date = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+    parts = [
+        f"SELECT '{cid}' AS column_id, {q(title)} AS title, {kind} AS type, CASE WHEN count(*) FILTER (x <> '') = 0 THEN 'empty' "
+        f"WHEN bool_and(regexp_matches(x, '{number}')) FILTER (x <> '') THEN 'numbers' WHEN bool_and(regexp_matches(x, '{date}')) FILTER (x <> '') THEN 'date' "
+        f"ELSE 'text' END AS inferred_type, count(*) AS items, count(*) FILTER (x <> '') AS filled, {at} AS position FROM (SELECT trim({x}) AS x FROM raw_deals) t{at}"
+        for at, (cid, title, kind, x) in enumerate(columns)]
+    return O.with_ctes(O.RAW_DEALS) + "\nUNION ALL\n".join(parts)
+
+
+#: Pages followed one by one from the pages that no page leads to.
+PAGE_CHAIN = """
+WITH RECURSIVE k AS (
+  SELECT DISTINCT CAST(o_orderkey % 5 AS VARCHAR) AS board, o_orderkey // 500 AS no FROM orders JOIN customer ON o_custkey = c_custkey
+), e AS (SELECT max(o_orderkey) // 500 AS last FROM orders),
+n AS (
+  SELECT board, CASE WHEN no = 0 THEN '' ELSE CAST(no AS VARCHAR) END AS key,
+    CASE WHEN board = '1' AND no = 3 THEN 'lost' WHEN no = last AND board = '2' THEN '1' WHEN no = last THEN NULL
+         WHEN board = '4' AND no = 5 THEN '5' ELSE CAST(no + 1 AS VARCHAR) END AS next,
+    CASE WHEN board = '3' AND no = 2 THEN 2 ELSE 1 END AS copies
+  FROM k, e
+), b AS (SELECT board, next AS key, min(key) AS prev FROM n WHERE next IS NOT NULL GROUP BY ALL),
+walk AS (
+  SELECT n.board, n.key, n.key AS root, 0 AS steps FROM n LEFT JOIN b ON n.board = b.board AND n.key = b.key WHERE b.key IS NULL
+  UNION ALL
+  SELECT n.board, n.key, w.root, w.steps + 1 FROM walk w JOIN b ON b.board = w.board AND b.prev = w.key JOIN n ON n.board = b.board AND n.key = b.key
+), x AS (
+  SELECT n.*, w.root, w.steps, t.key AS to_key, tb.prev AS to_prev, tw.root AS to_root, tw.steps AS to_steps
+  FROM n LEFT JOIN walk w ON n.board = w.board AND n.key = w.key LEFT JOIN n t ON n.board = t.board AND n.next = t.key
+  LEFT JOIN b tb ON t.board = tb.board AND t.key = tb.key LEFT JOIN walk tw ON t.board = tw.board AND t.key = tw.key
+), y AS (SELECT *, to_key IS NOT NULL AND to_prev <> key AS second, coalesce(root = to_root AND to_steps <= steps, false) AS back FROM x)
+SELECT board, nullif(key, '') AS request_cursor, next AS cursor, CAST(copies AS BIGINT) AS copies, CASE WHEN root = '' THEN CAST(steps + 1 AS BIGINT) END AS position,
+  concat_ws(',', CASE WHEN copies > 1 THEN 'repeated' END, CASE WHEN next IS NOT NULL AND to_key IS NULL THEN 'missing next' END,
+            CASE WHEN root IS NULL OR second AND back THEN 'loop' END, CASE WHEN root IS NOT NULL AND second AND NOT back THEN 'shared next' END,
+            CASE WHEN root <> '' THEN 'unreachable' END) AS problems
+FROM y
+"""

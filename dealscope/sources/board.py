@@ -1,10 +1,11 @@
 """Board ingestion (S1-S4): landed item pages (JSON) -> one wide text table.
 
 Pages are read as one multi-file scan with an explicit schema and
-exploded to items (S2).  Each item's ``column_values`` array becomes one
-column per title by array filtering inside the row (S1): no shuffle, no
-pivot.  Column id -> title comes from the board metadata (S3), which is a
-schema-sized list resolved while the plan is built.
+exploded to items (S2; ``sources.pages`` puts them in order by their cursors).
+Each item's ``column_values`` array becomes one column per title inside the
+row (S1): no shuffle, no pivot.  Column id -> title comes from the board
+metadata; ids it lacks go into one map column, so no row is read while the
+plan is built.  The column catalogue (S3) is found in the items themselves.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ ITEM = T.StructType([
     T.StructField("column_values", T.ArrayType(COLUMN_VALUE)),
 ])
 PAGE = T.StructType([
-    T.StructField("cursor", T.StringType()),
+    T.StructField("request_cursor", T.StringType()),  # it was asked with; null for the first page
+    T.StructField("cursor", T.StringType()),  # of the page after it; null for the last
     T.StructField("items", T.ArrayType(ITEM)),
 ])
 BOARD_COLUMN = T.StructType([
@@ -56,16 +58,18 @@ def pages_to_items(pages: DataFrame) -> DataFrame:
 PAGE_SIZE = 500
 
 
-def items_to_pages(items: DataFrame, page_key: str, page_size: int = PAGE_SIZE) -> DataFrame:
-    """Pack items into API-shaped pages of at most ``page_size`` items.
+def items_to_pages(items: DataFrame, page_key: str, page_size: int = PAGE_SIZE, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pack items into API-shaped pages of at most ``page_size`` items (1 to 500).
 
     ``page_key`` must be a unique integer key per item; pages are key
-    ranges of width ``page_size``, so no page can exceed the API limit.
+    ranges of width ``page_size`` (within each value of ``by``), so no page
+    can exceed the API limit.
     """
-    page = F.floor(F.col(page_key) / page_size)
+    page = F.floor(F.col(page_key) / max(1, min(PAGE_SIZE, int(page_size))))
     item = F.struct(*[F.col(c) for c in ("id", "name", "created_at", "updated_at", "column_values")])
-    g = items.groupBy(page.alias("page_no")).agg(F.collect_list(item).alias("items"))
-    return g.select(F.col("page_no").cast("string").alias("cursor"), "items")
+    g = items.groupBy(*by, page.alias("page_no")).agg(F.collect_list(item).alias("items"))
+    no = F.col("page_no")
+    return g.select(*by, "page_no", F.when(no > 0, no.cast("string")).alias("request_cursor"), (no + 1).cast("string").alias("cursor"), "items")
 
 
 def read_board_columns(spark: SparkSession, path: str) -> DataFrame:
@@ -79,36 +83,63 @@ def board_columns(boards: DataFrame) -> DataFrame:
         F.col("c.id").alias("column_id"), F.col("c.title").alias("title"), F.col("c.type").alias("type"))
 
 
-def board_items_to_table(items: DataFrame, columns: DataFrame,
-                         unknown_ids: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Items -> wide all-text table with the four meta columns first.
+#: Texts that every filled value of a numbers or a date column has.
+NUMBER_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+DATE_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+
 
-    Unknown column ids keep the id as title, null text becomes '', a title
-    the item does not carry is null, and when two ids share a title the
-    value later in the item wins.  Each title is read from the parallel
-    ``column_values.id`` / ``column_values.text`` arrays with
-    ``array_position`` + ``element_at`` (no lambdas, so the projection is
-    code-generated and needs no shuffle).
-
-    Ids missing from the metadata become columns named by the id.  They are
-    discovered with one distinct over ``column_values.id`` (a schema-sized
-    result) unless the caller passes ``unknown_ids`` (e.g. ``[]`` when the
-    catalogue is known to be complete), which keeps the call fully lazy.
-    Columns of ``items`` named in ``keep`` are carried through at the end.
+def discover_columns(items: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """S3: the board's column catalogue as its items show it, one aggregation.
+
+    One row per column id that an item carries: ``column_id``, ``title`` and
+    ``type`` of the metadata (the id itself and null where it lacks the id),
+    ``inferred_type`` (``empty``, ``numbers``, ``date`` or ``text``, of the texts
+    that are not blank), ``items`` that carry it, ``filled`` texts and the
+    first ``position`` in an item.  Ids that no item carries are not listed.
     """
-    titles: dict[str, str] = {}
-    for r in columns.select("column_id", "title").collect():  # board metadata: one row per column
-        titles[r["column_id"]] = r["title"]
-    # Ids present in the data but absent from the metadata (schema-sized set).
-    if unknown_ids is None:
-        ids = [r[0] for r in items.select(F.explode("column_values.id")).distinct().collect()]
+    values = items.select("column_values.id", "column_values.text").select("*", F.posexplode("id").alias("at", "column_id"))
+    text = F.btrim(F.element_at("text", F.col("at") + 1))
+    own = values.filter("column_id is not null").select(
+        "column_id", "at", text.alias("text"), (F.array_position("id", F.col("column_id")) == F.col("at") + 1).alias("first"))
+    filled = F.col("text") != ""
+    g = own.groupBy("column_id").agg(
+        F.count_if("first").alias("items"), F.count_if(filled).alias("filled"), F.count_if(F.col("text").rlike(NUMBER_TEXT)).alias("numbers"),
+        F.count_if(F.col("text").rlike(DATE_TEXT)).alias("dates"), F.min("at").alias("position"))
+    kind = (F.when(F.col("filled") == 0, "empty").when(F.col("numbers") == F.col("filled"), "numbers")
+            .when(F.col("dates") == F.col("filled"), "date").otherwise("text"))
+    if columns is None:
+        g = g.withColumns({"title": F.lit(None).cast("string"), "type": F.lit(None).cast("string")})
     else:
-        ids = list(unknown_ids)
+        g = g.join(columns.groupBy("column_id").agg(F.max(F.struct("title", "type")).alias("m")), "column_id", "left").select("*", "m.title", "m.type")
+    return g.select("column_id", F.coalesce("title", "column_id").alias("title"), "type", kind.alias("inferred_type"), "items", "filled", "position")
+
+
+def board_items_to_table(items: DataFrame, columns: DataFrame | list[tuple[str, str]],
+                         other: str | None = "__other", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Items -> wide all-text table with the four meta columns first.
+
+    ``columns``: (id, title) of the board's metadata, as a list or as a frame
+    (collected: one row per column).  Null text becomes '', a title the item
+    does not carry is null, and when two ids share a title the value later in
+    the item wins.  Each title is read from the parallel ``column_values.id``
+    / ``column_values.text`` arrays, reversed once per item, with
+    ``array_position`` + ``element_at`` (no shuffle).
+
+    Ids missing from the metadata need no pass over the data: they stay in the
+    map column ``other`` (id -> text, the last value of an id), which a caller
+    projects when it needs one; ``None`` leaves them out.  Columns of ``items``
+    named in ``keep`` are carried through at the end.
+    """
+    if isinstance(columns, DataFrame):
+        columns = [tuple(r) for r in columns.select("column_id", "title").collect()]
+    titles = dict(columns)
     by_title: dict[str, list[str]] = {}
-    for cid in list(titles) + sorted(i for i in ids if i is not None and i not in titles):
-        by_title.setdefault(titles.get(cid, cid), []).append(cid)
-    # from the end, so that of values with one id in an item the last is found first
-    id_arr, text_arr = F.reverse(F.col("column_values.id")), F.reverse(F.col("column_values.text"))
+    for cid, title in titles.items():
+        by_title.setdefault(title, []).append(cid)
+    # from the end, so that of values with one id in an item the last is found
+    # first; in a projection of their own, which keeps them computed once
+    ready = items.select("*", F.reverse(F.col("column_values.id")).alias("_ids"), F.reverse(F.col("column_values.text")).alias("_texts"))
+    ids, texts = F.col("_ids"), F.col("_texts")
     cols = [F.col("id").alias("__item_id"), F.col("name").alias("__item_name"),
             F.col("created_at").alias("__created_at"), F.col("updated_at").alias("__updated_at")]
     for title, cids in by_title.items():
@@ -116,13 +147,18 @@ def board_items_to_table(items: DataFrame, columns: DataFrame,
             continue
         cands = []
         for cid in cids:
-            pos = F.coalesce(F.array_position(id_arr, F.lit(cid)), F.lit(0)).cast("int")
-            text = F.when(pos > 0, F.coalesce(F.element_at(text_arr, pos), F.lit("")))
-            later = F.when(pos > 0, F.size(id_arr) - pos).otherwise(-1)
+            pos = F.coalesce(F.array_position(ids, F.lit(cid)), F.lit(0)).cast("int")
+            text = F.when(pos > 0, F.coalesce(F.element_at(texts, pos), F.lit("")))
+            later = F.when(pos > 0, F.size(ids) - pos).otherwise(-1)
             cands.append(F.struct(later.alias("p"), text.alias("x")))
         best = cands[0] if len(cands) == 1 else F.greatest(*cands)
         cols.append(best["x"].alias(title))
-    return items.select(*cols, *[F.col(k) for k in keep])
+    if other is not None:
+        known = F.array(*(F.lit(c) for c in titles)) if titles else F.array().cast("array<string>")
+        unknown = F.array_except(F.array_compact(ids), known)
+        last = F.transform(unknown, lambda i: F.coalesce(F.element_at(texts, F.array_position(ids, i).cast("int")), F.lit("")))
+        cols.append(F.map_from_arrays(F.coalesce(unknown, F.array().cast("array<string>")), F.coalesce(last, F.array().cast("array<string>"))).alias(other))
+    return ready.select(*cols, *[F.col(k) for k in keep])
 
 
 def items_from_table(raw: DataFrame, meta_columns=META_COLUMNS) -> tuple[DataFrame, DataFrame]:

@@ -48,9 +48,9 @@ def export_snapshots(pages: DataFrame, deal_columns: DataFrame, wo_columns: Data
     hold no items still gets its row, with zero KPIs.
     """
     deals = clean.clean_deals(board.board_items_to_table(
-        _board_items(pages, DEALS_BOARD), deal_columns, keep=EXPORT_KEY), keep=EXPORT_KEY)
+        _board_items(pages, DEALS_BOARD), deal_columns, other=None, keep=EXPORT_KEY), keep=EXPORT_KEY)
     wos = clean.clean_work_orders(board.board_items_to_table(
-        _board_items(pages, WORK_ORDERS_BOARD), wo_columns, keep=EXPORT_KEY), keep=EXPORT_KEY)
+        _board_items(pages, WORK_ORDERS_BOARD), wo_columns, other=None, keep=EXPORT_KEY), keep=EXPORT_KEY)
     kpis = leadership.snapshots_by(deals, wos, list(EXPORT_KEY))
     exports = pages.groupBy("export_id").agg(F.max("exported_at").alias("exported_at"))
     zero = {"gross_pipeline": X.SUM_MONEY_TYPE, "weighted_pipeline": X.WEIGHTED_TYPE, "open_deals": "bigint",
