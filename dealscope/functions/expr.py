@@ -106,11 +106,12 @@ def status_norm(c: ColumnOrName) -> Column:
 # --------------------------------------------------------------------------
 # parsers
 # --------------------------------------------------------------------------
-# 29 digits before and 9 after the point: amounts keep their digits.
-MONEY_TYPE = "decimal(38,9)"
-SUM_MONEY_TYPE = "decimal(38,9)"
-WEIGHTED_TYPE = "decimal(38,6)"
-PROB_TYPE = "decimal(17,16)"
+# Amounts, their products with a probability and their totals are doubles;
+# the sums in between are exact (``money_part``), so a total is rounded once.
+MONEY_TYPE = SUM_MONEY_TYPE = WEIGHTED_TYPE = "double"
+MONEY_LIMIT = 1e33  # longer digit runs are no amounts
+LIMB = float(1 << 50)
+PART_TYPE = "struct<hi:decimal(38,0),lo:decimal(38,12)>"
 _NUMERIC = "^(double|float|tinyint|smallint|int|bigint|decimal)"
 
 
@@ -118,16 +119,44 @@ def money_parse(c: ColumnOrName) -> Column:
     """Keep digits, '.', '-' and parse; unusable text -> null.
 
     Units are ignored on purpose (``Rs. 5,000`` -> 0.50, ``68.82 Cr`` ->
-    68.82); result is an exact ``decimal(38,9)``.  Numbers pass through:
+    68.82); amounts of ``MONEY_LIMIT`` or more are null.  Numbers pass through:
     ``typeof`` is a constant of the plan, so only one branch is left in it.
     """
     text = _c(c).cast("string")
-    number = text.try_cast(MONEY_TYPE)
+    number = text.try_cast("double")
     # The regex drops whitespace too, so no separate strip is needed; text
     # made only of number characters skips the regex altogether.
     plain = F.length(F.translate(text, _NUMBER_CHARS, "")) == 0
     kept = F.when(plain, text).otherwise(F.regexp_replace(text, r"[^0-9.\-]", ""))
-    return F.when(F.typeof(_c(c)).rlike(_NUMERIC), number).otherwise(F.nullif(kept, F.lit("")).try_cast(MONEY_TYPE))
+    value = F.when(F.typeof(_c(c)).rlike(_NUMERIC), number).otherwise(F.nullif(kept, F.lit("")).try_cast("double"))
+    return F.when(F.abs(value) < MONEY_LIMIT, value)
+
+
+# Exact sums.  An amount is split into a multiple of 2^50 and the rest, both
+# exact; the multiples and the rests (twelve decimals) are added as decimals,
+# so no order of adding changes a total, and none overflows below 10^11 rows.
+def money_part(c: ColumnOrName) -> Column:
+    """An aggregate: the exact sum of amounts so far, as a struct to be added up again or read."""
+    v = F.when(F.abs(_c(c).cast("double")) < MONEY_LIMIT, _c(c).cast("double"))
+    times = F.floor(F.abs(v) / LIMB)
+    times = F.when(v < 0, -times).otherwise(times)
+    return F.struct(F.sum(times.cast("decimal(19,0)")).alias("hi"), F.sum((v - times.cast("double") * LIMB).cast("decimal(28,12)")).alias("lo"))
+
+
+def money_join(part: ColumnOrName) -> Column:
+    """An aggregate over parts: their exact sum."""
+    return F.struct(F.sum(_c(part)["hi"]).alias("hi"), F.sum(_c(part)["lo"]).alias("lo"))
+
+
+def money_value(part: Column) -> Column:
+    """The amount a part stands for, rounded once; 0 for none."""
+    hi, lo = (F.coalesce(part[x].cast("double"), F.lit(0.0)) for x in ("hi", "lo"))
+    return hi * LIMB + lo
+
+
+def money_sum(c: ColumnOrName) -> Column:
+    """An aggregate: the exact sum of amounts as a double; 0 for none."""
+    return money_value(money_part(c))
 
 
 _NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"

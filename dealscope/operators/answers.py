@@ -74,10 +74,10 @@ def pipeline_summary_grid(deals: DataFrame, as_of=None) -> DataFrame:
     ).agg(
         F.count(F.lit(1)).alias("_c"),
         F.count_if(vnn).alias("_cv"),
-        F.sum(v).alias("_gross"),
+        X.money_part(v).alias("_gross"),
         F.count_if(ok).alias("_cp"),
         F.count_if(ok & vnn).alias("_cw"),
-        F.sum(F.when(ok & vnn, v * pr.cast(X.PROB_TYPE))).alias("_w"),
+        X.money_part(F.when(ok, v * pr)).alias("_w"),
     )
     # Every group row takes part in every grid cell (n_open counts all open
     # deals); sector / period matches are flags on the cell.
@@ -94,19 +94,19 @@ def pipeline_summary_grid(deals: DataFrame, as_of=None) -> DataFrame:
         F.sum(F.when(sm, c)).alias("n_sector"),
         F.sum(F.when(f, c)).alias("n"),
         F.sum(F.when(f, F.col("_cv"))).alias("n_value"),
-        F.sum(F.when(f, F.col("_gross"))).alias("gross"),
+        X.money_join(F.when(f, F.col("_gross"))).alias("gross"),
         F.sum(F.when(f, F.col("_cp"))).alias("n_prob"),
         F.sum(F.when(f, F.col("_cw"))).alias("n_weighted"),
-        F.sum(F.when(f, F.col("_w"))).alias("weighted"),
+        X.money_join(F.when(f, F.col("_w"))).alias("weighted"),
         F.sum(F.when(f & (F.col("_ns") == ""), c)).alias("n_unknown"),
     )
     z = lambda col, t: F.coalesce(F.sum(col), F.lit(0)).cast(t)
     tot = per_group.groupBy("i").agg(
         *[z(F.col(k), "bigint").alias(k)
           for k in ("n_open", "n_sector", "n", "n_value", "n_prob", "n_weighted", "n_unknown")],
-        z(F.col("gross"), X.SUM_MONEY_TYPE).alias("gross"),
-        z(F.col("weighted"), X.WEIGHTED_TYPE).alias("weighted"),
-        F.max(F.coalesce(F.col("gross"), F.lit(0))).alias("top_group"),
+        X.money_value(X.money_join("gross")).alias("gross"),
+        X.money_value(X.money_join("weighted")).alias("weighted"),
+        F.max(X.money_value(F.col("gross"))).alias("top_group"),
     )
     has_date = "tentative_close_date" in cols
     warn = {"quarter": vocab.WARN_QUARTER, "month": vocab.WARN_MONTH, "year": vocab.WARN_YEAR}
@@ -138,7 +138,7 @@ def work_order_grid(work_orders: DataFrame) -> DataFrame:
     """
     has_sector = "sector" in work_orders.columns
     key = X.text_norm("sector") if has_sector else F.lit("")
-    g0 = work_orders.groupBy(key.alias("_ns")).agg(*wo_kpi_aggs(work_orders))
+    g0 = work_orders.groupBy(key.alias("_ns")).agg(*wo_kpi_aggs(work_orders, X.money_part))
     names = [c for c in g0.columns if c != "_ns"]
     cells = []
     for i, s in enumerate(GRID_SECTORS):
@@ -146,8 +146,10 @@ def work_order_grid(work_orders: DataFrame) -> DataFrame:
         cells.append(F.struct(F.lit(i).alias("i"), sm.alias("sm")))
     x = g0.select("*", _grid_array(cells).alias("cell")).select("*", "cell.*")
     types = dict(g0.dtypes)
+    own = {n: F.when(F.col("sm"), F.col(n)) for n in names}
     tot = x.groupBy("i").agg(*[
-        F.coalesce(F.sum(F.when(F.col("sm"), F.col(n))), F.lit(0)).cast(types[n]).alias(n) for n in names])
+        (X.money_value(X.money_join(own[n])) if types[n].startswith("struct") else F.coalesce(F.sum(own[n]), F.lit(0)).cast(types[n])).alias(n)
+        for n in names])
     labels = F.array(*[F.lit(s).cast("string") for s in GRID_SECTORS])
     return tot.select("*", F.element_at(labels, F.col("i") + 1).alias("grid_sector")).drop("i")
 

@@ -51,19 +51,18 @@ def leadership_deals_sets(deals: DataFrame) -> DataFrame:
                      ok.alias("ok"), pr.alias("pr"))
     pairs = base.groupBy("sector", "stage").agg(
         F.count(F.lit(1)).alias("deals"),
-        F.sum(F.coalesce(F.col("v"), F.lit(0))).alias("pipeline"),
+        X.money_part("v").alias("pipeline"),
         F.count_if(F.col("v").isNotNull()).alias("deals_with_value"),
         F.count_if(F.col("ok")).alias("deals_with_probability"),
-        F.sum(F.when(F.col("ok") & F.col("v").isNotNull(), F.col("v") * F.col("pr").cast(X.PROB_TYPE)))
-        .alias("weighted_pipeline"),
+        X.money_part(F.when(F.col("ok"), F.col("v") * F.col("pr"))).alias("weighted_pipeline"),
     )
     g = pairs.groupingSets([["sector"], ["stage"], []], "sector", "stage").agg(
         F.grouping_id().alias("gid"),
         F.sum("deals").cast("bigint").alias("deals"),
-        F.coalesce(F.sum("pipeline"), F.lit(0)).cast(X.SUM_MONEY_TYPE).alias("pipeline"),
+        X.money_value(X.money_join("pipeline")).alias("pipeline"),
         F.sum("deals_with_value").cast("bigint").alias("deals_with_value"),
         F.sum("deals_with_probability").cast("bigint").alias("deals_with_probability"),
-        F.coalesce(F.sum("weighted_pipeline"), F.lit(0)).cast(X.WEIGHTED_TYPE).alias("weighted_pipeline"),
+        X.money_value(X.money_join("weighted_pipeline")).alias("weighted_pipeline"),
     )
     level = F.when(F.col("gid") == 1, "sector").when(F.col("gid") == 2, "stage").otherwise("total")
     return g.select(level.alias("grouping"), F.coalesce("sector", "stage").alias("label"),
@@ -83,20 +82,19 @@ def leadership_wo_sets(work_orders: DataFrame) -> DataFrame:
                      money_or_zero(df, "collected_amount").alias("collected"),
                      money_or_zero(df, "amount_to_be_billed_incl").alias("tbb"),
                      money_or_zero(df, "amount_receivable").alias("receivable"))
-    s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast(X.SUM_MONEY_TYPE)
     pairs = base.groupBy("sector", "status").agg(
         F.count(F.lit(1)).alias("work_orders"),
         F.count_if("active").alias("active_work_orders"),
         F.count_if("completed").alias("completed_work_orders"),
-        F.sum("billed").alias("billed_value"),
-        F.sum("collected").alias("collected_amount"),
-        F.sum("tbb").alias("amount_to_be_billed"),
-        F.sum("receivable").alias("amount_receivable"),
+        X.money_part("billed").alias("billed_value"),
+        X.money_part("collected").alias("collected_amount"),
+        X.money_part("tbb").alias("amount_to_be_billed"),
+        X.money_part("receivable").alias("amount_receivable"),
     )
     g = pairs.groupingSets([["sector"], ["status"], []], "sector", "status").agg(
         F.grouping_id().alias("gid"),
         *[F.sum(c).cast("bigint").alias(c) for c in ("work_orders", "active_work_orders", "completed_work_orders")],
-        *[s(c).alias(c) for c in ("billed_value", "collected_amount", "amount_to_be_billed", "amount_receivable")],
+        *[X.money_value(X.money_join(c)).alias(c) for c in ("billed_value", "collected_amount", "amount_to_be_billed", "amount_receivable")],
     )
     level = F.when(F.col("gid") == 1, "sector").when(F.col("gid") == 2, "status").otherwise("total")
     return g.select(level.alias("grouping"), F.coalesce("sector", "status").alias("label"),
@@ -249,15 +247,13 @@ def _kpis_by(deals: DataFrame, deal_keys: list[Column], work_orders: DataFrame,
     prob = usable_probability(od)
     ok, pr = (prob[1], prob[0]) if prob else (F.lit(False), F.lit(None).cast("double"))
     d = od.groupBy(*[k.alias(n) for k, n in zip(deal_keys, names)]).agg(
-        F.coalesce(F.sum(v), F.lit(0)).cast(X.SUM_MONEY_TYPE).alias("gross_pipeline"),
-        F.coalesce(F.sum(F.when(ok & v.isNotNull(), v * pr.cast(X.PROB_TYPE))), F.lit(0))
-        .cast(X.WEIGHTED_TYPE).alias("weighted_pipeline"),
+        X.money_sum(v).alias("gross_pipeline"),
+        X.money_sum(F.when(ok, v * pr)).alias("weighted_pipeline"),
         F.count(F.lit(1)).alias("open_deals"))
     wo = work_orders
     w = wo.groupBy(*[k.alias(n) for k, n in zip(wo_keys, names)]).agg(
         F.count_if(active_flag(wo)).alias("active_work_orders"),
-        F.coalesce(F.sum(money_or_zero(wo, "amount_receivable")), F.lit(0))
-        .cast(X.SUM_MONEY_TYPE).alias("receivable"))
+        X.money_sum(money_or_zero(wo, "amount_receivable")).alias("receivable"))
     j = d.join(w, names, "full_outer")
     return j.select(
         *names,

@@ -29,26 +29,24 @@ def completed_flag(df: DataFrame) -> Column:
 
 
 def money_or_zero(df: DataFrame, column: str) -> Column:
-    """A money column as decimal with unusable values as 0 (missing column = 0)."""
+    """A money column with unusable values as 0 (missing column = 0)."""
     if column not in df.columns:
         return F.lit(0).cast(X.MONEY_TYPE)
     return F.coalesce(F.col(column).try_cast(X.MONEY_TYPE), F.lit(0).cast(X.MONEY_TYPE))
 
 
-def _sum_money(c: Column) -> Column:
-    return F.coalesce(F.sum(c), F.lit(0)).cast(X.SUM_MONEY_TYPE)
+def wo_kpi_aggs(df: DataFrame, money=X.money_sum) -> list[Column]:
+    """Counts and money sums shared by A5, A7, G5 and G7 (one pass).
 
-
-def wo_kpi_aggs(df: DataFrame) -> list[Column]:
-    """Counts and money sums shared by A5, A7, G5 and G7 (one pass)."""
+    ``money``: ``X.money_part`` where the sums are added up again."""
     return [
         F.count(F.lit(1)).alias("total_work_orders"),
         F.count_if(active_flag(df)).alias("active_work_orders"),
         F.count_if(completed_flag(df)).alias("completed_work_orders"),
-        _sum_money(money_or_zero(df, "billed_value_incl")).alias("billed_value"),
-        _sum_money(money_or_zero(df, "collected_amount")).alias("collected_amount"),
-        _sum_money(money_or_zero(df, "amount_to_be_billed_incl")).alias("amount_to_be_billed"),
-        _sum_money(money_or_zero(df, "amount_receivable")).alias("amount_receivable"),
+        money(money_or_zero(df, "billed_value_incl")).alias("billed_value"),
+        money(money_or_zero(df, "collected_amount")).alias("collected_amount"),
+        money(money_or_zero(df, "amount_to_be_billed_incl")).alias("amount_to_be_billed"),
+        money(money_or_zero(df, "amount_receivable")).alias("amount_receivable"),
     ]
 
 
@@ -125,7 +123,7 @@ def work_orders_by_sector_unordered(work_orders: DataFrame) -> DataFrame:
     return df.groupBy(X.text_display("sector").alias("sector")).agg(
         F.count_if(active_flag(df)).alias("active_work_orders"),
         F.count(F.lit(1)).alias("total_work_orders"),
-        _sum_money(backlog).alias("billing_backlog"),
+        X.money_sum(backlog).alias("billing_backlog"),
     )
 
 

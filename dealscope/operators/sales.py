@@ -120,7 +120,7 @@ def _summary(deals, sector, period, as_of, leader: bool) -> DataFrame:
         F.count_if(s).alias("n_sector"),
         F.count_if(f).alias("n"),
         F.count_if(f & vnn).alias("n_value"),
-        F.sum(F.when(f, v)).alias("gross"),
+        X.money_part(F.when(f, v)).alias("gross"),
     ]
     if prob is not None:
         pr, ok = prob
@@ -128,11 +128,11 @@ def _summary(deals, sector, period, as_of, leader: bool) -> DataFrame:
         level1 += [
             F.count_if(f & ok).alias("n_prob"),
             F.count_if(w).alias("n_weighted"),
-            F.sum(F.when(w, v * pr.cast(X.PROB_TYPE))).alias("weighted"),
+            X.money_part(F.when(w, v * pr)).alias("weighted"),
         ]
     else:
         level1 += [F.lit(0).cast("bigint").alias("n_prob"), F.lit(0).cast("bigint").alias("n_weighted"),
-                   F.lit(None).cast(X.WEIGHTED_TYPE).alias("weighted")]
+                   F.lit(None).cast(X.PART_TYPE).alias("weighted")]
     if has_sector:
         level1.append(F.count_if(f & (X.text_norm("sector") == "")).alias("n_unknown"))
     else:
@@ -142,10 +142,10 @@ def _summary(deals, sector, period, as_of, leader: bool) -> DataFrame:
     tot = per_group.agg(
         *[_sum0(F.col(c), "bigint").alias(c)
           for c in ("n_open", "n_sector", "n", "n_value", "n_prob", "n_weighted", "n_unknown")],
-        _sum0(F.col("gross"), X.SUM_MONEY_TYPE).alias("gross"),
-        _sum0(F.col("weighted"), X.WEIGHTED_TYPE).alias("weighted"),
-        F.max(F.coalesce(F.col("gross"), F.lit(0))).alias("top_group"),
-        F.min_by(F.col("_group"), F.struct((-F.coalesce(F.col("gross"), F.lit(0))).alias("v"),
+        X.money_value(X.money_join("gross")).alias("gross"),
+        X.money_value(X.money_join("weighted")).alias("weighted"),
+        F.max(X.money_value(F.col("gross"))).alias("top_group"),
+        F.min_by(F.col("_group"), F.struct((-X.money_value(F.col("gross"))).alias("v"),
                                            F.col("_group").alias("g"))).alias("top_group_label"),
     )
     message = (F.when(F.col("n") == 0, F.lit(MSG_NO_SECTOR_MATCH.format(sector=sector)))
@@ -231,9 +231,9 @@ def _grouped_pipeline(deals: DataFrame, key_column: str, label: str) -> DataFram
     key = X.text_display(key_column) if has_key else F.lit(vocab.UNKNOWN_LABEL)
     g = od.groupBy(key.alias(label)).agg(
         F.count(F.lit(1)).alias("deals"),
-        _sum0(F.coalesce(v, F.lit(0)), X.SUM_MONEY_TYPE).alias("pipeline"),
+        X.money_sum(v).alias("pipeline"),
     )
-    total = scalar(g, F.sum("pipeline"))
+    total = scalar(g, X.money_sum("pipeline"))
     share = X.safe_pct(F.col("pipeline"), total) if has_key else F.lit(None).cast("double")
     return g.select(
         label, "deals", "pipeline",
@@ -288,7 +288,7 @@ def sector_concentration(deals: DataFrame) -> DataFrame:
     return g.agg(
         F.min_by(F.col("sector"), F.struct((-F.col("pipeline")).alias("v"), F.col("sector"))).alias("top_sector"),
         F.max("pipeline").alias("top_sector_pipeline"),
-        _sum0(F.col("pipeline"), X.SUM_MONEY_TYPE).alias("gross_pipeline"),
+        X.money_sum("pipeline").alias("gross_pipeline"),
     ).select(
         "top_sector", "top_sector_pipeline", "gross_pipeline",
         F.when(F.col("gross_pipeline") > 0,
@@ -300,7 +300,7 @@ def sector_concentration(deals: DataFrame) -> DataFrame:
 def scenario_remove_sector(deals: DataFrame) -> DataFrame:
     """G3 generalized: for every sector, gross pipeline with that sector removed."""
     g = _grouped_pipeline(deals, "sector", "sector")
-    total = scalar(g, _sum0(F.col("pipeline"), X.SUM_MONEY_TYPE))
+    total = scalar(g, X.money_sum("pipeline"))
     top = leader(g, "pipeline", "sector")
     remaining = (total - F.col("pipeline")).cast(X.SUM_MONEY_TYPE)
     share = F.when(total != 0, remaining.cast("double") / total.cast("double") * 100).otherwise(F.lit(0.0))

@@ -63,7 +63,22 @@ def status_norm(x: str) -> str:
 
 
 def money_parse(x: str) -> str:
-    return f"TRY_CAST(nullif(regexp_replace({strip(x)}, '[^0-9.\\-]', '', 'g'), '') AS DECIMAL(38,9))"
+    v = f"TRY_CAST(nullif(regexp_replace({strip(x)}, '[^0-9.\\-]', '', 'g'), '') AS DOUBLE)"
+    return f"(CASE WHEN abs({v}) < 1e33 THEN {v} END)"
+
+
+def exact_sum(x: str) -> str:
+    """The sum of doubles by their decimal texts, as a decimal."""
+    return f"sum(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,12)))"
+
+
+def rounded(x: str) -> str:
+    """A decimal sum as the nearest double; 0 for none."""
+    return f"CAST(CAST(coalesce({x}, 0) AS VARCHAR) AS DOUBLE)"
+
+
+def money_sum(x: str) -> str:
+    return rounded(exact_sum(x))
 
 
 NUMBER_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"

@@ -9,7 +9,7 @@ from ..operators.filters import period_kind
 from ..operators.routing import QUESTION_TEMPLATES
 from ..operators.sales import WARN_MONTH, WARN_QUARTER, WARN_YEAR
 from . import oracle as O
-from .oracle import AS_OF, display, ident, money, money_signed, norm, pct, py_round, q, str_float
+from .oracle import AS_OF, display, exact_sum, ident, money, money_signed, money_sum, norm, pct, py_round, q, rounded, str_float
 
 BOTH = O.with_ctes(O.RAW_DEALS, O.DEALS, O.RAW_WO, O.WO)
 DEALS_ONLY = O.with_ctes(O.RAW_DEALS, O.DEALS)
@@ -42,10 +42,10 @@ def summary_cte(sector=None, period=None, name="ps") -> tuple[str, str]:
 {name}_g AS (
   SELECT {display('sector')} AS grp, count(*) AS n_open, count(*) FILTER (WHERE s_) AS n_sector,
     count(*) FILTER (WHERE f_) AS n, count(*) FILTER (WHERE f_ AND vnn) AS n_value,
-    sum(CASE WHEN f_ THEN deal_value END) AS gross,
+    {exact_sum('CASE WHEN f_ THEN deal_value END')} AS gross,
     count(*) FILTER (WHERE f_ AND pr BETWEEN 0 AND 1) AS n_prob,
     count(*) FILTER (WHERE f_ AND pr BETWEEN 0 AND 1 AND vnn) AS n_weighted,
-    sum(CASE WHEN f_ AND pr BETWEEN 0 AND 1 AND vnn THEN CAST(deal_value AS DECIMAL(20,2)) * CAST(pr AS DECIMAL(17,16)) END) AS weighted,
+    {exact_sum('CASE WHEN f_ AND pr BETWEEN 0 AND 1 AND vnn THEN deal_value * pr END')} AS weighted,
     count(*) FILTER (WHERE f_ AND {norm('sector')} = '') AS n_unknown
   FROM {name}_f GROUP BY 1),
 {name}_t AS (
@@ -53,9 +53,9 @@ def summary_cte(sector=None, period=None, name="ps") -> tuple[str, str]:
     CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(n_value), 0) AS BIGINT) AS n_value,
     CAST(coalesce(sum(n_prob), 0) AS BIGINT) AS n_prob, CAST(coalesce(sum(n_weighted), 0) AS BIGINT) AS n_weighted,
     CAST(coalesce(sum(n_unknown), 0) AS BIGINT) AS n_unknown,
-    CAST(coalesce(sum(gross), 0) AS DECIMAL(38,9)) AS gross,
-    CAST(coalesce(sum(weighted), 0) AS DECIMAL(38,6)) AS weighted,
-    max(coalesce(gross, 0)) AS top_group
+    {rounded('sum(gross)')} AS gross,
+    {rounded('sum(weighted)')} AS weighted,
+    {rounded('max(coalesce(gross, 0))')} AS top_group
   FROM {name}_g),
 {name} AS (
   SELECT 'Pipeline Summary' AS metric, {q(sector or 'All sectors')} AS sector,
@@ -76,16 +76,16 @@ def summary_cte(sector=None, period=None, name="ps") -> tuple[str, str]:
 def grouped_cte(key: str, label: str, name: str) -> str:
     return f"""{name} AS (
   SELECT {label}, deals, pipeline, {money('pipeline')} AS pipeline_display,
-    {pct('pipeline', 'sum(pipeline) OVER ()')} AS pipeline_share_pct
+    {pct('pipeline', rounded(exact_sum('pipeline') + ' OVER ()'))} AS pipeline_share_pct
   FROM (SELECT {display(key)} AS {label}, count(*) AS deals,
-          CAST(coalesce(sum(coalesce(deal_value, 0)), 0) AS DECIMAL(38,9)) AS pipeline
+          {money_sum('deal_value')} AS pipeline
         FROM deals WHERE {O.OPEN} GROUP BY 1) g)"""
 
 
 WO_BY_SECTOR = f"""a8 AS (
   SELECT {display('sector')} AS sector, count(*) FILTER (WHERE {O.ACTIVE}) AS active_work_orders,
     count(*) AS total_work_orders,
-    CAST(coalesce(sum(coalesce(amount_to_be_billed_incl, 0)), 0) AS DECIMAL(38,9)) AS billing_backlog
+    {money_sum('amount_to_be_billed_incl')} AS billing_backlog
   FROM wo GROUP BY 1)"""
 
 CROSS = f"""{grouped_cte('sector', 'sector', 'a3')},
@@ -93,18 +93,18 @@ CROSS = f"""{grouped_cte('sector', 'sector', 'a3')},
 cb AS (
   SELECT {display('coalesce(a3.sector, a8.sector)')} AS sector,
     CAST(coalesce(a3.deals, 0) AS BIGINT) AS deals,
-    CAST(coalesce(a3.pipeline, 0) AS DECIMAL(38,9)) AS pipeline,
+    coalesce(a3.pipeline, 0.0) AS pipeline,
     {money('coalesce(a3.pipeline, 0)')} AS pipeline_display,
     coalesce(a3.pipeline_share_pct, 0.0) AS pipeline_share_pct,
     CAST(coalesce(a8.active_work_orders, 0) AS BIGINT) AS active_work_orders,
     CAST(coalesce(a8.total_work_orders, 0) AS BIGINT) AS total_work_orders,
-    CAST(coalesce(a8.billing_backlog, 0) AS DECIMAL(38,9)) AS billing_backlog,
+    coalesce(a8.billing_backlog, 0.0) AS billing_backlog,
     {money('coalesce(a8.billing_backlog, 0)')} AS billing_backlog_display
   FROM a3 FULL OUTER JOIN a8 ON a3.sector = a8.sector)"""
 
 
 def wo_kpis(where: str = "TRUE", name: str = "k") -> str:
-    m = lambda c: f"CAST(coalesce(sum(coalesce({c}, 0)), 0) AS DECIMAL(38,9))"
+    m = money_sum
     return f"""{name} AS (
   SELECT count(*) AS total_work_orders, count(*) FILTER (WHERE {O.ACTIVE}) AS active_work_orders,
     count(*) FILTER (WHERE {O.COMPLETED}) AS completed_work_orders,
@@ -203,7 +203,7 @@ def _signal_sql(order, cond, typ, sev, msg, sector="NULL", share="NULL", amount=
                 amount_display="NULL", deals="NULL"):
     return (f"SELECT {order} AS signal_order, {q(typ)} AS type, {q(sev)} AS severity, "
             f"CAST({sector} AS VARCHAR) AS sector, CAST({share} AS DOUBLE) AS share_pct, "
-            f"CAST({amount} AS DECIMAL(38,9)) AS amount, CAST({amount_display} AS VARCHAR) AS amount_display, "
+            f"CAST({amount} AS DOUBLE) AS amount, CAST({amount_display} AS VARCHAR) AS amount_display, "
             f"CAST({deals} AS BIGINT) AS deals, {q(msg)} AS message FROM kr WHERE {cond}")
 
 
@@ -263,8 +263,8 @@ def statements(summary_variants: dict) -> dict[str, str]:
         s[name] = DEALS_ONLY.rstrip() + ",\n" + cte + "\nSELECT * FROM ps"
     s["sector_concentration"] = DEALS_ONLY.rstrip() + ",\n" + grouped_cte("sector", "sector", "g") + """
 SELECT (SELECT sector FROM g ORDER BY pipeline DESC, sector ASC LIMIT 1) AS top_sector,
-  max(pipeline) AS top_sector_pipeline, CAST(coalesce(sum(pipeline), 0) AS DECIMAL(38,9)) AS gross_pipeline,
-  CASE WHEN coalesce(sum(pipeline), 0) > 0 THEN """ + pct("max(pipeline)", "CAST(coalesce(sum(pipeline), 0) AS DECIMAL(38,9))") + """ ELSE 0.0 END AS concentration_pct
+  max(pipeline) AS top_sector_pipeline, """ + money_sum("pipeline") + """ AS gross_pipeline,
+  CASE WHEN coalesce(sum(pipeline), 0) > 0 THEN """ + pct("max(pipeline)", money_sum("pipeline")) + """ ELSE 0.0 END AS concentration_pct
 FROM g"""
     for key, label, name, lim in (("sector", "sector", "pipeline_by_sector", None),
                                   ("deal_stage", "stage", "pipeline_by_stage", None),
@@ -309,16 +309,16 @@ FROM g"""
         for i, (label, col, desc) in enumerate(GAP_ROWS))
     s["leadership_deals_sets"] = DEALS_ONLY + f"""SELECT CASE GROUPING(sector_d, stage_d) WHEN 1 THEN 'sector' WHEN 2 THEN 'stage' ELSE 'total' END AS grouping,
   coalesce(sector_d, stage_d) AS label, count(*) AS deals,
-  CAST(coalesce(sum(coalesce(deal_value, 0)), 0) AS DECIMAL(38,9)) AS pipeline,
+  {money_sum('deal_value')} AS pipeline,
   count(*) FILTER (WHERE deal_value IS NOT NULL) AS deals_with_value,
   count(*) FILTER (WHERE ok) AS deals_with_probability,
-  CAST(coalesce(sum(CASE WHEN ok AND deal_value IS NOT NULL THEN CAST(deal_value AS DECIMAL(20,2)) * CAST(pr AS DECIMAL(17,16)) END), 0) AS DECIMAL(38,6)) AS weighted_pipeline
+  {money_sum('CASE WHEN ok THEN deal_value * pr END')} AS weighted_pipeline
 FROM (SELECT *, {display('sector')} AS sector_d, {display('deal_stage')} AS stage_d,
         coalesce(pr BETWEEN 0 AND 1, FALSE) AS ok
       FROM (SELECT *, CASE WHEN probability_numeric <= 1 THEN probability_numeric ELSE probability_numeric / 100 END AS pr
             FROM deals WHERE {O.OPEN}) x) y
 GROUP BY GROUPING SETS ((sector_d), (stage_d), ())"""
-    m = lambda c: f"CAST(coalesce(sum(coalesce({c}, 0)), 0) AS DECIMAL(38,9))"
+    m = money_sum
     s["leadership_wo_sets"] = WO_ONLY + f"""SELECT CASE GROUPING(sector_d, status_d) WHEN 1 THEN 'sector' WHEN 2 THEN 'status' ELSE 'total' END AS grouping,
   coalesce(sector_d, status_d) AS label, count(*) AS work_orders,
   count(*) FILTER (WHERE {O.ACTIVE}) AS active_work_orders, count(*) FILTER (WHERE {O.COMPLETED}) AS completed_work_orders,
@@ -368,10 +368,10 @@ GROUP BY GROUPING SETS ((sector_d), (status_d), ())"""
         "SELECT 6, 'Amount to be billed', tbb_display FROM ops",
     ])
     s["scenario_remove_sector"] = DEALS_ONLY.rstrip() + ",\n" + grouped_cte("sector", "sector", "g") + f""",
-t AS (SELECT CAST(coalesce(sum(pipeline), 0) AS DECIMAL(38,9)) AS total,
+t AS (SELECT {money_sum('pipeline')} AS total,
         (SELECT sector FROM g ORDER BY pipeline DESC, sector ASC LIMIT 1) AS leader FROM g)
 SELECT sector, total AS current_pipeline, pipeline AS pipeline_removed,
-  CAST(total - pipeline AS DECIMAL(38,9)) AS scenario_pipeline,
+  total - pipeline AS scenario_pipeline,
   CASE WHEN total <> 0 THEN CAST(total - pipeline AS DOUBLE) / CAST(total AS DOUBLE) * 100 ELSE 0.0 END AS scenario_share_pct,
   sector = leader AS is_largest,
   {money_signed('total')} AS current_pipeline_display,
@@ -389,22 +389,22 @@ SELECT CAST(t AS INTEGER) AS target_collection_pct,
 FROM fin, range(50, 101) r(t)"""
     s["snapshot_delta"] = BOTH.rstrip() + f""",
 d AS (SELECT {display('sector')} AS sector, CAST(date_trunc('month', created_date) AS DATE) AS snapshot_date,
-        CAST(coalesce(sum(deal_value), 0) AS DECIMAL(38,9)) AS gross_pipeline,
-        CAST(coalesce(sum(CASE WHEN pr BETWEEN 0 AND 1 AND deal_value IS NOT NULL THEN CAST(deal_value AS DECIMAL(20,2)) * CAST(pr AS DECIMAL(17,16)) END), 0) AS DECIMAL(38,6)) AS weighted_pipeline,
+        {money_sum('deal_value')} AS gross_pipeline,
+        {money_sum('CASE WHEN pr BETWEEN 0 AND 1 THEN deal_value * pr END')} AS weighted_pipeline,
         count(*) AS open_deals
       FROM (SELECT *, CASE WHEN probability_numeric <= 1 THEN probability_numeric ELSE probability_numeric / 100 END AS pr
             FROM deals WHERE {O.OPEN}) x GROUP BY 1, 2),
 w AS (SELECT {display('sector')} AS sector, CAST(date_trunc('month', po_date) AS DATE) AS snapshot_date,
         count(*) FILTER (WHERE {O.ACTIVE}) AS active_work_orders,
-        CAST(coalesce(sum(coalesce(amount_receivable, 0)), 0) AS DECIMAL(38,9)) AS receivable
+        {money_sum('amount_receivable')} AS receivable
       FROM wo GROUP BY 1, 2),
 snaps AS (
   SELECT coalesce(d.sector, w.sector) AS sector, coalesce(d.snapshot_date, w.snapshot_date) AS snapshot_date,
-    coalesce(d.gross_pipeline, CAST(0 AS DECIMAL(38,9))) AS gross_pipeline,
-    coalesce(d.weighted_pipeline, CAST(0 AS DECIMAL(38,6))) AS weighted_pipeline,
+    coalesce(d.gross_pipeline, 0.0::DOUBLE) AS gross_pipeline,
+    coalesce(d.weighted_pipeline, 0.0::DOUBLE) AS weighted_pipeline,
     CAST(coalesce(d.open_deals, 0) AS BIGINT) AS open_deals,
     CAST(coalesce(w.active_work_orders, 0) AS BIGINT) AS active_work_orders,
-    coalesce(w.receivable, CAST(0 AS DECIMAL(38,9))) AS receivable
+    coalesce(w.receivable, 0.0::DOUBLE) AS receivable
   FROM d FULL OUTER JOIN w ON d.sector = w.sector AND d.snapshot_date = w.snapshot_date),
 s AS (SELECT * FROM snaps WHERE snapshot_date IS NOT NULL),
 l AS (SELECT *, """ + ", ".join(

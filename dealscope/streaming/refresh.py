@@ -94,7 +94,7 @@ def snapshots(spark: SparkSession, snapshot_path: str) -> DataFrame:
     kpis = [c for c in parts.columns if c not in ("exported_at", "export_id", "batch_id")]
     types = dict(parts.dtypes)
     return parts.groupBy("export_id").agg(
-        F.max("exported_at").alias("exported_at"), *(F.sum(c).cast(types[c]).alias(c) for c in kpis))
+        F.max("exported_at").alias("exported_at"), *((X.money_sum(c) if types[c] == "double" else F.sum(c).cast(types[c])).alias(c) for c in kpis))
 
 
 def snapshot_changes(spark: SparkSession, snapshot_path: str) -> DataFrame:

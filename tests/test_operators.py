@@ -1,6 +1,5 @@
 """Operators on small literal boards: branches, empty inputs, invariants."""
 
-from decimal import Decimal
 
 import pytest
 
@@ -43,15 +42,15 @@ def wos(spark):
 def test_clean_deals_drops_header_keeps_null_name(deals):
     names = sorted((r[0] or "<null>") for r in deals.select("deal_name").collect())
     assert names == ["<null>", "A", "B", "C", "D", "E"]
-    assert deals.schema["deal_value"].dataType.simpleString() == "decimal(38,9)"
+    assert deals.schema["deal_value"].dataType.simpleString() == "double"
     assert "probability_numeric" in deals.columns
 
 
 def test_pipeline_summary_all(deals):
     r = sales.pipeline_summary(deals).first().asDict()
     assert r["open_deals"] == 5
-    assert r["gross_pipeline"] == Decimal("3500.00")
-    assert r["weighted_pipeline"] == Decimal("2450.000000")  # '0.5%' reads as 0.5 (only > 1 is divided)
+    assert r["gross_pipeline"] == float("3500.00")
+    assert r["weighted_pipeline"] == float("2450.000000")  # '0.5%' reads as 0.5 (only > 1 is divided)
     assert r["deals_missing_value"] == 2
     assert r["deals_without_probability"] == 1
     assert r["unknown_sector_deals"] == 2
@@ -81,7 +80,7 @@ def test_pipeline_summary_degraded(spark, deals):
     r = sales.pipeline_summary(deals.drop("tentative_close_date"), None, "this quarter").first().asDict()
     assert r["period_warning"] == sales.WARN_QUARTER_MISSING and r["open_deals"] == 5
     r = sales.pipeline_summary(deals.limit(0)).first().asDict()
-    assert r["open_deals"] == 0 and r["gross_pipeline"] == Decimal("0.00")
+    assert r["open_deals"] == 0 and r["gross_pipeline"] == float("0.00")
 
 
 def test_pipeline_by_sector_and_invariants(deals):
@@ -102,7 +101,7 @@ def test_work_orders(wos):
     assert (s["total_work_orders"], s["active_work_orders"], s["completed_work_orders"]) == (4, 2, 1)
     assert s["active_share_pct"] == 50.0
     f = operations.financial_summary(wos).first().asDict()
-    assert f["billed_value"] == Decimal("1000.00") and f["collected_amount"] == Decimal("360.00")
+    assert f["billed_value"] == float("1000.00") and f["collected_amount"] == float("360.00")
     assert f["collection_rate_pct"] == 36.0 and f["billing_backlog_ratio_pct"] == round(80 / 1080 * 100, 2)
     st = {r["status"]: r["work_orders"] for r in operations.status_breakdown(wos).collect()}
     assert st == {"Ongoing": 1, "Completed": 1, "Partial  Completed": 1, "Unknown / Unclassified": 1}
@@ -117,7 +116,7 @@ def test_cross_board_outer_and_totals(deals, wos):
     assert by["Dsp"]["deals"] == 0 and by["Dsp"]["pipeline_display"] == "₹0"
     assert by["Railways"]["total_work_orders"] == 0
     assert sum(r["total_work_orders"] for r in cb) == 4
-    assert sum(r["pipeline"] for r in cb) == Decimal("3500.00")
+    assert sum(r["pipeline"] for r in cb) == float("3500.00")
     top = cross.top_backlog_sectors(deals, wos, 2).collect()
     assert [r["sector"] for r in top] == ["Unknown / Unclassified", "Dsp"]
 
@@ -143,10 +142,10 @@ def test_signals_radar_snapshot(spark, deals, wos):
     radar = leadership.decision_radar(deals, wos).collect()
     assert [r["signal"] for r in radar][0] == "Pipeline concentration" and len(radar) == 4
     snaps = spark.createDataFrame(
-        [("2001-01-01", Decimal("100"), Decimal("50"), 3, 2, Decimal("10")),
-         ("2001-02-01", Decimal("40000000"), Decimal("50"), 1, 2, Decimal("5"))],
-        "snapshot_date string, gross_pipeline decimal(38,2), weighted_pipeline decimal(38,6), "
-        "open_deals long, active_work_orders long, receivable decimal(38,2)")
+        [("2001-01-01", float("100"), float("50"), 3, 2, float("10")),
+         ("2001-02-01", float("40000000"), float("50"), 1, 2, float("5"))],
+        "snapshot_date string, gross_pipeline double, weighted_pipeline double, "
+        "open_deals long, active_work_orders long, receivable double")
     d = leadership.snapshot_delta(snaps).orderBy("snapshot_date").collect()
     assert d[0]["gross_pipeline_change"] is None
     assert d[1]["gross_pipeline_change_display"] == "+₹4.00 Cr"
@@ -157,7 +156,7 @@ def test_signals_radar_snapshot(spark, deals, wos):
 
 def test_scenarios(deals, wos):
     sc = {r["sector"]: r for r in sales.scenario_remove_sector(deals).collect()}
-    assert sc["Mining"]["is_largest"] and sc["Mining"]["scenario_pipeline"] == Decimal("500.00")
+    assert sc["Mining"]["is_largest"] and sc["Mining"]["scenario_pipeline"] == float("500.00")
     col = operations.scenario_collection(wos).collect()
     assert len(col) == 51
     default = [r for r in col if r["is_default"]]
@@ -212,3 +211,27 @@ def test_leadership_update_reuse_checkpoints(deals, wos):
     assert set(plain) == set(reused)
     for k in ("pipeline", "cross_board", "leadership_signals"):
         assert sorted(map(tuple, plain[k].collect())) == sorted(map(tuple, reused[k].collect()))
+
+
+def test_two_29_digit_amounts_in_every_summing_operator(spark):
+    from dealscope.operators import answers, clean, cross, leadership, operations, sales
+
+    big = "9" * 29
+    raw_d = spark.createDataFrame([("1", "Deal 1", "open", big, "High", "Mining"), ("2", "Deal 2", "open", big, "50%", "Mining"), ("3", "Deal 3", "open", "0.000000000001", "1", "Energy")],
+                                  "`__item_id` string, `Deal Name` string, `Deal Status` string, `Masked Deal value` string, `Closure Probability` string, `Sector/service` string")
+    raw_w = spark.createDataFrame([("1", "Ongoing", "Mining", big), ("2", "Completed", "Mining", big)],
+                                  "`__item_id` string, `Execution Status` string, Sector string, `Amount Receivable (Masked)` string")
+    d, w = clean.clean_deals(raw_d), clean.clean_work_orders(raw_w)
+    assert sales.pipeline_summary(d).first()["gross_pipeline"] == 2e29
+    assert sales.pipeline_summary(d, "Energy").first()["gross_pipeline"] == 1e-12
+    assert {r["sector"]: r["pipeline"] for r in sales.pipeline_by_sector(d).collect()} == {"Mining": 2e29, "Energy": 1e-12}
+    assert {r["label"]: r["pipeline"] for r in leadership.leadership_deals_sets(d).collect() if r["grouping"] == "sector"} == {"Mining": 2e29, "Energy": 1e-12}
+    assert {r["sector"]: r["scenario_pipeline"] for r in sales.scenario_remove_sector(d).collect()}["Energy"] == 2e29
+    assert sales.sector_concentration(d).first()["gross_pipeline"] == 2e29
+    if "amount_receivable" in w.columns:
+        assert operations.financial_summary(w).first()["amount_receivable"] == 2e29
+        assert leadership.kpi_snapshot(d, w).first()["receivable"] == 2e29
+    assert leadership.kpi_snapshot(d, w).first()["gross_pipeline"] == 2e29
+    assert cross.cross_board(d, w).first()["pipeline"] == 2e29
+    grid = {(r["grid_sector"], r["grid_period"]): r["gross_pipeline"] for r in answers.pipeline_summary_grid(d).collect()}
+    assert grid[None, None] == 2e29 and grid["Energy", None] == 1e-12
