@@ -18,7 +18,10 @@ pass over these terminals merges them.
 Defined results: null text counts as empty; among equal texts the row with
 the smallest id stays, null ids come last, and of repeated rows with that
 id one stays; an empty table gives an empty result; other columns are not
-read.  The shuffle carries only texts whose key repeats.
+read.  Texts are shuffled where a bit table of the repeated keys, tested in
+the scan, takes their key: those that repeat and one in sixteen others, which
+the join behind it drops.  The second pass brings one text a salt and key into
+one task, a ``HOT``-th of a key's rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealscope.llm.rows import held, released, written
+from dealscope.llm.rows import KeyFilter, held, released, written
 
 HOT = 512
 SUBTREE_BYTES = 32 << 20
@@ -141,7 +144,8 @@ def exact_groups(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFr
     once = counts.filter("_rows = 1").select(F.col("_min").alias("_id"), "_len", "_sha", F.col("_min").alias("_keep"),
                                              F.lit(1).cast("bigint").alias("_n"), F.lit(True).alias("_kept"))
     many = counts.filter("_rows > 1").select("_len", "_sha", F.ceil(F.col("_rows") / HOT).cast("int").alias("_salts"))
-    rows = keyed.join(many, ["_len", "_sha"])
+    marked = KeyFilter(many.select("_len", "_sha")).mark(keyed, F.col("_len"), F.col("_sha"))
+    rows = marked.filter("_may").drop("_may").join(many, ["_len", "_sha"])
     level1 = written(_tries(rows, F.pmod(F.hash("_id"), F.col("_salts"))))
     # salted keys: one terminal a salt and text, merged by a second trie pass
     tops = level1.filter("_salts > 1 and _first").withColumn("_id", F.col("_owner"))
@@ -161,13 +165,16 @@ def drop_copies(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFra
     marks = exact_groups(docs, id_col=id_col, text_col=text_col).filter("_n > 1").groupBy("_id", "_len", "_sha").agg(
         F.max(F.col("_kept").cast("int")).alias("_k"), F.count(F.lit(1)).alias("_c"))
     marks = written(marks.filter("_k = 0 or _c > 1"))
-    norm = normalised(F.col(text_col)).cast("binary")
-    rows = held(docs, _did=F.col(id_col).cast("bigint"), _dlen=F.octet_length(norm).cast("bigint"), _dsha=F.unhex(F.sha2(norm, 256)))
+    rows = KeyFilter(marks.select("_id")).mark(held(docs, _did=F.col(id_col).cast("bigint"), _text=F.col(text_col)), F.col("_did"))
+    # rows whose id is not marked pass without a shuffle; the text's key decides on the others
+    norm = normalised(F.col("_text")).cast("binary")
+    asked = rows.filter("_may").withColumns({"_dlen": F.octet_length(norm).cast("bigint"), "_dsha": F.unhex(F.sha2(norm, 256))}).drop("_text")
     same = F.col("_did").eqNullSafe(F.col("_id")) & (F.col("_dlen") == F.col("_len")) & (F.col("_dsha") == F.col("_sha"))
-    out = rows.join(marks, same, "left_anti")
+    found = written(asked.join(marks, same, "left").select("_row", "_did", "_dlen", "_dsha", "_k"))
     # a kept id that stands in several rows with this text: one of them
-    tied = rows.join(marks.filter("_k = 1"), same, "left_semi").dropDuplicates(["_did", "_dlen", "_dsha"])
-    return released(out.unionByName(tied))
+    tied = found.filter("_k = 1").dropDuplicates(["_did", "_dlen", "_dsha"])
+    out = [rows.filter("not _may"), found.filter("_k is null"), tied]
+    return released(out[0].select("_row").unionByName(out[1].select("_row")).unionByName(out[2].select("_row")))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
