@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from dealscope.llm.rows import written
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 RUN = 1 << 21
 HOT = 4096  # rows of one text; beyond that and a 1024th of all rows a text is hot
 HOT_SHARE = 1024

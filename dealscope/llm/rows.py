@@ -19,19 +19,24 @@ def released(rows: DataFrame) -> DataFrame:
     return rows.select("_row.*")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go with its execution, and Arrow
+#: batches of whole texts stay small (the default of 10,000 rows is held several
+#: times over, in the JVM's buffers and in the Python worker).
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared checkpoint folder; the shuffle files of
     its execution are removed once it is written."""
     conf = df.sparkSession.conf
-    before = conf.get(_CLEANUP)
-    conf.set(_CLEANUP, "true")
+    before = {k: conf.get(k) for k in _WRITING}
     try:
+        for k, v in _WRITING.items():
+            conf.set(k, v)
         return materialize_table(df)
     finally:
-        conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            conf.set(k, v)
 
 
 FILTER_BITS = 16  # per key, up to FILTER_BYTES in all
