@@ -10,6 +10,7 @@ string semantics that Spark lacks (``str.strip`` whitespace set,
 from __future__ import annotations
 
 import datetime as _dt
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -172,26 +173,61 @@ def probability_parse(c: ColumnOrName) -> Column:
     return _case_map(text, vocab.PROBABILITY_WORDS, numeric).cast("double")
 
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SHAPE_FROM, _SHAPE_TO = "0123456789" + _LETTERS + _LETTERS.lower(), "9" * 10 + "A" * 52
+# What each run of pattern letters may look like, digits as 9 and letters as A.
+_PART_SHAPES = {
+    "yyyy": ("9999",), "MM": ("99",), "dd": ("99",), "HH": ("99",), "mm": ("99",), "ss": ("99",), "SSS": ("999",),
+    "M": ("9", "99"), "d": ("9", "99"), "H": ("9", "99"), "XXX": ("A", "+99:99", "-99:99"), "EEE": ("AAA",),
+    "MMM": ("AAA",), "MMMM": tuple("A" * n for n in range(3, 10)),
+}
+
+
+def date_shapes(fmt: str) -> list[str]:
+    """The shapes of all texts that a date format can match; empty if it has a part of no fixed shape."""
+    shapes = [""]
+    for quoted, run in re.findall(r"'([^']*)'|([A-Za-z]+|[^A-Za-z']+)", fmt):
+        for part in [m.group(0) for m in re.finditer(r"([A-Za-z])\1*|[^A-Za-z]+", run)] or [quoted]:
+            if run and part[0].isalpha():
+                looks = _PART_SHAPES.get(part, ())
+            else:
+                looks = (part.translate(str.maketrans(_SHAPE_FROM, _SHAPE_TO)),)
+            shapes = [s + look for s in shapes for look in looks]
+    return shapes
+
+
 def date_parse(c: ColumnOrName, formats: tuple[str, ...] = vocab.DATE_FORMATS) -> Column:
-    """First declared format that parses wins; otherwise null (``date``)."""
+    """The date by the first declared format that fits; otherwise null (``date``).
+
+    A text's shape (digits as 9, letters as A) names the one format that can
+    match it, so a cell is parsed once, however many formats are declared.
+    Formats that share a shape (month or day first) are tried in order, as
+    are formats of no fixed shape.
+    """
     raw = _c(c).cast("string")
     text = py_strip(raw)
-    # Texts that start with a digit try the formats that do; others the rest.
-    first = F.substring(text, 1, 1)
-    digits = [F.try_to_timestamp(text, F.lit(f)) for f in formats if not f.startswith(("M" * 3, "E"))]
-    words = [F.try_to_timestamp(text, F.lit(f)) for f in formats if f.startswith(("M" * 3, "E"))]
-    none = F.lit(None).cast("timestamp")
-    general = F.when((first >= "0") & (first <= "9"), F.coalesce(*digits, none).cast("date"))
-    if words:
-        month = F.lower(F.substring(text, 1, 3)).isin(*(m.lower() for m in vocab.MONTHS))
-        general = F.when(month, F.coalesce(*words).cast("date")).otherwise(general)
+    by_shape: dict[str, list[str]] = {}
+    loose = [f for f in formats if not date_shapes(f)]
+    for f in formats:
+        for shape in date_shapes(f):
+            fits = by_shape.setdefault(shape, [])
+            if f.replace("MMMM", "MMM") not in fits:  # "May" is its own short form
+                fits.append(f)
+    shape = F.translate(text, _SHAPE_FROM, _SHAPE_TO)
+    tries = []
+    for k in range(max((len(v) for v in by_shape.values()), default=0)):
+        # One lookup in a constant map: a CASE would repeat the text's expression for every format.
+        pairs = [F.lit(x) for s, fs in by_shape.items() if k < len(fs) for x in (s, fs[k])]
+        tries.append(F.try_to_timestamp(text, F.try_element_at(F.create_map(*pairs), shape)))
+    tries += [F.try_to_timestamp(text, F.lit(f)) for f in loose]
+    general = F.coalesce(*tries, F.lit(None).cast("timestamp")).cast("date")
     if not formats or formats[0] != "yyyy-MM-dd":
         return general
     # Fast path: text shaped exactly dddd-dd-dd can only match yyyy-MM-dd, and
     # the date cast gives the same result (null for impossible dates) cheaply.
     iso = ((F.length(raw) == 10) & (F.translate(raw, "0123456789", "") == "--")
            & (F.substring(raw, 5, 1) == "-") & (F.substring(raw, 8, 1) == "-"))
-    return F.when(iso, raw.try_cast("date")).otherwise(general)
+    return F.when(iso, raw.try_cast("date")).when((text != "") & ~iso, general)
 
 
 def numeric_coerce(c: ColumnOrName | None) -> Column:

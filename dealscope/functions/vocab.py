@@ -304,14 +304,16 @@ DATE_FORMATS = (
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy/MM/dd",
-    "MM/dd/yyyy",
+    "M/d/yyyy",
     "yyyy-MM-dd HH:mm",
     "yyyy-MM-dd HH:mm:ss.SSS",
     "yyyy-MM-dd'T'HH:mm:ssXXX",
     "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
     "MMM d, yyyy",
+    "MMMM d, yyyy",
     "d-MMM-yyyy",
     "d MMM yyyy",
+    "d MMMM yyyy",
     "yyyyMMdd",
 )
 

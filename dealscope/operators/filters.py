@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import vocab
-from ..sources.cleaned import SECTOR_KEY
+from ..sources.cleaned import MONTH_KEY, SECTOR_KEY
 
 def TRUE() -> Column:
     return F.lit(True)
@@ -77,14 +77,23 @@ def period_bounds(kind: str, as_of: _dt.date | str | None) -> PeriodBounds:
 def period_predicate(
     df: DataFrame, date_column: str, period: str | None, as_of: _dt.date | str | None = None
 ) -> Column:
-    """rows whose date falls in the period; unparseable dates drop out."""
+    """rows whose date falls in the period; unparseable dates drop out.
+
+    On a table from ``write_cleaned(month_of=date_column)`` the bounds also
+    restrict the months read (a partition filter).
+    """
     kind = period_kind(period)
     if kind is None or date_column not in df.columns:
         return TRUE()
     b = period_bounds(kind, as_of)
     d = F.col(date_column).cast("date")
     upper = (d <= b.end) if b.end_inclusive else (d < b.end)
-    return (d >= b.start) & upper
+    inside = (d >= b.start) & upper
+    key = MONTH_KEY + date_column
+    if key in df.columns:
+        month = F.col(key)
+        inside = (month >= F.trunc(b.start, "month")) & ((month <= b.end) if b.end_inclusive else (month < b.end)) & inside
+    return inside
 
 
 def period_filter(

@@ -12,12 +12,13 @@ report scans each table once (twice when some fingerprint repeats).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructType
 
 from ..functions import expr as X
 from ..functions.vocab import DUPLICATE_ISSUE, EMPTY_ISSUE, GAP_ROWS
+from ..sources.cleaned import footer_session, is_key, read_cleaned
 from .sales import pipeline_summary
 
 
@@ -42,13 +43,31 @@ def missing_profile(df: DataFrame, dataset: str, blank_is_missing: bool = False)
 
     With ``blank_is_missing`` blank texts count as missing, too (L1).
     """
+    return _profile_long(_profile_row(df, blank_is_missing), df.columns, dataset)
+
+
+def missing_profile_stored(spark: SparkSession, path: str, dataset: str, board: StructType | None = None) -> DataFrame:
+    """Q1 over a board stored by ``write_cleaned``, from the Parquet footers alone.
+
+    Every count is pushed into the scan (``PushedAggregation``), so no column
+    data is read, whatever the size of the board.  ``board``: see ``read_cleaned``.
+    """
+    df = read_cleaned(footer_session(spark), path, board)
+    names = [c for c in df.columns if not is_key(c)]
+    counted = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(names)])
+    row = counted.select("rows", *[(F.col("rows") - F.col(f"n{i}")).alias(f"m{i}") for i in range(len(names))])
+    return _profile_long(row, names, dataset)
+
+
+def _profile_long(row: DataFrame, names: list[str], dataset: str) -> DataFrame:
+    """Q1's rows from the one row of counts (``rows``, ``m0``, ``m1``, ...)."""
     rows = F.col("rows")
     entries = F.array(*[
         F.struct(F.lit(i + 1).alias("position"), F.lit(n).alias("column_name"),
                  F.col(f"m{i}").alias("missing"))
-        for i, n in enumerate(df.columns)
+        for i, n in enumerate(names)
     ])
-    long = _profile_row(df, blank_is_missing).select(rows, F.inline(entries))
+    long = row.select(rows, F.inline(entries))
     pct = F.when(rows == 0, F.lit(0.0)).otherwise(X.py_round(F.col("missing") / rows * 100, 1))
     return long.select(
         F.lit(dataset).alias("dataset"), "position", "column_name", "missing",

@@ -18,6 +18,7 @@ from ..functions import expr as X
 from ..operators import answers, clean, cross, leadership, narrative, operations, quality, routing, sales
 from ..operators.filters import open_deals, period_filter, sector_filter
 from ..sources import board, fixtures
+from ..sources.cleaned import read_cleaned, write_cleaned
 from ..sources.pages import page_chain
 from ..session import checkpoint_dir
 from . import oracle as O
@@ -142,6 +143,26 @@ def _period(kind):
                                            f"this {kind}", AS_OF).select("__item_id", "tentative_close_date")
 
 
+def _stored(df: DataFrame, month_of: str | None = None) -> str:
+    """A cleaned board written into the shared folder; the path."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/cleaned/{uuid.uuid4().hex}"
+    write_cleaned(df, path, month_of=month_of)
+    return path
+
+
+def _period_stored(kind):
+    """F4 over the stored deals: only the period's months are read."""
+    def run(spark, sf):
+        d = read_cleaned(spark, _stored(deals(spark, sf), "tentative_close_date"))
+        return period_filter(open_deals(d), "tentative_close_date", f"this {kind}", AS_OF).select(
+            "__item_id", "tentative_close_date")
+    return run
+
+
+def _missing_stored(spark, sf):
+    return quality.missing_profile_stored(spark, _stored(work_orders(spark, sf)), "Work Orders")
+
+
 def _deal_items(spark, sf) -> DataFrame:
     """Deals as items, each with a second stage (``c13``) and an id that the metadata lacks (``c14``)."""
     items, _ = board.items_from_table(raw_deals(spark, sf))
@@ -269,6 +290,7 @@ def queries() -> dict[str, QueryFn]:
     q["sector_filter"] = _d(lambda d: sector_filter(d, "Mining").select("__item_id", "sector"))
     for kind in ("quarter", "month", "year"):
         q[f"period_filter_{kind}"] = _period(kind)
+        q[f"period_filter_{kind}_stored"] = _period_stored(kind)
     for name, (sec, per) in SUMMARY_VARIANTS.items():
         q[name] = (lambda sec, per: _d(lambda d: sales.pipeline_summary(d, sec, per, AS_OF)))(sec, per)
     q["sector_concentration"] = _d(sales.sector_concentration)
@@ -288,6 +310,7 @@ def queries() -> dict[str, QueryFn]:
     q["top_execution_sectors"] = _dw(cross.top_execution_sectors)
     q["missing_profile_deals"] = _d(lambda d: quality.missing_profile(d, "Deals"))
     q["missing_profile_wo"] = _w(lambda w: quality.missing_profile(w, "Work Orders"))
+    q["missing_profile_wo_stored"] = _missing_stored
     q["duplicate_rows"] = _w(lambda w: quality.duplicate_rows(w, "Work Orders"))
     q["duplicate_rows_serial"] = _w(lambda w: quality.duplicate_rows(w, "Work Orders", ["serial_no"]))
     q["quality_report"] = _dw(quality.quality_report)
@@ -353,4 +376,6 @@ FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_returnf
 SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, {O.money_signed("v")}) AS shown
 FROM (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice * pow(10.0, o_orderkey % 4) END AS v FROM orders) t"""
     s.update(OQ.statements(SUMMARY_VARIANTS))
+    for name in ("period_filter_quarter", "period_filter_month", "period_filter_year", "missing_profile_wo"):
+        s[f"{name}_stored"] = s[name]
     return s

@@ -60,3 +60,40 @@ def test_numeric_looking_sector_stays_text(spark):
     got = sorted(r["v"] for r in sector_filter(stored, "007").collect())
     assert got == [3]
     assert sorted(r["v"] for r in sector_filter(stored, "2024").collect()) == [1, 2]
+
+
+def test_period_filter_reads_only_its_months(spark):
+    from dealscope.operators.filters import period_filter
+
+    deals = catalog.deals(spark, SF_SMOKE)
+    path = tempfile.mkdtemp(prefix="dealscope-cleaned-") + "/t"
+    write_cleaned(deals, path, month_of="tentative_close_date")
+    stored = read_cleaned(spark, path)
+    assert dict(stored.dtypes)["month_of_tentative_close_date"] == "date"
+    for kind in ("quarter", "month", "year"):
+        a, b = (period_filter(d, "tentative_close_date", f"this {kind}", catalog.AS_OF).select("__item_id")
+                for d in (stored, deals))
+        assert sorted(rows(a)) == sorted(rows(b)) and a.count() > 0
+        plan = a._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(month_of_tentative_close_date" in plan
+        read = a.select(F.input_file_name().alias("f")).distinct().count()
+        assert read < stored.select(F.input_file_name().alias("f")).distinct().count() / 2
+    assert stored.count() == deals.count()
+
+
+def test_null_counts_come_from_the_footers(spark):
+    from dealscope.operators.quality import missing_profile, missing_profile_stored
+
+    df = spark.createDataFrame(
+        [("a", None, float("nan"), None), ("", "x", 1.0, 2), (None, "y", None, 3)], "`sector` string, `b;c` string, d double, e int")
+    path = tempfile.mkdtemp(prefix="dealscope-cleaned-") + "/t"
+    write_cleaned(df, path)
+    got = missing_profile_stored(spark, path, "T")
+    assert sorted(rows(got)) == sorted(rows(missing_profile(df, "T")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), COUNT(sector)" in plan
+    # The counts of the scan are all that is read.
+    assert "ReadSchema: struct<count(*):bigint" in plan
+    empty = tempfile.mkdtemp(prefix="dealscope-cleaned-") + "/e"
+    write_cleaned(df.limit(0), empty)
+    assert [r["missing_pct"] for r in missing_profile_stored(spark, empty, "T", df.schema).collect()] == [0.0] * 4

@@ -183,3 +183,25 @@ def test_garbage_amounts_never_end_a_sum(spark):
     assert df.filter("v > 10").agg(X.money_sum("v")).first()[0] == 2e29
     odd = spark.createDataFrame([(float("nan"),), (float("inf"),), (1e300,), (2.5,)], "v double")
     assert odd.agg(X.money_sum("v")).first()[0] == 2.5
+
+
+def test_one_parse_a_cell_whatever_the_formats(spark):
+    texts = {"2024-01-05 10:11:12": 5, "1/5/2024": 5, "January 5, 2024": 5, "5 January 2024": 5, "5-Jan-2024": 5,
+             "2024-01-05T10:11:12.123-05:30": 5, "20240105": 5, "May 5, 2024": 5, "13/45/2024": None, "5 Foo 2024": None,
+             "2024-01-05T25:00:00": None, "2024-01-05 and more": None}
+    got = _one_col(spark, list(texts), X.date_parse)
+    assert [d and d.day for d in got] == list(texts.values())
+    df = spark.createDataFrame([("x",)], "t string").select(X.date_parse("t").alias("d"))
+    assert df._jdf.queryExecution().analyzed().toString().count("try_to_timestamp") == 1
+
+
+def test_formats_of_one_shape_are_tried_in_order(spark):
+    both = lambda c: X.date_parse(c, ("MM/dd/yyyy", "dd/MM/yyyy"))
+    assert _one_col(spark, ["01/02/2024", "13/02/2024", "13/13/2024"], both) == [
+        dt.date(2024, 1, 2), dt.date(2024, 2, 13), None]
+
+
+def test_shapes_of_formats():
+    assert X.date_shapes("MMM d, yyyy") == ["AAA 9, 9999", "AAA 99, 9999"]
+    assert X.date_shapes("yyyy-MM-dd'T'HH:mm") == ["9999-99-99A99:99"]
+    assert X.date_shapes("yy/Q") == []  # no fixed shape: tried as it is
