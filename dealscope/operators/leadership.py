@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import expr as X
 from ..functions import vocab
@@ -223,16 +224,55 @@ def snapshot_delta(snapshots: DataFrame, order_by: str = "snapshot_date",
     ``lag`` runs over a window partitioned by the dimension columns, so each
     series is processed by its own task.
     """
-    parts = partition_by or []
-    w = Window.partitionBy(*parts).orderBy(order_by)
-    out = [F.col(c) for c in snapshots.columns]
+    w = Window.partitionBy(*(partition_by or [])).orderBy(order_by)
+    return _with_changes(snapshots, snapshots, lambda k: F.lag(k).over(w))
+
+
+def _with_changes(df: DataFrame, snapshots: DataFrame, previous) -> DataFrame:
+    """The columns of ``snapshots`` and each KPI's change against ``previous(kpi)``, over ``df``."""
+    out = [F.col(f"`{c}`") for c in snapshots.columns]
     types = dict(snapshots.dtypes)
     for kpi, label, is_money in SNAPSHOT_KPIS:
-        prev = F.lag(kpi).over(w)
+        prev = previous(kpi)
         delta = (F.col(kpi) - prev).cast(types[kpi])
         out.append(delta.alias(f"{kpi}_change"))
         out.append(F.when(prev.isNotNull(), _change_display(delta, is_money)).alias(f"{kpi}_change_display"))
-    return snapshots.select(*out)
+    return df.select(*out)
+
+
+def _order_key(column: Column, dtype: T.DataType) -> Column:
+    """A number or date that never falls where ``column`` rises; texts by their first seven bytes."""
+    if isinstance(dtype, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("decimal(20,0)").cast("bigint")
+    return column
+
+
+def snapshot_changes(snapshots: DataFrame, order_by: str, ranges: int = 200) -> DataFrame:
+    """G6 over one long series without dimensions, spread over all tasks.
+
+    The columns and values of ``snapshot_delta``.  The series is cut into at
+    most ``ranges`` ranges of ``order_by`` at its approximate quantiles;
+    ``lag`` runs inside each range, and a range's first snapshot takes its
+    predecessor from the last rows of the ranges before it (one row a range,
+    so at most ``ranges`` rows are gathered).  ``order_by`` (number, date,
+    time or text) identifies a snapshot; null comes first, as in a sort, and
+    among equal values the order is open.  ``snapshots`` is read three times:
+    give it as a stored table where it is costly.
+    """
+    key = _order_key(F.col(order_by), snapshots.schema[order_by].dataType)
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = snapshots.agg(F.percentile_approx(key, steps, F.lit(100 * ranges))).scalar()
+    # A key's first place among the sorted cuts numbers its range.
+    number = F.array_position(F.sort_array(F.array_append(cuts, key)), key)
+    ranged = snapshots.withColumn("_range", F.when(F.col(order_by).isNull(), F.lit(0)).otherwise(number))
+    kpis = F.struct(*[F.col(k) for k, _, _ in SNAPSHOT_KPIS])
+    last = ranged.groupBy("_range").agg(F.max_by(kpis, F.struct(F.col(order_by))).alias("_last"))
+    ends = last.agg(F.sort_array(F.collect_list(F.struct("_range", "_last"))).alias("e")).scalar()
+    place = F.array_position(ends["_range"], F.col("_range"))
+    before = F.get(ends["_last"], (place - 2).cast("int"))
+    w = Window.partitionBy("_range").orderBy(order_by)
+    prev = F.coalesce(F.lag(kpis).over(w), before)
+    return _with_changes(ranged.withColumn("_prev", prev), snapshots, lambda k: F.col("_prev")[k])
 
 
 def _kpis_by(deals: DataFrame, deal_keys: list[Column], work_orders: DataFrame,

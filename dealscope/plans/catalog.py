@@ -20,7 +20,7 @@ from ..operators.filters import open_deals, period_filter, sector_filter
 from ..sources import board, fixtures
 from ..sources.cleaned import read_cleaned, write_cleaned
 from ..sources.pages import page_chain
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, materialize_table
 from . import oracle as O
 
 AS_OF = O.AS_OF.isoformat()
@@ -261,6 +261,13 @@ def _snapshot_delta(spark, sf):
     return leadership.snapshot_delta(snaps, "snapshot_date", ["sector"])
 
 
+def _snapshot_changes(spark, sf):
+    """G6 over one series: a snapshot per order (its deal, its work orders), without dimensions."""
+    d = deals(spark, sf).withColumn("export_no", F.col("__item_id").cast("bigint"))
+    w = work_orders(spark, sf).withColumn("export_no", F.element_at(F.split("deal_name", " "), -1).cast("bigint"))
+    return leadership.snapshot_changes(materialize_table(leadership.snapshots_by(d, w, ["export_no"])), "export_no")
+
+
 # ---------------------------------------------------------------------------
 # Registry
 # ---------------------------------------------------------------------------
@@ -323,6 +330,7 @@ def queries() -> dict[str, QueryFn]:
     q["decision_radar"] = _dw(leadership.decision_radar)
     q["kpi_snapshot"] = _dw(leadership.kpi_snapshot)
     q["snapshot_delta"] = _snapshot_delta
+    q["snapshot_changes"] = _snapshot_changes
     q["operational_snapshot"] = _w(operations.operational_snapshot)
     q["scenario_remove_sector"] = _d(sales.scenario_remove_sector)
     q["scenario_collection"] = _w(operations.scenario_collection)

@@ -416,6 +416,7 @@ l AS (SELECT *, """ + ", ".join(
         + (money_signed(f"abs(CAST({k}_change AS DOUBLE))") if is_money else f"format('{{:,.0f}}', abs(CAST({k}_change AS DOUBLE)))")
         + f" END AS {k}_change_display"
         for k, _, is_money in _KPIS) + " FROM l"
+    s["snapshot_changes"] = series_sql()
     s["route_questions"] = f"WITH {QUESTIONS}\nSELECT question_id, question, {route_select('question')} FROM questions"
     s["route_counts"] = (f"WITH r AS (SELECT {route_select('text')} FROM conversations)\n"
                          "SELECT tool, sector, period, count(*) AS questions FROM r GROUP BY ALL")
@@ -468,6 +469,31 @@ _KPIS = (
 )
 
 
+def series_sql() -> str:
+    """G6 over one series: a snapshot per order, each against the one before."""
+    sums = ", ".join(f"coalesce({k}, 0) AS {k}" for k, _, _ in _KPIS)
+    lags = ", ".join(f"lag({k}) OVER (ORDER BY export_no) AS {k}_prev" for k, _, _ in _KPIS)
+    out = []
+    for k, _, is_money in _KPIS:
+        d = f"({k} - {k}_prev)"
+        size = money_signed(f"abs(CAST({d} AS DOUBLE))") if is_money else f"format('{{:,.0f}}', abs(CAST({d} AS DOUBLE)))"
+        sign = f"CASE WHEN {d} > 0 THEN '+' WHEN {d} < 0 THEN {q(vocab.MINUS_SIGN)} ELSE '' END"
+        out += [k, f"{d} AS {k}_change", f"CASE WHEN {k}_prev IS NOT NULL THEN ({sign}) || {size} END AS {k}_change_display"]
+    return BOTH.rstrip() + f""",
+o AS (SELECT CAST("__item_id" AS BIGINT) AS export_no, deal_value,
+        CASE WHEN probability_numeric <= 1 THEN probability_numeric ELSE probability_numeric / 100 END AS pr
+      FROM deals WHERE {O.OPEN}),
+d AS (SELECT export_no, {money_sum('deal_value')} AS gross_pipeline,
+        {money_sum('CASE WHEN pr BETWEEN 0 AND 1 THEN deal_value * pr END')} AS weighted_pipeline, count(*) AS open_deals
+      FROM o GROUP BY 1),
+w AS (SELECT CAST(split_part(deal_name, ' ', 2) AS BIGINT) AS export_no,
+        count(*) FILTER (WHERE {O.ACTIVE}) AS active_work_orders, {money_sum('amount_receivable')} AS receivable
+      FROM wo GROUP BY 1),
+snaps AS (SELECT export_no, {sums} FROM d FULL OUTER JOIN w USING (export_no)),
+l AS (SELECT *, {lags} FROM snaps)
+SELECT export_no, {', '.join(out)} FROM l"""
+
+
 def _signal_conds() -> list[tuple[str, str]]:
     from ..operators import leadership as L
     share = "coalesce(top_share_pct, 0.0)"

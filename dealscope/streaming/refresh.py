@@ -98,5 +98,5 @@ def snapshots(spark: SparkSession, snapshot_path: str) -> DataFrame:
 
 
 def snapshot_changes(spark: SparkSession, snapshot_path: str) -> DataFrame:
-    """G6 over the snapshot table: change since the previous export."""
-    return leadership.snapshot_delta(snapshots(spark, snapshot_path), order_by="exported_at")
+    """G6 over the snapshot table: change since the previous export, range by range."""
+    return leadership.snapshot_changes(snapshots(spark, snapshot_path), order_by="exported_at")

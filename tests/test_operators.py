@@ -235,3 +235,30 @@ def test_two_29_digit_amounts_in_every_summing_operator(spark):
     assert cross.cross_board(d, w).first()["pipeline"] == 2e29
     grid = {(r["grid_sector"], r["grid_period"]): r["gross_pipeline"] for r in answers.pipeline_summary_grid(d).collect()}
     assert grid[None, None] == 2e29 and grid["Energy", None] == 1e-12
+
+
+def _series(spark, keys, kind):
+    def row(k):
+        return (k, float(int(k) % 7), None if int(k) % 11 == 3 else 1.5 * (int(k) % 5), int(k) % 4, 1, 0.0)
+    return spark.createDataFrame([row(k) if kind != "string" else (f"export-{k:09d}", *row(k)[1:]) for k in keys],
+                                 f"k {kind}, gross_pipeline double, weighted_pipeline double, open_deals bigint, "
+                                 "active_work_orders bigint, receivable double")
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+@pytest.mark.parametrize("n, ranges", [(0, 4), (1, 4), (3, 8), (500, 1), (500, 7), (500, 600)])
+def test_snapshot_changes_equal_one_window(spark, n, ranges, kind):
+    df = _series(spark, [(i * 37) % 1009 for i in range(n)], kind).repartition(5)
+    got = leadership.snapshot_changes(df, "k", ranges)
+    want = leadership.snapshot_delta(df, "k")
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_snapshot_changes_never_gather_the_series(spark):
+    import re
+
+    df = _series(spark, range(50), "bigint")
+    plan = leadership.snapshot_changes(df, "k")._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.split("\n") if re.search(r"\bWindow \[", line)]
+    assert windows and not any(re.search(r"\], \[\], \[", line) for line in windows)
