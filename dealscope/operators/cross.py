@@ -22,7 +22,11 @@ CROSS_COLUMNS = [
 
 def cross_board_unordered(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     a3 = _grouped_pipeline(deals, "sector", "sector").drop("pipeline_display")
-    a8 = work_orders_by_sector_unordered(work_orders)
+    return join_sectors(a3, work_orders_by_sector_unordered(work_orders))
+
+
+def join_sectors(a3: DataFrame, a8: DataFrame) -> DataFrame:
+    """J1 over the two per-sector aggregates (A3 without its display, A8 without its display)."""
     j = a3.join(a8, "sector", "full_outer")
     pipeline = F.coalesce(F.col("pipeline"), F.lit(0)).cast(X.SUM_MONEY_TYPE)
     backlog = F.coalesce(F.col("billing_backlog"), F.lit(0)).cast(X.SUM_MONEY_TYPE)
@@ -41,18 +45,27 @@ def cross_board_unordered(deals: DataFrame, work_orders: DataFrame) -> DataFrame
 
 def cross_board(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """Pipeline and execution per sector; desc by (pipeline, backlog)."""
-    return cross_board_unordered(deals, work_orders).orderBy(
-        F.col("pipeline").desc(), F.col("billing_backlog").desc(), F.col("sector").asc())
+    return cross_order(cross_board_unordered(deals, work_orders))
+
+
+def cross_order(j: DataFrame) -> DataFrame:
+    return j.orderBy(F.col("pipeline").desc(), F.col("billing_backlog").desc(), F.col("sector").asc())
+
+
+def backlog_order(j: DataFrame) -> DataFrame:
+    return j.orderBy(F.col("billing_backlog").desc(), F.col("pipeline").desc(), F.col("sector").asc())
+
+
+def execution_order(j: DataFrame) -> DataFrame:
+    return j.orderBy(F.col("active_work_orders").desc(), F.col("pipeline").desc(),
+                     F.col("billing_backlog").desc(), F.col("sector").asc())
 
 
 def top_backlog_sectors(deals: DataFrame, work_orders: DataFrame, k: int = 5) -> DataFrame:
     """Sectors with the largest billing backlog (stable over the J1 order)."""
-    return cross_board_unordered(deals, work_orders).orderBy(
-        F.col("billing_backlog").desc(), F.col("pipeline").desc(), F.col("sector").asc()).limit(k)
+    return backlog_order(cross_board_unordered(deals, work_orders)).limit(k)
 
 
 def top_execution_sectors(deals: DataFrame, work_orders: DataFrame, k: int = 5) -> DataFrame:
     """Sectors with the most active work orders (stable over the J1 order)."""
-    return cross_board_unordered(deals, work_orders).orderBy(
-        F.col("active_work_orders").desc(), F.col("pipeline").desc(),
-        F.col("billing_backlog").desc(), F.col("sector").asc()).limit(k)
+    return execution_order(cross_board_unordered(deals, work_orders)).limit(k)

@@ -1,4 +1,4 @@
-"""Leadership bundle (A9), signals (G1), decision radar (G2), KPI snapshot
+"""Grouping sets of the leadership bundle (A9; the bundle itself: ``briefing``), signals (G1), decision radar (G2), KPI snapshot
 (G5) and snapshot change detection (G6).
 
 A9 reads each table once: open deals are first aggregated by
@@ -22,8 +22,8 @@ from ..functions.vocab import (
     SNAPSHOT_KPIS,
 )
 from .filters import open_deals
-from .operations import active_flag, completed_flag, financial_columns, financial_summary, money_or_zero, wo_kpi_aggs
-from .sales import deal_value, pipeline_summary, pipeline_summary_with_leader, usable_probability
+from .operations import active_flag, completed_flag, financial_columns, money_or_zero, wo_kpi_aggs
+from .sales import deal_value, pipeline_summary_with_leader, usable_probability
 
 
 def combine_rows(*frames: DataFrame) -> DataFrame:
@@ -109,11 +109,16 @@ def leadership_wo_sets(work_orders: DataFrame) -> DataFrame:
 def kpi_row(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """One row: A1 totals with the leading sector's share (A3 row 1) from one
     pass over deals, and A5/A7 totals from one pass over work orders."""
-    ps = pipeline_summary_with_leader(deals).select(
+    return kpis_of(pipeline_summary_with_leader(deals), work_orders.agg(*wo_kpi_aggs(work_orders)))
+
+
+def kpis_of(summary: DataFrame, wo_totals: DataFrame) -> DataFrame:
+    """The KPI row from A1 with its leader and the totals of the work orders."""
+    ps = summary.select(
         "gross_pipeline", "weighted_pipeline", "open_deals", "deals_without_probability",
         "deals_missing_value", "top_sector_concentration_pct", "value_coverage_pct",
         "probability_coverage_pct", "top_sector", "top_share_pct")
-    fin = work_orders.agg(*wo_kpi_aggs(work_orders)).select(
+    fin = wo_totals.select(
         *financial_columns(None), "active_work_orders", "total_work_orders").select(
         "billed_value", "collected_amount", "amount_to_be_billed", "amount_to_be_billed_display",
         "amount_receivable", "amount_receivable_display", "collection_rate_pct",
@@ -157,7 +162,11 @@ def _signal(order: int, cond: Column, typ: str, severity: str, message: str, *,
 
 def leadership_signals(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """G1: concentration, receivables, backlog and data-quality signals in fixed order."""
-    k = kpi_row(deals, work_orders)
+    return signals_of(kpi_row(deals, work_orders))
+
+
+def signals_of(k: DataFrame) -> DataFrame:
+    """G1 over the KPI row."""
     share = F.coalesce(F.col("top_share_pct"), F.lit(0.0))
     (c_high, _), (c_med, _), (c_rec, _), (c_tbb, _), (c_fc, _), (c_com, _) = signal_conditions()
     sigs = F.array(
@@ -322,35 +331,3 @@ def snapshots_by(deals: DataFrame, work_orders: DataFrame, keys: list[str]) -> D
     """G5 for many snapshots at once: the five KPIs per value of ``keys``
     (e.g. one row per export), equal to ``kpi_snapshot`` of each group."""
     return _kpis_by(deals, [F.col(k) for k in keys], work_orders, [F.col(k) for k in keys], keys)
-
-
-def leadership_update(deals: DataFrame, work_orders: DataFrame, reuse: bool = False) -> dict[str, DataFrame]:
-    """The whole briefing as named DataFrames.
-
-    All results are lazy.  With ``reuse=True`` the two cleaned tables are
-    first written as parquet into the cluster's shared checkpoint folder
-    (one eager job each), so the eleven results scan only their columns of
-    the typed tables instead of re-deriving them, and a lost executor
-    re-reads those files rather than recomputing the cleaning.
-    """
-    if reuse:
-        from ..session import materialize_table
-        deals, work_orders = materialize_table(deals), materialize_table(work_orders)
-    from .cross import cross_board, top_backlog_sectors, top_execution_sectors
-    from .operations import status_breakdown, work_order_summary
-    from .quality import quality_report
-    from .sales import top_sectors, top_stages
-
-    return {
-        "pipeline": pipeline_summary(deals),
-        "top_sectors": top_sectors(deals),
-        "pipeline_stages": top_stages(deals),
-        "operations": work_order_summary(work_orders),
-        "status_breakdown": status_breakdown(work_orders),
-        "financials": financial_summary(work_orders),
-        "cross_board": cross_board(deals, work_orders),
-        "top_billing_backlog_sectors": top_backlog_sectors(deals, work_orders),
-        "top_execution_sectors": top_execution_sectors(deals, work_orders),
-        "leadership_signals": leadership_signals(deals, work_orders),
-        "quality": quality_report(deals, work_orders),
-    }

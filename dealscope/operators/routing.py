@@ -64,7 +64,7 @@ def execute_tool(name: str, deals: DataFrame, work_orders: DataFrame,
     Only builds plans on the driver; arguments a tool does not take are
     ignored, an unknown name raises ``ValueError``.
     """
-    from . import cross, leadership, operations, quality, sales
+    from . import briefing, cross, leadership, operations, quality, sales
 
     tools: dict[str, Callable[[], object]] = {
         "pipeline_summary": lambda: sales.pipeline_summary(deals, sector, period, as_of),
@@ -73,7 +73,7 @@ def execute_tool(name: str, deals: DataFrame, work_orders: DataFrame,
         "work_order_summary": lambda: operations.work_order_summary(work_orders, sector),
         "financial_summary": lambda: operations.financial_summary(work_orders, sector),
         "cross_board": lambda: cross.cross_board(deals, work_orders),
-        "leadership_update": lambda: leadership.leadership_update(deals, work_orders),
+        "leadership_update": lambda: briefing.leadership_update(deals, work_orders),
         "data_quality": lambda: quality.quality_report(deals, work_orders),
     }
     if name not in tools:

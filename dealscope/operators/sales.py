@@ -139,18 +139,23 @@ def _summary(deals, sector, period, as_of, leader: bool) -> DataFrame:
         level1.append(F.lit(0).cast("bigint").alias("n_unknown"))
 
     per_group = od.groupBy(key.alias("_group")).agg(*level1)
-    tot = per_group.agg(
+    tot = summary_totals(per_group)
+    message = (F.when(F.col("n") == 0, F.lit(MSG_NO_SECTOR_MATCH.format(sector=sector)))
+               if sector else F.lit(None))
+    return summary_select(tot, sector_label, period_label, _lit_str(warning), message, has_sector, leader)
+
+
+def summary_totals(per_group: DataFrame) -> DataFrame:
+    """A1's totals row over one row a sector (``_group``, counts, ``gross`` and ``weighted`` as parts)."""
+    gross = X.money_value(F.col("gross"))
+    return per_group.agg(
         *[_sum0(F.col(c), "bigint").alias(c)
           for c in ("n_open", "n_sector", "n", "n_value", "n_prob", "n_weighted", "n_unknown")],
         X.money_value(X.money_join("gross")).alias("gross"),
         X.money_value(X.money_join("weighted")).alias("weighted"),
-        F.max(X.money_value(F.col("gross"))).alias("top_group"),
-        F.min_by(F.col("_group"), F.struct((-X.money_value(F.col("gross"))).alias("v"),
-                                           F.col("_group").alias("g"))).alias("top_group_label"),
+        F.max(gross).alias("top_group"),
+        F.min_by(F.col("_group"), F.struct((-gross).alias("v"), F.col("_group").alias("g"))).alias("top_group_label"),
     )
-    message = (F.when(F.col("n") == 0, F.lit(MSG_NO_SECTOR_MATCH.format(sector=sector)))
-               if sector else F.lit(None))
-    return summary_select(tot, sector_label, period_label, _lit_str(warning), message, has_sector, leader)
 
 
 def summary_select(tot: DataFrame, sector_label: Column, period_label: Column, warning: Column,
@@ -233,6 +238,11 @@ def _grouped_pipeline(deals: DataFrame, key_column: str, label: str) -> DataFram
         F.count(F.lit(1)).alias("deals"),
         X.money_sum(v).alias("pipeline"),
     )
+    return with_shares(g, label, has_key)
+
+
+def with_shares(g: DataFrame, label: str, has_key: bool = True) -> DataFrame:
+    """A3's and A4's output columns over ``label``, ``deals`` and ``pipeline``, one row a group."""
     total = scalar(g, X.money_sum("pipeline"))
     share = X.safe_pct(F.col("pipeline"), total) if has_key else F.lit(None).cast("double")
     return g.select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import expr as X
-from ..operators import answers, clean, cross, leadership, narrative, operations, quality, routing, sales
+from ..operators import answers, briefing, clean, cross, leadership, narrative, operations, quality, routing, sales
 from ..operators.filters import open_deals, period_filter, sector_filter
 from ..sources import board, fixtures
 from ..sources.cleaned import read_cleaned, write_cleaned
@@ -326,6 +326,7 @@ def queries() -> dict[str, QueryFn]:
     q["known_gaps"] = _d(quality.known_gaps)
     q["leadership_deals_sets"] = _d(leadership.leadership_deals_sets)
     q["leadership_wo_sets"] = _w(leadership.leadership_wo_sets)
+    q["leadership_bundle"] = _dw(briefing.leadership_bundle)
     q["leadership_signals"] = _dw(leadership.leadership_signals)
     q["decision_radar"] = _dw(leadership.decision_radar)
     q["kpi_snapshot"] = _dw(leadership.kpi_snapshot)
@@ -384,6 +385,7 @@ FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN l_returnf
 SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END, {O.money_signed("v")}) AS shown
 FROM (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice * pow(10.0, o_orderkey % 4) END AS v FROM orders) t"""
     s.update(OQ.statements(SUMMARY_VARIANTS))
+    s["leadership_bundle"] = OQ.bundle_sql(s)
     for name in ("period_filter_quarter", "period_filter_month", "period_filter_year", "missing_profile_wo"):
         s[f"{name}_stored"] = s[name]
     return s

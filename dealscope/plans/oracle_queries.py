@@ -469,6 +469,48 @@ _KPIS = (
 )
 
 
+# The briefing's parts: statement, label, order of its rows (none: unnumbered), numbers, texts.
+_GROUP = ("deals", "pipeline", "pipeline_share_pct")
+_CROSS = (*_GROUP, "active_work_orders", "total_work_orders", "billing_backlog")
+_CROSS_TEXT = ("pipeline_display", "billing_backlog_display")
+_BUNDLE = {
+    "pipeline": ("pipeline_summary", None, None, (
+        "open_deals", "gross_pipeline", "weighted_pipeline", "deals_without_probability", "deals_missing_value",
+        "unknown_sector_deals", "weighted_deal_count", "top_sector_concentration_pct", "open_deals_before_filters",
+        "after_sector_filter", "deals_after_filters", "deals_with_value", "deals_used_for_weighted_pipeline",
+        "value_coverage_pct", "probability_coverage_pct"),
+        ("metric", "sector", "period", "gross_pipeline_display", "weighted_pipeline_display", "period_warning", "message")),
+    "top_sectors": ("top_sectors", "sector", "pipeline DESC, sector", _GROUP, ("pipeline_display",)),
+    "pipeline_stages": ("top_stages", "stage", "pipeline DESC, stage", _GROUP, ("pipeline_display",)),
+    "operations": ("work_order_summary", None, None, (
+        "total_work_orders", "active_work_orders", "completed_work_orders", "active_share_pct", "completion_share_pct"), ("metric", "sector")),
+    "status_breakdown": ("status_breakdown", "status", None, ("work_orders",), ()),
+    "financials": ("financial_summary", None, None, (
+        "billed_value", "collected_amount", "amount_to_be_billed", "amount_receivable", "collection_rate_pct",
+        "receivable_as_pct_of_billed", "billing_backlog_ratio_pct"), (
+        "metric", "sector", "billed_value_display", "collected_amount_display", "amount_to_be_billed_display", "amount_receivable_display")),
+    "cross_board": ("cross_board", "sector", None, _CROSS, _CROSS_TEXT),
+    "top_billing_backlog_sectors": ("top_backlog_sectors", "sector", "billing_backlog DESC, pipeline DESC, sector", _CROSS, _CROSS_TEXT),
+    "top_execution_sectors": ("top_execution_sectors", "sector", "active_work_orders DESC, pipeline DESC, billing_backlog DESC, sector",
+                              _CROSS, _CROSS_TEXT),
+    "leadership_signals": ("leadership_signals", "type", "signal_order", ("signal_order", "share_pct", "amount", "deals"),
+                           ("severity", "sector", "amount_display", "message")),
+}
+
+
+def bundle_sql(s: dict[str, str]) -> str:
+    """The parts' own statements, each in long form."""
+    out = []
+    for part, (name, label, order, numbers, texts) in _BUNDLE.items():
+        entries = [f"{{'metric': {q(c)}, 'value': CAST({c} AS DOUBLE), 'text': CAST(NULL AS VARCHAR)}}" for c in numbers]
+        entries += [f"{{'metric': {q(c)}, 'value': CAST(NULL AS DOUBLE), 'text': CAST({c} AS VARCHAR)}}" for c in texts]
+        position = f"CAST(row_number() OVER (ORDER BY {order}) AS INTEGER)" if order else "CAST(NULL AS INTEGER)"
+        out.append(f"SELECT part, position, label, m.metric AS metric, m.value AS value, m.text AS text FROM (SELECT {q(part)} AS part, "
+                   f"position, label, unnest([{', '.join(entries)}]) AS m FROM (SELECT *, {position} AS position, "
+                   f"CAST({label or 'NULL'} AS VARCHAR) AS label FROM ({s[name]}) a) b) c")
+    return "\nUNION ALL\n".join(out)
+
+
 def series_sql() -> str:
     """G6 over one series: a snapshot per order, each against the one before."""
     sums = ", ".join(f"coalesce({k}, 0) AS {k}" for k, _, _ in _KPIS)

@@ -3,7 +3,7 @@
 
 import pytest
 
-from dealscope.operators import clean, cross, leadership, operations, quality, routing, sales
+from dealscope.operators import briefing, clean, cross, leadership, operations, quality, routing, sales
 
 DEAL_COLS = ("`Deal Name` string, `Deal Status` string, `Masked Deal value` string, "
              "`Closure Probability` string, `Sector/service` string, `Deal Stage` string, "
@@ -206,13 +206,43 @@ def test_narratives(deals, wos):
 
 
 def test_leadership_update_reuse_checkpoints(deals, wos):
-    plain = leadership.leadership_update(deals, wos)
-    reused = leadership.leadership_update(deals, wos, reuse=True)
+    plain = briefing.leadership_update(deals, wos)
+    reused = briefing.leadership_update(deals, wos, reuse=True)
     assert set(plain) == set(reused)
     for k in ("pipeline", "cross_board", "leadership_signals"):
         assert sorted(map(tuple, plain[k].collect())) == sorted(map(tuple, reused[k].collect()))
 
 
+def test_briefing_parts_equal_the_operators(spark, deals, wos):
+    def same(got, want):
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+    whole = (deals, wos)
+    for d, w in (whole, (deals.limit(0), wos.limit(0)), (deals.drop("sector"), wos.drop("sector")),
+                 (deals.drop("deal_value"), wos.drop("execution_status")),
+                 (deals.drop("deal_stage", "probability_numeric"), wos)):
+        parts = briefing.leadership_update(d, w)
+        same(parts["pipeline"], sales.pipeline_summary(d))
+        same(parts["top_sectors"], sales.top_sectors(d))
+        same(parts["pipeline_stages"], sales.top_stages(d))
+        same(parts["operations"], operations.work_order_summary(w))
+        same(parts["status_breakdown"], operations.status_breakdown(w))
+        same(parts["financials"], operations.financial_summary(w))
+        same(parts["cross_board"], cross.cross_board(d, w))
+        same(parts["top_billing_backlog_sectors"], cross.top_backlog_sectors(d, w))
+        same(parts["top_execution_sectors"], cross.top_execution_sectors(d, w))
+        same(parts["leadership_signals"], leadership.leadership_signals(d, w))
+
+
+def test_bundle_scans_the_cells_only(deals, wos):
+    out = briefing.leadership_bundle(deals, wos)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation [Deal" not in plan and "Relation [sector" in plan
+    got = {(r["part"], r["position"], r["label"], r["metric"]): r["value"] for r in out.collect()}
+    assert got[("top_sectors", 1, "Mining", "pipeline")] == 3000.0
+
+
 def test_two_29_digit_amounts_in_every_summing_operator(spark):
     from dealscope.operators import answers, clean, cross, leadership, operations, sales
 
