@@ -54,9 +54,11 @@ def missing_profile_stored(spark: SparkSession, path: str, dataset: str, board:
     """
     df = read_cleaned(footer_session(spark), path, board)
     names = [c for c in df.columns if not is_key(c)]
-    # A board without files leaves no footer to add up: its counts are 0, not null.
     counts = {"rows": F.count(F.lit(1)), **{f"n{i}": F.count(F.col(f"`{c}`")) for i, c in enumerate(names)}}
-    counted = df.agg(*[v.alias(k) for k, v in counts.items()]).select(*[F.coalesce(k, F.lit(0)).cast("bigint").alias(k) for k in counts])
+    pushed = df.agg(*[v.alias(k) for k, v in counts.items()])
+    # A board without files has no footer to add up, and its pushed counts are null; a row of zeros makes them 0.
+    zeros = df.sparkSession.range(1).select(*[F.lit(0).cast("bigint").alias(k) for k in counts])
+    counted = pushed.unionByName(zeros).agg(*[F.max(k).alias(k) for k in counts])
     row = counted.select("rows", *[(F.col("rows") - F.col(f"n{i}")).alias(f"m{i}") for i in range(len(names))])
     return _profile_long(row, names, dataset)
 
