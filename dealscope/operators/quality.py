@@ -3,11 +3,12 @@ Q4 coverage, Q5 known gaps.
 
 Q1 is one global aggregation (a ``count_if(isnull)`` per column, partial
 aggregation per task) unpivoted afterwards.  Q2 is exact without shuffling
-rows: phase 1 shuffles a 128-bit fingerprint and missing bitmap per row
+rows: a 128-bit fingerprint and missing bitmap per row is shuffled
 (partially aggregated, so a row repeated across a third of the table
-collapses map-side), and only rows whose fingerprint repeats are compared
-in full.  Q3 takes its null counts from the same phase-1 summary, so the
-report scans each table once (twice when some fingerprint repeats).
+collapses map-side), the repeated fingerprints become a bit table of fixed
+size, and only rows that it takes are compared in full.  Q3 takes its null
+counts from the same fingerprint groups.  Both are one lazy plan: no job
+runs while they are built.
 """
 
 from __future__ import annotations
@@ -115,19 +116,15 @@ def _mask_bit(i: int) -> Column:
     return (F.col(f"_m{i // _MASK_BITS}").bitwiseAND(F.lit(1 << (i % _MASK_BITS))) != 0)
 
 
-def _fingerprint_summary(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    """Phase 1 of exact duplicate detection, one scan, ~24 bytes shuffled per row.
+def _fingerprint_groups(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """One row a distinct fingerprint: its missing bitmaps and how many rows have it (``_n``).
 
     Rows are grouped on a 128-bit fingerprint (two independently seeded
     ``xxhash64`` chains over the key columns) plus the key columns' missing
-    bitmaps.  Spark's hash skips nulls, so the bitmaps keep ``(a, null)``
-    and ``(null, a)`` apart; like grouping, it hashes -0.0 as 0.0 and every
-    NaN alike, so rows that group together share a fingerprint.  A group of
-    one is a row with no copy.  Such groups collapse into one row per
-    bitmap (their row count), and only groups of two or more keep their
-    fingerprint: the candidates.  The result is checkpointed in the shared
-    checkpoint folder; its size is the number of distinct bitmaps plus
-    the number of candidate groups.
+    bitmaps, ~24 bytes shuffled per row.  Spark's hash skips nulls, so the
+    bitmaps keep ``(a, null)`` and ``(null, a)`` apart; like grouping, it
+    hashes -0.0 as 0.0 and every NaN alike, so rows that group together
+    share a fingerprint.  All uses of the groups share one exchange.
     """
     vals = [F.col(f"`{c}`") for c in keys]
     masks = _masks(df, keys)
@@ -135,28 +132,50 @@ def _fingerprint_summary(df: DataFrame, keys: list[str]) -> tuple[DataFrame, lis
     h1, h2 = _fingerprint(vals)
     g = (df.select(h1.alias("_h1"), h2.alias("_h2"), *masks)
          .groupBy("_h1", "_h2", *mnames).agg(F.count(F.lit(1)).alias("_n")))
-    cand = F.col("_n") > 1
-    summary = g.groupBy(F.when(cand, F.col("_h1")).alias("_h1"), F.when(cand, F.col("_h2")).alias("_h2"),
-                        *mnames).agg(F.sum("_n").alias("_n"))
-    from ..session import materialize
-    return materialize(summary), mnames
+    return g, mnames
 
 
-def _exact_duplicates(df: DataFrame, keys: list[str], summary: DataFrame, mnames: list[str]) -> DataFrame:
-    """Phase 2: exact row equality, only for rows whose fingerprint repeats.
+# Bits of the table of repeated fingerprints: 2 MB, whatever the data.
+REPEAT_BITS = 24
+_BIT = "shiftleft(1L, CAST(_h1 & 63 AS INT))"
 
-    Returns one row ``_dups`` (sum over identical-row groups of n - 1).  A
-    semi-join with the repeated fingerprints leaves only candidate rows for
-    the exact ``groupBy``; AQE picks its strategy from the measured size of
-    that small side, and copies collapse map-side.
+
+def _word_no() -> Column:
+    return F.expr(f"shiftright(_h1 & {(1 << REPEAT_BITS) - 1}L, 6)")
+
+
+def _repeat_table(groups: DataFrame) -> Column:
+    """The repeated fingerprints as a bit table of fixed size: an array of longs, as a scalar subquery.
+
+    A row whose bit is unset has no copy.  A set bit proves nothing, so more
+    repeated fingerprints than bits cost a larger shuffle, never a result.
+    """
+    words = 1 << (REPEAT_BITS - 6)
+    zeros = groups.sparkSession.range(words).select(F.col("id").alias("_w"), F.lit(0).cast("bigint").alias("_b"))
+    ones = groups.filter(F.col("_n") > 1).select(_word_no().alias("_w"), F.expr(_BIT).alias("_b"))
+    table = ones.unionByName(zeros).groupBy("_w").agg(F.bit_or("_b").alias("_b"))
+    return table.agg(F.sort_array(F.collect_list(F.struct("_w", "_b")))["_b"].alias("bits")).scalar()
+
+
+def _exact_duplicates(df: DataFrame, keys: list[str], groups: DataFrame) -> DataFrame:
+    """Exact row equality, only for rows that the table of repeated fingerprints takes.
+
+    Returns one row ``_dups`` (sum over identical-row groups of n - 1).  All
+    other rows are grouped as null and collapse map-side, as copies do, so
+    only candidate rows are shuffled.  The join with the residues of the
+    repeated fingerprints (at most 64 rows) is there for boards without
+    copies: its empty side lets AQE drop the second reading of the board.
     """
     cols = [F.col(f"`{c}`") for c in keys]
-    cands = summary.filter(F.col("_h1").isNotNull()).select("_h1", "_h2", *mnames)
-    h1, h2 = _fingerprint(cols)
-    tagged = df.select(*cols, h1.alias("_h1"), h2.alias("_h2"), *_masks(df, keys))
-    rows = tagged.join(cands, ["_h1", "_h2", *mnames], "left_semi")
-    g = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("_dups"))
+    h1, _ = _fingerprint(cols)
+    hit = _repeat_table(groups)[_word_no().cast("int")].bitwiseAND(F.expr(_BIT)) != 0
+    row = F.when(hit, F.struct(*[c.alias(f"f{i}") for i, c in enumerate(cols)]))
+    residue = F.expr("_h1 & 63").alias("_residue")
+    some = groups.filter(F.col("_n") > 1).select(residue).distinct()
+    rows = df.select(*cols, h1.alias("_h1")).select("*", residue).join(F.broadcast(some), "_residue")
+    g = rows.select(row.alias("_row")).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
+    copies = F.sum(F.when(F.col("_row").isNotNull(), F.col("_n") - 1))
+    return g.agg(F.coalesce(copies, F.lit(0)).cast("bigint").alias("_dups"))
 
 
 def _fingerprintable(df: DataFrame, keys: list[str]) -> bool:
@@ -165,13 +184,13 @@ def _fingerprintable(df: DataFrame, keys: list[str]) -> bool:
     return not any(_nested_float(df.schema[c].dataType) for c in keys)
 
 
-def _dup_count(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(rows/bitmaps summary or raw rows, exact duplicate frame, mask names)."""
+def _dup_count(df: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(groups of rows with their counts, exact duplicate frame)."""
     if _fingerprintable(df, keys):
-        summary, mnames = _fingerprint_summary(df, keys)
-        return summary, _exact_duplicates(df, keys, summary, mnames), mnames
+        groups, _ = _fingerprint_groups(df, keys)
+        return groups, _exact_duplicates(df, keys, groups)
     g = df.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    return g, g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("_dups")), []
+    return g, g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("_dups"))
 
 
 def _combine(totals: DataFrame, dups: DataFrame) -> DataFrame:
@@ -189,11 +208,11 @@ def _combine(totals: DataFrame, dups: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame, dataset: str, subset: list[str] | None = None) -> DataFrame:
     """Q2: rows minus distinct rows over all (or ``subset``) columns; nulls equal.
 
-    Exact.  Phase 1 shuffles a 128-bit fingerprint per row instead of the
-    row; only rows whose fingerprint repeats are compared in full.
+    Exact: a 128-bit fingerprint per row is shuffled instead of the row, and
+    only rows whose fingerprint may repeat are compared in full.
     """
     keys = list(subset or df.columns)
-    base, dups, _ = _dup_count(df, keys)
+    base, dups = _dup_count(df, keys)
     totals = base.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows"))
     out = _combine(totals, dups)
     return out.select(F.lit(dataset).alias("dataset"), F.col("rows"),
@@ -203,22 +222,22 @@ def duplicate_rows(df: DataFrame, dataset: str, subset: list[str] | None = None)
 def _issues_row(df: DataFrame, dataset: str, subset: list[str] | None = None) -> DataFrame:
     """One row: dataset, rows, columns, duplicate_rows, issues (ordered array).
 
-    With duplicates over all columns, one scan serves both halves: the
-    fingerprint summary carries the missing bitmaps, so per-column null
-    counts are sums over it.  With a ``subset``, nulls are counted by a
+    With duplicates over all columns, one shuffle serves both halves: the
+    fingerprint groups carry the missing bitmaps, so per-column null
+    counts are sums over them.  With a ``subset``, nulls are counted by a
     map-side global aggregate and duplicates separately.
     """
     names = df.columns
     n = F.col("_n")
     if subset is None and _fingerprintable(df, names):
-        summary, mnames = _fingerprint_summary(df, names)
-        dups = _exact_duplicates(df, names, summary, mnames)
+        groups, _ = _fingerprint_groups(df, names)
+        dups = _exact_duplicates(df, names, groups)
         aggs = [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("rows")]
         aggs += [F.coalesce(F.sum(F.when(_mask_bit(i), n)), F.lit(0)).cast("bigint").alias(f"m{i}")
                  for i in range(len(names))]
-        prof = _combine(summary.agg(*aggs), dups)
+        prof = _combine(groups.agg(*aggs), dups)
     else:
-        _, dups, _ = _dup_count(df, list(subset or names))
+        _, dups = _dup_count(df, list(subset or names))
         prof = _combine(_profile_row(df), dups)
     dups = F.coalesce(F.col("_dups"), F.lit(0)).cast("bigint")
     rows = F.col("rows")
@@ -241,15 +260,8 @@ def _issues_row(df: DataFrame, dataset: str, subset: list[str] | None = None) ->
 
 
 def quality_report(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
-    """Q3: one row per dataset with its issue list (column order, then duplicates).
-
-    The two boards' fingerprint passes are independent eager jobs; they
-    are submitted from two driver threads so they run side by side.
-    """
-    from ..session import checkpoint_dir, run_concurrently
-    checkpoint_dir(deals.sparkSession)
-    d, w = run_concurrently(lambda: _issues_row(deals, "Deals"), lambda: _issues_row(work_orders, "Work Orders"))
-    return d.unionByName(w)
+    """Q3: one row per dataset with its issue list (column order, then duplicates); one lazy plan."""
+    return _issues_row(deals, "Deals").unionByName(_issues_row(work_orders, "Work Orders"))
 
 
 def quality_issues(deals: DataFrame, work_orders: DataFrame) -> DataFrame:

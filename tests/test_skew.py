@@ -115,3 +115,40 @@ def test_hot_sector_answer_grid_exact(spark):
         exp = sales.pipeline_summary(deals, s, None).first().asDict()
         assert {k: grid[(s, None)][k] for k in exp} == exp
     assert grid[("Mining", None)]["open_deals"] == 8000  # the hot third, less its Won rows
+
+
+def _jobs(spark, build):
+    """How many jobs ``build`` starts, and its result."""
+    sc = spark.sparkContext
+    group = f"jobs-{id(build)}"
+    sc.setJobGroup(group, "count of jobs")
+    try:
+        out = build()
+        return len(sc.statusTracker().getJobIdsForGroup(group)), out
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_quality_runs_no_job_while_it_is_built(spark):
+    df = spark.range(1000).select((F.col("id") % 400).alias("k"), F.lit(None).cast("string").alias("v"))
+    jobs, rep = _jobs(spark, lambda: quality.quality_report(df, df.limit(0)))
+    assert jobs == 0
+    jobs, dups = _jobs(spark, lambda: quality.duplicate_rows(df, "x"))
+    assert jobs == 0
+    assert dups.first()["duplicate_rows"] == 600
+    assert {r["dataset"]: r["duplicate_rows"] for r in rep.collect()} == {"Deals": 600, "Work Orders": 0}
+
+
+def test_duplicates_exact_when_the_table_of_repeats_is_full(spark, monkeypatch):
+    # 64 bits for 2,000 repeated fingerprints: every row is taken, the exact grouping decides.
+    monkeypatch.setattr(quality, "REPEAT_BITS", 6)
+    df = spark.range(9000).select(F.when(F.col("id") < 4000, F.col("id") % 2000).otherwise(F.col("id")).alias("k"))
+    assert quality.duplicate_rows(df, "x").first()["duplicate_rows"] == 2000
+
+
+def test_only_rows_that_may_repeat_are_grouped_in_full(spark):
+    df = spark.range(20000).select(F.when(F.col("id") < 10, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    groups, _ = quality._fingerprint_groups(df, ["k"])
+    bits = df.sparkSession.range(1).select(quality._repeat_table(groups).alias("bits")).first()["bits"]
+    assert len(bits) == 1 << (quality.REPEAT_BITS - 6)
+    assert sum(bin(b & (2 ** 64 - 1)).count("1") for b in bits) == 1
