@@ -205,3 +205,21 @@ def test_shapes_of_formats():
     assert X.date_shapes("MMM d, yyyy") == ["AAA 9, 9999", "AAA 99, 9999"]
     assert X.date_shapes("yyyy-MM-dd'T'HH:mm") == ["9999-99-99A99:99"]
     assert X.date_shapes("yy/Q") == []  # no fixed shape: tried as it is
+
+
+def test_each_cell_is_evaluated_once_where_it_is_plain(spark):
+    """A pushed-down filter repeats what it is made of: no alias table, amount or date may multiply its input."""
+    df = spark.createDataFrame([("Mining",)], "t string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan(X.sector_norm("t")).count("btrim") <= 6
+    assert "translate" not in plan(X.money_parse("t"))
+    assert plan(X.date_parse("t")).count("translate") == 1  # the shape of a text that is no ISO date
+
+
+def test_text_forms_on_odd_text(spark):
+    vals = ["İSTANBUL", "a b ", "a\n", "x  ", " ", "a\tb", "A-1 b"]
+    assert _one_col(spark, vals, X.text_norm) == ["i̇stanbul", "a b", "a", "x", "", "a b", "a-1 b"]
+    assert _one_col(spark, ["abc\n", "MINING\n", "é b"], X.title_case) == ["Abc\n", "Mining\n", "É B"]
+    money = ["9" * 32, "9" * 33, "9" * 34, "1\n", "-", ".", "١٢"]
+    assert _one_col(spark, money, X.money_parse) == [float("9" * 32), None, None, 1.0, None, None, None]
+    assert _one_col(spark, ["2001-05-15\n", "२००१-०५-१५", "0000-01-01x"], X.date_parse) == [dt.date(2001, 5, 15), None, None]
