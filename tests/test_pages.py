@@ -47,3 +47,16 @@ def test_every_fault_by_name(spark):
 
 def test_no_pages(spark):
     assert page_chain(frame(spark, [])).count() == 0
+
+
+def test_landed_pages_are_compressed(spark):
+    import glob
+
+    from dealscope.plans import catalog
+    from dealscope.sources import board
+
+    df = spark.range(50).selectExpr("string(id) AS request_cursor", "string(id + 1) AS cursor", "cast(null AS string) AS name")
+    path = catalog._landed(df)
+    local = path.removeprefix("file:")
+    assert glob.glob(f"{local}/*.json.gz") and not glob.glob(f"{local}/*.json")
+    assert spark.read.schema(board.PAGE).json(path).select("request_cursor").distinct().count() == 50
