@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dealscope.functions import expr as X
+from dealscope.functions import vocab
 
 
 def _one_col(spark, values, fn, typ="string"):
@@ -223,3 +224,10 @@ def test_text_forms_on_odd_text(spark):
     money = ["9" * 32, "9" * 33, "9" * 34, "1\n", "-", ".", "١٢"]
     assert _one_col(spark, money, X.money_parse) == [float("9" * 32), None, None, 1.0, None, None, None]
     assert _one_col(spark, ["2001-05-15\n", "२००१-०५-१५", "0000-01-01x"], X.date_parse) == [dt.date(2001, 5, 15), None, None]
+
+
+def test_ascii_strip_is_python_strip(spark):
+    vals = ["", " ", "   ", "a", " a ", "  a  b ", "\ta", "a\n", " \ta\x1f ", " a", "a　 ", " é ", "\x7fa\x7f", "!", " ~ ", "a\x00", None, " "]
+    exp = [None if v is None else v.strip() for v in vals]
+    assert _one_col(spark, vals, X._ascii_strip) == exp
+    assert _one_col(spark, vals, X.text_display) == [v or vocab.UNKNOWN_LABEL for v in exp]
