@@ -152,3 +152,13 @@ def test_only_rows_that_may_repeat_are_grouped_in_full(spark):
     bits = df.sparkSession.range(1).select(quality._repeat_table(groups).alias("bits")).first()["bits"]
     assert len(bits) == 1 << (quality.REPEAT_BITS - 6)
     assert sum(bin(b & (2 ** 64 - 1)).count("1") for b in bits) == 1
+
+
+def test_line_items_are_joined_once_at_scale(spark):
+    """Orders take their customer first, so line items are never shuffled by the customer key."""
+    from dealscope.plans import catalog
+    from tests.conftest import SF_SMOKE
+
+    plan = catalog.raw_work_orders(spark, SF_SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join Inner" in line]
+    assert len(joins) == 2 and "l_orderkey" in joins[0] and "o_custkey" in joins[1]
