@@ -21,15 +21,17 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as X
 from ..functions import vocab
-from . import cross, narrative, routing, sales
-from .filters import open_deals, period_predicate
-from .operations import financial_columns, summary_columns, wo_kpi_aggs
-from .sales import deal_value, summary_select, usable_probability
+from ..session import checkpoint_dir, materialize_table, run_concurrently
+from . import briefing, cross, leadership, narrative, routing, sales
+from .filters import period_predicate
+from .operations import financial_columns, summary_columns
+from .sales import summary_select
 
 # What X18 / X19 can put on a routed question (None = no sector / period).
 GRID_SECTORS: tuple[str | None, ...] = (None,) + tuple(s.title() for s in vocab.ROUTABLE_SECTORS)
 GRID_PERIODS: tuple[str | None, ...] = (None, "this quarter", "this month", "this year")
 _PERIOD_KIND = {None: None, "this quarter": "quarter", "this month": "month", "this year": "year"}
+_FLAGS = ("quarter", "month", "year")
 SECTOR_TOOLS = ("pipeline_summary", "work_order_summary", "financial_summary")
 PERIOD_TOOLS = ("pipeline_summary",)
 
@@ -42,6 +44,10 @@ def _grid_array(cells: list[Column]) -> Column:
     return F.explode(F.array(*cells))
 
 
+def _has_grid(deals: DataFrame) -> bool:
+    return "sector" in deals.columns and "deal_value" in deals.columns
+
+
 def pipeline_summary_grid(deals: DataFrame, as_of=None) -> DataFrame:
     """A1 for every (sector, period) a routed question can carry, in one pass.
 
@@ -51,7 +57,7 @@ def pipeline_summary_grid(deals: DataFrame, as_of=None) -> DataFrame:
     """
     combos = [(s, p) for s in GRID_SECTORS for p in GRID_PERIODS]
     cols = deals.columns
-    if "sector" not in cols or "deal_value" not in cols:
+    if not _has_grid(deals):
         # Degraded schemas (ledger L9/L10): the short fixed-schema results.
         out = None
         for s, p in combos:
@@ -59,26 +65,20 @@ def pipeline_summary_grid(deals: DataFrame, as_of=None) -> DataFrame:
                 "*", F.lit(s).cast("string").alias("grid_sector"), F.lit(p).cast("string").alias("grid_period"))
             out = one if out is None else out.unionByName(one)
         return out
-    od = open_deals(deals)
-    v = deal_value(od)
-    prob = usable_probability(od)
-    ok = prob[1] if prob else F.lit(False)
-    pr = prob[0] if prob else F.lit(None).cast("double")
-    vnn = v.isNotNull()
-    flags = {k: period_predicate(od, "tentative_close_date", f"this {k}", as_of)
-             for k in ("quarter", "month", "year")}
+    return _summary_grid(deal_grid_cells(deals, as_of), "tentative_close_date" in cols, combos)
+
+
+def deal_grid_cells(deals: DataFrame, as_of=None) -> DataFrame:
+    """The briefing's cells of open deals, split further by normalized sector and period flags."""
+    flags = [period_predicate(deals, "tentative_close_date", f"this {k}", as_of).alias(f"_f{k}") for k in _FLAGS]
+    return briefing.deal_cells(deals, tuple(flags), norm=True)
+
+
+def _summary_grid(cells_of_deals: DataFrame, has_date: bool, combos: list[tuple]) -> DataFrame:
     # Level 0: a handful of groups (display sector x normalized sector x period flags).
-    g0 = od.groupBy(
-        X.text_display("sector").alias("_g"), X.text_norm("sector").alias("_ns"),
-        *[f.alias(f"_f{k}") for k, f in flags.items()],
-    ).agg(
-        F.count(F.lit(1)).alias("_c"),
-        F.count_if(vnn).alias("_cv"),
-        X.money_part(v).alias("_gross"),
-        F.count_if(ok).alias("_cp"),
-        F.count_if(ok & vnn).alias("_cw"),
-        X.money_part(F.when(ok, v * pr)).alias("_w"),
-    )
+    g0 = cells_of_deals.groupBy(F.col("sector").alias("_g"), "_ns", *[f"_f{k}" for k in _FLAGS]).agg(
+        F.sum("n").alias("_c"), F.sum("n_value").alias("_cv"), X.money_join("gross").alias("_gross"),
+        F.sum("n_prob").alias("_cp"), F.sum("n_weighted").alias("_cw"), X.money_join("weighted").alias("_w"))
     # Every group row takes part in every grid cell (n_open counts all open
     # deals); sector / period matches are flags on the cell.
     cells = []
@@ -108,7 +108,6 @@ def pipeline_summary_grid(deals: DataFrame, as_of=None) -> DataFrame:
         X.money_value(X.money_join("weighted")).alias("weighted"),
         F.max(X.money_value(F.col("gross"))).alias("top_group"),
     )
-    has_date = "tentative_close_date" in cols
     warn = {"quarter": vocab.WARN_QUARTER, "month": vocab.WARN_MONTH, "year": vocab.WARN_YEAR}
     meta = []
     for i, (s, p) in enumerate(combos):
@@ -136,9 +135,16 @@ def work_order_grid(work_orders: DataFrame) -> DataFrame:
     One row per grid sector with ``wo_kpi_aggs`` columns and ``grid_sector``.
     Without a sector column the filter is ignored but the sector echoed (L9).
     """
-    has_sector = "sector" in work_orders.columns
-    key = X.text_norm("sector") if has_sector else F.lit("")
-    g0 = work_orders.groupBy(key.alias("_ns")).agg(*wo_kpi_aggs(work_orders, X.money_part))
+    return _work_order_grid(work_order_grid_cells(work_orders), "sector" in work_orders.columns)
+
+
+def work_order_grid_cells(work_orders: DataFrame) -> DataFrame:
+    """The briefing's cells of work orders, split further by normalized sector."""
+    return briefing.work_order_cells(work_orders, norm=True)
+
+
+def _work_order_grid(cells_of_work_orders: DataFrame, has_sector: bool) -> DataFrame:
+    g0 = cells_of_work_orders.drop("sector", "status")
     names = [c for c in g0.columns if c != "_ns"]
     cells = []
     for i, s in enumerate(GRID_SECTORS):
@@ -167,25 +173,40 @@ def _lines_answer(frame: DataFrame, order: list[Column], tool: str) -> DataFrame
 
 def sector_answer(deals: DataFrame) -> DataFrame:
     """The full text of the by-sector answer (one row)."""
-    top = sales.top_sectors(deals, vocab.ANSWER_ROWS["pipeline_by_sector"])
+    return _sector_answer(sales.top_sectors(deals, vocab.ANSWER_ROWS["pipeline_by_sector"]))
+
+
+def _sector_answer(top: DataFrame) -> DataFrame:
     return _lines_answer(routing.sector_narrative(top), [-F.col("pipeline"), F.col("sector")], "pipeline_by_sector")
 
 
 def stage_answer(deals: DataFrame) -> DataFrame:
     """The full text of the by-stage answer (one row)."""
-    top = sales.top_stages(deals, vocab.ANSWER_ROWS["pipeline_by_stage"])
+    return _stage_answer(sales.top_stages(deals, vocab.ANSWER_ROWS["pipeline_by_stage"]))
+
+
+def _stage_answer(top: DataFrame) -> DataFrame:
     return _lines_answer(routing.stage_narrative(top), [-F.col("pipeline"), F.col("stage")], "pipeline_by_stage")
 
 
 def cross_board_answer(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """The full text of the cross-board answer (one row)."""
-    top = cross.top_backlog_sectors(deals, work_orders, vocab.ANSWER_ROWS["cross_board"]).select(
+    return _cross_answer(cross.top_backlog_sectors(deals, work_orders, vocab.ANSWER_ROWS["cross_board"]))
+
+
+def _cross_answer(top: DataFrame) -> DataFrame:
+    top = top.select(
         "sector", "billing_backlog", "pipeline", routing.cross_board_line().alias("line"))
     return _lines_answer(top, [-F.col("billing_backlog"), -F.col("pipeline"), F.col("sector")], "cross_board")
 
 
 def tool_answers(deals: DataFrame, work_orders: DataFrame, as_of=None) -> DataFrame:
-    """(tool, grid_sector, grid_period, answer) for every cell a routed question can hit."""
+    """(tool, grid_sector, grid_period, answer) for every cell a routed question can hit.
+
+    All tools but the data quality are groupings of the boards' cells, so
+    each board is cleaned once for them: the cells are written into the
+    shared folder first, by two jobs side by side.
+    """
     def cell(df: DataFrame, tool: str, text: Column, sector: Column | None = None,
              period: Column | None = None) -> DataFrame:
         return df.select(F.lit(tool).alias("tool"),
@@ -193,8 +214,19 @@ def tool_answers(deals: DataFrame, work_orders: DataFrame, as_of=None) -> DataFr
                          (period if period is not None else F.lit(None)).cast("string").alias("grid_period"),
                          text.alias("answer"))
 
-    ps = pipeline_summary_grid(deals, as_of)
-    wo = work_order_grid(work_orders)
+    combos = [(s, p) for s in GRID_SECTORS for p in GRID_PERIODS]
+    whole = _has_grid(deals)
+    d = deal_grid_cells(deals, as_of) if whole else briefing.deal_cells(deals)
+    w = work_order_grid_cells(work_orders)
+    checkpoint_dir(deals.sparkSession)
+    d, w = run_concurrently(lambda: materialize_table(d), lambda: materialize_table(w))
+    ps = _summary_grid(d, "tentative_close_date" in deals.columns, combos) if whole else pipeline_summary_grid(deals, as_of)
+    wo = _work_order_grid(w, "sector" in work_orders.columns)
+    f = briefing.frames_of(d, w, deals, work_orders)
+    rows = vocab.ANSWER_ROWS
+    top_sectors = sales.ordered(f["sectors"], "pipeline", "sector").limit(rows["pipeline_by_sector"])
+    top_stages = sales.ordered(f["stages"], "pipeline", "stage").limit(rows["pipeline_by_stage"])
+    top_backlog = cross.backlog_order(f["both"]).limit(rows["cross_board"])
     label = F.coalesce(F.col("grid_sector"), F.lit(vocab.ALL_SECTORS))
     wo_sum = wo.select("grid_sector", *summary_columns(label))
     wo_fin = wo.select("grid_sector", *financial_columns(label))
@@ -203,10 +235,10 @@ def tool_answers(deals: DataFrame, work_orders: DataFrame, as_of=None) -> DataFr
              F.col("grid_period")),
         cell(wo_sum, "work_order_summary", narrative.work_order_text_col(), F.col("grid_sector")),
         cell(wo_fin, "financial_summary", narrative.financial_text_col(), F.col("grid_sector")),
-        cell(sector_answer(deals), "pipeline_by_sector", F.col("text")),
-        cell(stage_answer(deals), "pipeline_by_stage", F.col("text")),
-        cell(cross_board_answer(deals, work_orders), "cross_board", F.col("text")),
-        cell(narrative.leadership_text(deals, work_orders), "leadership_update", F.col("text")),
+        cell(_sector_answer(top_sectors), "pipeline_by_sector", F.col("text")),
+        cell(_stage_answer(top_stages), "pipeline_by_stage", F.col("text")),
+        cell(_cross_answer(top_backlog), "cross_board", F.col("text")),
+        cell(narrative.leadership_text_of(leadership.kpis_of(f["summary"], f["work"])), "leadership_update", F.col("text")),
         cell(narrative.data_quality_text(deals, work_orders), "data_quality", F.col("text")),
     ]
     out = parts[0]
@@ -226,17 +258,14 @@ def answer_questions(routed: DataFrame, deals: DataFrame, work_orders: DataFrame
     it is broadcast to the questions (equi-join, null-safe on sector /
     period): the questions are never shuffled.
 
-    The eight tools read each cleaned board several times.  With ``reuse``
-    (the default) both boards are first written once as parquet into the
-    shared checkpoint folder (``session.materialize_table``), so every tool
-    scans only its columns of the typed copy instead of re-deriving it.
-    Pass ``reuse=False`` for boards that are already stored tables.
+    The tools share one pass over each cleaned board: its cells, written
+    into the shared checkpoint folder first.  Only the data quality reads the
+    boards besides, whole and once; a second time if fingerprints repeat.
+    Without a sector or value column the pipeline summaries have no cells;
+    ``reuse`` (the default) then writes the deals, which they read 40 times.
     """
-    if reuse:
-        from ..session import checkpoint_dir, materialize_table, run_concurrently
-        checkpoint_dir(deals.sparkSession)
-        deals, work_orders = run_concurrently(lambda: materialize_table(deals),
-                                              lambda: materialize_table(work_orders))
+    if reuse and not _has_grid(deals):
+        deals = materialize_table(deals)
     answers = tool_answers(deals, work_orders, as_of)
     tool = F.col("tool")
     q = routed.select(

@@ -20,7 +20,7 @@ from ..session import checkpoint_dir, materialize_table, run_concurrently
 from .cross import backlog_order, cross_order, execution_order, join_sectors
 from .filters import open_deals
 from .leadership import kpis_of, signals_of
-from .operations import financial_columns, summary_columns, wo_kpi_aggs
+from .operations import active_flag, completed_flag, financial_columns, summary_columns, wo_kpi_aggs
 from .quality import quality_report
 from .sales import (
     SUMMARY_COLUMNS, deal_value, ordered, pipeline_summary_with_leader, summary_select, summary_totals,
@@ -34,37 +34,56 @@ def _label(df: DataFrame, column: str) -> Column:
     return X.text_display(column) if column in df.columns else F.lit(vocab.UNKNOWN_LABEL)
 
 
-def deal_cells(deals: DataFrame) -> DataFrame:
+def _sum(c: Column) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+
+
+def _norm_key(df: DataFrame, norm: bool) -> list[Column]:
+    return [(X.text_norm("sector") if "sector" in df.columns else F.lit("")).alias("_ns")] if norm else []
+
+
+def deal_cells(deals: DataFrame, flags: tuple[Column, ...] = (), norm: bool = False) -> DataFrame:
     """Open deals by display sector and stage: counts, gross and weighted pipeline as exact parts.
 
-    Without a value, probability or sector column its counts are 0.
+    Without a value, probability or sector column its counts are 0.  Rows are
+    grouped by the texts as they are; labels are formed once a group.
+    ``flags``: further keys; ``norm``: the normalized sector as a key, ``_ns``.
     """
     od = open_deals(deals)
     v = deal_value(od)
     v = F.lit(None).cast(X.MONEY_TYPE) if v is None else v
     p, ok = usable_probability(od) or (F.lit(None).cast("double"), F.lit(False))
     weighted = ok & v.isNotNull()
-    unknown = (X.text_norm("sector") == "") if "sector" in od.columns else F.lit(False)
-    one = F.count(F.lit(1))
-    return od.groupBy(_label(od, "sector").alias("sector"), _label(od, "deal_stage").alias("stage")).agg(
-        one.alias("n"), one.alias("n_open"), one.alias("n_sector"), F.count(v).alias("n_value"), F.count_if(ok).alias("n_prob"),
-        F.count_if(weighted).alias("n_weighted"), F.count_if(unknown).alias("n_unknown"),
+    texts = [F.col(c) for c in ("sector", "deal_stage") if c in od.columns]
+    rows = od.groupBy(*texts, *flags).agg(
+        F.count(F.lit(1)).alias("n"), F.count(v).alias("n_value"), F.count_if(ok).alias("n_prob"), F.count_if(weighted).alias("n_weighted"),
         X.money_part(v).alias("gross"), X.money_part(F.when(weighted, v * p)).alias("weighted"))
+    rows = rows.filter(F.col("n") > 0)  # no keys at all: one row even for an empty board
+    own = [F.col(c) for c in rows.columns if c.startswith("_f")]
+    unknown = (X.text_norm("sector") == "") if "sector" in od.columns else F.lit(False)
+    n = F.col("n")
+    return rows.groupBy(_label(rows, "sector").alias("sector"), _label(rows, "deal_stage").alias("stage"), *_norm_key(rows, norm), *own).agg(
+        *[_sum(n).alias(c) for c in ("n", "n_open", "n_sector")], *[_sum(F.col(c)).alias(c) for c in ("n_value", "n_prob", "n_weighted")],
+        _sum(F.when(unknown, n)).alias("n_unknown"), *[X.money_join(c).alias(c) for c in ("gross", "weighted")])
 
 
-def work_order_cells(work_orders: DataFrame) -> DataFrame:
-    """Work orders by display sector and status: counts and money as exact parts."""
-    return work_orders.groupBy(
-        _label(work_orders, "sector").alias("sector"), _label(work_orders, "execution_status").alias("status")).agg(
-        *wo_kpi_aggs(work_orders, X.money_part))
+def work_order_cells(work_orders: DataFrame, norm: bool = False) -> DataFrame:
+    """Work orders by display sector and status: counts and money as exact parts (``norm``: see ``deal_cells``)."""
+    texts = [F.col(c) for c in ("sector", "execution_status") if c in work_orders.columns]
+    kpis = wo_kpi_aggs(work_orders, X.money_part)
+    rows = work_orders.groupBy(*texts).agg(kpis[0], *kpis[len(COUNTS):]).filter(F.col("total_work_orders") > 0)
+    n = F.col("total_work_orders")
+    return rows.groupBy(_label(rows, "sector").alias("sector"), _label(rows, "execution_status").alias("status"), *_norm_key(rows, norm)).agg(
+        _sum(n).alias("total_work_orders"), _sum(F.when(active_flag(rows), n)).alias("active_work_orders"),
+        _sum(F.when(completed_flag(rows), n)).alias("completed_work_orders"), *[X.money_join(c).alias(c) for c in MONEY])
 
 
 COUNTS = ("total_work_orders", "active_work_orders", "completed_work_orders")
 MONEY = ("billed_value", "collected_amount", "amount_to_be_billed", "amount_receivable")
 
 
-def briefing_of(deal_rows: DataFrame, wo_rows: DataFrame, deals: DataFrame, work_orders: DataFrame) -> dict[str, DataFrame]:
-    """The parts of the briefing from the two boards' cells.
+def frames_of(deal_rows: DataFrame, wo_rows: DataFrame, deals: DataFrame, work_orders: DataFrame) -> dict[str, DataFrame]:
+    """What the briefing and the batch answers are made of, from the two boards' cells (unordered).
 
     Of the boards only the columns are looked at, but for the summary of
     deals without a value column, which has another form.
@@ -92,18 +111,27 @@ def briefing_of(deal_rows: DataFrame, wo_rows: DataFrame, deals: DataFrame, work
         F.sum("total_work_orders").cast("bigint").alias("total_work_orders"),
         F.when(known, X.money_value(X.money_join("amount_to_be_billed"))).otherwise(0.0).alias("billing_backlog"))
     statuses = wo_rows.groupBy("status").agg(F.sum("total_work_orders").cast("bigint").alias("work_orders"))
-    both = join_sectors(sectors.drop("pipeline_display"), by_sector)
     return {
-        "pipeline": summary.select(*SUMMARY_COLUMNS),
-        "top_sectors": ordered(sectors, "pipeline", "sector").limit(TOP_SECTORS),
-        "pipeline_stages": ordered(stages, "pipeline", "stage").limit(TOP_STAGES),
-        "operations": work.select(*summary_columns(None)),
-        "status_breakdown": ordered(statuses if "execution_status" in work_orders.columns else statuses.limit(0), "work_orders", "status"),
-        "financials": work.select(*financial_columns(None)),
-        "cross_board": cross_order(both),
-        "top_billing_backlog_sectors": backlog_order(both).limit(TOP_SECTORS),
-        "top_execution_sectors": execution_order(both).limit(TOP_SECTORS),
-        "leadership_signals": signals_of(kpis_of(summary, work)),
+        "summary": summary, "work": work, "sectors": sectors, "stages": stages,
+        "statuses": statuses if "execution_status" in work_orders.columns else statuses.limit(0),
+        "both": join_sectors(sectors.drop("pipeline_display"), by_sector),
+    }
+
+
+def briefing_of(deal_rows: DataFrame, wo_rows: DataFrame, deals: DataFrame, work_orders: DataFrame) -> dict[str, DataFrame]:
+    """The parts of the briefing from the two boards' cells."""
+    f = frames_of(deal_rows, wo_rows, deals, work_orders)
+    return {
+        "pipeline": f["summary"].select(*SUMMARY_COLUMNS),
+        "top_sectors": ordered(f["sectors"], "pipeline", "sector").limit(TOP_SECTORS),
+        "pipeline_stages": ordered(f["stages"], "pipeline", "stage").limit(TOP_STAGES),
+        "operations": f["work"].select(*summary_columns(None)),
+        "status_breakdown": ordered(f["statuses"], "work_orders", "status"),
+        "financials": f["work"].select(*financial_columns(None)),
+        "cross_board": cross_order(f["both"]),
+        "top_billing_backlog_sectors": backlog_order(f["both"]).limit(TOP_SECTORS),
+        "top_execution_sectors": execution_order(f["both"]).limit(TOP_SECTORS),
+        "leadership_signals": signals_of(kpis_of(f["summary"], f["work"])),
     }
 
 

@@ -81,7 +81,11 @@ def financial_text_col() -> Column:
 
 def leadership_text(deals: DataFrame, work_orders: DataFrame) -> DataFrame:
     """Leadership update: headline KPIs plus the numbered signal messages."""
-    k = leadership.kpi_row(deals, work_orders)
+    return leadership_text_of(leadership.kpi_row(deals, work_orders))
+
+
+def leadership_text_of(k: DataFrame) -> DataFrame:
+    """The leadership update over the row of KPIs."""
     conds_msgs = leadership.signal_conditions()
     lines, running = [], F.lit(0)
     for cond, message in conds_msgs:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dealscope.operators import answers, narrative, operations, routing, sales
+from dealscope.operators import answers, briefing, narrative, operations, routing, sales
 from dealscope.plans import catalog
 from tests.conftest import SF_SMOKE
 
@@ -93,3 +93,35 @@ def test_by_sector_answer_lists_eight_rows_with_heading_and_closing(spark):
     assert answers.sector_answer(empty).first()["text"] == (
         "### Pipeline by sector\n\nNo sector-level pipeline data is currently available.")
     assert answers.stage_answer(empty).first()["text"].endswith("No pipeline-stage data is currently available.")
+
+
+def test_cells_form_labels_once_a_group(spark, boards):
+    """Rows are grouped by their texts as they are; display and compare forms come after the first aggregation."""
+    _, wo = boards
+    cells = answers.work_order_grid_cells(wo)
+    plan = cells._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line for line in plan.split("\n") if "Aggregate [" in line]
+    assert len(keys) == 2  # over the labels, and below it over the texts alone
+    assert keys[1].split("Aggregate [")[1].split("]")[0].count("#") == 2
+
+
+def test_answers_read_no_copy_of_the_boards(spark, boards, monkeypatch):
+    """Only the two tables of cells are written, never a whole board."""
+    from dealscope.operators import answers as A
+    from dealscope.session import materialize_table
+
+    widths = []
+    monkeypatch.setattr(A, "materialize_table", lambda df: widths.append(set(df.columns)) or materialize_table(df))
+    qs = spark.createDataFrame([("q1", "pipeline_summary", None, None)], "q string, tool string, sector string, period string")
+    A.answer_questions(qs, *boards, AS_OF).collect()
+    assert len(widths) == 2 and all("_ns" in w and "__item_id" not in w for w in widths)
+
+
+def test_cells_of_boards_without_rows_or_keys(spark, boards):
+    """An empty board has no cells, also without the text columns that are their keys."""
+    deals, wo = boards
+    for empty in (wo.limit(0), wo.limit(0).drop("sector", "execution_status")):
+        assert briefing.work_order_cells(empty).count() == 0
+    assert briefing.deal_cells(deals.limit(0).drop("sector", "deal_stage")).count() == 0
+    one = briefing.work_order_cells(wo.drop("sector", "execution_status")).collect()
+    assert [r["total_work_orders"] for r in one] == [wo.count()]
